@@ -81,3 +81,425 @@ LEFT JOIN encounters e ON e.documento_id = p.documento_id
 LEFT JOIN professionals pr ON pr.id_personal_salud = nullif(e.profesional_responsable, '')
 LEFT JOIN cnt c ON c.documento_id = p.documento_id
 """))(patient_history_flat)
+
+
+# ----------------------------------------------------------- shared bits ---
+
+def _pats(spark, d):
+    return M.patients(_t(spark, d, "customer"))
+
+
+def _encs(spark, d):
+    return M.encounters(_t(spark, d, "orders"))
+
+
+def _profs(spark, d):
+    return M.professionals(_t(spark, d, "supplier"))
+
+
+def _ts_text(c, micros: bool = True):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS" if micros else "yyyy-MM-dd HH:mm:ss")
+
+
+TS_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never a
+    machine-local temp folder)."""
+    import uuid
+
+    from ehrflow.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/ehrflow-scratch/{tag}-{uuid.uuid4().hex}"
+
+
+# ------------------------------------------------------------ A1 / D1 ---
+
+@register("scan_tables", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS tabla, count(*) AS n FROM {t}" for t in M.TABLES))
+def scan_tables(spark, d):
+    return H.row_counts({t: _t(spark, d, t) for t in M.TABLES})
+
+
+# ------------------------------------------------------------- B1 / B3 ---
+
+@register("encounters_of", M.with_ctes(M.ENCOUNTERS_SQL, body=f"""
+SELECT documento_id, atencion_id, strftime({local_sql('fecha_hora_atencion')}, '%d/%m/%Y %H:%M') AS fecha_local
+FROM encounters WHERE documento_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE')"""))
+def encounters_of(spark, d):
+    from ehrflow.operators.lookup import encounters_of as enc_of
+    ids = _t(spark, d, "customer").filter(F.col("c_mktsegment") == "FURNITURE").select(
+        F.col("c_custkey").alias("documento_id"))
+    e = enc_of(_encs(spark, d), ids)
+    return e.select("documento_id", "atencion_id", S.fmt(S.to_local("fecha_hora_atencion"), "stamp").alias("fecha_local"))
+
+
+@register("lookup_ids", M.with_ctes(M.PATIENTS_SQL, body="""
+SELECT documento_id, primer_nombre, primer_apellido, correo_electronico, tipo_usuario FROM patients
+WHERE documento_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"""))
+def lookup_ids(spark, d):
+    from ehrflow.operators.lookup import patients_by_id
+    ids = _t(spark, d, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("documento_id"))
+    return patients_by_id(_pats(spark, d), ids).select(
+        "documento_id", "primer_nombre", "primer_apellido", "correo_electronico", "tipo_usuario")
+
+
+# -------------------------------------------------------------- B2 / E1 ---
+
+@register("lookup_email_first", M.with_ctes(M.PATIENTS_SQL, body="""
+SELECT correo_electronico, min(documento_id) AS documento_id FROM patients
+WHERE correo_electronico IS NOT NULL GROUP BY correo_electronico"""))
+def lookup_email_first(spark, d):
+    from ehrflow.operators.lookup import patients_by_email
+    p = _pats(spark, d)
+    wanted = p.select("correo_electronico")
+    return patients_by_email(p, wanted).select("correo_electronico", "documento_id")
+
+
+# ------------------------------------------------------- B4 / K3 / H1b ---
+
+_PUBLIC_SQL_COLS = ", ".join(
+    ["documento_id", "tipo_documento", "primer_apellido", "segundo_apellido", "primer_nombre", "segundo_nombre",
+     "fecha_nacimiento", "CAST(edad AS BIGINT) AS edad", "sexo", "genero", "grupo_sanguineo", "factor_rh",
+     "estado_civil", "direccion_residencia", "municipio_ciudad", "departamento", "telefono", "celular",
+     "correo_electronico", "ocupacion", "entidad_afiliacion", "regimen_afiliacion", "tipo_usuario"])
+
+
+@register("public_projection", M.with_ctes(M.PATIENTS_SQL, body=f"SELECT {_PUBLIC_SQL_COLS} FROM patients"))
+def public_projection(spark, d):
+    from ehrflow.operators.access import visible_columns
+    p = H.patient_view(_pats(spark, d), M.AS_OF_DATE, recompute_age=False)
+    return visible_columns(p, "admisionista").withColumn("edad", F.col("edad").cast("long"))
+
+
+# ------------------------------------------------------------ B5 / B6 ---
+
+@register("role_filter", M.with_ctes(M.PATIENTS_SQL, body="""
+SELECT documento_id, tipo_usuario FROM patients WHERE tipo_usuario IN ('medico', 'admisionista')"""))
+def role_filter(spark, d):
+    from ehrflow.operators.lookup import with_role
+    return with_role(_pats(spark, d), ["medico", "admisionista"]).select("documento_id", "tipo_usuario")
+
+
+@register("prefix_count", """
+SELECT 'part' AS tabla, count(*) AS n FROM part WHERE p_name LIKE 'red%'
+UNION ALL SELECT 'customer' AS tabla, count(*) AS n FROM customer WHERE c_name LIKE 'Customer#0000001%'""")
+def prefix_count(spark, d):
+    from ehrflow.operators.lookup import prefix_count as pc
+    a = pc(_t(spark, d, "part"), "p_name", "red").select(F.lit("part").alias("tabla"), "n")
+    b = pc(_t(spark, d, "customer"), "c_name", "Customer#0000001").select(F.lit("customer").alias("tabla"), "n")
+    return a.unionByName(b)
+
+
+# ------------------------------------------------------------------ C3 ---
+
+@register("exists_split", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, body="""
+SELECT p.documento_id, EXISTS (SELECT 1 FROM encounters e WHERE e.documento_id = p.documento_id
+                               AND e.estado_egreso = 'Hospitalizado') AS hospitalizado
+FROM patients p"""))
+def exists_split(spark, d):
+    from ehrflow.operators.lookup import exists_in, missing_in
+    p = _pats(spark, d).select("documento_id")
+    hosp = _encs(spark, d).filter(F.col("estado_egreso") == "Hospitalizado")
+    yes = exists_in(p, hosp, "documento_id").withColumn("hospitalizado", F.lit(True))
+    no = missing_in(p, hosp, "documento_id").withColumn("hospitalizado", F.lit(False))
+    return yes.unionByName(no)
+
+
+# ------------------------------------------------------------------ C4 ---
+
+def _new_patient_emails(spark, d):
+    c = _t(spark, d, "customer")
+    p = M.patients(c)
+    k = F.col("documento_id")
+    return p.select((k + 1_000_000_000).alias("documento_id"),
+                    F.when(k % 3 == 0, F.col("correo_electronico"))
+                    .otherwise(F.concat(F.lit("n"), k.cast("string"), F.lit("@nuevo.test"))).alias("correo_electronico"))
+
+
+@register("nullsafe_conflict", M.with_ctes(M.PATIENTS_SQL, """
+batch AS (SELECT documento_id + 1000000000 AS documento_id,
+  CASE WHEN documento_id % 3 = 0 THEN correo_electronico ELSE 'n' || documento_id || '@nuevo.test' END AS correo_electronico
+  FROM patients)""", body="""
+SELECT b.documento_id, b.correo_electronico,
+  EXISTS (SELECT 1 FROM patients p WHERE p.correo_electronico IS NOT DISTINCT FROM b.correo_electronico) AS conflicto
+FROM batch b"""))
+def nullsafe_conflict(spark, d):
+    from ehrflow.operators.lookup import null_safe_matches
+    batch = _new_patient_emails(spark, d)
+    hit = null_safe_matches(batch, _pats(spark, d), "correo_electronico").select("documento_id") \
+        .withColumn("conflicto", F.lit(True))
+    return (batch.join(hit, "documento_id", "left")
+            .withColumn("conflicto", F.coalesce(F.col("conflicto"), F.lit(False))))
+
+
+# ------------------------------------------------------------- C5 / F1 ---
+
+@register("resolve_fk", M.with_ctes(M.PROFESSIONALS_SQL, """
+one AS (SELECT nombre_completo, min(id_personal_salud) AS id_resuelto FROM professionals GROUP BY nombre_completo)""",
+                                    body="""
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS tecnologia_id, o.id_resuelto
+FROM lineitem l LEFT JOIN one o ON o.nombre_completo = 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0')"""))
+def resolve_fk(spark, d):
+    li = _t(spark, d, "lineitem").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("tecnologia_id"),
+        F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("_nombre"))
+    out = H.resolve_fk(li, _profs(spark, d), "_nombre", "nombre_completo", "id_personal_salud", "id_resuelto")
+    return out.select("tecnologia_id", "id_resuelto")
+
+
+# ------------------------------------------------------------------ C6 ---
+
+@register("children_join", M.with_ctes(M.ENCOUNTERS_SQL, """
+tech AS (SELECT o.o_custkey AS documento_id, CAST(l.l_orderkey AS VARCHAR) AS atencion_id,
+                CAST(l.l_quantity AS INTEGER) AS dias_tratamiento
+         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)""", body="""
+SELECT e.documento_id, e.atencion_id, count(t.atencion_id) AS n_tecnologias,
+  sum(t.dias_tratamiento) AS dias_total
+FROM encounters e LEFT JOIN tech t ON t.documento_id = e.documento_id AND t.atencion_id = e.atencion_id
+GROUP BY e.documento_id, e.atencion_id"""))
+def children_join(spark, d):
+    tech = M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+    per_enc = tech.groupBy("documento_id", "atencion_id").agg(
+        F.count(F.lit(1)).alias("n_tecnologias"), F.sum("dias_tratamiento").cast("long").alias("dias_total"))
+    enc = _encs(spark, d).select("documento_id", "atencion_id")
+    out = H.with_children(enc, per_enc, "left")
+    return out.withColumn("n_tecnologias", F.coalesce(F.col("n_tecnologias"), F.lit(0).cast("long")))
+
+
+# ------------------------------------------------------------------ C7 ---
+
+@register("authorised_asof", f"""
+WITH req AS (SELECT event_id AS solicitud_id, user_id AS usuario, ts FROM events WHERE event_type <> 'signup'),
+lg AS (SELECT user_id AS usuario, ts AS login_ts FROM events WHERE event_type = 'signup'),
+j AS (SELECT r.solicitud_id, r.usuario, r.ts, l.login_ts FROM req r
+      ASOF LEFT JOIN lg l ON r.usuario = l.usuario AND r.ts >= l.login_ts),
+v AS (SELECT *, COALESCE(date_trunc('second', ts) <= date_trunc('second', login_ts + INTERVAL {M.TOKEN_TTL_MINUTES} MINUTE), false) AS ok FROM j)
+SELECT solicitud_id, usuario, strftime(ts, {TS_SQL}) AS ts,
+  CASE WHEN ok THEN strftime(login_ts, {TS_SQL}) END AS login_ts, ok AS autorizado
+FROM v""")
+def authorised_asof(spark, d):
+    from ehrflow.operators.access import authorised_requests
+    ev = _t(spark, d, "events")
+    out = authorised_requests(M.requests(ev), M.logins(ev), M.TOKEN_TTL_MINUTES)
+    return out.select("solicitud_id", "usuario", _ts_text(F.col("ts")).alias("ts"),
+                      _ts_text(F.col("login_ts")).alias("login_ts"), "autorizado")
+
+
+# ------------------------------------------------------------------ D2 ---
+
+@register("encounter_counts", """
+SELECT c.c_custkey AS documento_id, count(o.o_orderkey) AS n_atenciones
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def encounter_counts(spark, d):
+    return H.encounter_counts(_pats(spark, d).select("documento_id"), _encs(spark, d).select("documento_id"))
+
+
+# ------------------------------------------------------------------ F2 ---
+
+@register("nth_row", """
+SELECT CAST(s_suppkey AS VARCHAR) AS id_personal_salud, s_name AS registro
+FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 1""")
+def nth_row(spark, d):
+    from ehrflow.operators.lookup import nth_row as nr
+    p = _profs(spark, d).select("id_personal_salud", F.col("registro_profesional").alias("_r"),
+                                 F.col("id_personal_salud").cast("long").alias("_k"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("_k"), F.col("s_name").alias("registro"))
+    return nr(p.join(s, "_k"), 1, [F.col("_k")]).select("id_personal_salud", "registro")
+
+
+# ----------------------------------------------------------- H6/H7/B8 ---
+
+@register("json_vitals", M.with_ctes(M.ENCOUNTERS_SQL, """
+v AS (SELECT atencion_id, CASE WHEN json_valid(signos_vitales) THEN signos_vitales END AS j,
+             nullif(signos_vitales, '') IS NOT NULL AS has_text FROM encounters),
+x AS (SELECT atencion_id,
+  nullif(json_extract_string(j, '$.ta'), '') AS ta,
+  nullif(TRY_CAST(json_extract_string(j, '$.fc') AS INTEGER), 0) AS fc,
+  nullif(TRY_CAST(json_extract_string(j, '$.temp') AS DOUBLE), 0) AS temp,
+  nullif(TRY_CAST(json_extract_string(j, '$.sat') AS INTEGER), 0) AS sat,
+  has_text FROM v)""", body="""
+SELECT atencion_id, ta, CAST(fc AS BIGINT) AS fc, temp, CAST(sat AS BIGINT) AS sat,
+  CAST(nullif((ta IS NOT NULL)::INT + (fc IS NOT NULL)::INT + (temp IS NOT NULL)::INT + (sat IS NOT NULL)::INT, 0) AS BIGINT)
+    AS n_claves
+FROM x"""))
+def json_vitals(spark, d):
+    e = _encs(spark, d).withColumn("_v", S.parse_json_or_empty("signos_vitales"))
+    out = e.select("atencion_id",
+                   S.vital("_v", "ta").alias("ta"),
+                   S.vital("_v", "fc", "bigint").alias("fc"),
+                   S.vital("_v", "temp", "double").alias("temp"),
+                   S.vital("_v", "sat", "bigint").alias("sat"))
+    m = F.create_map(*[x for k in ("ta", "fc", "temp", "sat")
+                       for x in (F.lit(k), F.coalesce(F.col(k).cast("string"), F.lit("")))])
+    return out.withColumn("n_claves", F.size(S.clean_vitals(m)).cast("long")) \
+        .withColumn("n_claves", F.when(F.col("n_claves") > 0, F.col("n_claves")))
+
+
+# ------------------------------------------------------- H8 / H9 / H10 ---
+
+@register("json_build", """
+SELECT CAST(s_suppkey AS VARCHAR) AS id_personal_salud, CAST(s_suppkey AS VARCHAR) AS telefono,
+  's' || s_suppkey || '@hce.test' AS email, CAST(2 AS BIGINT) AS n_medicamentos,
+  'Med ' || s_nationkey AS primer_medicamento,
+  CASE WHEN s_acctbal > 0 THEN '30 dias' END AS duracion
+FROM supplier""")
+def json_build(spark, d):
+    s = _t(spark, d, "supplier")
+    p = M.professionals(s).select("id_personal_salud", "contacto")
+    rx = s.select(F.col("s_suppkey").cast("string").alias("id_personal_salud"),
+                  S.json_array_of_objects("medicamentos", [
+                      {"nombre": F.concat(F.lit("Med "), F.col("s_nationkey").cast("string")),
+                       "dosis": F.lit("1 tableta"),
+                       "duracion": F.when(F.col("s_acctbal") > 0, F.lit("30 dias"))},
+                      {"nombre": F.lit("Otro"), "dosis": F.lit(None).cast("string"), "duracion": F.lit("5 dias")},
+                  ]).alias("formulacion"))
+    j = p.join(rx, "id_personal_salud")
+    c = F.parse_json("contacto")
+    f = F.parse_json("formulacion")
+    return j.select("id_personal_salud",
+                    F.variant_get(c, "$.telefono", "string").alias("telefono"),
+                    F.variant_get(c, "$.email", "string").alias("email"),
+                    F.size(F.variant_get(f, "$.medicamentos", "array<variant>")).cast("long").alias("n_medicamentos"),
+                    F.variant_get(f, "$.medicamentos[0].nombre", "string").alias("primer_medicamento"),
+                    F.variant_get(f, "$.medicamentos[0].duracion", "string").alias("duracion"))
+
+
+# ------------------------------------------------------ H11 / H12 / H13 ---
+
+@register("codes_split_join", """
+WITH t AS (SELECT p_partkey, list_concat(list_transform(string_split(p_type || ', ' || p_brand
+    || CASE WHEN p_size % 5 = 0 THEN ',' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN '  , X1 ' ELSE '' END, ','),
+    lambda x: trim(x)), ['Z00.0']) AS codes FROM part)
+SELECT p_partkey, CAST(len(codes) AS BIGINT) AS n_codigos, array_to_string(codes, ', ') AS codigos_texto,
+  codes[len(codes) - 1] AS penultimo FROM t""")
+def codes_split_join(spark, d):
+    p = _t(spark, d, "part")
+    text = F.concat(F.col("p_type"), F.lit(", "), F.col("p_brand"),
+                    F.when(F.col("p_size") % 5 == 0, ",").otherwise(""),
+                    F.when(F.col("p_size") % 7 == 0, "  , X1 ").otherwise(""))
+    codes = F.concat(S.split_codes(text), F.array(F.lit("Z00.0")))
+    return p.select("p_partkey", codes.alias("_c")).select(
+        "p_partkey", F.size("_c").cast("long").alias("n_codigos"), S.join_codes("_c").alias("codigos_texto"),
+        F.element_at("_c", -2).alias("penultimo"))
+
+
+# ------------------------------------------------- B7 / B9 / H14 / H15 ---
+
+@register("falsy_defaults", M.with_ctes(M.PATIENTS_SQL, body="""
+SELECT documento_id,
+  COALESCE(nullif(celular, ''), nullif(telefono, ''), '--') AS contacto,
+  COALESCE(nullif(correo_electronico, ''), '--') AS email,
+  COALESCE(nullif(entidad_afiliacion, ''), 'PARTICULAR') AS entidad,
+  COALESCE(CAST(nullif(edad, 0) AS VARCHAR), '--') AS edad_texto,
+  COALESCE(nullif(genero, ''), '--') AS genero,
+  nullif(segundo_apellido, '') AS segundo_apellido
+FROM patients"""))
+def falsy_defaults(spark, d):
+    p = _pats(spark, d)
+    return p.select("documento_id",
+                    S.coalesce_falsy("celular", "telefono", default="--").alias("contacto"),
+                    S.falsy_or("correo_electronico", "--").alias("email"),
+                    S.falsy_or("entidad_afiliacion", "PARTICULAR").alias("entidad"),
+                    S.falsy_or_number("edad", "--").alias("edad_texto"),
+                    S.falsy_or("genero", "--").alias("genero"),
+                    S.blank_to_null("segundo_apellido").alias("segundo_apellido"))
+
+
+# ---------------------------------------- H16 / H17 / H18 / H23 / H24 ---
+
+@register("names_format", M.with_ctes(M.PATIENTS_SQL, body=f"""
+SELECT documento_id,
+  'Dr. ' || COALESCE(segundo_nombre, 'None') || ' ' || COALESCE(primer_nombre, 'None') AS firma,
+  COALESCE(primer_nombre, 'None') || ' ' || COALESCE(segundo_nombre, '') || ' ' || COALESCE(primer_apellido, 'None')
+    || ' ' || COALESCE(segundo_apellido, '') AS nombre_completo,
+  upper(substr(primer_apellido, 1, 1)) || lower(substr(primer_apellido, 2)) AS apellido_cap,
+  'HC_' || documento_id || '_' || strftime({local_sql("TIMESTAMP '" + M.AS_OF_UTC.isoformat(sep=' ') + "'")}, '%Y%m%d') || '.pdf'
+    AS archivo,
+  split_part(strftime(fecha_nacimiento, '%Y-%m-%dT00:00:00'), 'T', 1) AS fecha_iso
+FROM patients"""))
+def names_format(spark, d):
+    p = _pats(spark, d)
+    as_of_local = S.to_local(F.lit(M.AS_OF_UTC).cast("timestamp_ntz"))
+    iso = F.date_format("fecha_nacimiento", "yyyy-MM-dd'T'00:00:00")
+    return p.select("documento_id",
+                    S.signature("segundo_nombre", "primer_nombre").alias("firma"),
+                    S.full_name("primer_nombre", "segundo_nombre", "primer_apellido", "segundo_apellido")
+                    .alias("nombre_completo"),
+                    S.capitalize("primer_apellido").alias("apellido_cap"),
+                    S.export_name("documento_id", as_of_local).alias("archivo"),
+                    S.iso_date_part(iso).alias("fecha_iso"))
+
+
+@register("html_escape", """
+SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+  '"', '&#34;'), '''', '&#39;')) AS texto_sha256
+FROM documents""")
+def html_escape(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", F.sha2(S.html_escape("text"), 256).alias("texto_sha256"))
+
+
+# ------------------------------------------------------------ H2 / H5 ---
+
+@register("interval_shift", f"""
+SELECT event_id, strftime(ts - INTERVAL 5 DAY, {TS_SQL}) AS ts_menos_5d,
+  CAST({local_sql('ts')} AS DATE) AS fecha_local
+FROM events""")
+def interval_shift(spark, d):
+    ev = _t(spark, d, "events")
+    return ev.select("event_id", _ts_text(S.days_before("ts", 5)).alias("ts_menos_5d"),
+                     S.local_today("ts").alias("fecha_local"))
+
+
+# ------------------------------------------------------------ H1 / H1b ---
+
+@register("age_at", M.with_ctes(M.PATIENTS_SQL, body=f"""
+SELECT documento_id, CAST({age_sql('fecha_nacimiento')} AS BIGINT) AS edad_calculada,
+  CAST(COALESCE({age_sql('fecha_nacimiento')}, edad) AS BIGINT) AS edad_mostrada,
+  CAST(edad AS BIGINT) AS edad_admision
+FROM patients"""))
+def age_at(spark, d):
+    p = _pats(spark, d)
+    return p.select("documento_id",
+                    S.age_years("fecha_nacimiento", M.AS_OF_DATE).cast("long").alias("edad_calculada"),
+                    S.display_age("fecha_nacimiento", "edad", M.AS_OF_DATE).cast("long").alias("edad_mostrada"),
+                    S.display_age("fecha_nacimiento", "edad", M.AS_OF_DATE, recompute=False).cast("long")
+                    .alias("edad_admision"))
+
+
+# ------------------------------------------------------------ H3 / H4 ---
+
+@register("history_local_formats", M.with_ctes(M.ENCOUNTERS_SQL, body=f"""
+SELECT atencion_id,
+  strftime({local_sql('fecha_hora_atencion')}, '%d/%m/%Y %H:%M') AS f_vista,
+  strftime({local_sql('fecha_hora_atencion')}, '%Y%m%d') AS f_compacta,
+  strftime({local_sql('fecha_hora_atencion')}, '%d-%m-%Y %H:%M') AS f_encabezado,
+  strftime({local_sql('fecha_hora_atencion')}, '%d de %B, %Y') AS f_larga,
+  strftime({local_sql('fecha_hora_atencion')}, '%I:%M %p') AS f_hora
+FROM encounters"""))
+def history_local_formats(spark, d):
+    e = _encs(spark, d).withColumn("_l", S.to_local("fecha_hora_atencion"))
+    return e.select("atencion_id", S.fmt("_l", "stamp").alias("f_vista"), S.fmt("_l", "compact").alias("f_compacta"),
+                    S.fmt("_l", "header").alias("f_encabezado"), S.fmt("_l", "long_date").alias("f_larga"),
+                    S.fmt("_l", "clock").alias("f_hora"))
+
+
+# ------------------------------------------------------------ C2 / L3 ---
+
+@register("name_policy", M.with_ctes(M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, body="""
+SELECT e.atencion_id,
+  CASE WHEN nullif(e.profesional_responsable, '') IS NULL THEN 'No especificado'
+       WHEN p.id_personal_salud IS NULL THEN 'Desconocido' ELSE p.nombre_completo END AS nombre_clinico,
+  CASE WHEN nullif(e.profesional_responsable, '') IS NULL THEN COALESCE(nullif(e.responsable_registro, ''), 'Profesional de Staff')
+       WHEN p.id_personal_salud IS NULL THEN 'Desconocido' ELSE p.nombre_completo END AS nombre_paciente,
+  CASE WHEN nullif(e.profesional_responsable, '') IS NULL THEN COALESCE(nullif(e.responsable_registro, ''), 'Profesional de Turno')
+       WHEN p.id_personal_salud IS NULL THEN 'Firma Pendiente' ELSE p.nombre_completo END AS nombre_export
+FROM encounters e LEFT JOIN professionals p ON p.id_personal_salud = nullif(e.profesional_responsable, '')"""))
+def name_policy(spark, d):
+    e = _encs(spark, d).select("atencion_id", "profesional_responsable", "responsable_registro")
+    pr = _profs(spark, d)
+    e = H.with_professional(e, pr, "clinician", "nombre_clinico")
+    e = H.with_professional(e, pr, "patient", "nombre_paciente")
+    e = H.with_professional(e, pr, "export", "nombre_export")
+    return e.select("atencion_id", "nombre_clinico", "nombre_paciente", "nombre_export")
