@@ -28,33 +28,40 @@ VITALS = [
 NO_RECORDS = "No existen registros de atención."
 
 
-def vital_text(v: Column, key: str) -> Column:
-    """The value of one vitals key as the template prints it, NULL when the
-    template would skip it (missing, null, 0, '', false). Integers print
-    without a fraction, other numbers as doubles, text as is."""
-    sub = F.try_variant_get(v, f"$.{key}", "variant")
-    kind = F.schema_of_variant(sub)
-    as_double = F.try_variant_get(sub, "$", "double")
-    as_text = F.try_variant_get(sub, "$", "string")
-    is_int = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-    is_num = is_int | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-    text = (F.when(is_int, F.try_variant_get(sub, "$", "bigint").cast("string"))
-            .when(is_num, as_double.cast("string"))
-            .otherwise(as_text))
-    truthy = (F.when(is_num, as_double != 0)
-              .when(kind == "BOOLEAN", F.try_variant_get(sub, "$", "boolean"))
-              .when(kind == "STRING", as_text != "")
-              .when(kind == "VOID", F.lit(False))
-              .otherwise(F.lit(True)))
-    return F.when(F.coalesce(truthy, F.lit(False)), text)
+def with_vital_texts(df: DataFrame, v: str) -> DataFrame:
+    """Adds ``_vt_{key}`` for every shown vital: the value as the template
+    prints it, NULL when the template would skip it (missing, null, 0, '',
+    false). Integers print without a fraction, other numbers as doubles,
+    text as is. Built in three narrow projections so each expression is
+    evaluated once and the generated code stays small."""
+    keys = [k for k, _, _ in VITALS]
+    df = df.select("*", *[F.try_variant_get(F.col(v), f"$.{k}", "variant").alias(f"_vs_{k}") for k in keys])
+    df = df.select("*", *[F.schema_of_variant(F.col(f"_vs_{k}")).alias(f"_vk_{k}") for k in keys])
+    cols = []
+    for k in keys:
+        sub, kind = F.col(f"_vs_{k}"), F.col(f"_vk_{k}")
+        as_double = F.try_variant_get(sub, "$", "double")
+        as_text = F.try_variant_get(sub, "$", "string")
+        is_int = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+        is_num = is_int | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+        text = (F.when(is_int, F.try_variant_get(sub, "$", "bigint").cast("string"))
+                .when(is_num, as_double.cast("string"))
+                .otherwise(as_text))
+        truthy = (F.when(is_num, as_double != 0)
+                  .when(kind == "BOOLEAN", F.try_variant_get(sub, "$", "boolean"))
+                  .when(kind == "STRING", as_text != "")
+                  .when(kind == "VOID", F.lit(False))
+                  .otherwise(F.lit(True)))
+        cols.append(F.when(F.coalesce(truthy, F.lit(False)), text).alias(f"_vt_{k}"))
+    return df.select("*", *cols).drop(*[f"_vs_{k}" for k in keys], *[f"_vk_{k}" for k in keys])
 
 
-def encounter_block(vitals_json: Column) -> Column:
-    """One encounter rendered as text lines (newline separated)."""
-    parts = [F.concat_ws(": ", F.lit(lbl), S.with_unit(vital_text(vitals_json, k), unit))
-             if unit else F.concat_ws(": ", F.lit(lbl), vital_text(vitals_json, k))
+def encounter_block() -> Column:
+    """One encounter rendered as text lines (newline separated); expects the
+    ``_vt_*`` columns of :func:`with_vital_texts`."""
+    shown = [F.when(F.col(f"_vt_{k}").isNotNull(),
+                    F.concat(F.lit(lbl + ": "), F.col(f"_vt_{k}"), F.lit(unit)))
              for k, lbl, unit in VITALS]
-    shown = [F.when(vital_text(vitals_json, k).isNotNull(), p) for (k, _, _), p in zip(VITALS, parts)]
     vitals_line = F.concat_ws("; ", *shown)
     history_any = S.any_present("antecedentes_personales", "antecedentes_familiares",
                                 "medicamentos_actuales", "alergias_conocidas")
@@ -115,9 +122,8 @@ def history_documents(patients: DataFrame, encounters: DataFrame, professionals:
     """
     enc = (encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion"))
            .withColumn("_v", S.reparse_variant(S.parse_json_or_empty("signos_vitales"))))
-    enc = with_professional(enc, professionals, policy="export")
-    blocks = enc.select("documento_id", "atencion_id", "fecha_hora_atencion",
-                        encounter_block(F.col("_v")).alias("_block"))
+    enc = with_vital_texts(with_professional(enc, professionals, policy="export"), "_v")
+    blocks = enc.select("documento_id", "atencion_id", "fecha_hora_atencion", encounter_block().alias("_block"))
     counts = blocks.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))
     paged = (blocks.join(counts, "documento_id")
              .withColumn("partes", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(page_size))))

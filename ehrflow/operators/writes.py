@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
@@ -166,7 +166,7 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
         return F.get_json_object(F.col(patch), f"$.{f}")
 
     def typed(f):
-        return F.try_cast(raw(f), _TYPED[f]) if f in _TYPED else raw(f)
+        return raw(f).try_cast(_TYPED[f]) if f in _TYPED else raw(f)
 
     bad = F.lit(False)
     for f in _TYPED:
@@ -220,7 +220,7 @@ def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFra
     (documento_id, seq, clinician) so reruns are idempotent, or a random
     UUID with ``random_ids=True``.
     """
-    as_of = F.lit(as_of_utc).cast("timestamp_ntz")
+    as_of = as_of_utc if isinstance(as_of_utc, Column) else F.lit(as_of_utc).cast("timestamp_ntz")
     missing = F.lit(False)
     for c in ENCOUNTER_REQUIRED:
         missing = missing | F.col(c).isNull()

@@ -503,3 +503,462 @@ def name_policy(spark, d):
     e = H.with_professional(e, pr, "patient", "nombre_paciente")
     e = H.with_professional(e, pr, "export", "nombre_export")
     return e.select("atencion_id", "nombre_clinico", "nombre_paciente", "nombre_export")
+
+
+# ------------------------------------------------------- I4 / G1 / I6 ---
+
+def _ignore_batch(spark, d):
+    k = F.col("documento_id")
+    return _pats(spark, d).select(
+        F.when(k % 4 == 0, k).otherwise(k % 700 + 2_000_000).alias("documento_id"),
+        "primer_nombre", "hashed_password", k.alias("seq"))
+
+
+@register("insert_or_ignore", M.with_ctes(M.PATIENTS_SQL, """
+batch AS (SELECT CASE WHEN documento_id % 4 = 0 THEN documento_id ELSE documento_id % 700 + 2000000 END AS documento_id,
+                 primer_nombre, documento_id AS seq FROM patients),
+firsts AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY documento_id ORDER BY seq) = 1)""", body="""
+SELECT documento_id, primer_nombre FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM patients p WHERE p.documento_id = f.documento_id)"""))
+def insert_or_ignore(spark, d):
+    from ehrflow.operators.writes import insert_or_ignore as ioi
+    _, inserted = ioi(_pats(spark, d), _ignore_batch(spark, d), ["documento_id"])
+    return inserted.select("documento_id", "primer_nombre")
+
+
+# ------------------------------------------------------------------ I1 ---
+
+def _patient_batch(spark, d):
+    """New-patient commands derived from customer rows: some reuse an
+    existing document, many share documents or e-mails inside the batch,
+    some have no e-mail."""
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    return c.select(
+        F.when(k % 5 == 0, k).otherwise(k % 900 + 3_000_000).alias("documento_id"),
+        F.col("c_name").alias("primer_nombre"),
+        F.when(k % 7 == 0, None).when(k % 3 == 0, F.concat(F.lit("p"), k.cast("string"), F.lit("@hce.test")))
+         .otherwise(F.concat(F.lit("b"), (k % 1100).cast("string"), F.lit("@b.test"))).alias("correo_electronico"),
+        F.date_add(F.lit(M.AS_OF_DATE), -(k * 13 % 30000).cast("int")).alias("fecha_nacimiento"),
+        F.concat(F.lit("h$"), k.cast("string")).alias("hashed_password"),
+        k.alias("seq"))
+
+
+@register("insert_patients")
+def insert_patients(spark, d):
+    from ehrflow.operators.writes import insert_patients as ip
+    accepted, rejected = ip(_pats(spark, d), _patient_batch(spark, d), M.AS_OF_UTC)
+    a = accepted.select("documento_id", "seq", F.lit("aceptado").alias("estado"),
+                        F.lit(None).cast("string").alias("motivo"), F.col("edad").cast("long").alias("edad"))
+    r = rejected.select("documento_id", "seq", F.lit("rechazado").alias("estado"), "motivo",
+                        F.lit(None).cast("long").alias("edad"))
+    return a.unionByName(r)
+
+
+# ------------------------------------------------------------------ I2 ---
+
+def _patches(spark, d):
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    first = F.when(k % 6 == 0, F.concat(F.lit('{"celular":"31'), k.cast("string"), F.lit('"}'))) \
+        .when(k % 6 == 1, F.lit('{"celular":null}')) \
+        .when(k % 6 == 2, F.lit("{}")) \
+        .when(k % 6 == 3, F.lit('{"correo_electronico":"","fecha_nacimiento":"1990-05-05"}')) \
+        .when(k % 6 == 4, F.lit('{"edad":7}')) \
+        .otherwise(F.lit('{"fecha_nacimiento":null}'))
+    p1 = c.select(k.alias("documento_id"), F.lit(1).cast("long").alias("seq"), first.alias("patch"))
+    p2 = c.filter(k % 4 == 0).select(k.alias("documento_id"), F.lit(2).cast("long").alias("seq"),
+                                     F.concat(F.lit('{"celular":"32'), k.cast("string"), F.lit('","edad":9}')).alias("patch"))
+    p3 = c.filter(k % 25 == 0).select((k + 5_000_000).alias("documento_id"), F.lit(1).cast("long").alias("seq"),
+                                      F.lit('{"celular":"x"}').alias("patch"))
+    return p1.unionByName(p2).unionByName(p3)
+
+
+_PATCHES_SQL = """
+patches AS (
+  SELECT c_custkey AS documento_id, CAST(1 AS BIGINT) AS seq,
+    CASE c_custkey % 6 WHEN 0 THEN '{"celular":"31' || c_custkey || '"}' WHEN 1 THEN '{"celular":null}'
+      WHEN 2 THEN '{}' WHEN 3 THEN '{"correo_electronico":"","fecha_nacimiento":"1990-05-05"}'
+      WHEN 4 THEN '{"edad":7}' ELSE '{"fecha_nacimiento":null}' END AS patch
+  FROM customer
+  UNION ALL SELECT c_custkey, 2, '{"celular":"32' || c_custkey || '","edad":9}' FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT c_custkey + 5000000, 1, '{"celular":"x"}' FROM customer WHERE c_custkey % 25 = 0
+),
+good AS (SELECT * FROM patches WHERE documento_id IN (SELECT documento_id FROM patients)),
+agg AS (
+  SELECT documento_id,
+    arg_max({'v': patch->>'$.celular'}, seq) FILTER (WHERE list_contains(json_keys(patch), 'celular')) AS p_cel,
+    arg_max({'v': patch->>'$.correo_electronico'}, seq) FILTER (WHERE list_contains(json_keys(patch), 'correo_electronico')) AS p_mail,
+    arg_max({'v': TRY_CAST(patch->>'$.fecha_nacimiento' AS DATE)}, seq) FILTER (WHERE list_contains(json_keys(patch), 'fecha_nacimiento')) AS p_dob,
+    arg_max({'v': TRY_CAST(patch->>'$.edad' AS INTEGER)}, seq) FILTER (WHERE list_contains(json_keys(patch), 'edad')) AS p_age,
+    max(seq) FILTER (WHERE list_contains(json_keys(patch), 'fecha_nacimiento') AND patch->>'$.fecha_nacimiento' IS NOT NULL) AS dob_seq,
+    arg_max(TRY_CAST(patch->>'$.fecha_nacimiento' AS DATE), seq) FILTER (WHERE list_contains(json_keys(patch), 'fecha_nacimiento') AND patch->>'$.fecha_nacimiento' IS NOT NULL) AS dob_val,
+    max(seq) FILTER (WHERE list_contains(json_keys(patch), 'edad')) AS age_seq
+  FROM good GROUP BY documento_id
+),
+merged AS (
+  SELECT p.documento_id, p.celular AS o_cel, p.correo_electronico AS o_mail, p.fecha_nacimiento AS o_dob, p.edad AS o_age,
+    CASE WHEN a.p_cel IS NOT NULL THEN a.p_cel.v ELSE p.celular END AS celular,
+    CASE WHEN a.p_mail IS NOT NULL THEN a.p_mail.v ELSE p.correo_electronico END AS correo_electronico,
+    CASE WHEN a.p_dob IS NOT NULL THEN a.p_dob.v ELSE p.fecha_nacimiento END AS fecha_nacimiento,
+    CASE WHEN a.dob_seq IS NOT NULL AND (a.age_seq IS NULL OR a.dob_seq >= a.age_seq)
+         THEN (year(DATE '{d}') - year(a.dob_val) - CASE WHEN month(DATE '{d}') < month(a.dob_val) OR
+               (month(DATE '{d}') = month(a.dob_val) AND day(DATE '{d}') < day(a.dob_val)) THEN 1 ELSE 0 END)
+         WHEN a.p_age IS NOT NULL THEN a.p_age.v ELSE p.edad END AS edad
+  FROM patients p LEFT JOIN agg a ON a.documento_id = p.documento_id
+)""".replace("{d}", M.AS_OF_DATE.isoformat())
+
+
+@register("patch_patients", M.with_ctes(M.PATIENTS_SQL, _PATCHES_SQL, body="""
+SELECT documento_id, celular, correo_electronico, fecha_nacimiento, CAST(edad AS BIGINT) AS edad,
+  (celular IS DISTINCT FROM o_cel OR correo_electronico IS DISTINCT FROM o_mail
+   OR fecha_nacimiento IS DISTINCT FROM o_dob OR edad IS DISTINCT FROM o_age) AS actualizado
+FROM merged"""))
+def patch_patients(spark, d):
+    from ehrflow.operators.writes import patch_patients as pp
+    patched, _ = pp(_pats(spark, d), _patches(spark, d), M.AS_OF_UTC)
+    return patched.select("documento_id", "celular", "correo_electronico", "fecha_nacimiento",
+                          F.col("edad").cast("long").alias("edad"),
+                          F.col("updated_at").isNotNull().alias("actualizado"))
+
+
+@register("patch_rejects", """
+SELECT c_custkey + 5000000 AS documento_id, CAST(1 AS BIGINT) AS seq, 'no_existe' AS motivo
+FROM customer WHERE c_custkey % 25 = 0""")
+def patch_rejects(spark, d):
+    from ehrflow.operators.writes import patch_patients as pp
+    _, rejected = pp(_pats(spark, d), _patches(spark, d), M.AS_OF_UTC)
+    return rejected.select("documento_id", "seq", "motivo")
+
+
+# ------------------------------------------------------------------ I3 ---
+
+def _encounter_batch(spark, d):
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders")
+    return o.select(
+        F.when(k % 10 == 0, F.col("o_custkey") + 7_000_000).otherwise(F.col("o_custkey")).alias("documento_id"),
+        F.col("o_orderpriority").alias("tipo_atencion"),
+        F.concat(F.lit("Motivo "), F.col("o_orderstatus")).alias("motivo_consulta"),
+        F.when(k % 13 == 0, None).otherwise(F.lit("Cuadro")).alias("enfermedad_actual"),
+        F.lit("Dx").alias("impresion_diagnostica"),
+        F.lit("Plan").alias("conducta_plan_manejo"),
+        F.when(k % 3 == 0, "").otherwise("Niega").alias("alergias_conocidas"),
+        (k % 1500).alias("clinician_id"),
+        k.alias("seq"))
+
+
+@register("insert_encounters", M.with_ctes(M.PATIENTS_SQL, """
+batch AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 7000000 ELSE o_custkey END AS documento_id,
+                 CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'Cuadro' END AS enfermedad_actual,
+                 CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Niega' END AS alergias_conocidas,
+                 o_orderkey % 1500 AS clinician_id, o_orderkey AS seq FROM orders),
+med AS (SELECT documento_id, primer_nombre, primer_apellido FROM patients)""", body="""
+SELECT b.documento_id, b.seq,
+  CASE WHEN b.enfermedad_actual IS NULL THEN 'rechazado'
+       WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'rechazado' ELSE 'aceptado' END AS estado,
+  CASE WHEN b.enfermedad_actual IS NULL THEN 'campo_requerido'
+       WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'paciente_no_existe' END AS motivo,
+  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
+       THEN 'Dr. ' || COALESCE(m.primer_nombre, 'None') || ' ' || COALESCE(m.primer_apellido, 'None') END AS responsable_registro,
+  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
+       THEN sha256(concat_ws(chr(1), CAST(b.documento_id AS VARCHAR), CAST(b.seq AS VARCHAR), CAST(b.clinician_id AS VARCHAR))) END
+    AS atencion_id,
+  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
+       THEN nullif(b.alergias_conocidas, '') END AS alergias_conocidas
+FROM batch b LEFT JOIN med m ON m.documento_id = b.clinician_id"""))
+def insert_encounters(spark, d):
+    from ehrflow.operators.writes import insert_encounters as ie
+    pats = _pats(spark, d)
+    accepted, rejected = ie(pats, _encounter_batch(spark, d), pats, M.AS_OF_UTC)
+    a = accepted.select("documento_id", "seq", F.lit("aceptado").alias("estado"),
+                        F.lit(None).cast("string").alias("motivo"), "responsable_registro", "atencion_id",
+                        "alergias_conocidas")
+    r = rejected.select("documento_id", "seq", F.lit("rechazado").alias("estado"), "motivo",
+                        *[F.lit(None).cast("string").alias(c) for c in
+                          ("responsable_registro", "atencion_id", "alergias_conocidas")])
+    return a.unionByName(r)
+
+
+# ------------------------------------------------------------------ I5 ---
+
+@register("cascade_delete", """
+WITH gone AS (SELECT c_custkey AS documento_id FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+SELECT 'usuario' AS tabla, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT documento_id FROM gone)
+UNION ALL SELECT 'atencion', count(*) FROM orders WHERE o_custkey NOT IN (SELECT documento_id FROM gone)
+UNION ALL SELECT 'tecnologia_salud', count(*) FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+  WHERE o.o_custkey NOT IN (SELECT documento_id FROM gone)""")
+def cascade_delete(spark, d):
+    from ehrflow.operators.writes import cascade_delete as cd
+    tables = {"usuario": _pats(spark, d).select("documento_id"),
+              "atencion": _encs(spark, d).select("documento_id", "atencion_id"),
+              "tecnologia_salud": M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+              .select("documento_id", "atencion_id")}
+    gone = _t(spark, d, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
+        F.col("c_custkey").alias("documento_id"))
+    left = cd(tables, gone)
+    return H.row_counts(left)
+
+
+# ---------------------------------------------------------- J1-J7 / D4 ---
+
+_TECH_SQL = """
+tech AS (SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS tecnologia_id,
+                CAST(l.l_orderkey AS VARCHAR) AS atencion_id, o.o_custkey AS documento_id,
+                CAST(l.l_suppkey AS VARCHAR) AS id_personal_salud
+         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)"""
+
+
+@register("validate", M.with_ctes(M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, M.PATIENTS_SQL, _TECH_SQL, body="""
+SELECT 'pk_duplicada' AS regla, 'tecnologia_salud' AS tabla,
+  CAST(documento_id AS VARCHAR) || '|' || tecnologia_id AS clave, 'n=' || count(*) AS detalle
+FROM tech GROUP BY documento_id, tecnologia_id HAVING count(*) > 1
+UNION ALL
+SELECT 'fk', 'atencion', CAST(documento_id AS VARCHAR) || '|' || atencion_id,
+  'profesional_salud(' || profesional_responsable || ')'
+FROM encounters e WHERE profesional_responsable IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM professionals p WHERE p.id_personal_salud = e.profesional_responsable)
+UNION ALL
+SELECT 'fk', 'tecnologia_salud', CAST(documento_id AS VARCHAR) || '|' || tecnologia_id,
+  'atencion(' || CAST(documento_id AS VARCHAR) || '|' || atencion_id || ')'
+FROM tech t WHERE NOT EXISTS (SELECT 1 FROM encounters e WHERE e.documento_id = t.documento_id AND e.atencion_id = t.atencion_id)
+UNION ALL
+SELECT 'longitud', 'usuario', CAST(documento_id AS VARCHAR), 'correo_electronico'
+FROM patients WHERE length(correo_electronico) > 20
+UNION ALL
+SELECT 'no_nulo', 'atencion', COALESCE(CAST(documento_id AS VARCHAR), 'NULL') || '|' || COALESCE(atencion_id, 'NULL'),
+  'fecha_hora_atencion' FROM encounters WHERE fecha_hora_atencion IS NULL"""))
+def validate(spark, d):
+    from ehrflow.operators import integrity as J
+    tech = M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+    enc = _encs(spark, d)
+    reports = [
+        J.pk_violations(tech, ["documento_id", "tecnologia_id"], "tecnologia_salud"),
+        J.fk_violations(enc, _profs(spark, d), ["profesional_responsable"], ["id_personal_salud"],
+                        ["documento_id", "atencion_id"], "atencion", "profesional_salud"),
+        J.fk_violations(tech, enc, ["documento_id", "atencion_id"], ["documento_id", "atencion_id"],
+                        ["documento_id", "tecnologia_id"], "tecnologia_salud", "atencion"),
+        J.length_violations(_pats(spark, d), {"correo_electronico": 20}, ["documento_id"], "usuario"),
+        J.null_violations(enc, ["fecha_hora_atencion"], ["documento_id", "atencion_id"], "atencion"),
+    ]
+    return J.validate(reports)
+
+
+@register("violations_required", M.with_ctes(M.PATIENTS_SQL, body="""
+SELECT 'requerido' AS regla, 'usuario' AS tabla, CAST(documento_id AS VARCHAR) AS clave, f AS detalle
+FROM (SELECT documento_id, unnest(list_filter([CASE WHEN correo_electronico IS NULL THEN 'correo_electronico' END,
+                                               CASE WHEN segundo_nombre IS NULL THEN 'segundo_nombre' END,
+                                               CASE WHEN genero IS NULL THEN 'genero' END], lambda x: x IS NOT NULL)) AS f
+      FROM patients)"""))
+def violations_required(spark, d):
+    from ehrflow.operators.integrity import missing_required
+    return missing_required(_pats(spark, d), ["correo_electronico", "segundo_nombre", "genero"],
+                            ["documento_id"], "usuario")
+
+
+@register("violations_length_documents", """
+SELECT 'longitud' AS regla, 'documents' AS tabla, CAST(doc_id AS VARCHAR) AS clave, 'text' AS detalle
+FROM documents WHERE length(text) > 20000""")
+def violations_length_documents(spark, d):
+    from ehrflow.operators.integrity import length_violations
+    return length_violations(_t(spark, d, "documents"), {"text": 20000}, ["doc_id"], "documents")
+
+
+# ------------------------------------------------------------ K1/K2/K4 ---
+
+@register("access_outcomes", M.with_ctes(M.PATIENTS_SQL, M.ACCESS_REQUESTS_SQL, """
+rules AS (SELECT * FROM (VALUES ('medico','consulta_medico'), ('medico','registrar_atencion'),
+  ('admisionista','admision_consulta'), ('admisionista','admision_crear'), ('admisionista','admision_actualizar'),
+  ('paciente','pagina_paciente'), ('medico','exportar'), ('paciente','exportar')) t(rol, accion))""", body="""
+SELECT r.solicitud_id, r.principal_id, r.accion, r.documento_id, u.tipo_usuario AS rol,
+  CASE WHEN u.documento_id IS NULL THEN 401
+       WHEN NOT EXISTS (SELECT 1 FROM rules x WHERE x.rol = u.tipo_usuario AND x.accion = r.accion) THEN 403
+       WHEN r.accion = 'exportar' AND u.tipo_usuario = 'paciente' AND r.principal_id <> r.documento_id THEN 403
+       WHEN r.accion IN ('consulta_medico','registrar_atencion','admision_consulta','admision_actualizar','exportar')
+            AND NOT EXISTS (SELECT 1 FROM patients t WHERE t.documento_id = r.documento_id) THEN 404
+       ELSE 200 END AS estado
+FROM access_requests r LEFT JOIN patients u ON u.documento_id = r.principal_id"""))
+def access_outcomes(spark, d):
+    from ehrflow.operators.access import access_outcomes as ao
+    p = _pats(spark, d)
+    return ao(M.access_requests(_t(spark, d, "events")), p, p)
+
+
+@register("visible_rows", M.with_ctes(M.PATIENTS_SQL, M.ACCESS_REQUESTS_SQL, body="""
+SELECT r.solicitud_id, r.principal_id, r.documento_id, u.tipo_usuario AS rol
+FROM access_requests r JOIN patients u ON u.documento_id = r.principal_id
+WHERE r.accion = 'exportar' AND (u.tipo_usuario = 'medico' OR (u.tipo_usuario = 'paciente' AND r.principal_id = r.documento_id))"""))
+def visible_rows(spark, d):
+    from ehrflow.operators.access import visible_rows as vr
+    req = M.access_requests(_t(spark, d, "events")).filter(F.col("accion") == "exportar")
+    return vr(req, _pats(spark, d)).select("solicitud_id", "principal_id", "documento_id", "rol")
+
+
+# ----------------------------------------------------- A6 / H21 / H22 ---
+
+def _blank(c: str) -> str:
+    return f"COALESCE({c}, '') <> ''"
+
+
+_DOC_SQL = f"""
+ev AS (
+  SELECT e.*, pr.id_personal_salud AS pid, pr.nombre_completo AS pname,
+    CASE WHEN json_valid(e.signos_vitales) THEN e.signos_vitales END AS v
+  FROM encounters e LEFT JOIN professionals pr ON pr.id_personal_salud = nullif(e.profesional_responsable, '')
+),
+vt AS (
+  SELECT *,
+    nullif(json_extract_string(v, '$.ta'), '') AS ta_t,
+    CASE WHEN TRY_CAST(json_extract_string(v, '$.fc') AS DOUBLE) <> 0 THEN json_extract_string(v, '$.fc') END AS fc_t,
+    nullif(json_extract_string(v, '$.temp'), '') AS temp_t,
+    CASE WHEN TRY_CAST(json_extract_string(v, '$.sat') AS DOUBLE) <> 0 THEN json_extract_string(v, '$.sat') END AS sat_t
+  FROM ev
+),
+blocks AS (
+  SELECT documento_id, fecha_hora_atencion, atencion_id, concat_ws(chr(10),
+    '== ' || strftime({local_sql('fecha_hora_atencion')}, '%d-%m-%Y %H:%M') || ' ' || COALESCE(tipo_atencion, 'None'),
+    CASE WHEN concat_ws('; ', CASE WHEN ta_t IS NOT NULL THEN 'P. Arterial: ' || ta_t END,
+                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardiaca: ' || fc_t END,
+                              CASE WHEN temp_t IS NOT NULL THEN 'Temp.: ' || temp_t || '°' END,
+                              CASE WHEN sat_t IS NOT NULL THEN 'Sat O2: ' || sat_t || '%' END) <> ''
+         THEN 'VITALES: ' || concat_ws('; ', CASE WHEN ta_t IS NOT NULL THEN 'P. Arterial: ' || ta_t END,
+                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardiaca: ' || fc_t END,
+                              CASE WHEN temp_t IS NOT NULL THEN 'Temp.: ' || temp_t || '°' END,
+                              CASE WHEN sat_t IS NOT NULL THEN 'Sat O2: ' || sat_t || '%' END) END,
+    'Motivo: ' || COALESCE(motivo_consulta, 'None'),
+    CASE WHEN {_blank('enfermedad_actual')} THEN 'Enfermedad Actual: ' || enfermedad_actual END,
+    CASE WHEN {_blank('antecedentes_personales')} OR {_blank('antecedentes_familiares')}
+           OR {_blank('medicamentos_actuales')} OR {_blank('alergias_conocidas')}
+         THEN 'ANTECEDENTES: personales ' || COALESCE(nullif(antecedentes_personales, ''), 'Niega')
+           || '; alergias ' || COALESCE(nullif(alergias_conocidas, ''), 'Niega')
+           || '; familiares ' || COALESCE(nullif(antecedentes_familiares, ''), 'No refiere')
+           || '; farmacologicos ' || COALESCE(nullif(medicamentos_actuales, ''), 'No refiere') END,
+    CASE WHEN {_blank('examen_fisico_general')} OR {_blank('examen_fisico_por_sistemas')}
+         THEN concat_ws('; ', CASE WHEN {_blank('examen_fisico_general')} THEN 'General ' || examen_fisico_general END,
+                              CASE WHEN {_blank('examen_fisico_por_sistemas')} THEN 'Por Sistemas ' || examen_fisico_por_sistemas END) END,
+    'DX: ' || COALESCE(impresion_diagnostica, 'None'),
+    CASE WHEN len(codigos_cie10) > 0 THEN 'CIE10: ' || array_to_string(codigos_cie10, ', ') END,
+    'PLAN: ' || COALESCE(conducta_plan_manejo, 'None'),
+    'FIRMA: Dr/a. ' || COALESCE(CASE WHEN nullif(profesional_responsable, '') IS NULL
+                                       THEN COALESCE(nullif(responsable_registro, ''), 'Profesional de Turno')
+                                     WHEN pid IS NULL THEN 'Firma Pendiente' ELSE pname END, 'None')) AS block
+  FROM vt
+),
+bodies AS (
+  SELECT documento_id, string_agg(block, chr(10) ORDER BY fecha_hora_atencion DESC, atencion_id DESC) AS enc
+  FROM blocks GROUP BY documento_id
+),
+pv AS (SELECT *, COALESCE({age_sql('fecha_nacimiento')}, edad) AS edad_m FROM patients)"""
+
+_AS_OF_LOCAL_SQL = local_sql("TIMESTAMP '" + M.AS_OF_UTC.isoformat(sep=" ") + "'")
+
+
+@register("history_documents", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, _DOC_SQL, body=f"""
+SELECT p.documento_id, CAST(0 AS BIGINT) AS parte, CAST(1 AS BIGINT) AS partes,
+  'HC_' || p.documento_id || '_' || strftime({_AS_OF_LOCAL_SQL}, '%Y%m%d') || '.pdf' AS archivo,
+  concat_ws(chr(10),
+    'HISTORIA CLINICA UNIFICADA',
+    'PACIENTE: ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(segundo_nombre, '') || ' '
+      || COALESCE(primer_apellido, 'None') || ' ' || COALESCE(segundo_apellido, '')
+      || ' | DOCUMENTO: ' || COALESCE(tipo_documento, 'None') || ' ' || p.documento_id,
+    'EDAD: ' || COALESCE(CAST(nullif(edad_m, 0) AS VARCHAR), '--') || ' años ('
+      || COALESCE(CAST(fecha_nacimiento AS VARCHAR), 'None') || ') | GENERO: ' || COALESCE(nullif(genero, ''), '--'),
+    'RH: ' || COALESCE(nullif(grupo_sanguineo, ''), '') || ' ' || COALESCE(nullif(factor_rh, ''), '')
+      || ' | ESTADO CIVIL: ' || COALESCE(nullif(estado_civil, ''), '--'),
+    'DIRECCION: ' || COALESCE(nullif(direccion_residencia, ''), '--') || ' - ' || COALESCE(nullif(municipio_ciudad, ''), ''),
+    'CONTACTO: ' || COALESCE(nullif(celular, ''), nullif(telefono, ''), '--')
+      || ' | EMAIL: ' || COALESCE(nullif(correo_electronico, ''), '--'),
+    'ENTIDAD: ' || COALESCE(nullif(entidad_afiliacion, ''), 'PARTICULAR')
+      || ' | REGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
+    'IMPRESO: ' || strftime({_AS_OF_LOCAL_SQL}, '%d/%m/%Y %H:%M'),
+    COALESCE(b.enc, 'No existen registros de atención.')) AS cuerpo
+FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id"""))
+def history_documents(spark, d):
+    from ehrflow.operators.documents import history_documents as hd
+    pats = H.patient_view(_pats(spark, d), M.AS_OF_DATE)
+    return hd(pats, _encs(spark, d), _profs(spark, d), M.AS_OF_UTC)
+
+
+# ------------------------------------------------------------- A4 / J6 ---
+
+def _command_lines(spark, d):
+    """New-patient commands as JSON text derived from customer rows: every
+    50th has a non-numeric document (type error), every 40th (offset 1)
+    lacks the password hash (required)."""
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer")
+    fields = [F.col("c_name").alias("primer_nombre"),
+              F.date_add(F.lit(M.AS_OF_DATE), -(k * 13 % 30000).cast("int")).alias("fecha_nacimiento"),
+              F.when(k % 40 == 1, None).otherwise(F.concat(F.lit("h$"), k.cast("string"))).alias("hashed_password"),
+              k.alias("seq")]
+    good = F.to_json(F.struct(k.alias("documento_id"), *fields))
+    bad = F.to_json(F.struct(F.concat(F.lit("x"), k.cast("string")).alias("documento_id"), *fields))
+    return c.select(F.when(k % 50 == 0, bad).otherwise(good).alias("value"))
+
+
+@register("commands_ingest", """
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 50 = 0 OR c_custkey % 40 = 1 THEN NULL ELSE c_custkey END AS documento_id,
+  CASE WHEN c_custkey % 50 = 0 THEN 'json' WHEN c_custkey % 40 = 1 THEN 'requerido' ELSE 'aceptado' END AS estado
+FROM customer""")
+def commands_ingest(spark, d):
+    from ehrflow.sources.commands import read_commands
+    path = _scratch(spark, "commands")
+    _command_lines(spark, d).write.mode("overwrite").text(path)
+    accepted, rejected = read_commands(spark, path, "patient")
+    a = accepted.select("seq", "documento_id", F.lit("aceptado").alias("estado"))
+    r = rejected.select(F.get_json_object("linea", "$.seq").cast("long").alias("seq"),
+                        F.lit(None).cast("long").alias("documento_id"), F.col("motivo").alias("estado"))
+    return a.unionByName(r)
+
+
+# ------------------------------------------------------------------ A5 ---
+
+@register("history_json", M.with_ctes(M.ENCOUNTERS_SQL, body="""
+SELECT c.c_custkey AS documento_id, count(e.atencion_id) AS n_atenciones,
+  first(e.atencion_id ORDER BY e.fecha_hora_atencion DESC, e.atencion_id DESC) AS mas_reciente,
+  CAST(0 AS BIGINT) AS pagina
+FROM customer c LEFT JOIN encounters e ON e.documento_id = c.c_custkey GROUP BY c.c_custkey"""))
+def history_json(spark, d):
+    from ehrflow.sources.sinks import write_history_json
+    pats = _pats(spark, d).select("documento_id", "primer_nombre")
+    enc = _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion", "tipo_atencion",
+                                 "codigos_cie10")
+    hist = H.patient_history(pats, enc)
+    path = _scratch(spark, "history-json")
+    write_history_json(hist, path)
+    back = spark.read.schema(hist.schema).json(path)
+    return back.select("documento_id", F.size("atenciones").cast("long").alias("n_atenciones"),
+                       F.col("atenciones")[0]["atencion_id"].alias("mas_reciente"), "pagina")
+
+
+# ------------------------------------------------------------------ M1 ---
+
+
+
+@register("encounter_stream", ORACLE["insert_encounters"])
+def encounter_stream(spark, d):
+    from ehrflow.streaming.encounters import encounter_stream as es
+    root = _scratch(spark, "stream")
+    _encounter_batch(spark, d).repartition(4).write.mode("overwrite").json(f"{root}/in")
+    pats = _pats(spark, d)
+    q = es(spark, f"{root}/in", pats, pats, f"{root}/out", f"{root}/checkpoint", M.AS_OF_UTC)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("documento_id", "seq", "estado", "motivo", "responsable_registro", "atencion_id",
+                      "alergias_conocidas")
+
+
+# -------------------------------------------------------- L1 / L2 / L4 ---
+
+@register("layout_join", ORACLE["encounter_counts"])
+def layout_join(spark, d):
+    import uuid
+
+    from ehrflow.plans.layout import load_layout, save_layout
+    root = _scratch(spark, "layout")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = save_layout({"usuario": _pats(spark, d).select("documento_id", "correo_electronico"),
+                         "atencion": _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion")},
+                        buckets, location=root, suffix="_" + uuid.uuid4().hex[:12])
+    t = load_layout(spark, names)
+    return H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))

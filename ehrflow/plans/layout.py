@@ -24,16 +24,17 @@ SORT_COLUMNS = {
 
 
 def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr",
-                location: str | None = None, mode: str = "overwrite") -> dict[str, str]:
+                location: str | None = None, mode: str = "overwrite", suffix: str = "") -> dict[str, str]:
     """Save patient-keyed tables bucketed by ``documento_id`` into ``buckets``
     buckets (the same count for all, which is what makes joins local).
     Returns the catalog names. ``location`` places the table files in shared
     storage (``{location}/{table}``)."""
     names = {}
     spark = next(iter(tables.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    db_loc = f" LOCATION '{location}/_db'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{db_loc}")
     for name, df in tables.items():
-        full = f"{database}.{name}"
+        full = f"{database}.{name}{suffix}"
         w = df.write.mode(mode).format("parquet")
         if location:
             w = w.option("path", f"{location}/{name}")
@@ -50,8 +51,18 @@ def load_layout(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFra
     return {k: spark.table(v) for k, v in names.items()}
 
 
+def plan_text(df: DataFrame) -> str:
+    """The physical plan as ``df.explain()`` prints it."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
 def exchange_count(df: DataFrame) -> int:
-    """Number of shuffle exchanges in the executed plan text (for tests of the
-    layout: a co-located join shows none)."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    """Number of shuffle exchanges in the physical plan (a co-located join
+    shows none)."""
+    plan = plan_text(df)
     return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")

@@ -70,8 +70,8 @@ def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     sq = F.get_json_object("value", "$.seq")
     parsed = lines.select(
         F.col("value").alias("linea"),
-        F.try_cast(doc, "bigint").alias("documento_id"),
-        F.try_cast(sq, "bigint").alias("seq"),
+        doc.try_cast("bigint").alias("documento_id"),
+        sq.try_cast("bigint").alias("seq"),
         F.json_object_keys("value").alias("_keys"))
     bad = parsed["_keys"].isNull() | parsed["documento_id"].isNull() | parsed["seq"].isNull()
     rejected = parsed.filter(bad).select("linea", F.lit("json").alias("motivo"))

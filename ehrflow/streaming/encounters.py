@@ -1,11 +1,13 @@
 """M1: continuous encounter inserts.
 
-New-encounter commands arriving as JSON files are validated and enriched
-exactly like the batch insert (same function, run per micro-batch inside
-``foreachBatch``); accepted rows are appended to the encounter table and
-rejected ones to a rejects table. Progress lives in the checkpoint, so a
-restarted query resumes where it stopped and a lost executor only retries
-its task.
+New-encounter commands arriving as JSON files are validated and enriched by
+the same DataFrame operations as the batch insert
+(:func:`ehrflow.operators.writes.insert_encounters`), here as stream-static
+joins against the patient and clinician tables. Accepted and rejected
+commands go to one parquet sink with an ``estado`` column. Progress lives in
+the checkpoint folder, so a restarted query resumes where it stopped and a
+lost executor only retries its task; encounter keys are content hashes, so a
+replayed file produces the same rows.
 """
 
 from __future__ import annotations
@@ -17,31 +19,35 @@ from pyspark.sql.streaming import StreamingQuery
 from ehrflow.operators.writes import insert_encounters
 from ehrflow.sources.commands import NEW_ENCOUNTER
 
+OUTPUT_COLUMNS = ["documento_id", "seq", "estado", "motivo", "atencion_id", "fecha_hora_atencion",
+                  "tipo_atencion", "motivo_consulta", "enfermedad_actual", "impresion_diagnostica",
+                  "conducta_plan_manejo", "alergias_conocidas", "responsable_registro"]
+
+
+def encounter_results(commands: DataFrame, patients: DataFrame, clinicians: DataFrame, as_of_utc) -> DataFrame:
+    """Accepted and rejected commands in one frame (batch or streaming)."""
+    accepted, rejected = insert_encounters(patients, commands, clinicians, as_of_utc)
+    a = accepted.withColumn("estado", F.lit("aceptado")).withColumn("motivo", F.lit(None).cast("string"))
+    r = rejected.withColumn("estado", F.lit("rechazado"))
+    a = a.select(*[c for c in OUTPUT_COLUMNS if c in a.columns])
+    return a.unionByName(r, allowMissingColumns=True).select(*OUTPUT_COLUMNS)
+
 
 def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clinicians: DataFrame,
                      out_dir: str, checkpoint: str, as_of_utc=None, available_now: bool = True,
-                     dedup_watermark: str | None = None) -> StreamingQuery:
-    """Start the stream. ``as_of_utc=None`` stamps each micro-batch with its
-    processing time (the reference stamps "now"); a fixed value makes
-    replays reproducible. ``dedup_watermark`` (for example ``"1 hour"``)
-    turns on de-duplication of repeated commands by content within that
-    window; off by default, since every request makes a new row in the
-    reference."""
-    src = spark.readStream.schema(NEW_ENCOUNTER).option("maxFilesPerTrigger", 1000).json(in_dir)
-    if dedup_watermark:
-        src = (src.withColumn("_arrival", F.current_timestamp())
-               .withWatermark("_arrival", dedup_watermark)
-               .dropDuplicatesWithinWatermark([c for c in NEW_ENCOUNTER.fieldNames() if c != "seq"])
-               .drop("_arrival"))
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        stamp = as_of_utc
-        if stamp is None:
-            stamp = batch.sparkSession.sql("SELECT localtimestamp() AS t").first()["t"]
-        accepted, rejected = insert_encounters(patients, batch, clinicians, stamp)
-        accepted.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{out_dir}/accepted")
-        rejected.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{out_dir}/rejected")
-
-    w = src.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+                     max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """Start the stream from ``in_dir`` to parquet at ``out_dir``.
+
+    ``as_of_utc=None`` stamps each micro-batch with its own time (the
+    reference stamps "now"; session time zone must be UTC); a fixed value
+    makes replays reproducible. ``available_now`` processes what is there and
+    stops; otherwise it polls every 10 seconds.
+    """
+    src = (spark.readStream.schema(NEW_ENCOUNTER)
+           .option("maxFilesPerTrigger", max_files_per_trigger).json(in_dir))
+    stamp = as_of_utc if as_of_utc is not None else F.current_timestamp().cast("timestamp_ntz")
+    out = encounter_results(src, patients, clinicians, stamp)
+    w = (out.writeStream.format("parquet").outputMode("append")
+         .option("path", out_dir).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
