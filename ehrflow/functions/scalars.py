@@ -132,6 +132,16 @@ def reparse_variant(v) -> Column:
             .otherwise(v))
 
 
+def parse_vitals(c) -> Column:
+    """Vitals text at rest -> VARIANT, reading a JSON *string* holding JSON
+    a second time (the text-in-JSONB case). The string case is recognised
+    from the raw text, which is cheaper than inspecting the variant."""
+    s = _c(c)
+    v = parse_json_or_empty(s)
+    inner = parse_json_or_empty(F.try_variant_get(v, "$", "string"))
+    return F.when(F.ltrim(s).startswith('"'), inner).otherwise(v)
+
+
 def vital(v, key: str, dtype: str = "string") -> Column:
     """One key of a vitals object; absent, empty, zero or unreadable -> NULL
     (the views only print truthy values). Numbers stored as text are read

@@ -40,19 +40,18 @@ def with_vital_texts(df: DataFrame, v: str) -> DataFrame:
     cols = []
     for k in keys:
         sub, kind = F.col(f"_vs_{k}"), F.col(f"_vk_{k}")
+        text = F.try_variant_get(sub, "$", "string")
         as_double = F.try_variant_get(sub, "$", "double")
-        as_text = F.try_variant_get(sub, "$", "string")
-        is_int = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-        is_num = is_int | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-        text = (F.when(is_int, F.try_variant_get(sub, "$", "bigint").cast("string"))
-                .when(is_num, as_double.cast("string"))
-                .otherwise(as_text))
-        truthy = (F.when(is_num, as_double != 0)
-                  .when(kind == "BOOLEAN", F.try_variant_get(sub, "$", "boolean"))
-                  .when(kind == "STRING", as_text != "")
+        fractional = kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        truthy = (F.when(kind == "STRING", text != "")
                   .when(kind == "VOID", F.lit(False))
-                  .otherwise(F.lit(True)))
-        cols.append(F.when(F.coalesce(truthy, F.lit(False)), text).alias(f"_vt_{k}"))
+                  .when(kind == "BOOLEAN", text == "true")
+                  .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
+                  .otherwise(as_double != 0))
+        shown = (F.when(kind == "BOOLEAN", F.lit("True"))
+                 .when(fractional, as_double.cast("string"))
+                 .otherwise(text))
+        cols.append(F.when(F.coalesce(truthy, F.lit(False)), shown).alias(f"_vt_{k}"))
     return df.select("*", *cols).drop(*[f"_vs_{k}" for k in keys], *[f"_vk_{k}" for k in keys])
 
 
@@ -121,7 +120,7 @@ def history_documents(patients: DataFrame, encounters: DataFrame, professionals:
     export name policy and local time.
     """
     enc = (encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion"))
-           .withColumn("_v", S.reparse_variant(S.parse_json_or_empty("signos_vitales"))))
+           .withColumn("_v", S.parse_vitals("signos_vitales")))
     enc = with_vital_texts(with_professional(enc, professionals, policy="export"), "_v")
     blocks = enc.select("documento_id", "atencion_id", "fecha_hora_atencion", encounter_block().alias("_block"))
     counts = blocks.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -83,7 +83,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
 
     checkpoint_dir(spark)
     undecided = flagged.filter(F.col("_doc_taken").isNull() & F.col("_mail_taken").isNull()) \
-        .drop("_doc_taken", "_mail_taken").checkpoint(eager=True)
+        .drop("_doc_taken", "_mail_taken")
     accepted_parts: list[DataFrame] = []
     rounds = 0
     while undecided.limit(1).count() > 0:
@@ -92,14 +92,19 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
             raise RuntimeError(f"insert_patients: more than {max_rounds} conflict rounds")
         dmin = undecided.groupBy("documento_id").agg(F.min(seq).alias("_dmin"))
         emin = undecided.groupBy("_ek").agg(F.min(seq).alias("_emin"))
-        ranked = undecided.join(dmin, "documento_id").join(emin, "_ek")
-        won = ranked.filter((F.col(seq) == F.col("_dmin")) & (F.col(seq) == F.col("_emin"))) \
-            .drop("_dmin", "_emin").checkpoint(eager=True)
-        accepted_parts.append(won)
-        rest = undecided.join(won.select(seq), seq, "left_anti")
-        rest = rest.join(won.select("documento_id"), "documento_id", "left_anti") \
-            .join(won.select("_ek"), "_ek", "left_anti")
-        undecided = rest.checkpoint(eager=True)
+        ranked = (undecided.join(dmin, "documento_id").join(emin, "_ek")
+                  .withColumn("_won", (F.col(seq) == F.col("_dmin")) & (F.col(seq) == F.col("_emin")))
+                  .drop("_dmin", "_emin"))
+        won = ranked.filter("_won")
+        # One checkpoint per round holds the round's decisions; winners and
+        # the still-open rows are read back from it.
+        decided = (ranked.join(won.select("documento_id", F.lit(True).alias("_dw")), "documento_id", "left")
+                   .join(won.select("_ek", F.lit(True).alias("_ew")), "_ek", "left")
+                   .withColumn("_open", ~F.col("_won") & F.col("_dw").isNull() & F.col("_ew").isNull())
+                   .drop("_dw", "_ew")
+                   .checkpoint(eager=True))
+        accepted_parts.append(decided.filter("_won").drop("_won", "_open"))
+        undecided = decided.filter("_open").drop("_won", "_open")
 
     if accepted_parts:
         accepted = accepted_parts[0]
@@ -138,6 +143,7 @@ def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] |
 
 
 _TYPED = {"fecha_nacimiento": "date", "edad": "int"}
+_DOB_SET = "_fecha_nacimiento_no_nula"
 
 
 def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str = "patch",
@@ -148,62 +154,74 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     NULL; several patches per patient apply in ``seq`` order (per field the
     last present value wins, kept inside a struct so "last value is null"
     differs from "never present"). Age is recomputed when a non-null birth
-    date is patched after the last explicit age; e-mail uniqueness is not
-    rechecked; ``updated_at`` moves only when a value changed. Unknown ids
-    and values of the wrong type are rejected.
-
-    Returns ``(patched_table, rejected)``. The per-patient aggregation is a
-    partial aggregate (``max_by``), so many patches for one patient do not
-    gather in one buffer.
+    date is patched at or after the last explicit age; e-mail uniqueness is
+    not rechecked; ``updated_at`` moves only when a value changed. Unknown
+    ids and patches with a value of the wrong type are rejected.
+
+    Each patch is parsed once into a map and exploded into one row per
+    present field; the last value per (patient, field) is a partial
+    aggregate, and the per-patient change set is bounded by the number of
+    fields, so many patches for one patient never gather in one buffer.
+    Returns ``(patched_table, rejected)``.
     """
     as_of = F.lit(as_of_utc).cast("timestamp_ntz")
-    p = patches.withColumn("_keys", F.json_object_keys(F.col(patch)))
+    fields = list(PATCH_FIELDS)
+    m = F.from_json(F.col(patch), "map<string,string>")
+    p = patches.select("documento_id", seq, m.alias("_m"))
+    bad = F.col("_m").isNull()
+    for f, t in _TYPED.items():
+        raw = F.element_at("_m", F.lit(f))
+        bad = bad | (F.map_contains_key("_m", f) & raw.isNotNull() & raw.try_cast(t).isNull())
+    p = p.withColumn("_bad", F.coalesce(bad, F.lit(True)))
+    rejected_type = p.filter("_bad").select("documento_id", seq, F.lit(REASON_BAD_TYPE).alias("motivo"))
+    good = p.filter(~F.col("_bad"))
+    keys = current.select("documento_id")
+    unknown = good.join(keys, "documento_id", "left_anti") \
+        .select("documento_id", seq, F.lit(REASON_UNKNOWN_ID).alias("motivo"))
+    good = good.join(keys, "documento_id", "left_semi")
 
-    def present(f):
-        return F.coalesce(F.array_contains("_keys", f), F.lit(False))
+    # Long form: one row per present field; a non-null birth date also
+    # yields a marker entry that carries the value used for the age.
+    kept = F.map_filter("_m", lambda k, v: k.isin(fields))
+    dob = F.element_at("_m", F.lit("fecha_nacimiento"))
+    marker = F.when(dob.isNotNull(), F.map_from_arrays(F.array(F.lit(_DOB_SET)), F.array(dob)))
+    entries = F.map_concat(kept, F.coalesce(marker, F.create_map().cast("map<string,string>")))
+    long = good.select("documento_id", seq, F.explode(entries).alias("_f", "_val"))
+    last = long.groupBy("documento_id", "_f").agg(
+        F.max_by(F.struct(F.col("_val").alias("v")), F.col(seq)).alias("_v"),
+        F.max(seq).alias("_s"))
+    changes = last.groupBy("documento_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_f", F.struct("_v", "_s")))).alias("_chg"))
 
-    def raw(f):
-        return F.get_json_object(F.col(patch), f"$.{f}")
+    out = current.join(changes, "documento_id", "left")
 
-    def typed(f):
-        return raw(f).try_cast(_TYPED[f]) if f in _TYPED else raw(f)
+    def has(f):
+        return F.coalesce(F.map_contains_key("_chg", f), F.lit(False))
 
-    bad = F.lit(False)
-    for f in _TYPED:
-        bad = bad | (present(f) & raw(f).isNotNull() & typed(f).isNull())
-    p = p.withColumn("_bad", bad | F.col("_keys").isNull())
-    rejected_type = p.filter("_bad").select("documento_id", seq, F.lit(REASON_BAD_TYPE).alias("motivo"))
-    good = p.filter(~F.col("_bad"))
-    unknown = good.join(current.select("documento_id"), "documento_id", "left_anti") \
-        .select("documento_id", seq, F.lit(REASON_UNKNOWN_ID).alias("motivo"))
-    good = good.join(current.select("documento_id"), "documento_id", "left_semi")
-
-    fields = [f for f in PATCH_FIELDS]
-    aggs = [F.max_by(F.struct(typed(f).alias("v")), F.when(present(f), F.col(seq))).alias(f"_p_{f}")
-            for f in fields]
-    dob_set = present("fecha_nacimiento") & typed("fecha_nacimiento").isNotNull()
-    aggs += [F.max(F.when(dob_set, F.col(seq))).alias("_dob_seq"),
-             F.max_by(typed("fecha_nacimiento"), F.when(dob_set, F.col(seq))).alias("_dob_val"),
-             F.max(F.when(present("edad"), F.col(seq))).alias("_age_seq")]
-    agg = good.groupBy("documento_id").agg(*aggs)
-
-    out = current.join(agg, "documento_id", "left")
-    changed = F.lit(False)
+    def val(f):
+        return F.element_at("_chg", F.lit(f))["_v"]["v"]
+
+    def at(f):
+        return F.element_at("_chg", F.lit(f))["_s"]
+
+    news = {}
     for f in fields:
-        new = F.when(F.col(f"_p_{f}").isNotNull(), F.col(f"_p_{f}.v").cast(current.schema[f].dataType)) \
-            .otherwise(F.col(f))
+        dtype = current.schema[f].dataType
+        new = F.when(has(f), val(f).try_cast(dtype)).otherwise(F.col(f))
         if f == "edad":
-            recompute = F.col("_dob_seq").isNotNull() & (F.col("_age_seq").isNull() | (F.col("_dob_seq") >= F.col("_age_seq")))
-            new = F.when(recompute, S.age_years(F.col("_dob_val"), S.local_today(as_of))).otherwise(new)
-        changed = changed | ~new.eqNullSafe(F.col(f))
-        out = out.withColumn(f"_n_{f}", new)
-    out = out.withColumn("_changed", changed)
+            recompute = has(_DOB_SET) & (~has("edad") | (at(_DOB_SET) >= at("edad")))
+            new = F.when(recompute, S.age_years(val(_DOB_SET).cast("date"), S.local_today(as_of))).otherwise(new)
+        news[f] = new
+    out = out.select(*[c for c in current.columns if c not in news], "_chg",
+                     *[v.alias(k) for k, v in news.items()],
+                     *[F.col(k).alias(f"_o_{k}") for k in news])
+    changed = F.lit(False)
     for f in fields:
-        out = out.withColumn(f, F.col(f"_n_{f}"))
+        changed = changed | ~F.col(f).eqNullSafe(F.col(f"_o_{f}"))
     if "updated_at" in current.columns:
-        out = out.withColumn("updated_at", F.when(F.col("_changed"), as_of).otherwise(F.col("updated_at")))
-    out = out.select(*current.columns)
-    return out, rejected_type.unionByName(unknown)
+        out = out.withColumn("updated_at", F.when(F.col("_chg").isNotNull() & changed, as_of)
+                             .otherwise(F.col("updated_at")))
+    return out.select(*current.columns), rejected_type.unionByName(unknown)
 
 
 def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFrame, as_of_utc,

@@ -928,7 +928,7 @@ def history_json(spark, d):
     write_history_json(hist, path)
     back = spark.read.schema(hist.schema).json(path)
     return back.select("documento_id", F.size("atenciones").cast("long").alias("n_atenciones"),
-                       F.col("atenciones")[0]["atencion_id"].alias("mas_reciente"), "pagina")
+                       F.get(F.col("atenciones"), 0)["atencion_id"].alias("mas_reciente"), "pagina")
 
 
 # ------------------------------------------------------------------ M1 ---
