@@ -77,10 +77,6 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
     cur_docs = current.select("documento_id").distinct().withColumn("_doc_taken", F.lit(True))
     cur_mail = current.select(_email_key().alias("_ek")).distinct().withColumn("_mail_taken", F.lit(True))
     flagged = rows.join(cur_docs, "documento_id", "left").join(cur_mail, "_ek", "left")
-    pre_rejected = flagged.filter(F.col("_doc_taken").isNotNull() | F.col("_mail_taken").isNotNull()).select(
-        "documento_id", seq,
-        F.when(F.col("_doc_taken").isNotNull(), REASON_DOCUMENT).otherwise(REASON_EMAIL).alias("motivo"))
-
     checkpoint_dir(spark)
     undecided = flagged.filter(F.col("_doc_taken").isNull() & F.col("_mail_taken").isNull()) \
         .drop("_doc_taken", "_mail_taken")
@@ -113,17 +109,16 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
     else:
         accepted = undecided.limit(0)
 
-    # Reasons for rows lost inside the batch, against earlier accepted rows
-    # only (accepted rows are unique per document and per e-mail).
-    in_batch = rows.join(accepted.select(seq), seq, "left_anti") \
-        .join(pre_rejected.select(seq), seq, "left_anti")
+    # Reasons, in the reference's order: the document is checked first
+    # against the stored rows and every earlier accepted batch row, then
+    # the e-mail. Accepted rows are unique per document, so the join below
+    # finds at most one partner per row.
     acc_doc = accepted.select("documento_id", F.col(seq).alias("_a_doc_seq"))
-    acc_mail = accepted.select("_ek", F.col(seq).alias("_a_mail_seq"))
-    lost = (in_batch.join(acc_doc, "documento_id", "left").join(acc_mail, "_ek", "left")
-            .select("documento_id", seq,
-                    F.when(F.col("_a_doc_seq") < F.col(seq), REASON_DOCUMENT)
-                    .otherwise(REASON_EMAIL).alias("motivo")))
-    rejected = pre_rejected.unionByName(lost)
+    rejected = (flagged.join(accepted.select(seq), seq, "left_anti")
+                .join(acc_doc, "documento_id", "left")
+                .select("documento_id", seq,
+                        F.when(F.col("_doc_taken").isNotNull() | (F.col("_a_doc_seq") < F.col(seq)), REASON_DOCUMENT)
+                        .otherwise(REASON_EMAIL).alias("motivo")))
     return accepted.drop("_ek"), rejected
 
 
