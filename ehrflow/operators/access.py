@@ -30,7 +30,8 @@ OWN_RECORD_ACTIONS = ["exportar"]
 def access_rules(spark: SparkSession) -> DataFrame:
     """K1: the (role, action) matrix as a small DataFrame (8 literal rows,
     always broadcast)."""
-    return F.broadcast(spark.createDataFrame(ACCESS_RULES, "rol string, accion string"))
+    rows = F.array(*[F.struct(F.lit(r).alias("rol"), F.lit(a).alias("accion")) for r, a in ACCESS_RULES])
+    return F.broadcast(spark.range(1).select(F.inline(rows)))
 
 
 def access_outcomes(requests: DataFrame, users: DataFrame, patients: DataFrame,

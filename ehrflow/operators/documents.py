@@ -32,27 +32,32 @@ def with_vital_texts(df: DataFrame, v: str) -> DataFrame:
     """Adds ``_vt_{key}`` for every shown vital: the value as the template
     prints it, NULL when the template would skip it (missing, null, 0, '',
     false). Integers print without a fraction, other numbers as doubles,
-    text as is. Built in three narrow projections so each expression is
-    evaluated once and the generated code stays small."""
+    text as is, true as ``True``.
+
+    The object is read once as a string map and its JSON types once as the
+    variant's schema text (``OBJECT<fc: BIGINT, ta: STRING, ...>``); the
+    type of each key is taken from that text, which is far cheaper than a
+    variant lookup per key."""
     keys = [k for k, _, _ in VITALS]
-    df = df.select("*", *[F.try_variant_get(F.col(v), f"$.{k}", "variant").alias(f"_vs_{k}") for k in keys])
-    df = df.select("*", *[F.schema_of_variant(F.col(f"_vs_{k}")).alias(f"_vk_{k}") for k in keys])
+    df = df.select("*", F.try_variant_get(F.col(v), "$", "map<string,string>").alias("_vm"),
+                   F.schema_of_variant(F.col(v)).alias("_vsch"))
     cols = []
     for k in keys:
-        sub, kind = F.col(f"_vs_{k}"), F.col(f"_vk_{k}")
-        text = F.try_variant_get(sub, "$", "string")
-        as_double = F.try_variant_get(sub, "$", "double")
-        fractional = kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        text = F.try_element_at(F.col("_vm"), F.lit(k))
+        kind = F.regexp_extract(F.col("_vsch"), f"[<,] ?{k}: ([A-Z]+)", 1)
+        as_double = text.try_cast("double")
+        numeric = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+        fractional = kind.isin("DECIMAL", "DOUBLE", "FLOAT")
         truthy = (F.when(kind == "STRING", text != "")
-                  .when(kind == "VOID", F.lit(False))
                   .when(kind == "BOOLEAN", text == "true")
-                  .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
-                  .otherwise(as_double != 0))
+                  .when(kind.isin("OBJECT", "ARRAY"), ~text.isin("{}", "[]"))
+                  .when(numeric, as_double != 0)
+                  .otherwise(F.lit(False)))
         shown = (F.when(kind == "BOOLEAN", F.lit("True"))
                  .when(fractional, as_double.cast("string"))
                  .otherwise(text))
         cols.append(F.when(F.coalesce(truthy, F.lit(False)), shown).alias(f"_vt_{k}"))
-    return df.select("*", *cols).drop(*[f"_vs_{k}" for k in keys], *[f"_vk_{k}" for k in keys])
+    return df.select("*", *cols).drop("_vm", "_vsch")
 
 
 def encounter_block() -> Column:

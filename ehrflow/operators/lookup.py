@@ -19,11 +19,18 @@ from ehrflow.functions.scalars import role_in
 BROADCAST_MAX_ROWS = 200_000
 
 
+_BOUNDS: dict = {}
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows,
-    else ``df`` unchanged. The check reads at most ``max_rows + 1`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    else ``df`` unchanged. The check counts at most ``max_rows + 1`` rows;
+    its answer is remembered for the same plan (``semanticHash``) within
+    the application, so a dimension used by several joins is counted once."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _BOUNDS:
+        _BOUNDS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _BOUNDS[key] else df
 
 
 def _keys_frame(df: DataFrame, ids, key: str) -> DataFrame:

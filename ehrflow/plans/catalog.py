@@ -53,9 +53,9 @@ def patient_history_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 + C2 + D2 + H1b + H3/H4: every patient with every encounter, the
     displayed age, local time, the clinician-view professional name and the
     encounter count."""
-    pats = H.patient_view(M.patients(_t(spark, sf_dir, "customer")), M.AS_OF_DATE)
-    enc = H.encounter_view(M.encounters(_t(spark, sf_dir, "orders")),
-                           M.professionals(_t(spark, sf_dir, "supplier")), policy="clinician")
+    pats = H.patient_view(M.model(spark, sf_dir, "patients"), M.AS_OF_DATE)
+    enc = H.encounter_view(M.model(spark, sf_dir, "encounters"), M.model(spark, sf_dir, "professionals"),
+                           policy="clinician")
     enc = enc.select("documento_id", "atencion_id", "tipo_atencion",
                      S.fmt("fecha_hora_local", "stamp").alias("fecha_local"), "profesional_nombre")
     rows = H.patient_history_rows(pats.select("documento_id", "primer_nombre", "edad"), enc)
@@ -86,15 +86,19 @@ LEFT JOIN cnt c ON c.documento_id = p.documento_id
 # ----------------------------------------------------------- shared bits ---
 
 def _pats(spark, d):
-    return M.patients(_t(spark, d, "customer"))
+    return M.model(spark, d, "patients")
 
 
 def _encs(spark, d):
-    return M.encounters(_t(spark, d, "orders"))
+    return M.model(spark, d, "encounters")
 
 
 def _profs(spark, d):
-    return M.professionals(_t(spark, d, "supplier"))
+    return M.model(spark, d, "professionals")
+
+
+def _techs(spark, d):
+    return M.model(spark, d, "technologies")
 
 
 def _ts_text(c, micros: bool = True):
@@ -209,8 +213,7 @@ def exists_split(spark, d):
 # ------------------------------------------------------------------ C4 ---
 
 def _new_patient_emails(spark, d):
-    c = _t(spark, d, "customer")
-    p = M.patients(c)
+    p = _pats(spark, d)
     k = F.col("documento_id")
     return p.select((k + 1_000_000_000).alias("documento_id"),
                     F.when(k % 3 == 0, F.col("correo_electronico"))
@@ -259,7 +262,7 @@ SELECT e.documento_id, e.atencion_id, count(t.atencion_id) AS n_tecnologias,
 FROM encounters e LEFT JOIN tech t ON t.documento_id = e.documento_id AND t.atencion_id = e.atencion_id
 GROUP BY e.documento_id, e.atencion_id"""))
 def children_join(spark, d):
-    tech = M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+    tech = _techs(spark, d)
     per_enc = tech.groupBy("documento_id", "atencion_id").agg(
         F.count(F.lit(1)).alias("n_tecnologias"), F.sum("dias_tratamiento").cast("long").alias("dias_total"))
     enc = _encs(spark, d).select("documento_id", "atencion_id")
@@ -346,7 +349,7 @@ SELECT CAST(s_suppkey AS VARCHAR) AS id_personal_salud, CAST(s_suppkey AS VARCHA
 FROM supplier""")
 def json_build(spark, d):
     s = _t(spark, d, "supplier")
-    p = M.professionals(s).select("id_personal_salud", "contacto")
+    p = _profs(spark, d).select("id_personal_salud", "contacto")
     rx = s.select(F.col("s_suppkey").cast("string").alias("id_personal_salud"),
                   S.json_array_of_objects("medicamentos", [
                       {"nombre": F.concat(F.lit("Med "), F.col("s_nationkey").cast("string")),
@@ -692,7 +695,7 @@ def cascade_delete(spark, d):
     from ehrflow.operators.writes import cascade_delete as cd
     tables = {"usuario": _pats(spark, d).select("documento_id"),
               "atencion": _encs(spark, d).select("documento_id", "atencion_id"),
-              "tecnologia_salud": M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+              "tecnologia_salud": _techs(spark, d)
               .select("documento_id", "atencion_id")}
     gone = _t(spark, d, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
         F.col("c_custkey").alias("documento_id"))
@@ -730,7 +733,7 @@ SELECT 'no_nulo', 'atencion', COALESCE(CAST(documento_id AS VARCHAR), 'NULL') ||
   'fecha_hora_atencion' FROM encounters WHERE fecha_hora_atencion IS NULL"""))
 def validate(spark, d):
     from ehrflow.operators import integrity as J
-    tech = M.technologies(_t(spark, d, "lineitem"), _t(spark, d, "orders"))
+    tech = _techs(spark, d)
     enc = _encs(spark, d)
     reports = [
         J.pk_violations(tech, ["documento_id", "tecnologia_id"], "tecnologia_salud"),

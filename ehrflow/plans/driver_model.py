@@ -29,8 +29,33 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+_PLANS: dict = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build):
+    """DataFrames (plans, not data) shared by the queries of one session:
+    listing files, reading footers and building the mapping expressions is
+    paid once per session and data folder."""
+    k = (spark.sparkContext.applicationId,) + key
+    if k not in _PLANS:
+        _PLANS[k] = build()
+    return _PLANS[k]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _memo(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The clinical view of the driver tables: 'patients', 'encounters',
+    'professionals' or 'technologies'."""
+    builders = {
+        "patients": lambda: patients(read(spark, sf_dir, "customer")),
+        "encounters": lambda: encounters(read(spark, sf_dir, "orders")),
+        "professionals": lambda: professionals(read(spark, sf_dir, "supplier")),
+        "technologies": lambda: technologies(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")),
+    }
+    return _memo(spark, (sf_dir, "model", name), builders[name])
 
 
 def _s(c: Column) -> Column:
