@@ -45,3 +45,26 @@ def test_history_json_roundtrip(spark, tmp_dir):
     sinks.write_history_json(h, os.path.join(tmp_dir, "h"))
     back = {r.documento_id: len(r.atenciones) for r in spark.read.schema(h.schema).json(os.path.join(tmp_dir, "h")).collect()}
     assert back == {1: 1, 2: 0}
+
+
+def test_seed_tables(spark):
+    import datetime as dt
+
+    from ehrflow.sources.seed import seed_tables
+    rows = {
+        "profesional_salud": [{"nombre_completo": "Dra. Uno", "contacto": {"telefono": "1"}},
+                              {"nombre_completo": "Dr. Dos"}],
+        "usuario": [{"documento_id": 10, "primer_nombre": "Ana", "hashed_password": "h"},
+                    {"documento_id": 11, "primer_nombre": "Luis", "hashed_password": "h"}],
+        "atencion": [{"documento_id": 10, "tipo_atencion": "Urgencias", "dias_atras": 5,
+                      "profesional_nombre": "Dr. Dos", "codigos_cie10": ["K35.8"]},
+                     {"documento_id": 11, "tipo_atencion": "Consulta", "profesional_nombre": "Nadie"}],
+    }
+    as_of = dt.datetime(2024, 1, 31, 12)
+    t = seed_tables(spark, rows, as_of)
+    profs = {r.nombre_completo: r.id_personal_salud for r in t["profesional_salud"].collect()}
+    enc = {r.documento_id: r for r in t["atencion"].collect()}
+    assert enc[10].profesional_responsable == profs["Dr. Dos"] and enc[11].profesional_responsable is None
+    assert enc[10].fecha_hora_atencion == dt.datetime(2024, 1, 26, 12) and len(enc[10].atencion_id) == 36
+    again = seed_tables(spark, rows, as_of, current=t)
+    assert again["usuario"].count() == 2 and again["profesional_salud"].count() == 4
