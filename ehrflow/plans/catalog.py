@@ -58,9 +58,8 @@ def patient_history_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
                            policy="clinician")
     enc = enc.select("documento_id", "atencion_id", "tipo_atencion",
                      S.fmt("fecha_hora_local", "stamp").alias("fecha_local"), "profesional_nombre")
-    rows = H.patient_history_rows(pats.select("documento_id", "primer_nombre", "edad"), enc)
-    counts = H.encounter_counts(pats.select("documento_id"), enc.select("documento_id"))
-    return rows.join(counts, "documento_id", "inner")
+    rows = H.patient_history_rows(pats.select("documento_id", "primer_nombre", F.col("edad").cast("long").alias("edad")), enc)
+    return H.encounter_counts(rows, enc.select("documento_id"))
 
 
 register("patient_history", M.with_ctes(
@@ -68,7 +67,7 @@ register("patient_history", M.with_ctes(
     "cnt AS (SELECT documento_id, count(*) AS n FROM encounters GROUP BY documento_id)",
     body=f"""
 SELECT p.documento_id, p.primer_nombre,
-  COALESCE({age_sql('p.fecha_nacimiento')}, p.edad) AS edad,
+  CAST(COALESCE({age_sql('p.fecha_nacimiento')}, p.edad) AS BIGINT) AS edad,
   e.atencion_id, e.tipo_atencion,
   strftime({local_sql('e.fecha_hora_atencion')}, '%d/%m/%Y %H:%M') AS fecha_local,
   CASE WHEN e.atencion_id IS NULL THEN NULL
@@ -258,7 +257,7 @@ tech AS (SELECT o.o_custkey AS documento_id, CAST(l.l_orderkey AS VARCHAR) AS at
                 CAST(l.l_quantity AS INTEGER) AS dias_tratamiento
          FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)""", body="""
 SELECT e.documento_id, e.atencion_id, count(t.atencion_id) AS n_tecnologias,
-  sum(t.dias_tratamiento) AS dias_total
+  CAST(sum(t.dias_tratamiento) AS BIGINT) AS dias_total
 FROM encounters e LEFT JOIN tech t ON t.documento_id = e.documento_id AND t.atencion_id = e.atencion_id
 GROUP BY e.documento_id, e.atencion_id"""))
 def children_join(spark, d):

@@ -35,6 +35,10 @@ def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{db_loc}")
     for name, df in tables.items():
         full = f"{database}.{name}{suffix}"
+        if "documento_id" in df.columns:
+            # Same hash as the buckets: each write task holds whole buckets
+            # and writes one file per bucket instead of one per (task, bucket).
+            df = df.repartition(buckets, "documento_id")
         w = df.write.mode(mode).format("parquet")
         if location:
             w = w.option("path", f"{location}/{name}")
