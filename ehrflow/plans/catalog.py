@@ -964,3 +964,60 @@ def layout_join(spark, d):
                         buckets, location=root, suffix="_" + uuid.uuid4().hex[:12])
     t = load_layout(spark, names)
     return H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))
+
+
+# -------------------------------------------------- J1 / J2 / J3 alone ---
+
+@register("violations_pk", M.with_ctes(_TECH_SQL, body="""
+SELECT 'pk_duplicada' AS regla, 'tecnologia_salud' AS tabla,
+  CAST(documento_id AS VARCHAR) || '|' || tecnologia_id AS clave, 'n=' || count(*) AS detalle
+FROM tech GROUP BY documento_id, tecnologia_id HAVING count(*) > 1"""))
+def violations_pk(spark, d):
+    from ehrflow.operators.integrity import pk_violations
+    return pk_violations(_techs(spark, d), ["documento_id", "tecnologia_id"], "tecnologia_salud")
+
+
+@register("violations_fk", M.with_ctes(M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, body="""
+SELECT 'fk' AS regla, 'atencion' AS tabla, CAST(documento_id AS VARCHAR) || '|' || atencion_id AS clave,
+  'profesional_salud(' || profesional_responsable || ')' AS detalle
+FROM encounters e WHERE profesional_responsable IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM professionals p WHERE p.id_personal_salud = e.profesional_responsable)"""))
+def violations_fk(spark, d):
+    from ehrflow.operators.integrity import fk_violations
+    return fk_violations(_encs(spark, d), _profs(spark, d), ["profesional_responsable"], ["id_personal_salud"],
+                         ["documento_id", "atencion_id"], "atencion", "profesional_salud")
+
+
+@register("violations_null", M.with_ctes(M.PROFESSIONALS_SQL, body="""
+SELECT 'no_nulo' AS regla, 'profesional_salud' AS tabla, id_personal_salud AS clave, 'nombre_completo' AS detalle
+FROM professionals WHERE nombre_completo IS NULL"""))
+def violations_null(spark, d):
+    from ehrflow.operators.integrity import null_violations
+    return null_violations(_profs(spark, d), ["nombre_completo"], ["id_personal_salud"], "profesional_salud")
+
+
+# ------------------------------------------------------------ H6 again ---
+
+def _props_text():
+    p = F.col("props")
+    quoted = F.concat(F.lit('"'), F.replace(p, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return (F.when(F.col("event_type") == "error", F.substring(p, 2, 1 << 20))
+            .when(F.col("event_type") == "view", F.lit(""))
+            .when(F.col("event_type") == "click", quoted)
+            .otherwise(p))
+
+
+@register("json_or_empty", r"""
+WITH t AS (
+  SELECT event_id, CASE event_type WHEN 'error' THEN substr(props, 2) WHEN 'view' THEN ''
+    WHEN 'click' THEN '"' || replace(props, '"', '\"') || '"' ELSE props END AS txt FROM events),
+u AS (SELECT event_id, txt, CASE WHEN ltrim(txt) LIKE '"%' AND json_valid(txt) THEN json_extract_string(txt, '$')
+                                 WHEN ltrim(txt) LIKE '"%' THEN '{}' ELSE txt END AS inner_txt FROM t)
+SELECT event_id,
+  CASE WHEN json_valid(inner_txt) THEN nullif(TRY_CAST(json_extract_string(inner_txt, '$.k') AS BIGINT), 0) END AS k,
+  (nullif(txt, '') IS NOT NULL AND nullif(inner_txt, '') IS NOT NULL) AS mostrado
+FROM u""")
+def json_or_empty(spark, d):
+    ev = _t(spark, d, "events").select("event_id", _props_text().alias("_txt"))
+    v = ev.select("event_id", S.parse_vitals("_txt").alias("_v"))
+    return v.select("event_id", S.vital("_v", "k", "bigint").alias("k"), F.col("_v").isNotNull().alias("mostrado"))
