@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions.scalars import role_in
@@ -54,16 +54,20 @@ def encounters_of(encounters: DataFrame, ids, key: str = "documento_id") -> Data
     return patients_by_id(encounters, ids, key)
 
 
-def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """One row per ``by`` group, the first by ``order`` (the reference
-    takes an arbitrary first row; ours is deterministic).
+def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:
+    """One row per ``by`` group, the first by the ``order`` columns
+    (lexicographic, ascending unless ``descending``). The reference takes
+    an arbitrary first row; ours is deterministic.
 
-    Ranking is a window over ``by``; when the order is a single key the
-    cheaper ``min``-and-join form is used by callers (see
-    :func:`first_by_min`).
+    Written as ``min_by``/``max_by`` of the whole row over a struct of the
+    order columns: a partial aggregate, so a group holding a large share of
+    the rows is reduced map-side instead of being buffered in one task the
+    way a ``row_number`` window would.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in by]
+    pick = F.max_by if descending else F.min_by
+    best = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    return df.groupBy(*by).agg(best).select(*by, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def first_by_min(df: DataFrame, by: Sequence[str], order_col: str) -> DataFrame:

@@ -90,3 +90,15 @@ def test_patient_view_age(spark):
     p = spark.createDataFrame([(dt.date(2004, 2, 29), 5), (None, 7)], "fecha_nacimiento date, edad int")
     assert [r.edad for r in H.patient_view(p, dt.date(2023, 2, 28)).collect()] == [18, 7]
     assert F is not None
+
+
+def test_first_per_without_window(spark):
+    from ehrflow.operators.lookup import first_by_min, first_per
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 2, "w")], "g string, o int, v string")
+    got = sorted(tuple(r) for r in first_per(df, ["g"], ["o", "v"]).collect())
+    assert got == [("a", 1, "y"), ("b", 2, "w")]
+    got = sorted(tuple(r) for r in first_per(df, ["g"], ["o", "v"], descending=True).collect())
+    assert got == [("a", 3, "x"), ("b", 2, "w")]
+    from ehrflow.plans.layout import plan_text
+    assert "Window" not in plan_text(first_per(df, ["g"], ["o"]))
+    assert sorted(tuple(r) for r in first_by_min(df.filter("v != 'z'"), ["g"], "o").collect()) == [("a", 1, "y"), ("b", 2, "w")]
