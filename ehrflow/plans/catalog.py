@@ -952,6 +952,11 @@ def encounter_stream(spark, d):
 
 # -------------------------------------------------------- L1 / L2 / L4 ---
 
+# Write tasks per bucket in the layout query: each bucket (including one
+# holding a very large patient) is written by up to this many tasks.
+FANOUT = 2
+
+
 @register("layout_join", ORACLE["encounter_counts"])
 def layout_join(spark, d):
     import uuid
@@ -961,7 +966,7 @@ def layout_join(spark, d):
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = save_layout({"usuario": _pats(spark, d).select("documento_id", "correo_electronico"),
                          "atencion": _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion")},
-                        buckets, location=root, suffix="_" + uuid.uuid4().hex[:12])
+                        buckets, location=root, suffix="_" + uuid.uuid4().hex[:12], fanout=FANOUT)
     t = load_layout(spark, names)
     return H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))
 

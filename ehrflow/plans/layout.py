@@ -11,6 +11,7 @@ professionals table is left unbucketed and broadcast after a size check.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Sort columns inside each bucket (the access paths of the reference's
 # secondary indexes).
@@ -24,11 +25,18 @@ SORT_COLUMNS = {
 
 
 def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr",
-                location: str | None = None, mode: str = "overwrite", suffix: str = "") -> dict[str, str]:
+                location: str | None = None, mode: str = "overwrite", suffix: str = "",
+                fanout: int = 8) -> dict[str, str]:
     """Save patient-keyed tables bucketed by ``documento_id`` into ``buckets``
     buckets (the same count for all, which is what makes joins local).
     Returns the catalog names. ``location`` places the table files in shared
-    storage (``{location}/{table}``)."""
+    storage (``{location}/{table}``).
+
+    Before writing, rows are range-partitioned into ``buckets * fanout``
+    tasks on ``bucket * fanout + salt`` (salt from a hash of the whole row):
+    a task writes files of one bucket (two at a range boundary) rather than
+    of every bucket, and a bucket holding a very large patient is written by
+    up to ``fanout`` tasks instead of one."""
     names = {}
     spark = next(iter(tables.values())).sparkSession
     db_loc = f" LOCATION '{location}/_db'" if location else ""
@@ -36,9 +44,17 @@ def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr
     for name, df in tables.items():
         full = f"{database}.{name}{suffix}"
         if "documento_id" in df.columns:
-            # Same hash as the buckets: each write task holds whole buckets
-            # and writes one file per bucket instead of one per (task, bucket).
-            df = df.repartition(buckets, "documento_id")
+            # F.hash is the hash bucketing uses. Range partitioning on
+            # bucket * fanout + salt keeps each task within one bucket (or at
+            # a boundary between two) and splits every bucket over up to
+            # ``fanout`` tasks.
+            if fanout <= 1:
+                df = df.repartition(buckets, "documento_id")   # exactly one bucket per task
+            else:
+                bucket = F.pmod(F.hash("documento_id"), F.lit(buckets))
+                salt = F.pmod(F.xxhash64(*df.columns), F.lit(fanout))
+                df = (df.withColumn("_part", bucket * F.lit(fanout) + salt)
+                      .repartitionByRange(buckets * fanout, "_part").drop("_part"))
         w = df.write.mode(mode).format("parquet")
         if location:
             w = w.option("path", f"{location}/{name}")
@@ -50,9 +66,20 @@ def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr
     return names
 
 
-def load_layout(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
-    """Read tables saved by :func:`save_layout` (bucketing metadata included)."""
-    return {k: spark.table(v) for k, v in names.items()}
+def load_layout(spark: SparkSession, names: dict[str, str], bucketed: bool = True) -> dict[str, DataFrame]:
+    """Read tables saved by :func:`save_layout`. With ``bucketed=True`` the
+    bucket metadata is used (joins and aggregations on ``documento_id`` need
+    no shuffle). A bucket is read by one task, so for tables where one
+    patient holds a large share of the rows pass ``bucketed=False``: the
+    files are then read as plain parquet and the joins shuffle, which lets
+    AQE split the skewed partition."""
+    if bucketed:
+        return {k: spark.table(v) for k, v in names.items()}
+    out = {}
+    for k, v in names.items():
+        loc = spark.sql(f"DESCRIBE TABLE EXTENDED {v}").filter("col_name = 'Location'").first()["data_type"]
+        out[k] = spark.read.parquet(loc)
+    return out
 
 
 def plan_text(df: DataFrame) -> str:
