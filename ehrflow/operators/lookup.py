@@ -13,23 +13,46 @@ from pyspark.sql import functions as F
 
 from ehrflow.functions.scalars import role_in
 
-# A side is broadcast only when a bounded count proves it is at most this
-# many rows; beyond it the join is left to sort-merge (and to AQE, which
-# may still switch to broadcast with the run-time size).
+# A side is broadcast only when one bounded job proves it holds at most
+# this many rows and bytes; beyond either bound the join is left to
+# sort-merge (and to AQE, which may still switch with the run-time size).
 BROADCAST_MAX_ROWS = 200_000
-
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 _BOUNDS: dict = {}
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows,
-    else ``df`` unchanged. The check counts at most ``max_rows + 1`` rows;
-    its answer is remembered for the same plan (``semanticHash``) within
-    the application, so a dimension used by several joins is counted once."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: actual length of text/binary values, the fixed width
+    of everything else."""
+    fixed = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8,
+             "date": 4, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16, "null": 0}
+    parts = []
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        if name in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
+        elif name in fixed:
+            parts.append(F.lit(fixed[name]))
+        else:  # arrays, maps, structs, variants: their JSON size
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0)))
+    out = F.lit(0)
+    for p in parts:
+        out = out + p
+    return out.cast("long")
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows
+    and ``max_bytes`` bytes, else ``df`` unchanged. The check reads at most
+    ``max_rows + 1`` rows; its answer is remembered for the same plan
+    (``semanticHash``) within the application, so a dimension used by
+    several joins is checked once."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows, max_bytes)
     if key not in _BOUNDS:
-        _BOUNDS[key] = df.limit(max_rows + 1).count() <= max_rows
+        stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+        _BOUNDS[key] = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
     return F.broadcast(df) if _BOUNDS[key] else df
 
 

@@ -102,3 +102,17 @@ def test_first_per_without_window(spark):
     from ehrflow.plans.layout import plan_text
     assert "Window" not in plan_text(first_per(df, ["g"], ["o"]))
     assert sorted(tuple(r) for r in first_by_min(df.filter("v != 'z'"), ["g"], "o").collect()) == [("a", 1, "y"), ("b", 2, "w")]
+
+
+def test_small_side_bounds(spark):
+    from ehrflow.operators.lookup import small_side
+    from ehrflow.plans.layout import plan_text
+    big = spark.range(0, 50).select(F.col("id"), F.lit("x" * 1000).alias("txt"))
+    fact = spark.range(0, 100)
+    assert "BroadcastExchange" in plan_text(fact.join(small_side(big, max_rows=100), "id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastExchange" not in plan_text(fact.join(small_side(big, max_rows=10), "id"))
+        assert "BroadcastExchange" not in plan_text(fact.join(small_side(big, max_rows=100, max_bytes=10_000), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
