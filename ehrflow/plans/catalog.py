@@ -546,7 +546,41 @@ def _patient_batch(spark, d):
         k.alias("seq"))
 
 
-@register("insert_patients")
+_WALK_SQL = """
+batch AS (
+  SELECT row_number() OVER (ORDER BY c_custkey) AS rn, c_custkey AS seq,
+    CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey % 900 + 3000000 END AS documento_id,
+    CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey || '@hce.test'
+         ELSE 'b' || (c_custkey % 1100) || '@b.test' END AS correo_electronico,
+    DATE '{d}' - CAST(c_custkey * 13 % 30000 AS INTEGER) AS fecha_nacimiento
+  FROM customer),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn,
+    (SELECT list(documento_id) FROM patients) AS docs,
+    (SELECT list(COALESCE(correo_electronico, chr(1))) FROM patients) AS mails,
+    CAST(NULL AS VARCHAR) AS motivo
+  UNION ALL
+  SELECT b.rn,
+    CASE WHEN NOT list_contains(w.docs, b.documento_id)
+              AND NOT list_contains(w.mails, COALESCE(b.correo_electronico, chr(1)))
+         THEN list_append(w.docs, b.documento_id) ELSE w.docs END,
+    CASE WHEN NOT list_contains(w.docs, b.documento_id)
+              AND NOT list_contains(w.mails, COALESCE(b.correo_electronico, chr(1)))
+         THEN list_append(w.mails, COALESCE(b.correo_electronico, chr(1))) ELSE w.mails END,
+    CASE WHEN list_contains(w.docs, b.documento_id) THEN 'documento'
+         WHEN list_contains(w.mails, COALESCE(b.correo_electronico, chr(1))) THEN 'correo' END
+  FROM walk w JOIN batch b ON b.rn = w.rn + 1
+)""".replace("{d}", M.AS_OF_DATE.isoformat())
+
+# The oracle replays the batch one request at a time (a recursive walk that
+# carries the taken documents and e-mails), the way the application does.
+_INSERT_PATIENTS_SQL = "WITH RECURSIVE " + M.with_ctes(M.PATIENTS_SQL, _WALK_SQL, body=f"""
+SELECT b.documento_id, b.seq, CASE WHEN w.motivo IS NULL THEN 'aceptado' ELSE 'rechazado' END AS estado, w.motivo,
+  CASE WHEN w.motivo IS NULL THEN CAST({age_sql('b.fecha_nacimiento')} AS BIGINT) END AS edad
+FROM walk w JOIN batch b ON b.rn = w.rn""")[len("WITH "):]
+
+
+@register("insert_patients", _INSERT_PATIENTS_SQL)
 def insert_patients(spark, d):
     from ehrflow.operators.writes import insert_patients as ip
     accepted, rejected = ip(_pats(spark, d), _patient_batch(spark, d), M.AS_OF_UTC)
