@@ -35,6 +35,25 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of parquet on
+    ``cores`` executor cores: ``target_partition_bytes`` of input per scan
+    task; one shuffle partition per GB of input (the queries shuffle narrow
+    projections and partial aggregates, a fraction of the input), at least 3
+    per core and at most 100k so map x reduce block counts stay manageable;
+    AQE coalesces small partitions towards 128 MB and splits skewed ones
+    (over 4x the median and 256 MB). Apply with ``spark.conf.set`` before
+    building the queries."""
+    shuffle = min(max(cores * 3, input_bytes // (1 << 30)), 100_000)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
