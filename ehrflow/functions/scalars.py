@@ -59,6 +59,12 @@ def as_of_date(as_of) -> Column:
     return F.to_date(F.lit(str(as_of)))
 
 
+def now_utc() -> Column:
+    """The current instant as a UTC wall time (TIMESTAMP_NTZ), for callers
+    that want "now" rather than a fixed ``as_of`` (session time zone UTC)."""
+    return F.current_timestamp().cast("timestamp_ntz")
+
+
 def age_years(dob, as_of) -> Column:
     """Completed years between ``dob`` and ``as_of``; null in, null out.
 

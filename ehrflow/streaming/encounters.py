@@ -35,16 +35,28 @@ def encounter_results(commands: DataFrame, patients: DataFrame, clinicians: Data
 
 def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clinicians: DataFrame,
                      out_dir: str, checkpoint: str, as_of_utc=None, available_now: bool = True,
-                     max_files_per_trigger: int = 1000) -> StreamingQuery:
+                     max_files_per_trigger: int = 1000, dedup_within: str | None = None) -> StreamingQuery:
     """Start the stream from ``in_dir`` to parquet at ``out_dir``.
 
     ``as_of_utc=None`` stamps each micro-batch with its own time (the
     reference stamps "now"; session time zone must be UTC); a fixed value
     makes replays reproducible. ``available_now`` processes what is there and
     stops; otherwise it polls every 10 seconds.
+
+    Every command makes a new encounter, as in the reference. With
+    ``dedup_within`` (for example ``"1 hour"``) a command repeated with the
+    same content (all fields but ``seq``) within that time of its first
+    arrival is dropped; the de-duplication state is bounded by a watermark
+    on the arrival time.
     """
     src = (spark.readStream.schema(NEW_ENCOUNTER)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(in_dir))
+    if dedup_within:
+        content = [c for c in NEW_ENCOUNTER.fieldNames() if c != "seq"]
+        src = (src.withColumn("_arrival", F.current_timestamp())
+               .withWatermark("_arrival", dedup_within)
+               .dropDuplicatesWithinWatermark(content)
+               .drop("_arrival"))
     stamp = as_of_utc if as_of_utc is not None else F.current_timestamp().cast("timestamp_ntz")
     out = encounter_results(src, patients, clinicians, stamp)
     w = (out.writeStream.format("parquet").outputMode("append")

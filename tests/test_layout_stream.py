@@ -62,3 +62,17 @@ def test_salted_bucket_write_one_bucket_per_file(spark, tmp_dir):
     assert hot_bucket > 1                                # the large patient is written by several tasks
     plain = L.load_layout(spark, names, bucketed=False)["atencion"]
     assert plain.count() == 3000
+
+
+def test_stream_dedup_opt_in(spark, tmp_dir):
+    from ehrflow.sources.commands import NEW_ENCOUNTER
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz")], "documento_id long, primer_nombre string, primer_apellido string")
+    row = {"documento_id": 1, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
+           "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1}
+    batch = spark.createDataFrame([dict(row, seq=1), dict(row, seq=2), dict(row, seq=3, motivo_consulta="otro")],
+                                  NEW_ENCOUNTER)
+    batch.write.json(os.path.join(tmp_dir, "in"))
+    q = encounter_stream(spark, os.path.join(tmp_dir, "in"), pats, pats, os.path.join(tmp_dir, "out"),
+                         os.path.join(tmp_dir, "ck"), dt.datetime(2024, 1, 1), dedup_within="1 hour")
+    q.awaitTermination()
+    assert spark.read.parquet(os.path.join(tmp_dir, "out")).count() == 2
