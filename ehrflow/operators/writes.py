@@ -82,7 +82,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
         .drop("_doc_taken", "_mail_taken")
     accepted_parts: list[DataFrame] = []
     rounds = 0
-    while undecided.limit(1).count() > 0:
+    while True:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"insert_patients: more than {max_rounds} conflict rounds")
@@ -101,13 +101,12 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
                    .checkpoint(eager=True))
         accepted_parts.append(decided.filter("_won").drop("_won", "_open"))
         undecided = decided.filter("_open").drop("_won", "_open")
+        if undecided.limit(1).count() == 0:
+            break
 
-    if accepted_parts:
-        accepted = accepted_parts[0]
-        for p in accepted_parts[1:]:
-            accepted = accepted.unionByName(p)
-    else:
-        accepted = undecided.limit(0)
+    accepted = accepted_parts[0]
+    for p in accepted_parts[1:]:
+        accepted = accepted.unionByName(p)
 
     # Reasons, in the reference's order: the document is checked first
     # against the stored rows and every earlier accepted batch row, then

@@ -143,3 +143,10 @@ def test_cascade_delete(spark):
                                                        "tecnologia_salud": 1, "egreso": 0}
     out2 = W.delete_encounters(tables, spark.createDataFrame([(2, "b")], "documento_id long, atencion_id string"))
     assert out2["tecnologia_salud"].count() == 1 and out2["usuario"].count() == 2
+
+
+def test_insert_patients_empty_and_all_rejected(spark):
+    got, acc = run_insert(spark, [(1, "a")], [])
+    assert got == {} and acc.count() == 0
+    got, acc = run_insert(spark, [(1, "a")], [(1, "x", 1), (2, "a", 2)])
+    assert got == {1: "documento", 2: "correo"} and acc.count() == 0
