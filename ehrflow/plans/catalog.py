@@ -1062,3 +1062,41 @@ def json_or_empty(spark, d):
     ev = _t(spark, d, "events").select("event_id", _props_text().alias("_txt"))
     v = ev.select("event_id", S.parse_vitals("_txt").alias("_v"))
     return v.select("event_id", S.vital("_v", "k", "bigint").alias("k"), F.col("_v").isNotNull().alias("mostrado"))
+
+
+# ------------------------------------------------ K2 + A6: the export ---
+
+@register("export_documents", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, M.ACCESS_REQUESTS_SQL,
+                                          _DOC_SQL, """
+allowed AS (
+  SELECT r.solicitud_id, r.documento_id FROM access_requests r JOIN patients u ON u.documento_id = r.principal_id
+  WHERE r.accion = 'exportar'
+    AND (u.tipo_usuario = 'medico' OR (u.tipo_usuario = 'paciente' AND r.principal_id = r.documento_id))),
+docs AS (
+  SELECT p.documento_id,
+    'HC_' || p.documento_id || '_' || strftime(""" + _AS_OF_LOCAL_SQL + """, '%Y%m%d') || '.pdf' AS archivo,
+    concat_ws(chr(10),
+      'HISTORIA CLINICA UNIFICADA',
+      'PACIENTE: ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(segundo_nombre, '') || ' '
+        || COALESCE(primer_apellido, 'None') || ' ' || COALESCE(segundo_apellido, '')
+        || ' | DOCUMENTO: ' || COALESCE(tipo_documento, 'None') || ' ' || p.documento_id,
+      'EDAD: ' || COALESCE(CAST(nullif(edad_m, 0) AS VARCHAR), '--') || ' años ('
+        || COALESCE(CAST(fecha_nacimiento AS VARCHAR), 'None') || ') | GENERO: ' || COALESCE(nullif(genero, ''), '--'),
+      'RH: ' || COALESCE(nullif(grupo_sanguineo, ''), '') || ' ' || COALESCE(nullif(factor_rh, ''), '')
+        || ' | ESTADO CIVIL: ' || COALESCE(nullif(estado_civil, ''), '--'),
+      'DIRECCION: ' || COALESCE(nullif(direccion_residencia, ''), '--') || ' - ' || COALESCE(nullif(municipio_ciudad, ''), ''),
+      'CONTACTO: ' || COALESCE(nullif(celular, ''), nullif(telefono, ''), '--')
+        || ' | EMAIL: ' || COALESCE(nullif(correo_electronico, ''), '--'),
+      'ENTIDAD: ' || COALESCE(nullif(entidad_afiliacion, ''), 'PARTICULAR')
+        || ' | REGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
+      'IMPRESO: ' || strftime(""" + _AS_OF_LOCAL_SQL + """, '%d/%m/%Y %H:%M'),
+      COALESCE(b.enc, 'No existen registros de atención.')) AS cuerpo
+  FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id)""", body="""
+SELECT a.solicitud_id, a.documento_id, d.archivo, sha256(d.cuerpo) AS cuerpo_sha256
+FROM allowed a JOIN docs d ON d.documento_id = a.documento_id"""))
+def export_documents(spark, d):
+    from ehrflow.operators.views import export_documents as ed
+    tables = {"usuario": _pats(spark, d), "atencion": _encs(spark, d), "profesional_salud": _profs(spark, d)}
+    req = M.access_requests(_t(spark, d, "events")).filter(F.col("accion") == "exportar")
+    out = ed(tables, req, M.AS_OF_DATE, M.AS_OF_UTC)
+    return out.select("solicitud_id", "documento_id", "archivo", F.sha2("cuerpo", 256).alias("cuerpo_sha256"))
