@@ -30,15 +30,16 @@ REASON_BAD_TYPE = "tipo_invalido"
 MAX_ROUNDS = 10_000
 
 
-def _conform(df: DataFrame, schema) -> DataFrame:
-    """Select ``schema``'s columns in order, NULL for the missing ones."""
+def _conform(df: DataFrame, schema, keep: Sequence[str] = ()) -> DataFrame:
+    """Select ``schema``'s columns in order (NULL for the missing ones),
+    followed by the ``keep`` columns."""
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
 def _email_key(col: str = "correo_electronico"):
@@ -118,7 +119,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
                 .select("documento_id", seq,
                         F.when(F.col("_doc_taken").isNotNull() | (F.col("_a_doc_seq") < F.col(seq)), REASON_DOCUMENT)
                         .otherwise(REASON_EMAIL).alias("motivo")))
-    return accepted.drop("_ek"), rejected
+    return _conform(accepted, USUARIO, keep=[seq]), rejected
 
 
 def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] | None,
