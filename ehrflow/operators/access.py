@@ -99,7 +99,7 @@ def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int
     each request looks at its own and the previous bucket of the same user.
     A busy user is spread over many (user, bucket) keys instead of one
     window partition. Output: every request with ``login_ts`` (latest valid
-    login, NULL if none) and ``autorizado``.
+    login, NULL if none) and ``autorizado``; ``key`` must identify requests.
     """
     width = (ttl_minutes + 1) * 60 * 1_000_000  # microseconds
     ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(ttl_minutes))
@@ -112,6 +112,12 @@ def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int
     cand = req.join(lg, [user, "_b"], "inner").filter(
         (F.col(login_ts) <= F.col(ts))
         & (F.date_trunc("second", F.col(ts)) <= F.date_trunc("second", F.col(login_ts) + ttl)))
-    best = cand.groupBy(key).agg(F.max(login_ts).alias(login_ts))
-    out = requests.join(best, key, "left")
+    # Requests without a candidate must survive: union them (login NULL)
+    # with the candidates and reduce per request in one aggregation, instead
+    # of aggregating and joining back (one shuffle fewer).
+    ts_type = logins.schema[login_ts].dataType
+    others = [c for c in requests.columns if c != key]
+    both = requests.withColumn(login_ts, F.lit(None).cast(ts_type)).unionByName(
+        cand.select(*requests.columns, login_ts))
+    out = both.groupBy(key).agg(*[F.any_value(c).alias(c) for c in others], F.max(login_ts).alias(login_ts))
     return out.withColumn("autorizado", F.col(login_ts).isNotNull())

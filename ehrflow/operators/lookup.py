@@ -94,8 +94,9 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str], descending
 
 
 def first_by_min(df: DataFrame, by: Sequence[str], order_col: str) -> DataFrame:
-    """E1 for a unique ordering column: ``min(order_col)`` per group (map-side
-    partial aggregation, safe for a hot group), then a semi join back."""
+    """E1 keeping ties: every row whose ``order_col`` equals the group
+    minimum (partial ``min`` per group, then a semi join back). When the
+    order is unique, :func:`first_per` does the same in one aggregation."""
     winners = df.groupBy(*by).agg(F.min(order_col).alias(order_col))
     return df.join(winners, [*by, order_col], "left_semi")
 
@@ -106,7 +107,7 @@ def patients_by_email(patients: DataFrame, emails: DataFrame, email_col: str = "
     e-mail is not unique in the store."""
     req = emails.select(F.col(emails.columns[0]).alias(email_col)).distinct()
     matches = patients.join(req, email_col, "left_semi")
-    return first_by_min(matches, [email_col], key)
+    return first_per(matches, [email_col], [key])
 
 
 def public_patient(patients: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.lookup import first_by_min, small_side
+from ehrflow.operators.lookup import first_per, small_side
 from ehrflow.session import checkpoint_dir
 from ehrflow.sources.schemas import (ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
                                      USUARIO)
@@ -132,7 +132,7 @@ def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] |
         inserted = batch.drop(seq) if seq in batch.columns else batch
     else:
         keys = list(keys)
-        firsts = first_by_min(batch, keys, seq)
+        firsts = first_per(batch, keys, [seq])
         inserted = firsts.join(current.select(*keys).distinct(), keys, "left_anti").drop(seq)
     return current.unionByName(inserted, allowMissingColumns=True), inserted
 
