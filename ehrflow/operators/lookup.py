@@ -149,6 +149,21 @@ def missing_in(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
+def exists_flag(df: DataFrame, other: DataFrame, on, out: str, null_safe: bool = False) -> DataFrame:
+    """C3/C4 as one column: ``out`` is true when the row has a match in
+    ``other`` (``EXISTS``), false otherwise. One left join against the
+    distinct keys of ``other`` (reduced map-side) replaces a semi join plus
+    an anti join. With ``null_safe`` a NULL key matches a NULL key."""
+    keys = [on] if isinstance(on, str) else list(on)
+    right = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct().withColumn(out, F.lit(True))
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(right[f"_r_{k}"]) if null_safe else (F.col(k) == right[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    joined = df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+
+
 def null_safe_matches(df: DataFrame, other: DataFrame, col: str) -> DataFrame:
     """C4: rows of ``df`` whose ``col`` equals some ``other.col`` where NULL
     equals NULL (``<=>``). NULL keys are matched through a flag column so

@@ -201,12 +201,10 @@ SELECT p.documento_id, EXISTS (SELECT 1 FROM encounters e WHERE e.documento_id =
                                AND e.estado_egreso = 'Hospitalizado') AS hospitalizado
 FROM patients p"""))
 def exists_split(spark, d):
-    from ehrflow.operators.lookup import exists_in, missing_in
+    from ehrflow.operators.lookup import exists_flag
     p = _pats(spark, d).select("documento_id")
     hosp = _encs(spark, d).filter(F.col("estado_egreso") == "Hospitalizado")
-    yes = exists_in(p, hosp, "documento_id").withColumn("hospitalizado", F.lit(True))
-    no = missing_in(p, hosp, "documento_id").withColumn("hospitalizado", F.lit(False))
-    return yes.unionByName(no)
+    return exists_flag(p, hosp, "documento_id", "hospitalizado")
 
 
 # ------------------------------------------------------------------ C4 ---
@@ -227,12 +225,9 @@ SELECT b.documento_id, b.correo_electronico,
   EXISTS (SELECT 1 FROM patients p WHERE p.correo_electronico IS NOT DISTINCT FROM b.correo_electronico) AS conflicto
 FROM batch b"""))
 def nullsafe_conflict(spark, d):
-    from ehrflow.operators.lookup import null_safe_matches
+    from ehrflow.operators.lookup import exists_flag
     batch = _new_patient_emails(spark, d)
-    hit = null_safe_matches(batch, _pats(spark, d), "correo_electronico").select("documento_id") \
-        .withColumn("conflicto", F.lit(True))
-    return (batch.join(hit, "documento_id", "left")
-            .withColumn("conflicto", F.coalesce(F.col("conflicto"), F.lit(False))))
+    return exists_flag(batch, _pats(spark, d), "correo_electronico", "conflicto", null_safe=True)
 
 
 # ------------------------------------------------------------- C5 / F1 ---

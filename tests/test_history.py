@@ -116,3 +116,14 @@ def test_small_side_bounds(spark):
         assert "BroadcastExchange" not in plan_text(fact.join(small_side(big, max_rows=100, max_bytes=10_000), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exists_flag(spark):
+    from ehrflow.operators.lookup import exists_flag, missing_in, null_safe_matches
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k long, m string")
+    other = spark.createDataFrame([(1, None), (1, "c"), (9, "z")], "k long, m string")
+    assert {r.k: r.f for r in exists_flag(df, other, "k", "f").collect()} == {1: True, 2: False, 3: False}
+    assert {r.k: r.f for r in exists_flag(df, other, "m", "f", null_safe=True).collect()} == {1: False, 2: True, 3: True}
+    assert {r.k: r.f for r in exists_flag(df, other, "m", "f").collect()} == {1: False, 2: False, 3: True}
+    assert sorted(r.k for r in null_safe_matches(df, other, "m").collect()) == [2, 3]
+    assert sorted(r.k for r in missing_in(df, other, "k").collect()) == [2, 3]
