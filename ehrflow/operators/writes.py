@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.lookup import first_per, small_side
+from ehrflow.operators.lookup import exists_flag, first_per, small_side
 from ehrflow.session import checkpoint_dir
 from ehrflow.sources.schemas import (ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
                                      USUARIO)
@@ -170,10 +170,10 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     p = p.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     rejected_type = p.filter("_bad").select("documento_id", seq, F.lit(REASON_BAD_TYPE).alias("motivo"))
     good = p.filter(~F.col("_bad"))
-    keys = current.select("documento_id")
-    unknown = good.join(keys, "documento_id", "left_anti") \
+    good = exists_flag(good, current.select("documento_id"), "documento_id", "_known")
+    unknown = good.filter(~F.col("_known")) \
         .select("documento_id", seq, F.lit(REASON_UNKNOWN_ID).alias("motivo"))
-    good = good.join(keys, "documento_id", "left_semi")
+    good = good.filter("_known").drop("_known")
 
     # Long form: one row per present field; a non-null birth date also
     # yields a marker entry that carries the value used for the age.
@@ -241,9 +241,10 @@ def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFra
     checked = batch.withColumn("_why", F.when(missing, REASON_MISSING).when(too_long, REASON_TOO_LONG))
     invalid = checked.filter(F.col("_why").isNotNull()).select("documento_id", seq, F.col("_why").alias("motivo"))
     valid = checked.filter(F.col("_why").isNull()).drop("_why")
-    no_patient = valid.join(patients.select("documento_id"), "documento_id", "left_anti") \
+    valid = exists_flag(valid, patients.select("documento_id"), "documento_id", "_known")
+    no_patient = valid.filter(~F.col("_known")) \
         .select("documento_id", seq, F.lit(REASON_NO_PATIENT).alias("motivo"))
-    ok = valid.join(patients.select("documento_id"), "documento_id", "left_semi")
+    ok = valid.filter("_known").drop("_known")
 
     docs = small_side(clinicians.select(F.col("documento_id").alias(clinician),
                                         F.col("primer_nombre").alias("_n"),
