@@ -85,7 +85,9 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str], descending
     Written as ``min_by``/``max_by`` of the whole row over a struct of the
     order columns: a partial aggregate, so a group holding a large share of
     the rows is reduced map-side instead of being buffered in one task the
-    way a ``row_number`` window would.
+    way a ``row_number`` window would. The order columns should identify a
+    row within its group; with exact ties the pick is arbitrary and may
+    differ when a task is retried.
     """
     rest = [c for c in df.columns if c not in by]
     pick = F.max_by if descending else F.min_by
