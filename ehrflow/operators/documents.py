@@ -28,36 +28,37 @@ VITALS = [
 NO_RECORDS = "No existen registros de atención."
 
 
-def with_vital_texts(df: DataFrame, v: str) -> DataFrame:
-    """Adds ``_vt_{key}`` for every shown vital: the value as the template
-    prints it, NULL when the template would skip it (missing, null, 0, '',
-    false). Integers print without a fraction, other numbers as doubles,
-    text as is, true as ``True``.
+def with_vital_texts(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_vt_{key}`` for every shown vital, read from the vitals JSON
+    text: the value as the template prints it, NULL when the template would
+    skip it (missing, null, 0, '', false). Integers print without a
+    fraction, other numbers as doubles, text as is, true as ``True``.
 
-    The object is read once as a string map and its JSON types once as the
-    variant's schema text (``OBJECT<fc: BIGINT, ta: STRING, ...>``); the
-    type of each key is taken from that text, which is far cheaper than a
-    variant lookup per key."""
+    The text is parsed once into a struct of per-key variants
+    (:func:`ehrflow.functions.scalars.vitals_struct`); each key's JSON type
+    comes from its own small variant. Built in narrow projections so every
+    expression is evaluated once and the generated code stays small."""
     keys = [k for k, _, _ in VITALS]
-    df = df.select("*", F.try_variant_get(F.col(v), "$", "map<string,string>").alias("_vm"),
-                   F.schema_of_variant(F.col(v)).alias("_vsch"))
+    df = df.select("*", S.vitals_struct(F.col(text), keys).alias("_vx"))
+    df = df.select("*", *[F.regexp_extract(F.schema_of_variant(F.col("_vx")[k]), "^([A-Z]+)", 1).alias(f"_vk_{k}")
+                          for k in keys])
     cols = []
     for k in keys:
-        text = F.try_element_at(F.col("_vm"), F.lit(k))
-        kind = F.regexp_extract(F.col("_vsch"), f"[<,] ?{k}: ([A-Z]+)", 1)
-        as_double = text.try_cast("double")
+        sub, kind = F.col("_vx")[k], F.col(f"_vk_{k}")
+        text_value = F.try_variant_get(sub, "$", "string")
+        as_double = F.try_variant_get(sub, "$", "double")
         numeric = kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
         fractional = kind.isin("DECIMAL", "DOUBLE", "FLOAT")
-        truthy = (F.when(kind == "STRING", text != "")
-                  .when(kind == "BOOLEAN", text == "true")
-                  .when(kind.isin("OBJECT", "ARRAY"), ~text.isin("{}", "[]"))
+        truthy = (F.when(kind == "STRING", text_value != "")
+                  .when(kind == "BOOLEAN", text_value == "true")
+                  .when(kind.isin("OBJECT", "ARRAY"), ~text_value.isin("{}", "[]"))
                   .when(numeric, as_double != 0)
                   .otherwise(F.lit(False)))
         shown = (F.when(kind == "BOOLEAN", F.lit("True"))
                  .when(fractional, as_double.cast("string"))
-                 .otherwise(text))
+                 .otherwise(text_value))
         cols.append(F.when(F.coalesce(truthy, F.lit(False)), shown).alias(f"_vt_{k}"))
-    return df.select("*", *cols).drop("_vm", "_vsch")
+    return df.select("*", *cols).drop("_vx", *[f"_vk_{k}" for k in keys])
 
 
 def encounter_block() -> Column:
@@ -124,9 +125,8 @@ def history_documents(patients: DataFrame, encounters: DataFrame, professionals:
     :func:`ehrflow.operators.history.patient_view`). Encounters use the
     export name policy and local time.
     """
-    enc = (encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion"))
-           .withColumn("_v", S.parse_vitals("signos_vitales")))
-    enc = with_vital_texts(with_professional(enc, professionals, policy="export"), "_v")
+    enc = encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion"))
+    enc = with_vital_texts(with_professional(enc, professionals, policy="export"), "signos_vitales")
     blocks = enc.select("documento_id", "atencion_id", "fecha_hora_atencion", encounter_block().alias("_block"))
     counts = blocks.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))
     paged = (blocks.join(counts, "documento_id")
