@@ -43,7 +43,17 @@ def _memo(spark: SparkSession, key: tuple, build):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _memo(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table. A scan with fewer splits than the session has cores
+    (a small single-row-group file) is spread round-robin over the cores, so
+    the per-row work of the queries is not done by one task; large inputs
+    already have many splits and are left alone (no extra shuffle)."""
+    def build():
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
+    return _memo(spark, (sf_dir, name), build)
 
 
 def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
