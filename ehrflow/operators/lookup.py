@@ -151,13 +151,19 @@ def missing_in(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
-def exists_flag(df: DataFrame, other: DataFrame, on, out: str, null_safe: bool = False) -> DataFrame:
+def exists_flag(df: DataFrame, other: DataFrame, on, out: str, null_safe: bool = False,
+                unique: bool = False) -> DataFrame:
     """C3/C4 as one column: ``out`` is true when the row has a match in
     ``other`` (``EXISTS``), false otherwise. One left join against the
     distinct keys of ``other`` (reduced map-side) replaces a semi join plus
-    an anti join. With ``null_safe`` a NULL key matches a NULL key."""
+    an anti join. With ``null_safe`` a NULL key matches a NULL key. Pass
+    ``unique=True`` when the keys are ``other``'s primary key (J1 checks it):
+    the distinct step, an aggregation over all of ``other``, is skipped."""
     keys = [on] if isinstance(on, str) else list(on)
-    right = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct().withColumn(out, F.lit(True))
+    right = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    if not unique:
+        right = right.distinct()
+    right = right.withColumn(out, F.lit(True))
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(right[f"_r_{k}"]) if null_safe else (F.col(k) == right[f"_r_{k}"])

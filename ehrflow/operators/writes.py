@@ -75,7 +75,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
                 .withColumn("created_at", as_of).withColumn("updated_at", as_of))
     rows = prepared.withColumn("_ek", _email_key())
 
-    cur_docs = current.select("documento_id").distinct().withColumn("_doc_taken", F.lit(True))
+    cur_docs = current.select("documento_id").withColumn("_doc_taken", F.lit(True))   # primary key
     cur_mail = current.select(_email_key().alias("_ek")).distinct().withColumn("_mail_taken", F.lit(True))
     flagged = rows.join(cur_docs, "documento_id", "left").join(cur_mail, "_ek", "left")
     checkpoint_dir(spark)
@@ -170,7 +170,7 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     p = p.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     rejected_type = p.filter("_bad").select("documento_id", seq, F.lit(REASON_BAD_TYPE).alias("motivo"))
     good = p.filter(~F.col("_bad"))
-    good = exists_flag(good, current.select("documento_id"), "documento_id", "_known")
+    good = exists_flag(good, current.select("documento_id"), "documento_id", "_known", unique=True)
     unknown = good.filter(~F.col("_known")) \
         .select("documento_id", seq, F.lit(REASON_UNKNOWN_ID).alias("motivo"))
     good = good.filter("_known").drop("_known")
@@ -241,7 +241,7 @@ def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFra
     checked = batch.withColumn("_why", F.when(missing, REASON_MISSING).when(too_long, REASON_TOO_LONG))
     invalid = checked.filter(F.col("_why").isNotNull()).select("documento_id", seq, F.col("_why").alias("motivo"))
     valid = checked.filter(F.col("_why").isNull()).drop("_why")
-    valid = exists_flag(valid, patients.select("documento_id"), "documento_id", "_known")
+    valid = exists_flag(valid, patients.select("documento_id"), "documento_id", "_known", unique=True)
     no_patient = valid.filter(~F.col("_known")) \
         .select("documento_id", seq, F.lit(REASON_NO_PATIENT).alias("motivo"))
     ok = valid.filter("_known").drop("_known")
