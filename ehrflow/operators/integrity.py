@@ -74,9 +74,10 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_cols: Sequence[str]
                   parent_cols: Sequence[str], child_keys: Sequence[str], table: str,
                   parent_table: str) -> DataFrame:
     """Child rows whose (all non-NULL) reference has no parent row. A
-    NULL in any reference column passes. The parent side is reduced to its
-    distinct key tuples before the anti join."""
-    renamed = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols)]).distinct()
+    NULL in any reference column passes. The parent columns are its primary
+    key, so the anti join reads them as they are (repeated parent keys would
+    not change an anti join's result anyway)."""
+    renamed = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols)])
     all_set = F.lit(True)
     for c in child_cols:
         all_set = all_set & F.col(c).isNotNull()
