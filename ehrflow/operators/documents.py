@@ -136,7 +136,7 @@ def history_documents(patients: DataFrame, encounters: DataFrame, professionals:
               .agg(F.sort_array(F.collect_list(F.struct("fecha_hora_atencion", "atencion_id", "_block")),
                                 asc=False).alias("_bl"))
               .select("documento_id", "parte", "partes",
-                      F.array_join(F.transform("_bl", lambda x: x["_block"]), "\n").alias("_enc")))
+                      F.array_join(F.col("_bl")["_block"], "\n").alias("_enc")))
     as_of_local = S.to_local(F.lit(as_of_utc).cast("timestamp_ntz"))
     docs = patients.withColumn("_head", patient_header(as_of_utc)).join(bodies, "documento_id", "left")
     return docs.select(
