@@ -47,6 +47,17 @@ def _lit(x) -> Column:
 
 # ---------------------------------------------------------------- dates ---
 
+def ntz_lit(value) -> Column:
+    """A fixed wall time as a TIMESTAMP_NTZ column, built from its ISO text
+    so neither the Python process nor the session time zone shifts it. A
+    Column is returned unchanged."""
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, _dt.datetime):
+        value = value.isoformat(sep=" ")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def as_of_date(as_of) -> Column:
     """A fixed 'today' as a DATE column. Accepts a date, a datetime (taken
     as local wall time), an ISO string or a Column."""
@@ -61,8 +72,9 @@ def as_of_date(as_of) -> Column:
 
 def now_utc() -> Column:
     """The current instant as a UTC wall time (TIMESTAMP_NTZ), for callers
-    that want "now" rather than a fixed ``as_of`` (session time zone UTC)."""
-    return F.current_timestamp().cast("timestamp_ntz")
+    that want "now" rather than a fixed ``as_of``; right in any session
+    time zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
 
 
 def age_years(dob, as_of) -> Column:
@@ -92,10 +104,46 @@ def to_local(ts, zone: str = LOCAL_ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), _c(ts).cast("timestamp_ntz"))
 
 
+# Month names as Python prints them with no locale set.
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August",
+               "September", "October", "November", "December"]
+
+
+def _pad(x: Column, n: int = 2) -> Column:
+    return F.lpad(x.cast("string"), n, "0")
+
+
 def fmt(ts, pattern: str) -> Column:
-    """``date_format`` with one of the named display patterns (or a raw
-    Spark pattern). Month names are English."""
-    return F.date_format(_c(ts), FORMATS.get(pattern, pattern))
+    """A timestamp as display text, by named pattern: ``stamp``
+    (dd/MM/yyyy HH:mm), ``compact`` (yyyyMMdd), ``header`` (dd-MM-yyyy
+    HH:mm), ``long_date`` (dd de <Month>, yyyy), ``clock`` (hh:mm AM/PM) or
+    ``iso_micros`` (yyyy-MM-dd HH:mm:ss.ffffff).
+
+    The text is assembled from the value's own fields, so a zone-less
+    (TIMESTAMP_NTZ) wall time prints as stored in any session time zone;
+    Spark's ``date_format`` would pass it through the session zone and move
+    wall times that fall in that zone's daylight-saving gap. Any other
+    pattern is handed to ``date_format`` as a Spark pattern."""
+    t = _c(ts)
+    day, month, year = _pad(F.dayofmonth(t)), _pad(F.month(t)), _pad(F.year(t), 4)
+    hh, mi = _pad(F.hour(t)), _pad(F.minute(t))
+    if pattern == "stamp":
+        return F.concat(day, F.lit("/"), month, F.lit("/"), year, F.lit(" "), hh, F.lit(":"), mi)
+    if pattern == "compact":
+        return F.concat(year, month, day)
+    if pattern == "header":
+        return F.concat(day, F.lit("-"), month, F.lit("-"), year, F.lit(" "), hh, F.lit(":"), mi)
+    if pattern == "long_date":
+        name = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month(t))
+        return F.concat(day, F.lit(" de "), name, F.lit(", "), year)
+    if pattern == "clock":
+        h12 = _pad((F.hour(t) + 11) % 12 + 1)
+        return F.concat(h12, F.lit(":"), mi, F.lit(" "), F.when(F.hour(t) < 12, "AM").otherwise("PM"))
+    if pattern == "iso_micros":
+        micros = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long") % 1_000_000
+        return F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), hh, F.lit(":"), mi, F.lit(":"),
+                        _pad(F.second(t)), F.lit("."), _pad(micros, 6))
+    return F.date_format(t, FORMATS.get(pattern, pattern))
 
 
 def local_today(as_of_ts, zone: str = LOCAL_ZONE) -> Column:
@@ -111,7 +159,7 @@ def days_before(ts, n) -> Column:
 def export_name(doc_id, as_of_local, ext: str = "pdf") -> Column:
     """``HC_{id}_{yyyymmdd}.{ext}`` with the local print date."""
     return F.concat(F.lit("HC_"), _c(doc_id).cast("string"), F.lit("_"),
-                    F.date_format(_c(as_of_local), FORMATS["compact"]), F.lit("." + ext))
+                    fmt(as_of_local, "compact"), F.lit("." + ext))
 
 
 def iso_date_part(c) -> Column:

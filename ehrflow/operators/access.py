@@ -4,6 +4,8 @@ ordered request outcomes, and token validity as an as-of range join.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +105,13 @@ def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int
     """
     width = (ttl_minutes + 1) * 60 * 1_000_000  # microseconds
     ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(ttl_minutes))
+    # Microseconds since 1970-01-01 on the wall clock of the stored values,
+    # whatever the session time zone (a zone with daylight saving would
+    # otherwise stretch or shrink some differences by an hour).
+    epoch = F.lit(_dt.datetime(1970, 1, 1)).cast(requests.schema[ts].dataType)
 
     def bucket(c):
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width)).cast("long")
+        return F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col(c)) / F.lit(width)).cast("long")
 
     req = requests.withColumn("_b", F.explode(F.array(bucket(ts), bucket(ts) - 1)))
     lg = logins.select(F.col(user), F.col(login_ts), bucket(login_ts).alias("_b"))

@@ -96,7 +96,7 @@ def encounter_block() -> Column:
 
 def patient_header(as_of_utc) -> Column:
     """Demographic header of the document."""
-    stamp = S.fmt(S.to_local(F.lit(as_of_utc).cast("timestamp_ntz")), "stamp")
+    stamp = S.fmt(S.to_local(S.ntz_lit(as_of_utc)), "stamp")
     lines = [
         F.lit("HISTORIA CLINICA UNIFICADA"),
         F.concat(F.lit("PACIENTE: "), S.full_name("primer_nombre", "segundo_nombre", "primer_apellido", "segundo_apellido"),
@@ -137,7 +137,7 @@ def history_documents(patients: DataFrame, encounters: DataFrame, professionals:
                                 asc=False).alias("_bl"))
               .select("documento_id", "parte", "partes",
                       F.array_join(F.col("_bl")["_block"], "\n").alias("_enc")))
-    as_of_local = S.to_local(F.lit(as_of_utc).cast("timestamp_ntz"))
+    as_of_local = S.to_local(S.ntz_lit(as_of_utc))
     docs = patients.withColumn("_head", patient_header(as_of_utc)).join(bodies, "documento_id", "left")
     return docs.select(
         "documento_id",

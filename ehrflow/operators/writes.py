@@ -68,7 +68,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
     task. Each round's undecided set is checkpointed to cut the lineage.
     """
     spark = batch.sparkSession
-    as_of = F.lit(as_of_utc).cast("timestamp_ntz")
+    as_of = S.ntz_lit(as_of_utc)
     prepared = (batch
                 .withColumn("tipo_usuario", F.lit("paciente"))
                 .withColumn("edad", S.age_years("fecha_nacimiento", S.local_today(as_of)))
@@ -159,7 +159,7 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     fields, so many patches for one patient never gather in one buffer.
     Returns ``(patched_table, rejected)``.
     """
-    as_of = F.lit(as_of_utc).cast("timestamp_ntz")
+    as_of = S.ntz_lit(as_of_utc)
     fields = list(PATCH_FIELDS)
     m = F.from_json(F.col(patch), "map<string,string>")
     p = patches.select("documento_id", seq, m.alias("_m"))
@@ -233,7 +233,7 @@ def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFra
     (documento_id, seq, clinician) so reruns are idempotent, or a random
     UUID with ``random_ids=True``.
     """
-    as_of = as_of_utc if isinstance(as_of_utc, Column) else F.lit(as_of_utc).cast("timestamp_ntz")
+    as_of = S.ntz_lit(as_of_utc)
     missing = F.lit(False)
     for c in ENCOUNTER_REQUIRED:
         missing = missing | F.col(c).isNull()

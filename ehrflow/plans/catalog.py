@@ -100,8 +100,8 @@ def _techs(spark, d):
     return M.model(spark, d, "technologies")
 
 
-def _ts_text(c, micros: bool = True):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS" if micros else "yyyy-MM-dd HH:mm:ss")
+def _ts_text(c):
+    return S.fmt(c, "iso_micros")
 
 
 TS_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -417,8 +417,8 @@ SELECT documento_id,
 FROM patients"""))
 def names_format(spark, d):
     p = _pats(spark, d)
-    as_of_local = S.to_local(F.lit(M.AS_OF_UTC).cast("timestamp_ntz"))
-    iso = F.date_format("fecha_nacimiento", "yyyy-MM-dd'T'00:00:00")
+    as_of_local = S.to_local(S.ntz_lit(M.AS_OF_UTC))
+    iso = F.concat(F.col("fecha_nacimiento").cast("string"), F.lit("T00:00:00"))
     return p.select("documento_id",
                     S.signature("segundo_nombre", "primer_nombre").alias("firma"),
                     S.full_name("primer_nombre", "segundo_nombre", "primer_apellido", "segundo_apellido")

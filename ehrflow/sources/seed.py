@@ -44,7 +44,7 @@ def _frame(spark: SparkSession, name: str, rows: list[dict]) -> DataFrame:
 def seed_tables(spark: SparkSession, rows: dict[str, list[dict]], as_of_utc: _dt.datetime,
                 current: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Build the seeded tables (unioned with ``current`` when given)."""
-    as_of = F.lit(as_of_utc).cast("timestamp_ntz")
+    as_of = S.ntz_lit(as_of_utc)
     out: dict[str, DataFrame] = dict(current or {})
     order = ["profesional_salud", "usuario", "atencion", "diagnostico", "tecnologia_salud", "egreso"]
     for name in order:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ehrflow.functions.scalars import now_utc
 from ehrflow.operators.writes import insert_encounters
 from ehrflow.sources.commands import NEW_ENCOUNTER
 
@@ -39,7 +40,7 @@ def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clin
     """Start the stream from ``in_dir`` to parquet at ``out_dir``.
 
     ``as_of_utc=None`` stamps each micro-batch with its own time (the
-    reference stamps "now"; session time zone must be UTC); a fixed value
+    reference stamps "now"); a fixed value
     makes replays reproducible. ``available_now`` processes what is there and
     stops; otherwise it polls every 10 seconds.
 
@@ -57,7 +58,7 @@ def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clin
                .withWatermark("_arrival", dedup_within)
                .dropDuplicatesWithinWatermark(content)
                .drop("_arrival"))
-    stamp = as_of_utc if as_of_utc is not None else F.current_timestamp().cast("timestamp_ntz")
+    stamp = as_of_utc if as_of_utc is not None else now_utc()
     out = encounter_results(src, patients, clinicians, stamp)
     w = (out.writeStream.format("parquet").outputMode("append")
          .option("path", out_dir).option("checkpointLocation", checkpoint))

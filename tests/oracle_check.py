@@ -62,7 +62,10 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
     from ehrflow.session import build_session
-    spark = build_session(extra={"spark.ui.showConsoleProgress": "false"})
+    extra = {"spark.ui.showConsoleProgress": "false"}
+    if os.environ.get("ORACLE_SESSION_TZ"):          # check independence from the session time zone
+        extra["spark.sql.session.timeZone"] = os.environ["ORACLE_SESSION_TZ"]
+    spark = build_session(extra=extra)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

@@ -53,3 +53,26 @@ def test_falsy_or_and_escape(spark):
     assert [r.f for r in out] == [v or "--" for v in vals]
     assert [r.h for r in out] == [None if v is None else html.escape(v).replace("&#x27;", "&#39;").replace("&quot;", "&#34;")
                                   for v in vals]
+
+
+def test_results_do_not_depend_on_session_zone(spark):
+    """A wall time inside New York's 1996 daylight-saving gap formats and
+    converts the same whatever the session time zone."""
+    df = spark.createDataFrame([(dt.datetime(1996, 4, 7, 2, 26, 7, 120),), (dt.datetime(1996, 4, 7, 7, 26),)],
+                               "ts timestamp_ntz")
+
+    def run():
+        return [tuple(r) for r in df.select(
+            S.fmt("ts", "stamp"), S.fmt("ts", "iso_micros"), S.fmt("ts", "clock"), S.fmt("ts", "long_date"),
+            S.fmt(S.to_local("ts"), "stamp"), S.fmt(S.ntz_lit(dt.datetime(2024, 1, 31, 15, 30)), "stamp")).collect()]
+
+    base = run()
+    assert base[0][:4] == ("07/04/1996 02:26", "1996-04-07 02:26:07.000120", "02:26 AM", "07 de April, 1996")
+    assert base[1][4] == "07/04/1996 02:26" and base[0][5] == "31/01/2024 15:30"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert run() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
