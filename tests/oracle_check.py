@@ -65,6 +65,9 @@ def main(argv):
     extra = {"spark.ui.showConsoleProgress": "false"}
     if os.environ.get("ORACLE_SESSION_TZ"):          # check independence from the session time zone
         extra["spark.sql.session.timeZone"] = os.environ["ORACLE_SESSION_TZ"]
+    for item in filter(None, os.environ.get("ORACLE_CONF", "").split(",")):   # k=v,k=v
+        k, v = item.split("=", 1)
+        extra[k] = v
     spark = build_session(extra=extra)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
