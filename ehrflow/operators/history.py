@@ -26,9 +26,10 @@ NAME_POLICIES = {
     "export": (S.ON_DUTY_PROFESSIONAL, S.PENDING_SIGNATURE, True),
 }
 
-# Encounters per history page. A patient with more encounters gets several
-# pages, so no single aggregation buffer grows with the patient.
-HISTORY_PAGE_SIZE = 10_000
+# Encounters per history page (a nested row of about 2 MB with every
+# encounter field). A patient with more encounters gets several pages, so
+# no single aggregation buffer or output row grows with the patient.
+HISTORY_PAGE_SIZE = 1_000
 
 
 def with_professional(encounters: DataFrame, professionals: DataFrame, policy: str = "clinician",
