@@ -76,3 +76,19 @@ def test_stream_dedup_opt_in(spark, tmp_dir):
                          os.path.join(tmp_dir, "ck"), dt.datetime(2024, 1, 1), dedup_within="1 hour")
     q.awaitTermination()
     assert spark.read.parquet(os.path.join(tmp_dir, "out")).count() == 2
+
+
+def test_stream_restart_resumes_from_checkpoint(spark, tmp_dir):
+    from ehrflow.sources.commands import NEW_ENCOUNTER
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz")], "documento_id long, primer_nombre string, primer_apellido string")
+    row = {"documento_id": 1, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
+           "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1}
+    in_dir, out, ck = (os.path.join(tmp_dir, x) for x in ("in", "out", "ck"))
+    spark.createDataFrame([dict(row, seq=1), dict(row, seq=2)], NEW_ENCOUNTER).coalesce(1).write.json(os.path.join(in_dir, "a"))
+    as_of = dt.datetime(2024, 1, 1)
+    encounter_stream(spark, os.path.join(in_dir, "*"), pats, pats, out, ck, as_of).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    spark.createDataFrame([dict(row, seq=3)], NEW_ENCOUNTER).coalesce(1).write.json(os.path.join(in_dir, "b"))
+    encounter_stream(spark, os.path.join(in_dir, "*"), pats, pats, out, ck, as_of).awaitTermination()
+    seqs = sorted(r.seq for r in spark.read.parquet(out).select("seq").collect())
+    assert seqs == [1, 2, 3]                       # the first file is not processed again
