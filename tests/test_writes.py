@@ -150,3 +150,20 @@ def test_insert_patients_empty_and_all_rejected(spark):
     assert got == {} and acc.count() == 0
     got, acc = run_insert(spark, [(1, "a")], [(1, "x", 1), (2, "a", 2)])
     assert got == {1: "documento", 2: "correo"} and acc.count() == 0
+
+
+def test_insert_rounds_use_reliable_checkpoints(spark):
+    import os
+    from urllib.parse import urlparse
+    run_insert(spark, [(1, "a")], [(2, "b", 1), (2, "c", 2), (3, "b", 3)])
+    ck = urlparse(spark.sparkContext.getCheckpointDir()).path
+    files = [f for _, _, names in os.walk(ck) for f in names if f.startswith("part-")]
+    assert files                                   # checkpoint data written to the shared folder
+
+
+def test_scale_conf_bounds():
+    from ehrflow.session import scale_conf
+    big = scale_conf(100 * 2 ** 40, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10 ** 8, 8)["spark.sql.shuffle.partitions"] == "24"
+    assert scale_conf(2 ** 40, 100)["spark.sql.shuffle.partitions"] == "1024"
