@@ -92,3 +92,14 @@ def test_stream_restart_resumes_from_checkpoint(spark, tmp_dir):
     encounter_stream(spark, os.path.join(in_dir, "*"), pats, pats, out, ck, as_of).awaitTermination()
     seqs = sorted(r.seq for r in spark.read.parquet(out).select("seq").collect())
     assert seqs == [1, 2, 3]                       # the first file is not processed again
+
+
+def test_key_filter_reaches_both_scans(spark, tmp_dir):
+    pats = spark.range(0, 100).select(F.col("id").alias("documento_id"), F.lit("x").alias("nombre"))
+    enc = spark.range(0, 500).select((F.col("id") % 100).alias("documento_id"), F.col("id").alias("n"))
+    pats.write.parquet(os.path.join(tmp_dir, "p"))
+    enc.write.parquet(os.path.join(tmp_dir, "e"))
+    p = spark.read.parquet(os.path.join(tmp_dir, "p"))
+    e = spark.read.parquet(os.path.join(tmp_dir, "e"))
+    plan = L.plan_text(p.filter(F.col("documento_id") == 7).join(e, "documento_id"))
+    assert plan.count("EqualTo(documento_id,7)") == 2          # inferred for the encounters scan too
