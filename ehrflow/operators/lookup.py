@@ -42,17 +42,45 @@ def _row_bytes(df: DataFrame) -> Column:
     return out.cast("long")
 
 
+_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
+
+
+def estimated_bytes(df: DataFrame) -> float | None:
+    """Catalyst's size estimate of ``df`` (root of ``explain("cost")``), or
+    None when it cannot be read. Without column statistics it errs high
+    (a filter keeps its input's size)."""
+    import contextlib
+    import io
+    import re
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="cost")
+    m = re.search(r"sizeInBytes=([0-9.]+)\s*([KMGTPE]?i?B)", buf.getvalue())
+    if not m or m.group(2) not in _UNITS:
+        return None
+    return float(m.group(1)) * _UNITS[m.group(2)]
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows
-    and ``max_bytes`` bytes, else ``df`` unchanged. The check reads at most
-    ``max_rows + 1`` rows; its answer is remembered for the same plan
-    (``semanticHash``) within the application, so a dimension used by
-    several joins is checked once."""
+    and ``max_bytes`` bytes, else ``df`` unchanged.
+
+    A side whose estimated size is far above the bound is declared large
+    without running anything. Otherwise one job counts at most
+    ``max_rows + 1`` rows and sums their bytes; the answer is remembered for
+    the same plan (``semanticHash``) within the application, so a dimension
+    used by several joins is checked once. A large side stays a sort-merge
+    join, which AQE may still turn into a broadcast from run-time sizes."""
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows, max_bytes)
     if key not in _BOUNDS:
-        stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-        _BOUNDS[key] = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
+        est = estimated_bytes(df)
+        if est is not None and est > 8 * max_bytes:
+            _BOUNDS[key] = False
+        else:
+            stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                               F.sum(_row_bytes(df)).alias("b")).first()
+            _BOUNDS[key] = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
     return F.broadcast(df) if _BOUNDS[key] else df
 
 

@@ -127,3 +127,15 @@ def test_exists_flag(spark):
     assert {r.k: r.f for r in exists_flag(df, other, "m", "f").collect()} == {1: False, 2: False, 3: True}
     assert sorted(r.k for r in null_safe_matches(df, other, "m").collect()) == [2, 3]
     assert sorted(r.k for r in missing_in(df, other, "k").collect()) == [2, 3]
+
+
+def test_small_side_skips_huge_estimates(spark):
+    from ehrflow.operators.lookup import estimated_bytes, small_side
+    from ehrflow.plans.layout import plan_text
+    huge = spark.range(0, 10 ** 12)
+    assert estimated_bytes(huge) > 10 ** 12
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastExchange" not in plan_text(spark.range(10).join(small_side(huge), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
