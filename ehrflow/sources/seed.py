@@ -77,3 +77,13 @@ def seed_tables(spark: SparkSession, rows: dict[str, list[dict]], as_of_utc: _dt
         else:
             out[name] = df
     return out
+
+
+def seed_if_empty(spark: SparkSession, tables: dict[str, DataFrame], rows: dict[str, list[dict]],
+                  as_of_utc: _dt.datetime) -> tuple[dict[str, DataFrame], bool]:
+    """The loader's guard: seed only when the patient table holds no row yet
+    (a one-row probe, not a full count). Returns the tables and whether
+    seeding happened."""
+    if tables["usuario"].limit(1).count() > 0:
+        return tables, False
+    return seed_tables(spark, rows, as_of_utc, current=tables), True

@@ -36,11 +36,22 @@ def load_tables(spark: SparkSession, path: str | None = None, fmt: str = "parque
     return out
 
 
-def create_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
+def create_tables(spark: SparkSession, path: str | None = None, fmt: str = "parquet",
+                  database: str | None = None) -> None:
     """Create every missing table as an empty dataset; existing ones are left
-    untouched (``CREATE TABLE IF NOT EXISTS``)."""
+    untouched (``CREATE TABLE IF NOT EXISTS``). With ``database`` the tables
+    are created in the session catalog (``saveAsTable``, mode ``ignore``),
+    placed under ``path`` when given; otherwise as files under ``path``."""
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("ignore").format(fmt).save(f"{path}/{name}")
+        w = spark.createDataFrame([], schema).write.mode("ignore").format(fmt)
+        if database:
+            if path:
+                w = w.option("path", f"{path}/{name}")
+            w.saveAsTable(f"{database}.{name}")
+        else:
+            w.save(f"{path}/{name}")
 
 
 def save_tables(tables: dict[str, DataFrame], path: str, mode: str = "append", fmt: str = "parquet") -> None:

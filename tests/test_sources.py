@@ -68,3 +68,19 @@ def test_seed_tables(spark):
     assert enc[10].fecha_hora_atencion == dt.datetime(2024, 1, 26, 12) and len(enc[10].atencion_id) == 36
     again = seed_tables(spark, rows, as_of, current=t)
     assert again["usuario"].count() == 2 and again["profesional_salud"].count() == 4
+
+
+def test_catalog_tables_and_seed_guard(spark, tmp_dir):
+    import datetime as dt
+    import uuid
+
+    from ehrflow.sources.seed import seed_if_empty
+    db = "ehr_" + uuid.uuid4().hex[:8]
+    tables.create_tables(spark, tmp_dir, database=db)
+    tables.create_tables(spark, tmp_dir, database=db)            # idempotent
+    t = {n: spark.table(f"{db}.{n}") for n in ("usuario", "atencion", "profesional_salud")}
+    rows = {"usuario": [{"documento_id": 1, "hashed_password": "h"}]}
+    seeded, did = seed_if_empty(spark, t, rows, dt.datetime(2024, 1, 1))
+    assert did and seeded["usuario"].count() == 1
+    again, did2 = seed_if_empty(spark, seeded, rows, dt.datetime(2024, 1, 1))
+    assert not did2 and again["usuario"].count() == 1
