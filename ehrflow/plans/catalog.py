@@ -886,7 +886,7 @@ pv AS (SELECT *, COALESCE({age_sql('fecha_nacimiento')}, edad) AS edad_m FROM pa
 _AS_OF_LOCAL_SQL = local_sql("TIMESTAMP '" + M.AS_OF_UTC.isoformat(sep=" ") + "'")
 
 
-@register("history_documents", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, _DOC_SQL, body=f"""
+_DOCS_SELECT = f"""
 SELECT p.documento_id, CAST(0 AS BIGINT) AS parte, CAST(1 AS BIGINT) AS partes,
   'HC_' || p.documento_id || '_' || strftime({_AS_OF_LOCAL_SQL}, '%Y%m%d') || '.pdf' AS archivo,
   concat_ws(chr(10),
@@ -905,7 +905,11 @@ SELECT p.documento_id, CAST(0 AS BIGINT) AS parte, CAST(1 AS BIGINT) AS partes,
       || ' | REGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
     'IMPRESO: ' || strftime({_AS_OF_LOCAL_SQL}, '%d/%m/%Y %H:%M'),
     COALESCE(b.enc, 'No existen registros de atención.')) AS cuerpo
-FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id"""))
+FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id"""
+
+
+@register("history_documents", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, _DOC_SQL,
+                                           body=_DOCS_SELECT))
 def history_documents(spark, d):
     from ehrflow.operators.documents import history_documents as hd
     pats = H.patient_view(_pats(spark, d), M.AS_OF_DATE)
@@ -1067,26 +1071,7 @@ allowed AS (
   SELECT r.solicitud_id, r.documento_id FROM access_requests r JOIN patients u ON u.documento_id = r.principal_id
   WHERE r.accion = 'exportar'
     AND (u.tipo_usuario = 'medico' OR (u.tipo_usuario = 'paciente' AND r.principal_id = r.documento_id))),
-docs AS (
-  SELECT p.documento_id,
-    'HC_' || p.documento_id || '_' || strftime(""" + _AS_OF_LOCAL_SQL + """, '%Y%m%d') || '.pdf' AS archivo,
-    concat_ws(chr(10),
-      'HISTORIA CLINICA UNIFICADA',
-      'PACIENTE: ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(segundo_nombre, '') || ' '
-        || COALESCE(primer_apellido, 'None') || ' ' || COALESCE(segundo_apellido, '')
-        || ' | DOCUMENTO: ' || COALESCE(tipo_documento, 'None') || ' ' || p.documento_id,
-      'EDAD: ' || COALESCE(CAST(nullif(edad_m, 0) AS VARCHAR), '--') || ' años ('
-        || COALESCE(CAST(fecha_nacimiento AS VARCHAR), 'None') || ') | GENERO: ' || COALESCE(nullif(genero, ''), '--'),
-      'RH: ' || COALESCE(nullif(grupo_sanguineo, ''), '') || ' ' || COALESCE(nullif(factor_rh, ''), '')
-        || ' | ESTADO CIVIL: ' || COALESCE(nullif(estado_civil, ''), '--'),
-      'DIRECCION: ' || COALESCE(nullif(direccion_residencia, ''), '--') || ' - ' || COALESCE(nullif(municipio_ciudad, ''), ''),
-      'CONTACTO: ' || COALESCE(nullif(celular, ''), nullif(telefono, ''), '--')
-        || ' | EMAIL: ' || COALESCE(nullif(correo_electronico, ''), '--'),
-      'ENTIDAD: ' || COALESCE(nullif(entidad_afiliacion, ''), 'PARTICULAR')
-        || ' | REGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
-      'IMPRESO: ' || strftime(""" + _AS_OF_LOCAL_SQL + """, '%d/%m/%Y %H:%M'),
-      COALESCE(b.enc, 'No existen registros de atención.')) AS cuerpo
-  FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id)""", body="""
+docs AS (""" + _DOCS_SELECT + """)""", body="""
 SELECT a.solicitud_id, a.documento_id, d.archivo, sha256(d.cuerpo) AS cuerpo_sha256
 FROM allowed a JOIN docs d ON d.documento_id = a.documento_id"""))
 def export_documents(spark, d):
