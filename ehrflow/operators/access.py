@@ -1,5 +1,5 @@
 """Visibility rules (role -> action, own-record row rule, column masks),
-ordered request outcomes, and token validity as an as-of range join.
+ordered request outcomes, and token validity as a pair-free as-of join.
 """
 
 from __future__ import annotations
@@ -89,41 +89,82 @@ def public_encounter_fields() -> list[str]:
     return list(PUBLIC_ENCOUNTER_FIELDS)
 
 
+def _levels(n: int) -> int:
+    """Dyadic levels needed to cover any range of ``n + 1`` integers."""
+    return max(1, int(n).bit_length() + 1)
+
+
+def _cover(df: DataFrame, lo: str, hi: str, levels: int) -> DataFrame:
+    """Rows (``_k``, ``_blk``) of the canonical dyadic cover of the integer
+    range [``lo``, ``hi``]: block ``_blk`` at level ``_k`` holds the integers
+    ``_blk * 2^_k .. (_blk + 1) * 2^_k - 1``; at most two blocks per level,
+    disjoint, together exactly the range (the segment-tree walk in closed
+    form: the left bound rounds up, the right bound down, level by level)."""
+    out = (df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+           .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+           .withColumn("_l", F.expr(f"shiftright({lo} + shiftleft(1L, _k) - 1, _k)"))
+           .withColumn("_r", F.expr(f"shiftright({hi} + 1, _k)"))
+           .filter("_l < _r"))
+    left = (F.col("_side") == 0) & (F.pmod("_l", F.lit(2)) == 1)
+    right = (F.col("_side") == 1) & (F.pmod("_r", F.lit(2)) == 1)
+    return (out.filter(left | right)
+            .withColumn("_blk", F.when(F.col("_side") == 0, F.col("_l")).otherwise(F.col("_r") - 1))
+            .drop("_side", "_l", "_r"))
+
+
 def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int = 30,
                         key: str = "solicitud_id", user: str = "usuario", ts: str = "ts",
                         login_ts: str = "login_ts") -> DataFrame:
     """A request is authorised while the latest login of its user at or
     before it is still valid: ``trunc_sec(ts) <= trunc_sec(login + ttl)``.
 
-    Validity grows with the login time, so "the latest login is valid" is
-    the same as "some login in the last ttl (+1 s) is valid". That turns the
-    as-of join into a range join on time buckets of width ttl + 1 minute:
-    each request looks at its own and the previous bucket of the same user.
-    A busy user is spread over many (user, bucket) keys instead of one
-    window partition. Output: every request with ``login_ts`` (latest valid
-    login, NULL if none) and ``autorizado``; ``key`` must identify requests.
+    Validity grows with the login time and depends only on the login's whole
+    second, so a request is authorised exactly when its user has a login in
+    the seconds [S - ttl, S - 1] (S = the request's second) or in the
+    request's own second at or before it; the latest such login is the
+    answer. Both ranges are covered by dyadic blocks (at most two per level)
+    and logins are reduced to the latest one per (user, block), so every
+    request joins at most a few dozen unique rows: no (request, login) pairs
+    are formed and no user's events are gathered in one task. Output: every
+    request with ``login_ts`` (latest valid login, NULL if none) and
+    ``autorizado``; ``key`` must identify requests.
     """
-    width = (ttl_minutes + 1) * 60 * 1_000_000  # microseconds
-    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(ttl_minutes))
-    # Microseconds since 1970-01-01 on the wall clock of the stored values,
-    # whatever the session time zone (a zone with daylight saving would
-    # otherwise stretch or shrink some differences by an hour).
+    ttl_s = ttl_minutes * 60
+    sec_levels, micro_levels = _levels(ttl_s), _levels(999_999)
+    # Microseconds / seconds since 1970-01-01 on the wall clock of the stored
+    # values, whatever the session time zone.
     epoch = F.lit(_dt.datetime(1970, 1, 1)).cast(requests.schema[ts].dataType)
 
-    def bucket(c):
-        return F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col(c)) / F.lit(width)).cast("long")
-
-    req = requests.withColumn("_b", F.explode(F.array(bucket(ts), bucket(ts) - 1)))
-    lg = logins.select(F.col(user), F.col(login_ts), bucket(login_ts).alias("_b"))
-    cand = req.join(lg, [user, "_b"], "inner").filter(
-        (F.col(login_ts) <= F.col(ts))
-        & (F.date_trunc("second", F.col(ts)) <= F.date_trunc("second", F.col(login_ts) + ttl)))
+    def micros(c):
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(c))
+
+    req = requests.select(key, user, micros(ts).alias("_us"))
+    req = req.withColumn("_s", F.floor(F.col("_us") / 1_000_000).cast("long"))
+    whole = _cover(req.withColumn("_lo", F.col("_s") - ttl_s).withColumn("_hi", F.col("_s") - 1),
+                   "_lo", "_hi", sec_levels).withColumn("_part", F.lit(0))
+    same = _cover(req.withColumn("_lo", F.col("_s") * 1_000_000).withColumn("_hi", F.col("_us")),
+                  "_lo", "_hi", micro_levels).withColumn("_part", F.lit(1))
+    probes = whole.unionByName(same).select(key, user, "_part", "_k", "_blk")
+
+    lg = logins.select(user, F.col(login_ts).alias("_lt"), micros(login_ts).alias("_lus"))
+    lg_parts = []
+    for part, unit, levels in ((0, "seconds", sec_levels), (1, "micros", micro_levels)):
+        base = F.floor(F.col("_lus") / 1_000_000).cast("long") if unit == "seconds" else F.col("_lus")
+        lg_parts.append(lg.withColumn("_v", base)
+                        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+                        .withColumn("_blk", F.expr("shiftright(_v, _k)"))
+                        .withColumn("_part", F.lit(part))
+                        .select(user, "_part", "_k", "_blk", "_lt"))
+    latest = (lg_parts[0].unionByName(lg_parts[1])
+              .groupBy(user, "_part", "_k", "_blk").agg(F.max("_lt").alias(login_ts)))
+
+    cand = probes.join(latest, [user, "_part", "_k", "_blk"], "inner").select(key, login_ts)
     # Requests without a candidate must survive: union them (login NULL)
-    # with the candidates and reduce per request in one aggregation, instead
-    # of aggregating and joining back (one shuffle fewer).
+    # with the candidates and reduce per request in one aggregation.
     ts_type = logins.schema[login_ts].dataType
     others = [c for c in requests.columns if c != key]
     both = requests.withColumn(login_ts, F.lit(None).cast(ts_type)).unionByName(
-        cand.select(*requests.columns, login_ts))
-    out = both.groupBy(key).agg(*[F.any_value(c).alias(c) for c in others], F.max(login_ts).alias(login_ts))
+        cand.select(key, *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in others], login_ts))
+    out = both.groupBy(key).agg(*[F.any_value(c, True).alias(c) for c in others],
+                                F.max(login_ts).alias(login_ts))
     return out.withColumn("autorizado", F.col(login_ts).isNotNull())

@@ -74,3 +74,21 @@ def test_token_window_random(spark):
     reqs = [(i, rnd.randint(0, 3), base + dt.timedelta(seconds=rnd.randint(0, 20000), microseconds=rnd.randint(0, 999999)))
             for i in range(300)]
     assert run(spark, reqs, logins) == brute(reqs, logins, 30)
+
+
+def test_token_window_hot_user(spark):
+    """One user with thousands of logins and requests inside one window: the
+    answer is exact and no (request, login) pairs are formed."""
+    import bisect
+    rnd = random.Random(17)
+    base = dt.datetime(2024, 1, 1, 12)
+    logins = sorted(base + dt.timedelta(microseconds=rnd.randint(0, 20 * 60 * 10 ** 6)) for _ in range(3000))
+    reqs = [(i, base + dt.timedelta(microseconds=rnd.randint(-10 ** 6, 40 * 60 * 10 ** 6))) for i in range(3000)]
+    got = run(spark, [(i, 1, t) for i, t in reqs], [(1, t) for t in logins])
+    want = {}
+    for i, t in reqs:
+        j = bisect.bisect_right(logins, t)
+        last = logins[j - 1] if j else None
+        ok = last is not None and t.replace(microsecond=0) <= (last + dt.timedelta(minutes=30)).replace(microsecond=0)
+        want[i] = last if ok else None
+    assert got == want
