@@ -140,17 +140,32 @@ def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int
 
     req = requests.select(key, user, micros(ts).alias("_us"))
     req = req.withColumn("_s", F.floor(F.col("_us") / 1_000_000).cast("long"))
-    whole = _cover(req.withColumn("_lo", F.col("_s") - ttl_s).withColumn("_hi", F.col("_s") - 1),
+    lg = logins.select(user, F.col(login_ts).alias("_lt"), micros(login_ts).alias("_lus"))
+    lg = lg.withColumn("_ls", F.floor(F.col("_lus") / 1_000_000).cast("long"))
+
+    # Pruning on unique keys (no pairs): only requests with some login of
+    # their user in the two coarse windows around them are probed by whole
+    # seconds, and only requests sharing a second with a login of their
+    # user (and those logins) take part in the microsecond probes.
+    width = ttl_s + 1
+    coarse = lg.select(user, F.floor(F.col("_ls") / width).cast("long").alias("_cw")).distinct()
+    near = (req.withColumn("_cw", F.explode(F.array(F.floor(F.col("_s") / width).cast("long"),
+                                                      F.floor((F.col("_s") - ttl_s) / width).cast("long"))))
+            .join(coarse, [user, "_cw"], "left_semi").select(key).distinct())
+    req_a = req.join(near, key, "left_semi")
+    login_secs = lg.select(user, F.col("_ls").alias("_s")).distinct()
+    req_b = req.join(login_secs, [user, "_s"], "left_semi")
+    lg_b = lg.join(req.select(user, F.col("_s").alias("_ls")).distinct(), [user, "_ls"], "left_semi")
+
+    whole = _cover(req_a.withColumn("_lo", F.col("_s") - ttl_s).withColumn("_hi", F.col("_s") - 1),
                    "_lo", "_hi", sec_levels).withColumn("_part", F.lit(0))
-    same = _cover(req.withColumn("_lo", F.col("_s") * 1_000_000).withColumn("_hi", F.col("_us")),
+    same = _cover(req_b.withColumn("_lo", F.col("_s") * 1_000_000).withColumn("_hi", F.col("_us")),
                   "_lo", "_hi", micro_levels).withColumn("_part", F.lit(1))
     probes = whole.unionByName(same).select(key, user, "_part", "_k", "_blk")
 
-    lg = logins.select(user, F.col(login_ts).alias("_lt"), micros(login_ts).alias("_lus"))
     lg_parts = []
-    for part, unit, levels in ((0, "seconds", sec_levels), (1, "micros", micro_levels)):
-        base = F.floor(F.col("_lus") / 1_000_000).cast("long") if unit == "seconds" else F.col("_lus")
-        lg_parts.append(lg.withColumn("_v", base)
+    for part, src, base, levels in ((0, lg, "_ls", sec_levels), (1, lg_b, "_lus", micro_levels)):
+        lg_parts.append(src.withColumn("_v", F.col(base))
                         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
                         .withColumn("_blk", F.expr("shiftright(_v, _k)"))
                         .withColumn("_part", F.lit(part))
