@@ -89,6 +89,13 @@ def public_encounter_fields() -> list[str]:
     return list(PUBLIC_ENCOUNTER_FIELDS)
 
 
+def _floor_div(x, d: int):
+    """Exact floor division of a long column by a positive constant, also
+    for negative values: ``x - pmod(x, d)`` is an exact multiple of ``d``,
+    so the quotient is an exactly representable integer (|x| < 2^53)."""
+    return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("long")
+
+
 def _levels(n: int) -> int:
     """Dyadic levels needed to cover any range of ``n + 1`` integers."""
     return max(1, int(n).bit_length() + 1)
@@ -139,18 +146,18 @@ def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int
         return F.timestamp_diff("MICROSECOND", epoch, F.col(c))
 
     req = requests.select(key, user, micros(ts).alias("_us"))
-    req = req.withColumn("_s", F.floor(F.col("_us") / 1_000_000).cast("long"))
+    req = req.withColumn("_s", _floor_div(F.col("_us"), 1_000_000))
     lg = logins.select(user, F.col(login_ts).alias("_lt"), micros(login_ts).alias("_lus"))
-    lg = lg.withColumn("_ls", F.floor(F.col("_lus") / 1_000_000).cast("long"))
+    lg = lg.withColumn("_ls", _floor_div(F.col("_lus"), 1_000_000))
 
     # Pruning on unique keys (no pairs): only requests with some login of
     # their user in the two coarse windows around them are probed by whole
     # seconds, and only requests sharing a second with a login of their
     # user (and those logins) take part in the microsecond probes.
     width = ttl_s + 1
-    coarse = lg.select(user, F.floor(F.col("_ls") / width).cast("long").alias("_cw")).distinct()
-    near = (req.withColumn("_cw", F.explode(F.array(F.floor(F.col("_s") / width).cast("long"),
-                                                      F.floor((F.col("_s") - ttl_s) / width).cast("long"))))
+    coarse = lg.select(user, _floor_div(F.col("_ls"), width).alias("_cw")).distinct()
+    near = (req.withColumn("_cw", F.explode(F.array(_floor_div(F.col("_s"), width),
+                                                      _floor_div(F.col("_s") - ttl_s, width))))
             .join(coarse, [user, "_cw"], "left_semi").select(key).distinct())
     req_a = req.join(near, key, "left_semi")
     login_secs = lg.select(user, F.col("_ls").alias("_s")).distinct()

@@ -92,3 +92,18 @@ def test_token_window_hot_user(spark):
         ok = last is not None and t.replace(microsecond=0) <= (last + dt.timedelta(minutes=30)).replace(microsecond=0)
         want[i] = last if ok else None
     assert got == want
+
+
+def test_token_window_second_edges(spark):
+    """Requests and logins at x.999999 and x.000000 of neighbouring seconds,
+    before and after 1970."""
+    out = []
+    for base in (dt.datetime(2024, 1, 1, 12), dt.datetime(1969, 12, 31, 23, 40)):
+        login = base + dt.timedelta(microseconds=999_999)
+        reqs = [(1, 1, login), (2, 1, login + dt.timedelta(microseconds=1)),
+                (3, 1, login + dt.timedelta(minutes=30)), (4, 1, login + dt.timedelta(minutes=30, microseconds=1)),
+                (5, 1, login - dt.timedelta(microseconds=1))]
+        got = run(spark, reqs, [(1, login)])
+        assert got == brute(reqs, [(1, login)], 30)
+        out.append(got)
+    assert out[0][3] is not None and out[0][4] is None and out[0][5] is None
