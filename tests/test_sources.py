@@ -84,3 +84,16 @@ def test_catalog_tables_and_seed_guard(spark, tmp_dir):
     assert did and seeded["usuario"].count() == 1
     again, did2 = seed_if_empty(spark, seeded, rows, dt.datetime(2024, 1, 1))
     assert not did2 and again["usuario"].count() == 1
+
+
+def test_document_and_json_sinks(spark, tmp_dir):
+    import json as _json
+    p = spark.createDataFrame([(1,), (2,)], "documento_id long")
+    e = spark.createDataFrame([(1, "a", None)], "documento_id long, atencion_id string, fecha_hora_atencion timestamp_ntz")
+    h = H.patient_history(p, e)
+    rows = {r.documento_id: _json.loads(r.json) for r in sinks.history_as_json(h).collect()}
+    assert rows[1]["atenciones"][0]["atencion_id"] == "a" and rows[2]["atenciones"] == []
+    docs = spark.createDataFrame([(1, 0, 1, "HC_1_20240131.pdf", "texto")],
+                                 "documento_id long, parte long, partes long, archivo string, cuerpo string")
+    sinks.write_documents(docs, os.path.join(tmp_dir, "docs"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "docs")).first().archivo == "HC_1_20240131.pdf"
