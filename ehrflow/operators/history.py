@@ -102,9 +102,11 @@ def encounter_counts(patients: DataFrame, encounters: DataFrame, out: str = "n_a
 
 
 def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence[str] | None = None,
-                    page_size: int = HISTORY_PAGE_SIZE) -> DataFrame:
+                    page_size: int = HISTORY_PAGE_SIZE,
+                    order: Sequence[str] = ("fecha_hora_atencion", "atencion_id")) -> DataFrame:
     """C1 nested (D3, F3): each patient with a list ``atenciones`` of encounter
-    structs, newest first (``atencion_id`` breaks ties); ``[]`` when none.
+    structs, newest first by ``order`` (time, then ``atencion_id`` to break
+    ties); ``[]`` when none.
 
     A patient with more than ``page_size`` encounters is returned as several
     rows (``pagina`` 0..``paginas``-1), each holding at most about
@@ -112,7 +114,7 @@ def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence
     ``pagina = 0``.
     """
     fields = list(fields or [c for c in encounters.columns if c != "documento_id"])
-    order_first = ["fecha_hora_atencion", "atencion_id"]
+    order_first = list(order)
     struct_fields = order_first + [c for c in fields if c not in order_first]
     counts = encounters.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))
     paged = (encounters.join(counts, "documento_id")

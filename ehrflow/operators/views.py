@@ -19,12 +19,18 @@ from ehrflow.sources.schemas import PUBLIC_ENCOUNTER_FIELDS
 
 
 def _history(tables: dict[str, DataFrame], patients: DataFrame, policy: str, as_of_date) -> DataFrame:
+    """Nested history as the views return it: local times shown, but the
+    timeline ordered by the stored UTC instant (local wall time repeats an
+    hour when daylight saving ends)."""
     enc = H.encounter_view(tables["atencion"], tables["profesional_salud"], policy)
-    enc = enc.withColumn("fecha_hora_atencion", F.col("fecha_hora_local")) \
-        .withColumnRenamed("profesional_nombre", "profesional_responsable_nombre")
+    enc = (enc.withColumn("_orden", F.col("fecha_hora_atencion"))
+           .withColumn("fecha_hora_atencion", F.col("fecha_hora_local"))
+           .withColumnRenamed("profesional_nombre", "profesional_responsable_nombre"))
     fields = [c for c in PUBLIC_ENCOUNTER_FIELDS if c in enc.columns]
     enc = enc.join(patients.select("documento_id"), "documento_id", "left_semi")
-    return H.patient_history(H.patient_view(patients, as_of_date), enc.select("documento_id", *fields))
+    hist = H.patient_history(H.patient_view(patients, as_of_date), enc.select("documento_id", "_orden", *fields),
+                             order=("_orden", "atencion_id"))
+    return hist.withColumn("atenciones", F.transform("atenciones", lambda a: a.dropFields("_orden")))
 
 
 def clinician_lookup(tables: dict[str, DataFrame], ids: DataFrame, as_of_date) -> DataFrame:

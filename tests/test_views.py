@@ -50,3 +50,19 @@ def test_admission_lookup(spark):
     assert r.edad == 3 and "atenciones" not in r.asDict()
     r = V.admission_lookup(t, ids, parity=True, as_of_date=dt.date(2023, 2, 28)).first()
     assert r.edad == 3 and len(r.atenciones) == 2
+
+
+def test_views_order_by_instant_across_dst_end(spark):
+    """Bogota left daylight saving at 1993-02-07 04:00 UTC (local 00:00 went
+    back to 23:00), so local 23:00-24:00 of Feb 6 happened twice: 04:30 UTC
+    is the later instant but shows an earlier wall time than 03:50 UTC."""
+    t = tables(spark)
+    t["atencion"] = conform(spark, [
+        {"atencion_id": "x1", "documento_id": 1, "fecha_hora_atencion": dt.datetime(1993, 2, 7, 3, 50)},
+        {"atencion_id": "x2", "documento_id": 1, "fecha_hora_atencion": dt.datetime(1993, 2, 7, 4, 30)},
+    ], ATENCION)
+    rows = V.clinician_lookup(t, spark.createDataFrame([(1,)], "documento_id long"), dt.date(2023, 2, 28)).first()
+    assert [a.atencion_id for a in rows.atenciones] == ["x2", "x1"]                 # later instant first
+    assert [a.fecha_hora_atencion for a in rows.atenciones] == [dt.datetime(1993, 2, 6, 23, 30),
+                                                                 dt.datetime(1993, 2, 6, 23, 50)]
+    assert "_orden" not in rows.atenciones[0].asDict()
