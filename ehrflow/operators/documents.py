@@ -65,7 +65,7 @@ def encounter_block() -> Column:
     """One encounter rendered as text lines (newline separated); expects the
     ``_vt_*`` columns of :func:`with_vital_texts`."""
     shown = [F.when(F.col(f"_vt_{k}").isNotNull(),
-                    F.concat(F.lit(lbl + ": "), F.col(f"_vt_{k}"), F.lit(unit)))
+                    F.concat(F.lit(lbl + ": "), S.with_unit(F.col(f"_vt_{k}"), unit)))
              for k, lbl, unit in VITALS]
     vitals_line = F.concat_ws("; ", *shown)
     history_any = S.any_present("antecedentes_personales", "antecedentes_familiares",
