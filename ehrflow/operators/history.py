@@ -120,8 +120,20 @@ def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence
     paged = (encounters.join(counts, "documento_id")
              .withColumn("paginas", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(page_size))))
              .withColumn("pagina", F.pmod(F.xxhash64("atencion_id"), F.col("paginas"))))
-    lists = (paged.groupBy("documento_id", "pagina", "paginas")
-             .agg(F.sort_array(F.collect_list(F.struct(*struct_fields)), asc=False).alias("atenciones")))
+    collected = F.collect_list(F.struct(*struct_fields))
+    types = {f.name: f.dataType.typeName() for f in encounters.schema.fields}
+    if any(types.get(c) in ("variant", "map") for c in struct_fields):
+        # Structs holding VARIANT or MAP values are not orderable as a whole:
+        # compare the order fields only (once per history page).
+        def newest_first(x, y):
+            out = F.lit(0)
+            for c in reversed(order_first):
+                out = F.when(x[c] > y[c], -1).when(x[c] < y[c], 1).otherwise(out)
+            return out
+        ordered = F.array_sort(collected, newest_first)
+    else:
+        ordered = F.sort_array(collected, asc=False)
+    lists = paged.groupBy("documento_id", "pagina", "paginas").agg(ordered.alias("atenciones"))
     empty_type = lists.schema["atenciones"].dataType
     out = patients.join(lists, "documento_id", "left")
     return (out.withColumn("atenciones", F.coalesce(F.col("atenciones"), F.array().cast(empty_type)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ehrflow.functions import scalars as S
 from ehrflow.operators import history as H
 from ehrflow.operators.access import visible_columns, visible_rows
 from ehrflow.operators.documents import history_documents
@@ -19,12 +20,13 @@ from ehrflow.sources.schemas import PUBLIC_ENCOUNTER_FIELDS
 
 
 def _history(tables: dict[str, DataFrame], patients: DataFrame, policy: str, as_of_date) -> DataFrame:
-    """Nested history as the views return it: local times shown, but the
-    timeline ordered by the stored UTC instant (local wall time repeats an
-    hour when daylight saving ends)."""
+    """Nested history as the views return it: local times and parsed vitals
+    (invalid text becomes ``{}``) shown, the timeline ordered by the stored
+    UTC instant (local wall time repeats an hour when daylight saving ends)."""
     enc = H.encounter_view(tables["atencion"], tables["profesional_salud"], policy)
     enc = (enc.withColumn("_orden", F.col("fecha_hora_atencion"))
            .withColumn("fecha_hora_atencion", F.col("fecha_hora_local"))
+           .withColumn("signos_vitales", S.parse_vitals("signos_vitales"))
            .withColumnRenamed("profesional_nombre", "profesional_responsable_nombre"))
     fields = [c for c in PUBLIC_ENCOUNTER_FIELDS if c in enc.columns]
     enc = enc.join(patients.select("documento_id"), "documento_id", "left_semi")

@@ -38,6 +38,7 @@ def test_clinician_and_patient_views(spark):
     assert [x.atencion_id for x in a] == ["a2", "a1"]
     assert a[1].fecha_hora_atencion == dt.datetime(2023, 12, 31, 19, 0)          # local time
     assert [x.profesional_responsable_nombre for x in a] == ["No especificado", "Dra. Uno"]
+    assert a[1].signos_vitales.toPython() == {"fc": 80} and a[0].signos_vitales is None
     page = V.patient_page(t, ids, dt.date(2023, 2, 28)).collect()
     assert [r.documento_id for r in page] == [1]                                 # the clinician has no page
     assert [x.profesional_responsable_nombre for x in page[0].atenciones] == ["Dr. Ana Ruiz", "Dra. Uno"]
