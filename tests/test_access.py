@@ -107,3 +107,23 @@ def test_token_window_second_edges(spark):
         assert got == brute(reqs, [(1, login)], 30)
         out.append(got)
     assert out[0][3] is not None and out[0][4] is None and out[0][5] is None
+
+
+def test_dyadic_cover_is_exact(spark):
+    from ehrflow.operators.access import _cover, _levels
+    rnd = random.Random(23)
+    ranges = [(rnd.randint(-5000, 5000), 0) for _ in range(60)]
+    ranges = [(lo, lo + rnd.randint(0, 1800)) for lo, _ in ranges] + [(7, 7), (0, 0), (-1, 0), (1023, 2048)]
+    df = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges)], "i long, lo long, hi long")
+    blocks = {}
+    for r in _cover(df, "lo", "hi", _levels(1800)).select("i", "_k", "_blk").collect():
+        blocks.setdefault(r.i, []).append((r._k, r._blk))
+    for i, (lo, hi) in enumerate(ranges):
+        covered = []
+        for k, b in blocks.get(i, []):
+            covered.extend(range(b << k, (b + 1) << k))
+        assert sorted(covered) == list(range(lo, hi + 1))          # disjoint and exact
+        per_level = {}
+        for k, _ in blocks.get(i, []):
+            per_level[k] = per_level.get(k, 0) + 1
+        assert max(per_level.values()) <= 2
