@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from ehrflow.plans import catalog as C
 from ehrflow.plans import driver_model as M
 from tests.oracle_check import canon, duck
 
@@ -12,11 +13,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name, cte", [("patients", M.PATIENTS_SQL), ("encounters", M.ENCOUNTERS_SQL),
-                                        ("professionals", M.PROFESSIONALS_SQL)])
-def test_mapping_matches_mirror(spark, name, cte):
+@pytest.mark.parametrize("name, cte, table", [
+    ("patients", M.PATIENTS_SQL, "patients"), ("encounters", M.ENCOUNTERS_SQL, "encounters"),
+    ("professionals", M.PROFESSIONALS_SQL, "professionals"), ("technologies", C._TECH_SQL, "tech")])
+def test_mapping_matches_mirror(spark, name, cte, table):
     con = duck(SF)
-    res = con.execute(M.with_ctes(cte, body=f"SELECT * FROM {name}"))
+    res = con.execute(M.with_ctes(cte, body=f"SELECT * FROM {table}"))
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     sdf = M.model(spark, SF, name).select(*dcols)
