@@ -23,3 +23,12 @@ def test_mapping_matches_mirror(spark, name, cte, table):
     drows = res.fetchall()
     sdf = M.model(spark, SF, name).select(*dcols)
     assert canon(dcols, drows)[2] == canon(sdf.columns, [tuple(r) for r in sdf.collect()])[2]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_access_requests_match_mirror(spark):
+    con = duck(SF)
+    res = con.execute(M.with_ctes(M.ACCESS_REQUESTS_SQL, body="SELECT * FROM access_requests"))
+    dcols = [d[0] for d in res.description]
+    sdf = M.access_requests(M.read(spark, SF, "events")).select(*dcols)
+    assert canon(dcols, res.fetchall())[2] == canon(sdf.columns, [tuple(r) for r in sdf.collect()])[2]
