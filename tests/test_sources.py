@@ -97,3 +97,12 @@ def test_document_and_json_sinks(spark, tmp_dir):
                                  "documento_id long, parte long, partes long, archivo string, cuerpo string")
     sinks.write_documents(docs, os.path.join(tmp_dir, "docs"))
     assert spark.read.parquet(os.path.join(tmp_dir, "docs")).first().archivo == "HC_1_20240131.pdf"
+
+
+def test_jdbc_source_is_wired(spark):
+    """The JDBC reader reaches spark.read.jdbc with range partitioning; with no
+    driver jar installed it stops at driver lookup (no connection is made)."""
+    import pytest
+    with pytest.raises(Exception, match="No suitable driver"):
+        tables.load_tables(spark, fmt="jdbc", jdbc_url="jdbc:postgresql://db.invalid:5432/hce",
+                           jdbc_props={"user": "u"}, names=["atencion"], key_bounds=(0, 10 ** 10))
