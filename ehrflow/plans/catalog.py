@@ -1080,3 +1080,28 @@ def export_documents(spark, d):
     req = M.access_requests(_t(spark, d, "events")).filter(F.col("accion") == "exportar")
     out = ed(tables, req, M.AS_OF_DATE, M.AS_OF_UTC)
     return out.select("solicitud_id", "documento_id", "archivo", F.sha2("cuerpo", 256).alias("cuerpo_sha256"))
+
+
+# --------------------------------------- the patient's page (role view) ---
+
+@register("patient_page", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, body=f"""
+SELECT p.documento_id, CAST(COALESCE({age_sql('p.fecha_nacimiento')}, p.edad) AS BIGINT) AS edad, e.atencion_id,
+  strftime({local_sql('e.fecha_hora_atencion')}, '%d de %B, %Y') AS fecha,
+  strftime({local_sql('e.fecha_hora_atencion')}, '%I:%M %p') AS hora,
+  CASE WHEN nullif(e.profesional_responsable, '') IS NULL THEN COALESCE(nullif(e.responsable_registro, ''), 'Profesional de Staff')
+       WHEN pr.id_personal_salud IS NULL THEN 'Desconocido' ELSE pr.nombre_completo END AS profesional,
+  CASE WHEN json_valid(e.signos_vitales) THEN nullif(TRY_CAST(json_extract_string(e.signos_vitales, '$.fc') AS BIGINT), 0) END
+    AS fc
+FROM patients p JOIN encounters e ON e.documento_id = p.documento_id
+LEFT JOIN professionals pr ON pr.id_personal_salud = nullif(e.profesional_responsable, '')
+WHERE p.tipo_usuario = 'paciente'"""))
+def patient_page(spark, d):
+    from ehrflow.operators.views import patient_page as page
+    t = {"usuario": _pats(spark, d), "atencion": _encs(spark, d), "profesional_salud": _profs(spark, d)}
+    pages = page(t, _pats(spark, d).select("documento_id"), M.AS_OF_DATE)
+    a = pages.select("documento_id", F.col("edad").cast("long").alias("edad"), F.explode("atenciones").alias("a"))
+    return a.select("documento_id", "edad", F.col("a.atencion_id").alias("atencion_id"),
+                    S.fmt("a.fecha_hora_atencion", "long_date").alias("fecha"),
+                    S.fmt("a.fecha_hora_atencion", "clock").alias("hora"),
+                    F.col("a.profesional_responsable_nombre").alias("profesional"),
+                    S.vital(F.col("a.signos_vitales"), "fc", "bigint").alias("fc"))
