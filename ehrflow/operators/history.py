@@ -60,7 +60,7 @@ def encounter_view(encounters: DataFrame, professionals: DataFrame | None = None
     and (when professionals are given) the professional's name."""
     df = encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion", zone))
     if "signos_vitales" in df.columns:
-        df = df.withColumn("signos_vitales_json", S.parse_json_or_empty("signos_vitales"))
+        df = df.withColumn("signos_vitales_json", S.parse_vitals("signos_vitales"))
     if professionals is not None:
         df = with_professional(df, professionals, policy)
     return df
