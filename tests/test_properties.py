@@ -76,3 +76,17 @@ def test_results_do_not_depend_on_session_zone(spark):
             assert run() == base
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_first_per_matches_python(spark):
+    from ehrflow.operators.lookup import first_per
+    rnd = random.Random(31)
+    rows = [(rnd.choice("abcde"), i, rnd.randint(0, 9)) for i in range(300)]     # (group, unique order, value)
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    for desc in (False, True):
+        got = sorted(tuple(r) for r in first_per(df, ["g"], ["o"], descending=desc).collect())
+        want = {}
+        for g, o, v in rows:
+            if g not in want or (o > want[g][0] if desc else o < want[g][0]):
+                want[g] = (o, v)
+        assert got == sorted((g, o, v) for g, (o, v) in want.items())
