@@ -167,3 +167,45 @@ def test_scale_conf_bounds():
     assert big["spark.sql.shuffle.partitions"] == "100000"
     assert scale_conf(10 ** 8, 8)["spark.sql.shuffle.partitions"] == "24"
     assert scale_conf(2 ** 40, 100)["spark.sql.shuffle.partitions"] == "1024"
+
+
+def test_patch_matches_sequential_model(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(41)
+    today = dt.date(2024, 1, 31)                       # local date of AS_OF
+
+    def age(d):
+        return today.year - d.year - ((today.month, today.day) < (d.month, d.day))
+
+    current = {k: {"celular": f"c{k}", "fecha_nacimiento": dt.date(1990, 1, 1), "edad": 40} for k in range(8)}
+    patches = []
+    for s in range(60):
+        doc = rnd.randint(0, 9)                         # 8 and 9 do not exist
+        body = {}
+        for f in rnd.sample(["celular", "fecha_nacimiento", "edad"], rnd.randint(0, 3)):
+            if f == "celular":
+                body[f] = rnd.choice([None, "", f"n{s}"])
+            elif f == "fecha_nacimiento":
+                body[f] = rnd.choice([None, f"{rnd.randint(1950, 2020)}-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}"])
+            else:
+                body[f] = rnd.choice([None, rnd.randint(0, 99)])
+        patches.append((doc, s, body))
+    model = {k: dict(v) for k, v in current.items()}
+    for doc, s, body in sorted(patches, key=lambda p: p[1]):   # one request at a time
+        if doc not in model:
+            continue
+        for f, v in body.items():
+            model[doc][f] = dt.date.fromisoformat(v) if f == "fecha_nacimiento" and v else v
+        if body.get("fecha_nacimiento"):
+            model[doc]["edad"] = age(model[doc]["fecha_nacimiento"])
+    cur = spark.createDataFrame([(k, v["celular"], v["fecha_nacimiento"], v["edad"], None) for k, v in current.items()],
+                                "documento_id long, celular string, fecha_nacimiento date, edad int, updated_at timestamp_ntz")
+    for f in W.PATCH_FIELDS:
+        if f not in cur.columns:
+            cur = cur.withColumn(f, F.lit(None).cast("string"))
+    pdf = spark.createDataFrame([(d, s, json.dumps(b)) for d, s, b in patches], "documento_id long, seq long, patch string")
+    out, rej = W.patch_patients(cur, pdf, AS_OF)
+    got = {r.documento_id: {"celular": r.celular, "fecha_nacimiento": r.fecha_nacimiento, "edad": r.edad}
+           for r in out.collect()}
+    assert got == model
+    assert {r.documento_id for r in rej.collect()} == {d for d, _, _ in patches if d not in current}
