@@ -209,3 +209,18 @@ def test_patch_matches_sequential_model(spark):
            for r in out.collect()}
     assert got == model
     assert {r.documento_id for r in rej.collect()} == {d for d, _, _ in patches if d not in current}
+
+
+def test_insert_or_ignore_matches_model(spark):
+    rnd = random.Random(53)
+    current = {rnd.randint(0, 30) for _ in range(10)}
+    batch = [(rnd.randint(0, 40), f"v{s}", s) for s in rnd.sample(range(1000), 80)]
+    model = {}
+    for k, v, s in sorted(batch, key=lambda r: r[2]):
+        if k not in current and k not in model:
+            model[k] = v
+    cur = spark.createDataFrame([(k, "old") for k in current], "k long, v string")
+    b = spark.createDataFrame(batch, "k long, v string, seq long")
+    table, ins = W.insert_or_ignore(cur, b, ["k"])
+    assert {r.k: r.v for r in ins.collect()} == model
+    assert table.count() == len(current) + len(model)
