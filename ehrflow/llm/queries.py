@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ehrflow.llm import mixing, packing, quality, secrets, simhash
+from ehrflow.llm import mixing, packing, quality, secrets, simhash, sketches, urls, warc
+from ehrflow.llm._shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of the pages on hosts with the label
+    ``spam-farm``."""
+    pages = _table(spark, sf_dir, "pages")
+    farm = F.regexp_like(urls.host(F.col("url")), F.lit(r"(^|\.)spam-farm(\.|$)"))
+    return urls.judged(pages, pages.filter(farm).select(urls.canonical(F.col("url"))))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -41,17 +50,68 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer(), keep_ids=False)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sketches.edited_pairs(_table(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.fingerprint("sketch").alias("fingerprint"),
+                        sketches.fingerprint("edited_sketch").alias("edited_fingerprint"), sketches.likeness("sketch", "edited_sketch").alias("near_edited"),
+                        sketches.likeness("sketch", "next_sketch").alias("near_next"), sketches.containment("edited_sketch", "sketch").alias("contained"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, keep_payload=False).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+def _rules_sql(pick: int) -> str:
+    """CASE over the rules, the longest first: their text (1) or kind (0)."""
+    whens = []
+    for rule in sorted(urls.RULES, key=lambda r: (-len(r[1]), r[1])):
+        of, _, prefix = rule[1].partition("/")
+        whens.append(f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '/{prefix}') THEN '{rule[pick]}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+ORACLE: dict[str, str] = {
+    "op2_url_filters": f"""
+WITH parts AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\\?([^#]*)', 1), '&'),
+                               lambda x: x <> '' AND NOT regexp_matches(x, '{urls.TRACKING}'))) AS kept
+  FROM pages),
+named AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+           regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+           || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
+  FROM parts),
+listed AS (SELECT DISTINCT canonical AS c FROM named WHERE regexp_matches(host, '(^|\\.)spam-farm(\\.|$)') AND canonical IS NOT NULL)
+SELECT page_id, host, path, {_rules_sql(1)} AS rule,
+       coalesce({_rules_sql(0)}, CASE WHEN c IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       canonical, c IS NOT NULL AS listed
+FROM named LEFT JOIN listed ON canonical = c""",
+    "op10_warc": """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+best AS (SELECT h, max(page_id) AS b FROM rows WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(rows.h) AS payload_bytes, sha1(rows.h) AS payload_digest,
+       CASE WHEN b IS NULL OR b = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN b <> page_id THEN b END AS refers_to
+FROM rows LEFT JOIN best ON rows.h = best.h""",
+}
