@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ehrflow.llm import mixing, packing, quality, secrets, simhash, sketches, urls, warc
+from ehrflow.llm import langid, mixing, packing, quality, secrets, simhash, sketches, urls, warc
 from ehrflow.llm._shared import shared_path
 
 
@@ -41,6 +41,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.train(docs))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_document_fingerprints": op8_document_fingerprints,
