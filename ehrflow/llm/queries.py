@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ehrflow.llm import langid, mixing, packing, quality, secrets, simhash, sketches, urls, warc
+from ehrflow.llm import langid, mixing, packing, passages, quality, secrets, simhash, sketches, urls, warc
 from ehrflow.llm._shared import shared_path
 
 
@@ -51,6 +51,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer(), keep_ids=False)
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_secret_scans": op5_secret_scans,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
