@@ -84,13 +84,14 @@ def edited_pairs(docs: DataFrame, shingle: int = SHINGLE, fraction: int = FRACTI
     text and the next document (sketch, edited_sketch, next_sketch). The last
     quarter of the edited text is the beginning of the next document.
 
-    Texts are shuffled once, by doc_id; what goes to the document before is
-    the beginning it needs, and the sketch."""
+    Texts are shuffled once, by doc_id, and that exchange serves both joins
+    (which therefore need the same columns of it, doc_id too); what goes to the
+    document before is the beginning it needs, and the sketch."""
     key = lambda c: {"__id": F.coalesce(c, F.lit(0)), "__null": F.isnull(c)}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(key("doc_id"))
     nav = with_next(docs).withColumns(key("doc_id")).drop("doc_id")
     own = with_sketch(texts.join(nav, ["__id", "__null"]), "text", "next_sketch", shingle, fraction)
-    sent = (own.select("of", F.struct(F.left("text", F.col("take")).alias("head"), "next_sketch").alias("x"), F.xxhash64("text").alias("h"))
+    sent = (own.select("of", F.struct(F.left("text", F.col("take")).alias("head"), "next_sketch").alias("x"), F.xxhash64("text", "doc_id").alias("h"))
             .select(*(c.alias(k) for k, c in key("of").items()), "x", "h")
             .groupBy("__id", "__null").agg(F.min_by("x", "h").alias("x")).select("__id", "__null", "x.head", "x.next_sketch"))
     n = F.char_length("text").cast("long")
