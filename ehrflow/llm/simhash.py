@@ -170,7 +170,8 @@ def ball_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if each + len(masks[2]) >= 1 << 16:
         raise ValueError(f"max_bits = {max_bits}: too many variants")
     n_buckets = max(1, -(-distinct.count() * each * 10 // BUCKET_BYTES))
-    return (distinct.select("fp").mapInArrow(_variants(max_bits, n_buckets), "bucket long, variants binary, codes binary")
+    n_tasks = -(-n_buckets // 8)                              # each makes as many variants as eight buckets hold
+    return (distinct.select("fp").repartition(n_tasks, "fp").mapInArrow(_variants(max_bits, n_buckets), "bucket long, variants binary, codes binary")
             .groupBy("bucket").applyInArrow(_collisions(max_bits), "a long, b long").distinct())
 
 
