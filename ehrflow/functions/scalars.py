@@ -110,7 +110,9 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "
 
 
 def _pad(x: Column, n: int = 2) -> Column:
-    return F.lpad(x.cast("string"), n, "0")
+    """At least ``n`` digits; longer numbers keep all of theirs."""
+    s = x.cast("string")
+    return F.lpad(s, F.greatest(F.char_length(s), F.lit(n)), F.lit("0"))
 
 
 def fmt(ts, pattern: str) -> Column:
@@ -171,19 +173,16 @@ def iso_date_part(c) -> Column:
 
 def parse_json_or_empty(c) -> Column:
     """Vitals that may arrive as text: NULL or '' -> NULL (nothing shown);
-    invalid JSON -> ``{}``; valid -> the parsed variant."""
+    invalid JSON -> ``{}``; valid -> the parsed variant. Of a repeated key the
+    last value counts, as in the documents (:func:`vitals_struct`): the
+    variant parser refuses such text, which is then read as a map and written
+    anew."""
     s = _c(c)
+    each = F.map_entries(F.from_json(s, "map<string,variant>"))
+    last = F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["key"] == x["key"]))
+    again = F.try_parse_json(F.to_json(F.map_from_entries(last)))
     return (F.when(s.isNull() | (s == ""), F.lit(None).cast("variant"))
-            .otherwise(F.coalesce(F.try_parse_json(s), F.parse_json(F.lit("{}")))))
-
-
-def reparse_variant(v) -> Column:
-    """A stored JSON value that itself holds a JSON *string* is parsed again
-    (text saved inside JSONB); anything else is kept."""
-    v = _c(v)
-    inner = F.try_variant_get(v, "$", "string")
-    return (F.when(F.schema_of_variant(v) == "STRING", parse_json_or_empty(inner))
-            .otherwise(v))
+            .otherwise(F.coalesce(F.try_parse_json(s), again, F.parse_json(F.lit("{}")))))
 
 
 def parse_vitals(c) -> Column:
@@ -237,12 +236,17 @@ def clean_vitals(m) -> Column:
 
 # ---------------------------------------------------------------- codes ---
 
+# White space that a browser's ``trim`` removes (fixed values): ASCII white
+# space, the Unicode space separators and line ends, and the byte order mark.
+_TRIMMED = "[ \\t\\n\\x0B\\f\\r\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+
+
 def split_codes(c) -> Column:
     r"""Comma list -> array, each item trimmed of white space; empty items
     are kept (``'E11.9,'`` -> ``['E11.9', '']``). Trimming the ends and
-    splitting on ``\s*,\s*`` gives the same items as splitting and trimming
+    splitting on the comma with the space around it gives the same items as splitting and trimming
     each one, without a per-element lambda (which would leave codegen)."""
-    return F.split(F.regexp_replace(_c(c), r"^\s+|\s+$", ""), r"\s*,\s*")
+    return F.split(F.regexp_replace(_c(c), f"^{_TRIMMED}+|{_TRIMMED}+$", ""), f"{_TRIMMED}*,{_TRIMMED}*")
 
 
 def join_codes(a) -> Column:
@@ -294,7 +298,7 @@ def capitalize(c) -> Column:
     """First character upper case, the rest lower case (whole string, not
     per word)."""
     c = _c(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.char_length(c))))
 
 
 def html_escape(c) -> Column:

@@ -1,12 +1,12 @@
 """Visibility rules (role -> action, own-record row rule, column masks),
-ordered request outcomes, and token validity as a pair-free as-of join.
+ordered request outcomes, and token validity as an as-of join over windows.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ehrflow.sources.schemas import PUBLIC_PATIENT_FIELDS
@@ -79,7 +79,7 @@ def visible_columns(patients: DataFrame, role: str, parity: bool = False) -> Dat
     Admissions sees demographics; with ``parity=True`` it also gets the
     nested history when present (as the reference's response model does)."""
     cols = [c for c in PUBLIC_PATIENT_FIELDS if c in patients.columns]
-    extra = [c for c in ("atenciones", "n_atenciones") if c in patients.columns]
+    extra = [c for c in ("mes", "atenciones", "n_atenciones") if c in patients.columns]
     if role in ("medico", "paciente") or parity:
         cols += extra
     return patients.select(*cols)
@@ -92,97 +92,39 @@ def _floor_div(x, d: int):
     return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("long")
 
 
-def _levels(n: int) -> int:
-    """Dyadic levels needed to cover any range of ``n + 1`` integers."""
-    return max(1, int(n).bit_length() + 1)
-
-
-def _cover(df: DataFrame, lo: str, hi: str, levels: int) -> DataFrame:
-    """Rows (``_k``, ``_blk``) of the canonical dyadic cover of the integer
-    range [``lo``, ``hi``]: block ``_blk`` at level ``_k`` holds the integers
-    ``_blk * 2^_k .. (_blk + 1) * 2^_k - 1``; at most two blocks per level,
-    disjoint, together exactly the range (the segment-tree walk in closed
-    form: the left bound rounds up, the right bound down, level by level)."""
-    out = (df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-           .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-           .withColumn("_l", F.expr(f"shiftright({lo} + shiftleft(1L, _k) - 1, _k)"))
-           .withColumn("_r", F.expr(f"shiftright({hi} + 1, _k)"))
-           .filter("_l < _r"))
-    left = (F.col("_side") == 0) & (F.pmod("_l", F.lit(2)) == 1)
-    right = (F.col("_side") == 1) & (F.pmod("_r", F.lit(2)) == 1)
-    return (out.filter(left | right)
-            .withColumn("_blk", F.when(F.col("_side") == 0, F.col("_l")).otherwise(F.col("_r") - 1))
-            .drop("_side", "_l", "_r"))
-
-
 def authorised_requests(requests: DataFrame, logins: DataFrame, ttl_minutes: int = 30,
                         key: str = "solicitud_id", user: str = "usuario", ts: str = "ts",
                         login_ts: str = "login_ts") -> DataFrame:
     """A request is authorised while the latest login of its user at or
     before it is still valid: ``trunc_sec(ts) <= trunc_sec(login + ttl)``.
 
-    Validity grows with the login time and depends only on the login's whole
-    second, so a request is authorised exactly when its user has a login in
-    the seconds [S - ttl, S - 1] (S = the request's second) or in the
-    request's own second at or before it; the latest such login is the
-    answer. Both ranges are covered by dyadic blocks (at most two per level)
-    and logins are reduced to the latest one per (user, block), so every
-    request joins at most a few dozen unique rows: no (request, login) pairs
-    are formed and no user's events are gathered in one task. Output: every
-    request with ``login_ts`` (latest valid login, NULL if none) and
-    ``autorizado``; ``key`` must identify requests.
+    Time is cut into windows one second longer than the ttl, so a login that
+    is valid for a request lies in the request's window or the one before.
+    Logins stand in their own window and the next; within (user, window), in
+    time order, the last login at or before a request is the one to test: one
+    shuffle and one sort, no pairs, and a user with very many events is dealt
+    out by window. Output: every request with ``login_ts`` (latest valid
+    login, NULL if none) and ``autorizado``.
     """
-    ttl_s = ttl_minutes * 60
-    sec_levels, micro_levels = _levels(ttl_s), _levels(999_999)
-    # Microseconds / seconds since 1970-01-01 on the wall clock of the stored
-    # values, whatever the session time zone.
+    ttl_us, second = ttl_minutes * 60_000_000, 1_000_000
+    width = ttl_us + second
+    # Microseconds since 1970-01-01 on the wall clock of the stored values,
+    # whatever the session time zone.
     epoch = F.lit(_dt.datetime(1970, 1, 1)).cast(requests.schema[ts].dataType)
 
     def micros(c):
         return F.timestamp_diff("MICROSECOND", epoch, F.col(c))
 
-    req = requests.select(key, user, micros(ts).alias("_us"))
-    req = req.withColumn("_s", _floor_div(F.col("_us"), 1_000_000))
-    lg = logins.select(user, F.col(login_ts).alias("_lt"), micros(login_ts).alias("_lus"))
-    lg = lg.withColumn("_ls", _floor_div(F.col("_lus"), 1_000_000))
-
-    # Pruning on unique keys (no pairs): only requests with some login of
-    # their user in the two coarse windows around them are probed by whole
-    # seconds, and only requests sharing a second with a login of their
-    # user (and those logins) take part in the microsecond probes.
-    width = ttl_s + 1
-    coarse = lg.select(user, _floor_div(F.col("_ls"), width).alias("_cw")).distinct()
-    near = (req.withColumn("_cw", F.explode(F.array(_floor_div(F.col("_s"), width),
-                                                      _floor_div(F.col("_s") - ttl_s, width))))
-            .join(coarse, [user, "_cw"], "left_semi").select(key).distinct())
-    req_a = req.join(near, key, "left_semi")
-    login_secs = lg.select(user, F.col("_ls").alias("_s")).distinct()
-    req_b = req.join(login_secs, [user, "_s"], "left_semi")
-    lg_b = lg.join(req.select(user, F.col("_s").alias("_ls")).distinct(), [user, "_ls"], "left_semi")
-
-    whole = _cover(req_a.withColumn("_lo", F.col("_s") - ttl_s).withColumn("_hi", F.col("_s") - 1),
-                   "_lo", "_hi", sec_levels).withColumn("_part", F.lit(0))
-    same = _cover(req_b.withColumn("_lo", F.col("_s") * 1_000_000).withColumn("_hi", F.col("_us")),
-                  "_lo", "_hi", micro_levels).withColumn("_part", F.lit(1))
-    probes = whole.unionByName(same).select(key, user, "_part", "_k", "_blk")
-
-    lg_parts = []
-    for part, src, base, levels in ((0, lg, "_ls", sec_levels), (1, lg_b, "_lus", micro_levels)):
-        lg_parts.append(src.withColumn("_v", F.col(base))
-                        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-                        .withColumn("_blk", F.expr("shiftright(_v, _k)"))
-                        .withColumn("_part", F.lit(part))
-                        .select(user, "_part", "_k", "_blk", "_lt"))
-    latest = (lg_parts[0].unionByName(lg_parts[1])
-              .groupBy(user, "_part", "_k", "_blk").agg(F.max("_lt").alias(login_ts)))
-
-    cand = probes.join(latest, [user, "_part", "_k", "_blk"], "inner").select(key, login_ts)
-    # Requests without a candidate must survive: union them (login NULL)
-    # with the candidates and reduce per request in one aggregation.
-    ts_type = logins.schema[login_ts].dataType
-    others = [c for c in requests.columns if c != key]
-    both = requests.withColumn(login_ts, F.lit(None).cast(ts_type)).unionByName(
-        cand.select(key, *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in others], login_ts))
-    out = both.groupBy(key).agg(*[F.any_value(c, True).alias(c) for c in others],
-                                F.max(login_ts).alias(login_ts))
-    return out.withColumn("autorizado", F.col(login_ts).isNotNull())
+    own = F.struct(*requests.columns)
+    req = requests.select(F.col(user).alias("_user"), micros(ts).alias("_us"), F.lit(1).alias("_kind"),
+                          F.lit(None).cast(logins.schema[login_ts].dataType).alias("_login"), own.alias("_own"))
+    req = req.withColumn("_window", _floor_div(F.col("_us"), width))
+    lg = logins.select(F.col(user).alias("_user"), micros(login_ts).alias("_us"), F.lit(0).alias("_kind"), F.col(login_ts).alias("_login"),
+                       F.lit(None).cast(req.schema["_own"].dataType).alias("_own")).distinct()
+    at = _floor_div(F.col("_us"), width)
+    lg = lg.withColumn("_window", F.explode(F.array(at, at + 1)))
+    in_time = Window.partitionBy("_user", "_window").orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = req.unionByName(lg).withColumn("_last", F.last("_login", ignorenulls=True).over(in_time)).filter("_kind = 1")
+    valid = _floor_div(F.col("_us"), second) <= _floor_div(micros("_last") + ttl_us, second)
+    valid = F.coalesce(valid & F.col("_user").isNotNull(), F.lit(False))
+    return last.select("_own.*", F.when(valid, F.col("_last")).alias(login_ts), valid.alias("autorizado"))

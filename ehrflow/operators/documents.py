@@ -3,9 +3,9 @@
 The reference renders one patient at a time to a PDF; here every patient's
 document is built in one job. Each encounter is rendered to a text block
 on its own row first (narrow rows), and only the rendered blocks are
-gathered per patient, newest first. A patient with more than
-``page_size`` encounters gets several parts so no single row grows without
-bound.
+gathered per patient and calendar month, newest first. A document is its
+header part and a part for each month with encounters, so a patient with very
+many encounters is written by many tasks and no row grows without bound.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.history import HISTORY_PAGE_SIZE, with_professional
+from ehrflow.operators.history import month_of, with_professional
 
 # Vitals shown in the document, with label and unit.
 VITALS = [
     ("ta", "P. Arterial", ""),
-    ("fc", "F. Cardiaca", ""),
+    ("fc", "F. Cardíaca", ""),
     ("fr", "F. Resp.", ""),
     ("temp", "Temp.", "°"),
     ("sat", "Sat O2", "%"),
@@ -103,46 +103,44 @@ def patient_header(as_of_utc) -> Column:
                  F.lit(" | DOCUMENTO: "), S.none_text(F.col("tipo_documento")), F.lit(" "),
                  F.col("documento_id").cast("string")),
         F.concat(F.lit("EDAD: "), S.falsy_or_number("edad", "--"), F.lit(" años ("),
-                 S.none_text(F.col("fecha_nacimiento")), F.lit(") | GENERO: "), S.falsy_or("genero", "--")),
+                 S.none_text(F.col("fecha_nacimiento")), F.lit(") | GÉNERO: "), S.falsy_or("genero", "--")),
         F.concat(F.lit("RH: "), S.falsy_or("grupo_sanguineo", ""), F.lit(" "), S.falsy_or("factor_rh", ""),
                  F.lit(" | ESTADO CIVIL: "), S.falsy_or("estado_civil", "--")),
-        F.concat(F.lit("DIRECCION: "), S.falsy_or("direccion_residencia", "--"), F.lit(" - "),
+        F.concat(F.lit("DIRECCIÓN: "), S.falsy_or("direccion_residencia", "--"), F.lit(" - "),
                  S.falsy_or("municipio_ciudad", "")),
         F.concat(F.lit("CONTACTO: "), S.coalesce_falsy("celular", "telefono", default="--"),
                  F.lit(" | EMAIL: "), S.falsy_or("correo_electronico", "--")),
         F.concat(F.lit("ENTIDAD: "), S.falsy_or("entidad_afiliacion", "PARTICULAR"),
-                 F.lit(" | REGIMEN: "), S.falsy_or("regimen_afiliacion", "--")),
+                 F.lit(" | RÉGIMEN: "), S.falsy_or("regimen_afiliacion", "--")),
         F.concat(F.lit("IMPRESO: "), stamp),
     ]
     return F.concat_ws("\n", *lines)
 
 
 def history_documents(patients: DataFrame, encounters: DataFrame, professionals: DataFrame,
-                      as_of_utc, page_size: int = HISTORY_PAGE_SIZE, ext: str = "pdf") -> DataFrame:
-    """(documento_id, parte, partes, archivo, cuerpo) for every patient.
+                      as_of_utc, ext: str = "pdf") -> DataFrame:
+    """(documento_id, mes, archivo, cuerpo) for every patient: the header
+    part with ``mes`` NULL (which says so when there are no encounters), and
+    one part per month with encounters. The parts of ``archivo``, header
+    first and then the months from the newest on, joined by line breaks, are
+    the document; every patient's has this shape.
 
     ``patients`` should already carry the displayed age (see
     :func:`ehrflow.operators.history.patient_view`). Encounters use the
     export name policy and local time.
     """
+    archivo = S.export_name("documento_id", S.to_local(S.ntz_lit(as_of_utc)), ext).alias("archivo")
+    with_any = encounters.select("documento_id", F.lit(True).alias("_any")).distinct()
+    heads = patients.join(with_any, "documento_id", "left").select(
+        "documento_id", F.lit(None).cast("date").alias("mes"), archivo,
+        F.concat_ws("\n", patient_header(as_of_utc), F.when(F.col("_any").isNull(), F.lit(NO_RECORDS))).alias("cuerpo"))
     enc = encounters.withColumn("fecha_hora_local", S.to_local("fecha_hora_atencion"))
     enc = with_vital_texts(with_professional(enc, professionals, policy="export"), "signos_vitales")
     blocks = enc.select("documento_id", "atencion_id", "fecha_hora_atencion", encounter_block().alias("_block"))
-    counts = blocks.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))
-    paged = (blocks.join(counts, "documento_id")
-             .withColumn("partes", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(page_size))))
-             .withColumn("parte", F.pmod(F.xxhash64("atencion_id"), F.col("partes"))))
-    bodies = (paged.groupBy("documento_id", "parte", "partes")
+    known = patients.select(F.bitwise_not("documento_id").alias("_key"))      # a key of its own: see patient_history_rows
+    bodies = (blocks.withColumn("_key", F.bitwise_not("documento_id")).join(known, "_key", "left_semi")
+              .groupBy("documento_id", month_of("fecha_hora_atencion").alias("mes"))
               .agg(F.sort_array(F.collect_list(F.struct("fecha_hora_atencion", "atencion_id", "_block")),
                                 asc=False).alias("_bl"))
-              .select("documento_id", "parte", "partes",
-                      F.array_join(F.col("_bl")["_block"], "\n").alias("_enc")))
-    as_of_local = S.to_local(S.ntz_lit(as_of_utc))
-    docs = patients.withColumn("_head", patient_header(as_of_utc)).join(bodies, "documento_id", "left")
-    return docs.select(
-        "documento_id",
-        F.coalesce(F.col("parte"), F.lit(0).cast("long")).alias("parte"),
-        F.coalesce(F.col("partes"), F.lit(1).cast("long")).alias("partes"),
-        S.export_name("documento_id", as_of_local, ext).alias("archivo"),
-        F.concat_ws("\n", F.col("_head"), F.coalesce(F.col("_enc"), F.lit(NO_RECORDS))).alias("cuerpo"),
-    )
+              .select("documento_id", "mes", archivo, F.array_join(F.col("_bl")["_block"], "\n").alias("cuerpo")))
+    return heads.unionByName(bodies)

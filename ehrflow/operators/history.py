@@ -3,19 +3,18 @@ foreign-key resolution and child rows.
 
 Layout notes (see :mod:`ehrflow.plans.layout`): patients, encounters and
 child tables are bucketed by ``documento_id`` so every join below on that
-key is shuffle-free; the professionals table is a small dimension that is
-broadcast only after its size is checked.
+key is shuffle-free; whether the professionals table is broadcast is left to
+Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.lookup import small_side
 
 # The three name policies for the responsible professional:
 # (fallback when the reference is empty, fallback when it matches nothing,
@@ -26,32 +25,30 @@ NAME_POLICIES = {
     "export": (S.ON_DUTY_PROFESSIONAL, S.PENDING_SIGNATURE, True),
 }
 
-# Encounters per history page (a nested row of about 2 MB with every
-# encounter field). A patient with more encounters gets several pages, so
-# no single aggregation buffer or output row grows with the patient.
-HISTORY_PAGE_SIZE = 1_000
 
-
-def with_professional(encounters: DataFrame, professionals: DataFrame, policy: str = "clinician",
+def with_professional(encounters: DataFrame, professionals: DataFrame, policy: str | dict[str, str] = "clinician",
                       out: str = "profesional_nombre") -> DataFrame:
-    """The responsible professional's display name under ``policy``.
+    """The responsible professional's display name under ``policy``, as
+    column ``out``; with a mapping of column names to policies, several
+    names from the same join.
 
     One left join replaces the per-encounter lookups. A reference that
     matches a professional whose name is NULL yields NULL (the test is "row
     matched", not "name present").
     """
-    if_empty, if_unmatched, use_registro = NAME_POLICIES[policy]
-    prof = small_side(professionals.select(
+    prof = professionals.select(
         F.col("id_personal_salud").alias("_pid"),
         F.col("nombre_completo").alias("_pname"),
-        F.lit(True).alias("_matched")))
+        F.lit(True).alias("_matched"))
     fk = F.nullif(F.col("profesional_responsable"), F.lit(""))
-    joined = encounters.join(prof, fk == prof["_pid"], "left")
-    empty_name = S.falsy_or("responsable_registro", if_empty) if use_registro else F.lit(if_empty)
-    name = (F.when(fk.isNull(), empty_name)
-            .when(F.col("_matched").isNull(), F.lit(if_unmatched))
-            .otherwise(F.col("_pname")))
-    return joined.withColumn(out, name).drop("_pid", "_pname", "_matched")
+    names = {}
+    for name, chosen in (policy if isinstance(policy, dict) else {out: policy}).items():
+        if_empty, if_unmatched, use_registro = NAME_POLICIES[chosen]
+        empty_name = S.falsy_or("responsable_registro", if_empty) if use_registro else F.lit(if_empty)
+        names[name] = (F.when(fk.isNull(), empty_name)
+                       .when(F.col("_matched").isNull(), F.lit(if_unmatched))
+                       .otherwise(F.col("_pname")))
+    return encounters.join(prof, fk == prof["_pid"], "left").withColumns(names).drop("_pid", "_pname", "_matched")
 
 
 def encounter_view(encounters: DataFrame, professionals: DataFrame | None = None,
@@ -71,26 +68,32 @@ def patient_view(patients: DataFrame, as_of, recompute_age: bool = True) -> Data
     return patients.withColumn("edad", S.display_age("fecha_nacimiento", "edad", as_of, recompute_age))
 
 
-def patient_history_rows(patients: DataFrame, encounters: DataFrame) -> DataFrame:
+def patient_history_rows(patients: DataFrame, encounters: DataFrame, keys: DataFrame | None = None,
+                         count: str | None = None) -> DataFrame:
     """C1 in long form: one row per (patient, encounter); a patient with no
-    encounters appears once with NULL encounter columns.
-
-    Written as inner join ∪ anti join rather than one left join: the inner
-    join lets AQE split a patient with very many encounters across tasks,
-    and the anti join only needs the distinct encounter keys, which are
-    reduced map-side before the shuffle.
+    encounters appears once with NULL encounter columns. With ``count``, each
+    row also has its patient's number of encounters (D2). ``keys`` is the
+    encounter table to count in, when ``encounters`` has been joined to others
+    before (the counts then need none of that).
+
+    The counts are joined to the patients, one row each. Patients that have
+    encounters are joined to them on the complement of the key: that is the
+    same equality, but both sides get an exchange of their own for it, and
+    those AQE can split for a patient with very many encounters (it cannot
+    split the output of the aggregate).
     """
+    n = count or "_n"
     enc_cols = [c for c in encounters.columns if c != "documento_id"]
     clash = set(enc_cols) & set(patients.columns)
-    enc = encounters.select("documento_id", *[F.col(c).alias(f"atencion_{c}" if c in clash else c)
-                                              for c in enc_cols])
-    with_enc = patients.join(enc, "documento_id", "inner")
-    keys = encounters.select("documento_id").distinct()
-    empty = patients.join(keys, "documento_id", "left_anti")
-    for f in enc.schema.fields:
-        if f.name != "documento_id":
-            empty = empty.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return with_enc.unionByName(empty)
+    enc = encounters.select(F.bitwise_not("documento_id").alias("_key"),
+                            *[F.col(c).alias(f"atencion_{c}" if c in clash else c) for c in enc_cols])
+    counted = encounter_counts(patients, keys if keys is not None else encounters, n)
+    with_enc = (counted.filter(F.col(n) > 0).withColumn("_key", F.bitwise_not("documento_id"))
+                .join(enc, "_key").drop("_key"))
+    empty = counted.filter(F.col(n) == 0).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in enc.schema.fields if f.name != "_key"})
+    out = with_enc.unionByName(empty)
+    return out if count else out.drop(n)
 
 
 def encounter_counts(patients: DataFrame, encounters: DataFrame, out: str = "n_atenciones") -> DataFrame:
@@ -101,30 +104,33 @@ def encounter_counts(patients: DataFrame, encounters: DataFrame, out: str = "n_a
             .withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long"))))
 
 
+def month_of(ts) -> Column:
+    """The first day of a time's calendar month; NULL for NULL."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return F.make_date(F.year(t), F.month(t), F.lit(1))
+
+
 def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence[str] | None = None,
-                    page_size: int = HISTORY_PAGE_SIZE,
                     order: Sequence[str] = ("fecha_hora_atencion", "atencion_id")) -> DataFrame:
-    """C1 nested (D3, F3): each patient with a list ``atenciones`` of encounter
-    structs, newest first by ``order`` (time, then ``atencion_id`` to break
-    ties); ``[]`` when none.
-
-    A patient with more than ``page_size`` encounters is returned as several
-    rows (``pagina`` 0..``paginas``-1), each holding at most about
-    ``page_size`` encounters; everyone else has exactly one row with
-    ``pagina = 0``.
+    """C1 nested (D3, F3): one row per patient and calendar month ``mes`` (of
+    the first ``order`` column) with the list ``atenciones`` of that month's
+    encounter structs, newest first by ``order`` (time, then ``atencion_id``
+    to break ties). A patient without encounters has one row with ``mes``
+    NULL and ``[]``.
+
+    Every patient has this shape, whatever the number of encounters: read by
+    ``mes``, newest first, the lists are the whole timeline in order. The
+    encounters of one patient are gathered by (patient, month), so by many
+    tasks, and no row holds more than a month.
     """
     fields = list(fields or [c for c in encounters.columns if c != "documento_id"])
     order_first = list(order)
     struct_fields = order_first + [c for c in fields if c not in order_first]
-    counts = encounters.groupBy("documento_id").agg(F.count(F.lit(1)).alias("_n"))
-    paged = (encounters.join(counts, "documento_id")
-             .withColumn("paginas", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.lit(page_size))))
-             .withColumn("pagina", F.pmod(F.xxhash64("atencion_id"), F.col("paginas"))))
     collected = F.collect_list(F.struct(*struct_fields))
     types = {f.name: f.dataType.typeName() for f in encounters.schema.fields}
     if any(types.get(c) in ("variant", "map") for c in struct_fields):
         # Structs holding VARIANT or MAP values are not orderable as a whole:
-        # compare the order fields only (once per history page).
+        # compare the order fields only.
         def newest_first(x, y):
             out = F.lit(0)
             for c in reversed(order_first):
@@ -133,21 +139,18 @@ def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence
         ordered = F.array_sort(collected, newest_first)
     else:
         ordered = F.sort_array(collected, asc=False)
-    lists = paged.groupBy("documento_id", "pagina", "paginas").agg(ordered.alias("atenciones"))
+    lists = encounters.groupBy("documento_id", month_of(order_first[0]).alias("mes")).agg(ordered.alias("atenciones"))
     empty_type = lists.schema["atenciones"].dataType
     out = patients.join(lists, "documento_id", "left")
-    return (out.withColumn("atenciones", F.coalesce(F.col("atenciones"), F.array().cast(empty_type)))
-            .withColumn("pagina", F.coalesce(F.col("pagina"), F.lit(0).cast("long")))
-            .withColumn("paginas", F.coalesce(F.col("paginas"), F.lit(1).cast("long"))))
+    return out.withColumn("atenciones", F.coalesce(F.col("atenciones"), F.array().cast(empty_type)))
 
 
 def resolve_fk(df: DataFrame, dim: DataFrame, on: str, dim_name: str, dim_key: str,
                out: str) -> DataFrame:
     """Scalar-subquery ``(SELECT key FROM dim WHERE name = x LIMIT 1)``
     as one join. The dimension is reduced to one key per name (lowest key)
-    and broadcast when small; no match -> NULL."""
+    first; no match -> NULL."""
     one = dim.groupBy(dim_name).agg(F.min(dim_key).alias(out))
-    one = small_side(one)
     return df.join(one, df[on] == one[dim_name], "left").drop(one[dim_name])
 
 

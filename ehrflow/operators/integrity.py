@@ -2,8 +2,9 @@
 keys, text lengths, required command fields, and one union of them all.
 
 Every report has the columns (regla, tabla, clave, detalle) so reports can
-be unioned. Each rule is one scan (plus one aggregation or anti join); no
-rule collects rows to the driver.
+be unioned. The rules on single rows share one scan of their table; repeated
+keys are one aggregation, and each foreign key is one anti join. No rule
+collects rows to the driver.
 """
 
 from __future__ import annotations
@@ -26,19 +27,34 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def repeated_keys(df: DataFrame, keys: Sequence[str], table: str) -> DataFrame:
+    """Duplicate primary keys, one row per key group."""
+    return duplicate_keys(df, keys).select(
+        F.lit("pk_duplicada").alias("regla"), F.lit(table).alias("tabla"),
+        _key_text(keys).alias("clave"), F.concat(F.lit("n="), F.col("n").cast("string")).alias("detalle"))
+
+
 def pk_violations(df: DataFrame, keys: Sequence[str], table: str) -> DataFrame:
     """Duplicate primary keys (one row per key group) and rows with a
     NULL key part."""
-    dups = duplicate_keys(df, keys).select(
-        F.lit("pk_duplicada").alias("regla"), F.lit(table).alias("tabla"),
-        _key_text(keys).alias("clave"), F.concat(F.lit("n="), F.col("n").cast("string")).alias("detalle"))
+    return repeated_keys(df, keys, table).unionByName(row_violations(df, keys, table))
+
+
+def row_violations(df: DataFrame, keys: Sequence[str], table: str, not_null: Sequence[str] = (),
+                   limits: dict[str, int] | None = None) -> DataFrame:
+    """J1, J2, J4 in one pass: rows with a NULL key part, NULL in a NOT NULL
+    column, and text over its limit (in characters)."""
     any_null = F.lit(False)
     for k in keys:
         any_null = any_null | F.col(k).isNull()
-    nulls = df.filter(any_null).select(
-        F.lit("pk_nula").alias("regla"), F.lit(table).alias("tabla"),
-        _key_text(keys).alias("clave"), F.lit("clave nula").alias("detalle"))
-    return dups.unionByName(nulls)
+
+    def found(test, rule, detail):
+        return F.when(test, F.struct(F.lit(rule).alias("regla"), F.lit(detail).alias("detalle")))
+
+    tests = [found(any_null, "pk_nula", "clave nula"), *(found(F.col(c).isNull(), "no_nulo", c) for c in not_null),
+             *(found(F.char_length(c) > n, "longitud", c) for c, n in (limits or {}).items() if c in df.columns)]
+    return (df.select(_key_text(keys).alias("clave"), F.explode(F.array(*tests)).alias("x")).filter("x is not null")
+            .select("x.regla", F.lit(table).alias("tabla"), "clave", "x.detalle"))
 
 
 def _per_column(df: DataFrame, keys: Sequence[str], table: str, rule: str,
@@ -101,10 +117,8 @@ def validate_tables(tables: dict[str, DataFrame]) -> DataFrame:
     reports = []
     for name, df in tables.items():
         keys = PRIMARY_KEYS[name]
-        reports.append(pk_violations(df, keys, name))
-        reports.append(null_violations(df, NOT_NULL[name], keys, name))
-        if name in LENGTHS:
-            reports.append(length_violations(df, LENGTHS[name], keys, name))
+        reports.append(repeated_keys(df, keys, name))
+        reports.append(row_violations(df, keys, name, NOT_NULL[name], LENGTHS.get(name)))
     for child, ccols, parent, pcols, _ in FOREIGN_KEYS:
         if child in tables and parent in tables:
             reports.append(fk_violations(tables[child], tables[parent], ccols, pcols,

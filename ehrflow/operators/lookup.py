@@ -1,7 +1,8 @@
-"""Lookups, existence tests, first-match and size-checked broadcast.
+"""Lookups, existence tests and first-match.
 
 The reference answers these one key at a time; here every lookup takes a
-table of keys and runs as one semi/anti join.
+table of keys and runs as one semi/anti join. Which side is broadcast is left
+to Spark: its size statistics before, and adaptive execution during the run.
 """
 
 from __future__ import annotations
@@ -13,77 +14,6 @@ from pyspark.sql import functions as F
 
 from ehrflow.functions.scalars import role_in
 
-# A side is broadcast only when one bounded job proves it holds at most
-# this many rows and bytes; beyond either bound the join is left to
-# sort-merge (and to AQE, which may still switch with the run-time size).
-BROADCAST_MAX_ROWS = 200_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-
-_BOUNDS: dict = {}
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row: actual length of text/binary values, the fixed width
-    of everything else."""
-    fixed = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "long": 8, "float": 4, "double": 8,
-             "date": 4, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16, "null": 0}
-    parts = []
-    for f in df.schema.fields:
-        name = f.dataType.typeName()
-        if name in ("string", "binary"):
-            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
-        elif name in fixed:
-            parts.append(F.lit(fixed[name]))
-        else:  # arrays, maps, structs, variants: their JSON size
-            parts.append(F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0)))
-    out = F.lit(0)
-    for p in parts:
-        out = out + p
-    return out.cast("long")
-
-
-_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
-
-
-def estimated_bytes(df: DataFrame) -> float | None:
-    """Catalyst's size estimate of ``df`` (root of ``explain("cost")``), or
-    None when it cannot be read. Without column statistics it errs high
-    (a filter keeps its input's size)."""
-    import contextlib
-    import io
-    import re
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(mode="cost")
-    m = re.search(r"sizeInBytes=([0-9.]+)\s*([KMGTPE]?i?B)", buf.getvalue())
-    if not m or m.group(2) not in _UNITS:
-        return None
-    return float(m.group(1)) * _UNITS[m.group(2)]
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows
-    and ``max_bytes`` bytes, else ``df`` unchanged.
-
-    A side whose estimated size is far above the bound is declared large
-    without running anything. Otherwise one job counts at most
-    ``max_rows + 1`` rows and sums their bytes; the answer is remembered for
-    the same plan (``semanticHash``) within the application, so a dimension
-    used by several joins is checked once. A large side stays a sort-merge
-    join, which AQE may still turn into a broadcast from run-time sizes."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows, max_bytes)
-    if key not in _BOUNDS:
-        est = estimated_bytes(df)
-        if est is not None and est > 8 * max_bytes:
-            _BOUNDS[key] = False
-        else:
-            stats = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                               F.sum(_row_bytes(df)).alias("b")).first()
-            _BOUNDS[key] = stats["n"] <= max_rows and (stats["b"] or 0) <= max_bytes
-    return F.broadcast(df) if _BOUNDS[key] else df
-
-
 def _keys_frame(df: DataFrame, ids, key: str) -> DataFrame:
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).alias(key)) if key not in ids.columns else ids.select(key)
@@ -97,7 +27,7 @@ def patients_by_id(patients: DataFrame, ids, key: str = "documento_id") -> DataF
     a key table becomes a left-semi join."""
     if not isinstance(ids, DataFrame):
         return patients.filter(F.col(key).isin([int(i) for i in ids]))
-    return patients.join(_keys_frame(patients, ids, key), key, "left_semi")
+    return patients.join(_keys_frame(patients, ids, key).distinct(), key, "left_semi")
 
 
 def encounters_of(encounters: DataFrame, ids, key: str = "documento_id") -> DataFrame:
@@ -140,21 +70,6 @@ def patients_by_email(patients: DataFrame, emails: DataFrame, email_col: str = "
     return first_per(matches, [email_col], [key])
 
 
-def public_patient(patients: DataFrame) -> DataFrame:
-    """Patient fields of the public response (no password hash, no
-    free-form extra data, no audit timestamps)."""
-    from ehrflow.sources.schemas import PUBLIC_PATIENT_FIELDS
-    return patients.select(*PUBLIC_PATIENT_FIELDS)
-
-
-def public_encounter(encounters: DataFrame) -> DataFrame:
-    """The 16 encounter fields of the public response (plus the
-    patient key so it can be nested)."""
-    from ehrflow.sources.schemas import PUBLIC_ENCOUNTER_FIELDS
-    cols = [c for c in PUBLIC_ENCOUNTER_FIELDS if c in encounters.columns]
-    return encounters.select("documento_id", *cols)
-
-
 def with_role(df: DataFrame, roles: Iterable[str], role_col: str = "tipo_usuario") -> DataFrame:
     """Rows whose role is one of ``roles``; a NULL role never is."""
     return df.filter(role_in(role_col, roles))
@@ -166,11 +81,6 @@ def prefix_count(df: DataFrame, col: str, prefix: str) -> DataFrame:
     return df.filter(F.col(col).startswith(prefix)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exists_in(df: DataFrame, other: DataFrame, on) -> DataFrame:
-    """Rows with a match in ``other``."""
-    return df.join(other, on, "left_semi")
-
-
 def missing_in(df: DataFrame, other: DataFrame, on) -> DataFrame:
     """Rows without a match in ``other``. The right side is reduced to
     distinct keys first (partial aggregation collapses hot keys before the

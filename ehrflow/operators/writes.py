@@ -7,16 +7,18 @@ writes them to a new path (plain parquet tables have no MERGE).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.lookup import exists_flag, first_per, small_side
-from ehrflow.session import checkpoint_dir
-from ehrflow.sources.schemas import (ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
-                                     USUARIO)
+from ehrflow.operators.lookup import exists_flag, first_per
+from ehrflow.session import checkpoint_dir, shared_table
+from ehrflow.sources.fields import refused, typed
+from ehrflow.sources.schemas import (ATENCION_LENGTHS, ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
+                                     USUARIO, USUARIO_LENGTHS)
 
 # Rejection reasons.
 REASON_DOCUMENT = "documento"
@@ -26,8 +28,8 @@ REASON_MISSING = "campo_requerido"
 REASON_TOO_LONG = "longitud"
 REASON_UNKNOWN_ID = "no_existe"
 REASON_BAD_TYPE = "tipo_invalido"
-
-MAX_ROUNDS = 10_000
+REASON_NO_USER = "no_autenticado"
+REASON_ROLE = "rol_no_permitido"
 
 
 def _conform(df: DataFrame, schema, keep: Sequence[str] = ()) -> DataFrame:
@@ -42,84 +44,111 @@ def _conform(df: DataFrame, schema, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols, *keep)
 
 
+_NO_EMAIL = "\u0001"
+
+
 def _email_key(col: str = "correo_electronico"):
     """E-mail as a join key where NULL equals NULL (the reference compares
     with ``== None``, which renders ``IS NULL``)."""
     c = F.col(col)
-    return F.when(c.isNull(), F.lit("\u0001")).otherwise(F.concat(F.lit("\u0002"), c))
+    return F.when(c.isNull(), F.lit(_NO_EMAIL)).otherwise(F.concat(F.lit("\u0002"), c))
+
+
+def _role_problem(df: DataFrame, users: DataFrame, by: str, role: str) -> tuple[DataFrame, Column]:
+    """``df`` with the role of the user in column ``by``, and the reason a
+    user may not write: unknown (401), or another role than ``role`` (403)."""
+    known = users.select(F.col("documento_id").alias("_by"), F.col("tipo_usuario").alias("_role"), F.lit(True).alias("_user"))
+    joined = df.join(known, F.col(by) == F.col("_by"), "left").drop("_by")
+    return joined, (F.when(F.col("_user").isNull(), F.lit(REASON_NO_USER))
+                    .when(~S.role_in("_role", [role]), F.lit(REASON_ROLE)))
+
+
+def _too_long(df: DataFrame, limits: dict[str, int]) -> Column:
+    out = F.lit(False)
+    for c, n in limits.items():
+        if c in df.columns:
+            out = out | F.coalesce(F.char_length(c) > n, F.lit(False))
+    return out
 
 
 def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str = "seq",
-                    max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+                    users: DataFrame | None = None, by: str = "principal_id") -> tuple[DataFrame, DataFrame]:
     """Insert new patients as the reference does one request at a time,
     in arrival order ``seq``: a row is rejected when its document already
     exists (checked first), else when its e-mail already exists (NULL-safe);
-    an accepted row counts against every later one.
+    an accepted row counts against every later one. Before that: with
+    ``users``, the user in column ``by`` must be known and an admissions clerk;
+    the document and the password hash must be there; texts must keep their
+    lengths.
 
     Returns ``(accepted, rejected)``: accepted rows in table shape (role forced
     to ``paciente``, age computed, audit stamps set), rejected rows as
-    (documento_id, seq, motivo).
-
-    Conflicts inside the batch are resolved in rounds: among undecided rows,
-    a row is accepted when it is the first (minimum ``seq``) of both its
-    document group and its e-mail group; undecided rows sharing a key with a
-    newly accepted row are rejected. Group minima are partial aggregates, so
-    a hot key (for example the NULL e-mail group) does not land whole in one
-    task. Each round's undecided set is checkpointed to cut the lineage.
+    (documento_id, seq, motivo). Rows have a number of their own, so equal or
+    missing ``seq`` values do no harm: equal ones are taken in the order of
+    their contents, missing ones last.
+
+    Conflicts inside the batch are resolved in rounds, on the keys alone:
+    among undecided rows, a row is accepted when it is the first of both its
+    document group and its e-mail group (at once if it is alone in both);
+    undecided rows sharing a key with an accepted one are rejected. Each round
+    appends its decisions to one table in the shared folder; there are as many
+    rounds as the longest chain of conflicts has accepted rows. Group minima
+    are partial aggregates, and those of the first round, when groups are
+    largest, are written before they are joined, so that AQE can split a
+    document or e-mail that very many rows have; rows without an e-mail are
+    one group, whose minimum is one row for all.
     """
-    spark = batch.sparkSession
     as_of = S.ntz_lit(as_of_utc)
-    prepared = (batch
-                .withColumn("tipo_usuario", F.lit("paciente"))
-                .withColumn("edad", S.age_years("fecha_nacimiento", S.local_today(as_of)))
-                .withColumn("created_at", as_of).withColumn("updated_at", as_of))
-    rows = prepared.withColumn("_ek", _email_key())
-
-    cur_docs = current.select("documento_id").withColumn("_doc_taken", F.lit(True))   # primary key
-    cur_mail = current.select(_email_key().alias("_ek")).distinct().withColumn("_mail_taken", F.lit(True))
-    flagged = rows.join(cur_docs, "documento_id", "left").join(cur_mail, "_ek", "left")
-    checkpoint_dir(spark)
-    undecided = flagged.filter(F.col("_doc_taken").isNull() & F.col("_mail_taken").isNull()) \
-        .drop("_doc_taken", "_mail_taken")
-    accepted_parts: list[DataFrame] = []
-    rounds = 0
+    checked, problem = _role_problem(batch, users, by, "admisionista") if users is not None else (batch, F.lit(None).cast("string"))
+    why = F.coalesce(problem, F.when(F.col("documento_id").isNull() | F.col("hashed_password").isNull(), F.lit(REASON_MISSING)),
+                     F.when(_too_long(batch, USUARIO_LENGTHS), F.lit(REASON_TOO_LONG)))
+    spark, folder = batch.sparkSession, f"{checkpoint_dir(batch.sparkSession).rstrip('/')}/ehrflow-insert-{uuid.uuid4().hex}"
+    order = F.struct(F.col(seq).isNull().alias("n"), F.col(seq).alias("s"), F.xxhash64(*[c for c in batch.columns]).alias("h"), F.col("_rid").alias("r"))
+    rows = shared_table(checked.select(*batch.columns, why.alias("_why"), _email_key().alias("_ek"), F.monotonically_increasing_id().alias("_rid")), f"{folder}/rows")
+    keys = rows.filter(F.col("_why").isNull()).select("_rid", "documento_id", "_ek", order.alias("_ord"))
+
+    cur_docs = current.select("documento_id", F.lit(True).alias("_doc_taken"))               # primary key
+    cur_mail = shared_table(current.select(_email_key().alias("_ek")).distinct().withColumn("_mail_taken", F.lit(True)), f"{folder}/mails")
+    no_mail = F.col("_ek") == _NO_EMAIL
+    null_taken = cur_mail.filter(no_mail).limit(1).count() > 0
+    known = keys.join(cur_docs, "documento_id", "left")
+    flagged = shared_table(known.filter(~no_mail).join(cur_mail, "_ek", "left").unionByName(
+        known.filter(no_mail).withColumn("_mail_taken", F.lit(True) if null_taken else F.lit(None).cast("boolean"))), f"{folder}/flagged")
+    undecided = flagged.filter(F.col("_doc_taken").isNull() & F.col("_mail_taken").isNull()).select("_rid", "documento_id", "_ek", "_ord")
+    done = 0
     while True:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"insert_patients: more than {max_rounds} conflict rounds")
-        dmin = undecided.groupBy("documento_id").agg(F.min(seq).alias("_dmin"))
-        emin = undecided.groupBy("_ek").agg(F.min(seq).alias("_emin"))
-        ranked = (undecided.join(dmin, "documento_id").join(emin, "_ek")
-                  .withColumn("_won", (F.col(seq) == F.col("_dmin")) & (F.col(seq) == F.col("_emin")))
-                  .drop("_dmin", "_emin"))
-        won = ranked.filter("_won")
-        # One checkpoint per round holds the round's decisions; winners and
-        # the still-open rows are read back from it.
-        decided = (ranked.join(won.select("documento_id", F.lit(True).alias("_dw")), "documento_id", "left")
-                   .join(won.select("_ek", F.lit(True).alias("_ew")), "_ek", "left")
-                   .withColumn("_open", ~F.col("_won") & F.col("_dw").isNull() & F.col("_ew").isNull())
-                   .drop("_dw", "_ew")
-                   .checkpoint(eager=True))
-        accepted_parts.append(decided.filter("_won").drop("_won", "_open"))
-        undecided = decided.filter("_open").drop("_won", "_open")
-        if undecided.limit(1).count() == 0:
+        dmin = undecided.groupBy("documento_id").agg(F.min("_ord").alias("_dmin"))
+        emin = undecided.filter(~no_mail).groupBy("_ek").agg(F.min("_ord").alias("_emin"))
+        if not done:
+            dmin, emin = shared_table(dmin, f"{folder}/documents"), shared_table(emin, f"{folder}/emails")
+        first_without = undecided.filter(no_mail).agg(F.min("_ord").alias("_emin"))                   # one row
+        ranked = undecided.filter(~no_mail).join(emin, "_ek").unionByName(undecided.filter(no_mail).crossJoin(F.broadcast(first_without)))
+        ranked = ranked.join(dmin, "documento_id").select(
+            "_rid", "documento_id", "_ek", "_ord", ((F.col("_ord") == F.col("_dmin")) & (F.col("_ord") == F.col("_emin"))).alias("_won"))
+        state = shared_table(ranked, f"{folder}/state/{done}")
+        won = state.filter("_won").select("_rid", "documento_id", "_ek", "_ord")
+        won.write.mode("overwrite").parquet(f"{folder}/accepted/round={done}")
+        undecided = state.filter(~F.col("_won")).drop("_won").join(won.select("documento_id"), "documento_id", "left_anti") \
+            .join(won.select("_ek"), "_ek", "left_anti").select("_rid", "documento_id", "_ek", "_ord")
+        done += 1
+        if undecided.isEmpty():
             break
 
-    accepted = accepted_parts[0]
-    for p in accepted_parts[1:]:
-        accepted = accepted.unionByName(p)
-
+    accepted = spark.read.schema(keys.schema).parquet(f"{folder}/accepted")
     # Reasons, in the reference's order: the document is checked first
     # against the stored rows and every earlier accepted batch row, then
-    # the e-mail. Accepted rows are unique per document, so the join below
-    # finds at most one partner per row.
-    acc_doc = accepted.select("documento_id", F.col(seq).alias("_a_doc_seq"))
-    rejected = (flagged.join(accepted.select(seq), seq, "left_anti")
-                .join(acc_doc, "documento_id", "left")
-                .select("documento_id", seq,
-                        F.when(F.col("_doc_taken").isNotNull() | (F.col("_a_doc_seq") < F.col(seq)), REASON_DOCUMENT)
-                        .otherwise(REASON_EMAIL).alias("motivo")))
-    return _conform(accepted, USUARIO, keep=[seq]), rejected
+    # the e-mail. Accepted rows are unique per document.
+    acc_doc = accepted.select("documento_id", F.col("_ord").alias("_a_ord"))
+    lost = (flagged.join(accepted.select("_rid"), "_rid", "left_anti").join(acc_doc, "documento_id", "left")
+            .select("documento_id", F.col("_ord.s").alias(seq),
+                    F.when(F.col("_doc_taken").isNotNull() | (F.col("_a_ord") < F.col("_ord")), REASON_DOCUMENT)
+                    .otherwise(REASON_EMAIL).alias("motivo")))
+    invalid = rows.filter(F.col("_why").isNotNull()).select("documento_id", seq, F.col("_why").alias("motivo"))
+    table = (rows.join(accepted.select("_rid"), "_rid", "left_semi")
+             .withColumn("tipo_usuario", F.lit("paciente"))
+             .withColumn("edad", S.age_years("fecha_nacimiento", S.local_today(as_of)))
+             .withColumn("created_at", as_of).withColumn("updated_at", as_of))
+    return _conform(table, USUARIO, keep=[seq]), invalid.unionByName(lost)
 
 
 def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] | None,
@@ -137,51 +166,50 @@ def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] |
     return current.unionByName(inserted, allowMissingColumns=True), inserted
 
 
-_TYPED = {"fecha_nacimiento": "date", "edad": "int"}
 _DOB_SET = "_fecha_nacimiento_no_nula"
+_PATCH_KINDS = {f: {"fecha_nacimiento": "date", "edad": "int"}.get(f, "text") for f in PATCH_FIELDS}
 
 
 def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str = "patch",
-                   seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+                   seq: str = "seq", users: DataFrame | None = None, by: str = "principal_id") -> tuple[DataFrame, DataFrame]:
     """Sparse patches ``(documento_id, seq, patch JSON text)``.
 
-    Only keys present in a patch change a field; an explicit ``null`` sets
-    NULL; several patches per patient apply in ``seq`` order (per field the
-    last present value wins, kept inside a struct so "last value is null"
-    differs from "never present"). Age is recomputed when a non-null birth
-    date is patched at or after the last explicit age; e-mail uniqueness is
-    not rechecked; ``updated_at`` moves only when a value changed. Unknown
-    ids and patches with a value of the wrong type are rejected.
-
-    Each patch is parsed once into a map and exploded into one row per
-    present field; the last value per (patient, field) is a partial
-    aggregate, and the per-patient change set is bounded by the number of
-    fields, so many patches for one patient never gather in one buffer.
+    Only known keys present in a patch change a field; an explicit ``null``
+    sets NULL; several patches per patient apply in ``seq`` order, equal ones
+    in the order of their text (per field the last present value wins, kept
+    inside a struct so "last value is null" differs from "never present"). Age
+    is recomputed when a non-null birth date is patched at or after the last
+    explicit age; e-mail uniqueness is not rechecked; ``updated_at`` moves
+    only when a value changed.
+
+    Rejected, in this order: with ``users``, a user in column ``by`` that is
+    unknown or no admissions clerk; text that is no JSON object or has a value
+    of the wrong type, or over its length (:mod:`ehrflow.sources.fields`; no
+    text ends the job, and of a repeated key the last value counts); unknown
+    ids.
+
+    Each patch is read on its own row and exploded into one row per present
+    field; the last value per (patient, field) is a partial aggregate, and the
+    per-patient change set is bounded by the number of fields, so many patches
+    for one patient never gather in one buffer.
     Returns ``(patched_table, rejected)``.
     """
     as_of = S.ntz_lit(as_of_utc)
     fields = list(PATCH_FIELDS)
-    m = F.from_json(F.col(patch), "map<string,string>")
-    p = patches.select("documento_id", seq, m.alias("_m"))
-    bad = F.col("_m").isNull()
-    for f, t in _TYPED.items():
-        raw = F.element_at("_m", F.lit(f))
-        bad = bad | (F.map_contains_key("_m", f) & raw.isNotNull() & raw.try_cast(t).isNull())
-    p = p.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    rejected_type = p.filter("_bad").select("documento_id", seq, F.lit(REASON_BAD_TYPE).alias("motivo"))
-    good = p.filter(~F.col("_bad"))
-    good = exists_flag(good, current.select("documento_id"), "documento_id", "_known", unique=True)
-    unknown = good.filter(~F.col("_known")) \
-        .select("documento_id", seq, F.lit(REASON_UNKNOWN_ID).alias("motivo"))
-    good = good.filter("_known").drop("_known")
+    p, problem = _role_problem(patches, users, by, "admisionista") if users is not None else (patches, F.lit(None).cast("string"))
+    p = p.select("documento_id", F.struct(F.col(seq).alias("s"), F.xxhash64(patch).alias("h")).alias("_ord"), problem.alias("_who"),
+                 typed(F.col(patch), _PATCH_KINDS, USUARIO_LENGTHS).alias("_fields"))
+    p = p.withColumn("_why", F.coalesce("_who", F.when(F.col("_fields").isNull(), F.lit(REASON_BAD_TYPE)), refused(F.col("_fields"))))
+    p = exists_flag(p, current.select("documento_id"), "documento_id", "_known", unique=True)
+    why = F.coalesce("_why", F.when(~F.col("_known"), F.lit(REASON_UNKNOWN_ID)))
+    rejected = p.filter(why.isNotNull()).select("documento_id", F.col("_ord.s").alias(seq), why.alias("motivo"))
 
     # Long form: one row per present field; a non-null birth date also
     # yields a marker entry that carries the value used for the age.
-    kept = F.map_filter("_m", lambda k, v: k.isin(fields))
-    dob = F.element_at("_m", F.lit("fecha_nacimiento"))
-    marker = F.when(dob.isNotNull(), F.map_from_arrays(F.array(F.lit(_DOB_SET)), F.array(dob)))
-    entries = F.map_concat(kept, F.coalesce(marker, F.create_map().cast("map<string,string>")))
-    long = good.select("documento_id", seq, F.explode(entries).alias("_f", "_val"))
+    marker = F.transform(F.filter("_fields", lambda x: (x["key"] == "fecha_nacimiento") & x["value"].isNotNull()),
+                         lambda x: F.struct(F.lit(_DOB_SET).alias("key"), x["value"].alias("value"), x["why"].alias("why")))
+    long = (p.filter(why.isNull()).select("documento_id", "_ord", F.explode(F.concat("_fields", marker)).alias("_x"))
+            .select("documento_id", F.col("_ord").alias(seq), F.col("_x.key").alias("_f"), F.col("_x.value").alias("_val")))
     last = long.groupBy("documento_id", "_f").agg(
         F.max_by(F.struct(F.col("_val").alias("v")), F.col(seq)).alias("_v"),
         F.max(seq).alias("_s"))
@@ -216,59 +244,61 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     if "updated_at" in current.columns:
         out = out.withColumn("updated_at", F.when(F.col("_chg").isNotNull() & changed, as_of)
                              .otherwise(F.col("updated_at")))
-    return out.select(*current.columns), rejected_type.unionByName(unknown)
-
-
-def insert_encounters(patients: DataFrame, batch: DataFrame, clinicians: DataFrame, as_of_utc,
-                      seq: str = "seq", clinician: str = "clinician_id",
-                      random_ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    """New-encounter commands -> (accepted encounter rows, rejected).
-
-    Rejected: a required field missing, ``tipo_atencion`` over 80
-    characters, or an unknown patient. Accepted rows get the encounter time
-    (``as_of``), the clinician's signature ``Dr. {nombre} {apellido}``
-    (``None`` for a missing part), a NULL professional reference (the
-    reference's user rows carry no professional id) and NULL for optional
-    fields that were blank. The encounter key is a content hash of
-    (documento_id, seq, clinician) so reruns are idempotent, or a random
-    UUID with ``random_ids=True``.
+    return out.select(*current.columns), rejected
+
+
+def encounter_outcomes(patients: DataFrame, batch: DataFrame, users: DataFrame, as_of_utc,
+                       seq: str = "seq", clinician: str = "clinician_id", random_ids: bool = False) -> DataFrame:
+    """Every new-encounter command with its outcome, in one frame and one
+    pass over the commands: ``estado`` (``aceptado`` or ``rechazado``),
+    ``motivo``, and for accepted ones the encounter row.
+
+    Checks, in the order of the request's: the signer (column ``clinician``)
+    must be a known user and a clinician; required fields and the length of
+    ``tipo_atencion``; the patient must exist. Accepted rows get the encounter
+    time (``as_of``), the signature ``Dr. {nombre} {apellido}`` (``None`` for
+    a missing part), a NULL professional reference (the reference's user rows
+    carry no professional id) and NULL for optional fields that were blank.
+    The encounter key is a content hash of (documento_id, seq, clinician) so
+    reruns are idempotent, or a random UUID with ``random_ids=True``.
     """
     as_of = S.ntz_lit(as_of_utc)
+    signers = users.select(F.col("documento_id").alias("_by"), F.col("tipo_usuario").alias("_role"), F.lit(True).alias("_user"),
+                           F.col("primer_nombre").alias("_n"), F.col("primer_apellido").alias("_a"))
     missing = F.lit(False)
     for c in ENCOUNTER_REQUIRED:
         missing = missing | F.col(c).isNull()
-    too_long = F.coalesce(F.char_length("tipo_atencion") > 80, F.lit(False))
-    checked = batch.withColumn("_why", F.when(missing, REASON_MISSING).when(too_long, REASON_TOO_LONG))
-    invalid = checked.filter(F.col("_why").isNotNull()).select("documento_id", seq, F.col("_why").alias("motivo"))
-    valid = checked.filter(F.col("_why").isNull()).drop("_why")
-    valid = exists_flag(valid, patients.select("documento_id"), "documento_id", "_known", unique=True)
-    no_patient = valid.filter(~F.col("_known")) \
-        .select("documento_id", seq, F.lit(REASON_NO_PATIENT).alias("motivo"))
-    ok = valid.filter("_known").drop("_known")
-
-    docs = small_side(clinicians.select(F.col("documento_id").alias(clinician),
-                                        F.col("primer_nombre").alias("_n"),
-                                        F.col("primer_apellido").alias("_a")))
-    ok = ok.join(docs, clinician, "left")
-    for c in ENCOUNTER_OPTIONAL:
-        if c in ok.columns and dict(ok.dtypes)[c] == "string":
-            ok = ok.withColumn(c, S.blank_to_null(c))
+    df = batch.join(signers, F.col(clinician) == F.col("_by"), "left")
+    df = exists_flag(df, patients.select("documento_id"), "documento_id", "_known", unique=True)
+    why = (F.when(F.col("_user").isNull(), REASON_NO_USER).when(~S.role_in("_role", ["medico"]), REASON_ROLE)
+           .when(missing, REASON_MISSING).when(_too_long(batch, ATENCION_LENGTHS), REASON_TOO_LONG)
+           .when(~F.col("_known"), REASON_NO_PATIENT))
+    ok = F.col("motivo").isNull()
+    blank = {c: S.blank_to_null(c) for c, t in batch.dtypes if c in ENCOUNTER_OPTIONAL and t == "string"}
     key = S.random_key() if random_ids else S.content_key("documento_id", seq, clinician)
-    accepted = (ok.withColumn("atencion_id", key)
-                .withColumn("fecha_hora_atencion", as_of)
-                .withColumn("profesional_responsable", F.lit(None).cast("string"))
-                .withColumn("responsable_registro", S.signature("_n", "_a"))
-                .withColumn("created_at", as_of).withColumn("updated_at", as_of)
-                .drop("_n", "_a"))
-    return accepted, invalid.unionByName(no_patient)
+    made = {"atencion_id": key, "fecha_hora_atencion": as_of, "profesional_responsable": F.lit(None).cast("string"),
+            "responsable_registro": S.signature("_n", "_a"), "created_at": as_of, "updated_at": as_of}
+    return (df.withColumn("motivo", why).withColumns({**blank, **{c: F.when(ok, v) for c, v in made.items()}})
+            .withColumn("estado", F.when(ok, "aceptado").otherwise("rechazado"))
+            .drop("_by", "_role", "_user", "_n", "_a", "_known"))
+
+
+def insert_encounters(patients: DataFrame, batch: DataFrame, users: DataFrame, as_of_utc, **options) -> tuple[DataFrame, DataFrame]:
+    """:func:`encounter_outcomes` as (accepted encounter rows, rejected rows
+    as (documento_id, seq, motivo))."""
+    out = encounter_outcomes(patients, batch, users, as_of_utc, **options)
+    return (out.filter("estado = 'aceptado'").drop("estado", "motivo"),
+            out.filter("estado = 'rechazado'").select("documento_id", options.get("seq", "seq"), "motivo"))
 
 
 def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Delete patients and, following the cascading foreign keys, their
     encounters and the encounters' diagnoses, technologies and discharges.
     Every patient-rooted table carries ``documento_id``, so each table is one
-    anti join against the distinct ids."""
-    keys = ids.select("documento_id").distinct()
+    anti join against the distinct ids, which are written first: the joins
+    then read them through exchanges of their own, and AQE can split a patient
+    with very many rows."""
+    keys = shared_table(ids.select("documento_id").distinct())
     out = {}
     for name, df in tables.items():
         out[name] = df.join(keys, "documento_id", "left_anti") if "documento_id" in df.columns else df

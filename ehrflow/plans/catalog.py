@@ -8,6 +8,8 @@ rendered as text, every computed column aliased identically on both sides.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ehrflow.functions import scalars as S
 from ehrflow.operators import history as H
 from ehrflow.plans import driver_model as M
+from ehrflow.session import checkpoint_dir, drop_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,8 +61,8 @@ def patient_history_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
                            policy="clinician")
     enc = enc.select("documento_id", "atencion_id", "tipo_atencion",
                      S.fmt("fecha_hora_local", "stamp").alias("fecha_local"), "profesional_nombre")
-    rows = H.patient_history_rows(pats.select("documento_id", "primer_nombre", F.col("edad").cast("long").alias("edad")), enc)
-    return H.encounter_counts(rows, enc.select("documento_id"))
+    return H.patient_history_rows(pats.select("documento_id", "primer_nombre", F.col("edad").cast("long").alias("edad")), enc,
+                                  keys=M.model(spark, sf_dir, "encounters").select("documento_id"), count="n_atenciones")
 
 
 register("patient_history", M.with_ctes(
@@ -107,13 +110,20 @@ def _ts_text(c):
 TS_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp folder)."""
-    import uuid
+def _at_end(spark: SparkSession, do: Callable[[], object]) -> None:
+    """Call ``do`` when Python ends, if the session still runs then."""
+    def run():
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            do()
+    atexit.register(run)
+
 
-    from ehrflow.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/ehrflow-scratch/{tag}-{uuid.uuid4().hex}"
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a
+    machine-local temp folder); it is deleted when Python ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ehrflow-{tag}-{uuid.uuid4().hex}"
+    _at_end(spark, lambda: drop_path(spark, path))
+    return path
 
 
 # ------------------------------------------------------------ A1 / D1 ---
@@ -496,9 +506,7 @@ FROM encounters e LEFT JOIN professionals p ON p.id_personal_salud = nullif(e.pr
 def name_policy(spark, d):
     e = _encs(spark, d).select("atencion_id", "profesional_responsable", "responsable_registro")
     pr = _profs(spark, d)
-    e = H.with_professional(e, pr, "clinician", "nombre_clinico")
-    e = H.with_professional(e, pr, "patient", "nombre_paciente")
-    e = H.with_professional(e, pr, "export", "nombre_export")
+    e = H.with_professional(e, pr, {"nombre_clinico": "clinician", "nombre_paciente": "patient", "nombre_export": "export"})
     return e.select("atencion_id", "nombre_clinico", "nombre_paciente", "nombre_export")
 
 
@@ -527,28 +535,30 @@ def insert_or_ignore(spark, d):
 
 def _patient_batch(spark, d):
     """New-patient commands derived from customer rows: some reuse an
-    existing document, many share documents or e-mails inside the batch,
-    some have no e-mail."""
+    existing document (and of these some repeat or lack their ``seq``), many
+    share documents or e-mails inside the batch, some have no e-mail, too long
+    a name or no password hash."""
     k = F.col("c_custkey")
     c = _t(spark, d, "customer")
     return c.select(
         F.when(k % 5 == 0, k).otherwise(k % 900 + 3_000_000).alias("documento_id"),
-        F.col("c_name").alias("primer_nombre"),
+        F.when(k % 50 == 1, F.repeat(F.lit("n"), 121)).otherwise(F.col("c_name")).alias("primer_nombre"),
         F.when(k % 7 == 0, None).when(k % 3 == 0, F.concat(F.lit("p"), k.cast("string"), F.lit("@hce.test")))
          .otherwise(F.concat(F.lit("b"), (k % 1100).cast("string"), F.lit("@b.test"))).alias("correo_electronico"),
         F.date_add(F.lit(M.AS_OF_DATE), -(k * 13 % 30000).cast("int")).alias("fecha_nacimiento"),
-        F.concat(F.lit("h$"), k.cast("string")).alias("hashed_password"),
-        k.alias("seq"))
+        F.when(k % 50 != 2, F.concat(F.lit("h$"), k.cast("string"))).alias("hashed_password"),
+        F.when(k % 35 == 0, None).when(k % 10 == 5, 7).otherwise(k).alias("seq"))
 
 
 _WALK_SQL = """
 batch AS (
-  SELECT row_number() OVER (ORDER BY c_custkey) AS rn, c_custkey AS seq,
+  SELECT row_number() OVER (ORDER BY c_custkey) AS rn,
+    CASE WHEN c_custkey % 35 = 0 THEN NULL WHEN c_custkey % 10 = 5 THEN 7 ELSE c_custkey END AS seq,
     CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey % 900 + 3000000 END AS documento_id,
     CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey || '@hce.test'
          ELSE 'b' || (c_custkey % 1100) || '@b.test' END AS correo_electronico,
     DATE '{d}' - CAST(c_custkey * 13 % 30000 AS INTEGER) AS fecha_nacimiento
-  FROM customer),
+  FROM customer WHERE c_custkey % 50 NOT IN (1, 2)),
 walk AS (
   SELECT CAST(0 AS BIGINT) AS rn,
     (SELECT list(documento_id) FROM patients) AS docs,
@@ -572,7 +582,9 @@ walk AS (
 _INSERT_PATIENTS_SQL = "WITH RECURSIVE " + M.with_ctes(M.PATIENTS_SQL, _WALK_SQL, body=f"""
 SELECT b.documento_id, b.seq, CASE WHEN w.motivo IS NULL THEN 'aceptado' ELSE 'rechazado' END AS estado, w.motivo,
   CASE WHEN w.motivo IS NULL THEN CAST({age_sql('b.fecha_nacimiento')} AS BIGINT) END AS edad
-FROM walk w JOIN batch b ON b.rn = w.rn""")[len("WITH "):]
+FROM walk w JOIN batch b ON b.rn = w.rn
+UNION ALL SELECT c_custkey % 900 + 3000000, c_custkey, 'rechazado', CASE c_custkey % 50 WHEN 1 THEN 'longitud' ELSE 'campo_requerido' END, NULL
+FROM customer WHERE c_custkey % 50 IN (1, 2)""")[len("WITH "):]
 
 
 @register("insert_patients", _INSERT_PATIENTS_SQL)
@@ -593,12 +605,17 @@ def _patches(spark, d):
     c = _t(spark, d, "customer")
     first = F.when(k % 6 == 0, F.concat(F.lit('{"celular":"31'), k.cast("string"), F.lit('"}'))) \
         .when(k % 6 == 1, F.lit('{"celular":null}')) \
+        .when(k % 12 == 2, F.concat(F.lit('{"celular":"a","edad":3,"celular":"33'), k.cast("string"), F.lit('"}'))) \
         .when(k % 6 == 2, F.lit("{}")) \
         .when(k % 6 == 3, F.lit('{"correo_electronico":"","fecha_nacimiento":"1990-05-05"}')) \
         .when(k % 6 == 4, F.lit('{"edad":7}')) \
         .otherwise(F.lit('{"fecha_nacimiento":null}'))
     p1 = c.select(k.alias("documento_id"), F.lit(1).cast("long").alias("seq"), first.alias("patch"))
     second = F.when(k % 4 == 0, F.concat(F.lit('{"celular":"32'), k.cast("string"), F.lit('","edad":9}'))) \
+        .when(k % 4 == 1, F.lit('{"celular":5}')) \
+        .when(k % 8 == 2, F.lit('{"edad":"12","telefono":null}')) \
+        .when(k % 8 == 6, F.lit('{"factor_rh":"AB positivo de 5"}')) \
+        .when(k % 8 == 3, F.lit('{"celular":')) \
         .otherwise(F.lit("{}"))
     p2 = c.select(k.alias("documento_id"), F.lit(2).cast("long").alias("seq"), second.alias("patch"))
     p3 = c.select((k + 5_000_000).alias("documento_id"), F.lit(1).cast("long").alias("seq"),
@@ -610,11 +627,13 @@ _PATCHES_SQL = """
 patches AS (
   SELECT c_custkey AS documento_id, CAST(1 AS BIGINT) AS seq,
     CASE c_custkey % 6 WHEN 0 THEN '{"celular":"31' || c_custkey || '"}' WHEN 1 THEN '{"celular":null}'
-      WHEN 2 THEN '{}' WHEN 3 THEN '{"correo_electronico":"","fecha_nacimiento":"1990-05-05"}'
+      WHEN 2 THEN CASE WHEN c_custkey % 12 = 2 THEN '{"edad":3,"celular":"33' || c_custkey || '"}' ELSE '{}' END
+      WHEN 3 THEN '{"correo_electronico":"","fecha_nacimiento":"1990-05-05"}'
       WHEN 4 THEN '{"edad":7}' ELSE '{"fecha_nacimiento":null}' END AS patch
   FROM customer
   UNION ALL SELECT c_custkey, 2,
-    CASE WHEN c_custkey % 4 = 0 THEN '{"celular":"32' || c_custkey || '","edad":9}' ELSE '{}' END FROM customer
+    CASE WHEN c_custkey % 4 = 0 THEN '{"celular":"32' || c_custkey || '","edad":9}'
+         WHEN c_custkey % 8 = 2 THEN '{"edad":12,"telefono":null}' ELSE '{}' END FROM customer
   UNION ALL SELECT c_custkey + 5000000, 1, '{"celular":"x"}' FROM customer
 ),
 good AS (SELECT * FROM patches WHERE documento_id IN (SELECT documento_id FROM patients)),
@@ -630,7 +649,7 @@ agg AS (
   FROM good GROUP BY documento_id
 ),
 merged AS (
-  SELECT p.documento_id, p.celular AS o_cel, p.correo_electronico AS o_mail, p.fecha_nacimiento AS o_dob, p.edad AS o_age,
+  SELECT p.documento_id, p.celular AS o_cel, p.correo_electronico AS o_mail, p.fecha_nacimiento AS o_dob, p.edad AS o_age, p.telefono AS o_tel,
     CASE WHEN a.p_cel IS NOT NULL THEN a.p_cel.v ELSE p.celular END AS celular,
     CASE WHEN a.p_mail IS NOT NULL THEN a.p_mail.v ELSE p.correo_electronico END AS correo_electronico,
     CASE WHEN a.p_dob IS NOT NULL THEN a.p_dob.v ELSE p.fecha_nacimiento END AS fecha_nacimiento,
@@ -645,7 +664,7 @@ merged AS (
 @register("patch_patients", M.with_ctes(M.PATIENTS_SQL, _PATCHES_SQL, body="""
 SELECT documento_id, celular, correo_electronico, fecha_nacimiento, CAST(edad AS BIGINT) AS edad,
   (celular IS DISTINCT FROM o_cel OR correo_electronico IS DISTINCT FROM o_mail
-   OR fecha_nacimiento IS DISTINCT FROM o_dob OR edad IS DISTINCT FROM o_age) AS actualizado
+   OR fecha_nacimiento IS DISTINCT FROM o_dob OR edad IS DISTINCT FROM o_age OR (o_tel IS NOT NULL AND documento_id % 8 = 2)) AS actualizado
 FROM merged"""))
 def patch_patients(spark, d):
     from ehrflow.operators.writes import patch_patients as pp
@@ -657,7 +676,9 @@ def patch_patients(spark, d):
 
 @register("patch_rejects", """
 SELECT c_custkey + 5000000 AS documento_id, CAST(1 AS BIGINT) AS seq, 'no_existe' AS motivo
-FROM customer""")
+FROM customer
+UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 8 = 6 THEN 'longitud' ELSE 'tipo_invalido' END
+FROM customer WHERE c_custkey % 4 = 1 OR c_custkey % 8 IN (3, 6)""")
 def patch_rejects(spark, d):
     from ehrflow.operators.writes import patch_patients as pp
     _, rejected = pp(_pats(spark, d), _patches(spark, d), M.AS_OF_UTC)
@@ -686,31 +707,23 @@ batch AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 7000000 ELSE o_c
                  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'Cuadro' END AS enfermedad_actual,
                  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Niega' END AS alergias_conocidas,
                  o_orderkey % 1500 AS clinician_id, o_orderkey AS seq FROM orders),
-med AS (SELECT documento_id, primer_nombre, primer_apellido FROM patients)""", body="""
-SELECT b.documento_id, b.seq,
-  CASE WHEN b.enfermedad_actual IS NULL THEN 'rechazado'
-       WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'rechazado' ELSE 'aceptado' END AS estado,
-  CASE WHEN b.enfermedad_actual IS NULL THEN 'campo_requerido'
-       WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'paciente_no_existe' END AS motivo,
-  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
-       THEN 'Dr. ' || COALESCE(m.primer_nombre, 'None') || ' ' || COALESCE(m.primer_apellido, 'None') END AS responsable_registro,
-  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
-       THEN sha256(concat_ws(chr(1), CAST(b.documento_id AS VARCHAR), CAST(b.seq AS VARCHAR), CAST(b.clinician_id AS VARCHAR))) END
-    AS atencion_id,
-  CASE WHEN b.enfermedad_actual IS NOT NULL AND b.documento_id IN (SELECT documento_id FROM patients)
-       THEN nullif(b.alergias_conocidas, '') END AS alergias_conocidas
-FROM batch b LEFT JOIN med m ON m.documento_id = b.clinician_id"""))
+checked AS (
+  SELECT b.*, m.primer_nombre, m.primer_apellido,
+    CASE WHEN m.documento_id IS NULL THEN 'no_autenticado' WHEN m.tipo_usuario IS DISTINCT FROM 'medico' THEN 'rol_no_permitido'
+         WHEN b.enfermedad_actual IS NULL THEN 'campo_requerido'
+         WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'paciente_no_existe' END AS motivo
+  FROM batch b LEFT JOIN patients m ON m.documento_id = b.clinician_id)""", body="""
+SELECT documento_id, seq, CASE WHEN motivo IS NULL THEN 'aceptado' ELSE 'rechazado' END AS estado, motivo,
+  CASE WHEN motivo IS NULL THEN 'Dr. ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(primer_apellido, 'None') END AS responsable_registro,
+  CASE WHEN motivo IS NULL
+       THEN sha256(concat_ws(chr(1), CAST(documento_id AS VARCHAR), CAST(seq AS VARCHAR), CAST(clinician_id AS VARCHAR))) END AS atencion_id,
+  nullif(alergias_conocidas, '') AS alergias_conocidas
+FROM checked"""))
 def insert_encounters(spark, d):
-    from ehrflow.operators.writes import insert_encounters as ie
+    from ehrflow.operators.writes import encounter_outcomes
     pats = _pats(spark, d)
-    accepted, rejected = ie(pats, _encounter_batch(spark, d), pats, M.AS_OF_UTC)
-    a = accepted.select("documento_id", "seq", F.lit("aceptado").alias("estado"),
-                        F.lit(None).cast("string").alias("motivo"), "responsable_registro", "atencion_id",
-                        "alergias_conocidas")
-    r = rejected.select("documento_id", "seq", F.lit("rechazado").alias("estado"), "motivo",
-                        *[F.lit(None).cast("string").alias(c) for c in
-                          ("responsable_registro", "atencion_id", "alergias_conocidas")])
-    return a.unionByName(r)
+    out = encounter_outcomes(pats, _encounter_batch(spark, d), pats, M.AS_OF_UTC)
+    return out.select("documento_id", "seq", "estado", "motivo", "responsable_registro", "atencion_id", "alergias_conocidas")
 
 
 # ------------------------------------------------------------------ I5 ---
@@ -742,37 +755,42 @@ tech AS (SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS V
          FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)"""
 
 
-@register("validate", M.with_ctes(M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, M.PATIENTS_SQL, _TECH_SQL, body="""
+@register("validate", M.with_ctes(M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, M.PATIENTS_SQL, _TECH_SQL, """
+enc AS (SELECT * EXCLUDE (fecha_hora_atencion), CASE WHEN CAST(atencion_id AS BIGINT) % 97 <> 0 THEN fecha_hora_atencion END AS fecha_hora_atencion
+        FROM encounters)""", body="""
 SELECT 'pk_duplicada' AS regla, 'tecnologia_salud' AS tabla,
   CAST(documento_id AS VARCHAR) || '|' || tecnologia_id AS clave, 'n=' || count(*) AS detalle
 FROM tech GROUP BY documento_id, tecnologia_id HAVING count(*) > 1
 UNION ALL
 SELECT 'fk', 'atencion', CAST(documento_id AS VARCHAR) || '|' || atencion_id,
   'profesional_salud(' || profesional_responsable || ')'
-FROM encounters e WHERE profesional_responsable IS NOT NULL
+FROM enc e WHERE profesional_responsable IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM professionals p WHERE p.id_personal_salud = e.profesional_responsable)
 UNION ALL
 SELECT 'fk', 'tecnologia_salud', CAST(documento_id AS VARCHAR) || '|' || tecnologia_id,
   'atencion(' || CAST(documento_id AS VARCHAR) || '|' || atencion_id || ')'
-FROM tech t WHERE NOT EXISTS (SELECT 1 FROM encounters e WHERE e.documento_id = t.documento_id AND e.atencion_id = t.atencion_id)
+FROM tech t WHERE CAST(atencion_id AS BIGINT) % 50 = 0
 UNION ALL
 SELECT 'longitud', 'usuario', CAST(documento_id AS VARCHAR), 'correo_electronico'
 FROM patients WHERE length(correo_electronico) > 20
 UNION ALL
-SELECT 'no_nulo', 'atencion', COALESCE(CAST(documento_id AS VARCHAR), 'NULL') || '|' || COALESCE(atencion_id, 'NULL'),
-  'fecha_hora_atencion' FROM encounters WHERE fecha_hora_atencion IS NULL"""))
+SELECT 'no_nulo', 'atencion', CAST(documento_id AS VARCHAR) || '|' || atencion_id, 'fecha_hora_atencion' FROM enc WHERE fecha_hora_atencion IS NULL"""))
 def validate(spark, d):
+    """Every 97th encounter has no time, and every 50th is missing as the
+    parent of its technologies."""
     from ehrflow.operators import integrity as J
     tech = _techs(spark, d)
-    enc = _encs(spark, d)
+    k = F.col("atencion_id").cast("long")
+    enc = _encs(spark, d).withColumn("fecha_hora_atencion", F.when(k % 97 != 0, F.col("fecha_hora_atencion")))
     reports = [
-        J.pk_violations(tech, ["documento_id", "tecnologia_id"], "tecnologia_salud"),
+        J.repeated_keys(tech, ["documento_id", "tecnologia_id"], "tecnologia_salud"),
         J.fk_violations(enc, _profs(spark, d), ["profesional_responsable"], ["id_personal_salud"],
                         ["documento_id", "atencion_id"], "atencion", "profesional_salud"),
-        J.fk_violations(tech, enc, ["documento_id", "atencion_id"], ["documento_id", "atencion_id"],
+        J.fk_violations(tech, enc.filter(k % 50 != 0), ["documento_id", "atencion_id"], ["documento_id", "atencion_id"],
                         ["documento_id", "tecnologia_id"], "tecnologia_salud", "atencion"),
-        J.length_violations(_pats(spark, d), {"correo_electronico": 20}, ["documento_id"], "usuario"),
-        J.null_violations(enc, ["fecha_hora_atencion"], ["documento_id", "atencion_id"], "atencion"),
+        J.row_violations(tech, ["documento_id", "tecnologia_id"], "tecnologia_salud"),
+        J.row_violations(_pats(spark, d), ["documento_id"], "usuario", limits={"correo_electronico": 20}),
+        J.row_violations(enc, ["documento_id", "atencion_id"], "atencion", ["fecha_hora_atencion"]),
     ]
     return J.validate(reports)
 
@@ -851,11 +869,11 @@ blocks AS (
   SELECT documento_id, fecha_hora_atencion, atencion_id, concat_ws(chr(10),
     '== ' || strftime({local_sql('fecha_hora_atencion')}, '%d-%m-%Y %H:%M') || ' ' || COALESCE(tipo_atencion, 'None'),
     CASE WHEN concat_ws('; ', CASE WHEN ta_t IS NOT NULL THEN 'P. Arterial: ' || ta_t END,
-                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardiaca: ' || fc_t END,
+                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardíaca: ' || fc_t END,
                               CASE WHEN temp_t IS NOT NULL THEN 'Temp.: ' || temp_t || '°' END,
                               CASE WHEN sat_t IS NOT NULL THEN 'Sat O2: ' || sat_t || '%' END) <> ''
          THEN 'VITALES: ' || concat_ws('; ', CASE WHEN ta_t IS NOT NULL THEN 'P. Arterial: ' || ta_t END,
-                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardiaca: ' || fc_t END,
+                              CASE WHEN fc_t IS NOT NULL THEN 'F. Cardíaca: ' || fc_t END,
                               CASE WHEN temp_t IS NOT NULL THEN 'Temp.: ' || temp_t || '°' END,
                               CASE WHEN sat_t IS NOT NULL THEN 'Sat O2: ' || sat_t || '%' END) END,
     'Motivo: ' || COALESCE(motivo_consulta, 'None'),
@@ -878,34 +896,37 @@ blocks AS (
   FROM vt
 ),
 bodies AS (
-  SELECT documento_id, string_agg(block, chr(10) ORDER BY fecha_hora_atencion DESC, atencion_id DESC) AS enc
-  FROM blocks GROUP BY documento_id
+  SELECT documento_id, CAST(date_trunc('month', fecha_hora_atencion) AS DATE) AS mes,
+    string_agg(block, chr(10) ORDER BY fecha_hora_atencion DESC, atencion_id DESC) AS enc
+  FROM blocks WHERE documento_id IN (SELECT documento_id FROM patients) GROUP BY 1, 2
 ),
 pv AS (SELECT *, COALESCE({age_sql('fecha_nacimiento')}, edad) AS edad_m FROM patients)"""
 
 _AS_OF_LOCAL_SQL = local_sql("TIMESTAMP '" + M.AS_OF_UTC.isoformat(sep=" ") + "'")
 
 
+_FILE_SQL = f"'HC_' || documento_id || '_' || strftime({_AS_OF_LOCAL_SQL}, '%Y%m%d') || '.pdf'"
+
 _DOCS_SELECT = f"""
-SELECT p.documento_id, CAST(0 AS BIGINT) AS parte, CAST(1 AS BIGINT) AS partes,
-  'HC_' || p.documento_id || '_' || strftime({_AS_OF_LOCAL_SQL}, '%Y%m%d') || '.pdf' AS archivo,
+SELECT p.documento_id, CAST(NULL AS DATE) AS mes, {_FILE_SQL} AS archivo,
   concat_ws(chr(10),
     'HISTORIA CLINICA UNIFICADA',
     'PACIENTE: ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(segundo_nombre, '') || ' '
       || COALESCE(primer_apellido, 'None') || ' ' || COALESCE(segundo_apellido, '')
       || ' | DOCUMENTO: ' || COALESCE(tipo_documento, 'None') || ' ' || p.documento_id,
     'EDAD: ' || COALESCE(CAST(nullif(edad_m, 0) AS VARCHAR), '--') || ' años ('
-      || COALESCE(CAST(fecha_nacimiento AS VARCHAR), 'None') || ') | GENERO: ' || COALESCE(nullif(genero, ''), '--'),
+      || COALESCE(CAST(fecha_nacimiento AS VARCHAR), 'None') || ') | GÉNERO: ' || COALESCE(nullif(genero, ''), '--'),
     'RH: ' || COALESCE(nullif(grupo_sanguineo, ''), '') || ' ' || COALESCE(nullif(factor_rh, ''), '')
       || ' | ESTADO CIVIL: ' || COALESCE(nullif(estado_civil, ''), '--'),
-    'DIRECCION: ' || COALESCE(nullif(direccion_residencia, ''), '--') || ' - ' || COALESCE(nullif(municipio_ciudad, ''), ''),
+    'DIRECCIÓN: ' || COALESCE(nullif(direccion_residencia, ''), '--') || ' - ' || COALESCE(nullif(municipio_ciudad, ''), ''),
     'CONTACTO: ' || COALESCE(nullif(celular, ''), nullif(telefono, ''), '--')
       || ' | EMAIL: ' || COALESCE(nullif(correo_electronico, ''), '--'),
     'ENTIDAD: ' || COALESCE(nullif(entidad_afiliacion, ''), 'PARTICULAR')
-      || ' | REGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
+      || ' | RÉGIMEN: ' || COALESCE(nullif(regimen_afiliacion, ''), '--'),
     'IMPRESO: ' || strftime({_AS_OF_LOCAL_SQL}, '%d/%m/%Y %H:%M'),
-    COALESCE(b.enc, 'No existen registros de atención.')) AS cuerpo
-FROM pv p LEFT JOIN bodies b ON b.documento_id = p.documento_id"""
+    CASE WHEN p.documento_id NOT IN (SELECT documento_id FROM encounters) THEN 'No existen registros de atención.' END) AS cuerpo
+FROM pv p
+UNION ALL SELECT documento_id, mes, {_FILE_SQL}, enc FROM bodies"""
 
 
 @register("history_documents", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, _DOC_SQL,
@@ -919,24 +940,29 @@ def history_documents(spark, d):
 # ------------------------------------------------------------- A4 / J6 ---
 
 def _command_lines(spark, d):
-    """New-patient commands as JSON text derived from customer rows: every
-    50th has a non-numeric document (type error), every 40th (offset 1)
-    lacks the password hash (required)."""
+    """New-patient commands as JSON text derived from customer rows: some have
+    a document that is no number, or a number as text (which is taken), a name
+    that is a number or too long, no password hash, no ``seq``, or are cut
+    off."""
     k = F.col("c_custkey")
     c = _t(spark, d, "customer")
-    fields = [F.col("c_name").alias("primer_nombre"),
-              F.date_add(F.lit(M.AS_OF_DATE), -(k * 13 % 30000).cast("int")).alias("fecha_nacimiento"),
-              F.when(k % 40 == 1, None).otherwise(F.concat(F.lit("h$"), k.cast("string"))).alias("hashed_password"),
-              k.alias("seq")]
-    good = F.to_json(F.struct(k.alias("documento_id"), *fields))
-    bad = F.to_json(F.struct(F.concat(F.lit("x"), k.cast("string")).alias("documento_id"), *fields))
-    return c.select(F.when(k % 50 == 0, bad).otherwise(good).alias("value"))
+
+    def line(document=k, name=F.col("c_name"), password=F.concat(F.lit("h$"), k.cast("string")), seq=k):
+        born = F.date_add(F.lit(M.AS_OF_DATE), -(k * 13 % 30000).cast("int"))
+        return F.to_json(F.struct(document.alias("documento_id"), name.alias("primer_nombre"), born.alias("fecha_nacimiento"),
+                                  password.alias("hashed_password"), seq.alias("seq")))
+
+    return c.select(
+        F.when(k % 50 == 0, line(document=F.concat(F.lit("x"), k.cast("string")))).when(k % 50 == 10, line(document=k.cast("string")))
+        .when(k % 50 == 20, line(name=k)).when(k % 50 == 30, line(name=F.repeat(F.lit("n"), 121))).when(k % 50 == 40, F.left(line(), F.lit(20)))
+        .when(k % 40 == 1, line(password=F.lit(None).cast("string"))).when(k % 60 == 7, line(seq=F.lit(None).cast("long")))
+        .otherwise(line()).alias("value"))
 
 
 @register("commands_ingest", """
-SELECT c_custkey AS seq, CASE WHEN c_custkey % 50 = 0 OR c_custkey % 40 = 1 THEN NULL ELSE c_custkey END AS documento_id,
-  CASE WHEN c_custkey % 50 = 0 THEN 'json' WHEN c_custkey % 40 = 1 THEN 'requerido' ELSE 'aceptado' END AS estado
-FROM customer""")
+WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 IN (0, 20) THEN 'tipo_invalido' WHEN c_custkey % 50 = 30 THEN 'longitud'
+    WHEN c_custkey % 50 = 40 THEN 'json' WHEN c_custkey % 40 = 1 OR c_custkey % 60 = 7 THEN 'requerido' ELSE 'aceptado' END AS estado FROM customer)
+SELECT CASE WHEN estado <> 'json' AND k % 60 <> 7 THEN k END AS seq, CASE WHEN estado = 'aceptado' THEN k END AS documento_id, estado FROM t""")
 def commands_ingest(spark, d):
     from ehrflow.sources.commands import read_commands
     path = _scratch(spark, "commands")
@@ -953,8 +979,8 @@ def commands_ingest(spark, d):
 @register("history_json", M.with_ctes(M.ENCOUNTERS_SQL, body="""
 SELECT c.c_custkey AS documento_id, count(e.atencion_id) AS n_atenciones,
   first(e.atencion_id ORDER BY e.fecha_hora_atencion DESC, e.atencion_id DESC) AS mas_reciente,
-  CAST(0 AS BIGINT) AS pagina
-FROM customer c LEFT JOIN encounters e ON e.documento_id = c.c_custkey GROUP BY c.c_custkey"""))
+  CAST(date_trunc('month', e.fecha_hora_atencion) AS DATE) AS mes
+FROM customer c LEFT JOIN encounters e ON e.documento_id = c.c_custkey GROUP BY c.c_custkey, mes"""))
 def history_json(spark, d):
     from ehrflow.sources.sinks import write_history_json
     pats = _pats(spark, d).select("documento_id", "primer_nombre")
@@ -965,7 +991,7 @@ def history_json(spark, d):
     write_history_json(hist, path)
     back = spark.read.schema(hist.schema).json(path)
     return back.select("documento_id", F.size("atenciones").cast("long").alias("n_atenciones"),
-                       F.get(F.col("atenciones"), 0)["atencion_id"].alias("mas_reciente"), "pagina")
+                       F.get(F.col("atenciones"), 0)["atencion_id"].alias("mas_reciente"), "mes")
 
 
 # ------------------------------------------------------------------ M1 ---
@@ -977,8 +1003,7 @@ def encounter_stream(spark, d):
     from ehrflow.streaming.encounters import encounter_stream as es
     root = _scratch(spark, "stream")
     _encounter_batch(spark, d).repartition(4).write.mode("overwrite").json(f"{root}/in")
-    pats = _pats(spark, d)
-    q = es(spark, f"{root}/in", pats, pats, f"{root}/out", f"{root}/checkpoint", M.AS_OF_UTC)
+    q = es(spark, f"{root}/in", lambda: (_pats(spark, d), _pats(spark, d)), f"{root}/out", f"{root}/checkpoint", M.AS_OF_UTC)
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select("documento_id", "seq", "estado", "motivo", "responsable_registro", "atencion_id",
@@ -994,14 +1019,12 @@ FANOUT = 2
 
 @register("layout_join", ORACLE["encounter_counts"])
 def layout_join(spark, d):
-    import uuid
-
     from ehrflow.plans.layout import load_layout, save_layout
     root = _scratch(spark, "layout")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = save_layout({"usuario": _pats(spark, d).select("documento_id", "correo_electronico"),
-                         "atencion": _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion")},
-                        buckets, location=root, suffix="_" + uuid.uuid4().hex[:12], fanout=FANOUT)
+    names = save_layout({"usuario": _pats(spark, d), "atencion": _encs(spark, d)}, buckets, location=root, suffix="_" + uuid.uuid4().hex[:12], fanout=FANOUT)
+    for name in names.values():
+        _at_end(spark, lambda name=name: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     t = load_layout(spark, names)
     return H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))
 
@@ -1041,7 +1064,7 @@ def violations_null(spark, d):
 def _props_text():
     p = F.col("props")
     quoted = F.concat(F.lit('"'), F.replace(p, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return (F.when(F.col("event_type") == "error", F.substring(p, 2, 1 << 20))
+    return (F.when(F.col("event_type") == "error", F.expr("substring(props, 2)"))
             .when(F.col("event_type") == "view", F.lit(""))
             .when(F.col("event_type") == "click", quoted)
             .otherwise(p))
@@ -1072,14 +1095,14 @@ allowed AS (
   WHERE r.accion = 'exportar'
     AND (u.tipo_usuario = 'medico' OR (u.tipo_usuario = 'paciente' AND r.principal_id = r.documento_id))),
 docs AS (""" + _DOCS_SELECT + """)""", body="""
-SELECT a.solicitud_id, a.documento_id, d.archivo, sha256(d.cuerpo) AS cuerpo_sha256
+SELECT a.solicitud_id, a.documento_id, d.mes, d.archivo, sha256(d.cuerpo) AS cuerpo_sha256
 FROM allowed a JOIN docs d ON d.documento_id = a.documento_id"""))
 def export_documents(spark, d):
     from ehrflow.operators.views import export_documents as ed
     tables = {"usuario": _pats(spark, d), "atencion": _encs(spark, d), "profesional_salud": _profs(spark, d)}
     req = M.access_requests(_t(spark, d, "events")).filter(F.col("accion") == "exportar")
     out = ed(tables, req, M.AS_OF_DATE, M.AS_OF_UTC)
-    return out.select("solicitud_id", "documento_id", "archivo", F.sha2("cuerpo", 256).alias("cuerpo_sha256"))
+    return out.select("solicitud_id", "documento_id", "mes", "archivo", F.sha2("cuerpo", 256).alias("cuerpo_sha256"))
 
 
 # --------------------------------------- the patient's page (role view) ---
@@ -1105,3 +1128,36 @@ def patient_page(spark, d):
                     S.fmt("a.fecha_hora_atencion", "clock").alias("hora"),
                     F.col("a.profesional_responsable_nombre").alias("profesional"),
                     S.vital(F.col("a.signos_vitales"), "fc", "bigint").alias("fc"))
+
+
+# ------------------------------- what clinicians and admissions look up ---
+
+@register("clinician_lookup", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, M.PROFESSIONALS_SQL, body=f"""
+SELECT p.documento_id, CAST(COALESCE({age_sql('p.fecha_nacimiento')}, p.edad) AS BIGINT) AS edad, e.atencion_id,
+  strftime({local_sql('e.fecha_hora_atencion')}, '%d/%m/%Y %H:%M') AS fecha, e.signos_vitales,
+  CASE WHEN e.atencion_id IS NULL THEN NULL WHEN nullif(e.profesional_responsable, '') IS NULL THEN 'No especificado'
+       WHEN pr.id_personal_salud IS NULL THEN 'Desconocido' ELSE pr.nombre_completo END AS profesional
+FROM patients p LEFT JOIN encounters e ON e.documento_id = p.documento_id
+LEFT JOIN professionals pr ON pr.id_personal_salud = nullif(e.profesional_responsable, '')"""))
+def clinician_lookup(spark, d):
+    from ehrflow.operators.views import clinician_lookup as lookup
+    return _looked_up(lookup(_role_tables(spark, d), _pats(spark, d).select("documento_id"), M.AS_OF_DATE))
+
+
+@register("admission_lookup", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, body="""
+SELECT p.documento_id, CAST(p.edad AS BIGINT) AS edad, e.atencion_id,
+  strftime(e.fecha_hora_atencion, '%d/%m/%Y %H:%M') AS fecha, e.signos_vitales, CAST(NULL AS VARCHAR) AS profesional
+FROM patients p LEFT JOIN encounters e ON e.documento_id = p.documento_id"""))
+def admission_lookup(spark, d):
+    from ehrflow.operators.views import admission_lookup as lookup
+    return _looked_up(lookup(_role_tables(spark, d), _pats(spark, d).select("documento_id")))
+
+
+def _role_tables(spark, d):
+    return {"usuario": _pats(spark, d), "atencion": _encs(spark, d), "profesional_salud": _profs(spark, d)}
+
+
+def _looked_up(found):
+    a = found.select("documento_id", F.col("edad").cast("long").alias("edad"), F.explode_outer("atenciones").alias("a"))
+    return a.select("documento_id", "edad", F.col("a.atencion_id").alias("atencion_id"), S.fmt("a.fecha_hora_atencion", "stamp").alias("fecha"),
+                    F.col("a.signos_vitales").alias("signos_vitales"), F.col("a.profesional_responsable_nombre").alias("profesional"))

@@ -29,31 +29,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-_PLANS: dict = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build):
-    """DataFrames (plans, not data) shared by the queries of one session:
-    listing files, reading footers and building the mapping expressions is
-    paid once per session and data folder."""
-    k = (spark.sparkContext.applicationId,) + key
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A scan with fewer splits than the session has cores
-    (a small single-row-group file) is spread round-robin over the cores, so
-    the per-row work of the queries is not done by one task; large inputs
-    already have many splits and are left alone (no extra shuffle)."""
-    def build():
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        return df
-    return _memo(spark, (sf_dir, name), build)
+    """A driver table, in the splits that Spark makes of its files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +43,7 @@ def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "professionals": lambda: professionals(read(spark, sf_dir, "supplier")),
         "technologies": lambda: technologies(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")),
     }
-    return _memo(spark, (sf_dir, "model", name), builders[name])
+    return builders[name]()
 
 
 def _s(c: Column) -> Column:

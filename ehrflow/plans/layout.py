@@ -5,7 +5,7 @@ count, so joins and aggregations on that key read matching buckets and need
 no shuffle (the co-location the reference gets from distributing its tables
 on the same key); files are sorted within buckets by the columns the lookups
 filter on, so parquet min/max statistics skip row groups. The small
-professionals table is left unbucketed and broadcast after a size check.
+professionals table is left unbucketed.
 """
 
 from __future__ import annotations
@@ -32,11 +32,10 @@ def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr
     Returns the catalog names. ``location`` places the table files in shared
     storage (``{location}/{table}``).
 
-    Before writing, rows are range-partitioned into ``buckets * fanout``
-    tasks on ``bucket * fanout + salt`` (salt from a hash of the whole row):
-    a task writes files of one bucket (two at a range boundary) rather than
-    of every bucket, and a bucket holding a very large patient is written by
-    up to ``fanout`` tasks instead of one."""
+    Before writing, rows go to the task ``bucket * fanout + salt`` of
+    ``buckets * fanout`` (salt from a hash of the whole row): a task writes
+    files of one bucket rather than of every bucket, and a bucket holding a
+    very large patient is written by up to ``fanout`` tasks instead of one."""
     names = {}
     spark = next(iter(tables.values())).sparkSession
     db_loc = f" LOCATION '{location}/_db'" if location else ""
@@ -44,17 +43,13 @@ def save_layout(tables: dict[str, DataFrame], buckets: int, database: str = "ehr
     for name, df in tables.items():
         full = f"{database}.{name}{suffix}"
         if "documento_id" in df.columns:
-            # F.hash is the hash bucketing uses. Range partitioning on
-            # bucket * fanout + salt keeps each task within one bucket (or at
-            # a boundary between two) and splits every bucket over up to
-            # ``fanout`` tasks.
+            # F.hash is the hash bucketing uses.
             if fanout <= 1:
                 df = df.repartition(buckets, "documento_id")   # exactly one bucket per task
             else:
                 bucket = F.pmod(F.hash("documento_id"), F.lit(buckets))
                 salt = F.pmod(F.xxhash64(*df.columns), F.lit(fanout))
-                df = (df.withColumn("_part", bucket * F.lit(fanout) + salt)
-                      .repartitionByRange(buckets * fanout, "_part").drop("_part"))
+                df = df.repartitionById(buckets * fanout, (bucket * F.lit(fanout) + salt).cast("int"))
         w = df.write.mode(mode).format("parquet")
         if location:
             w = w.option("path", f"{location}/{name}")

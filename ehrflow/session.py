@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. The time zone is pinned because the
 # stored timestamps are zone-less UTC wall times; AQE re-plans joins and
@@ -57,16 +58,33 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private folder set,
-    so on a cluster lineage is always cut into shared storage that
-    survives the loss of an executor.
+    Only with a local master (tests), where there is but one machine, is a
+    private folder set when the session names none. On a cluster that is an
+    error: executors would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="ehrflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def shared_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet below the shared folder (or to ``path``) and
+    read again: lineage ends there, the rows outlive any executor, and a join
+    with it gets an exchange of its own, which AQE can split."""
+    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ehrflow-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

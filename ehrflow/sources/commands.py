@@ -1,9 +1,7 @@
 """Typed JSON-lines commands (new patient, patch, new encounter).
 
-Records that do not fit the command schema (bad JSON or a value of the
-wrong type) are kept apart instead of failing the job, like the API's 422
-answers. Patches keep their raw JSON text so an absent key differs from an
-explicit ``null``.
+Records that do not fit the command schema are kept apart with a reason
+instead of failing the job, like the API's 422 answers.
 """
 
 from __future__ import annotations
@@ -12,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ehrflow.sources.schemas import (ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATIENT_REQUIRED,
-                                     PUBLIC_PATIENT_FIELDS, USUARIO)
-
-CORRUPT = "_corrupt_record"
+from ehrflow.sources import fields
+from ehrflow.sources.schemas import (ATENCION_LENGTHS, ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATIENT_REQUIRED,
+                                     PUBLIC_PATIENT_FIELDS, USUARIO, USUARIO_LENGTHS)
 
 NEW_PATIENT = T.StructType(
     [USUARIO[f] for f in PUBLIC_PATIENT_FIELDS if f != "tipo_usuario"]
@@ -35,53 +32,46 @@ KINDS = {"patient": (NEW_PATIENT, PATIENT_REQUIRED), "encounter": (NEW_ENCOUNTER
          "patch": (PATCH, ["documento_id"])}
 
 
+# How each field is read (:mod:`ehrflow.sources.fields`).
+_PATIENT_KINDS = {f: {"documento_id": "long", "fecha_nacimiento": "date", "edad": "int", "seq": "long"}.get(f, "text")
+                  for f in NEW_PATIENT.fieldNames()}
+_ENCOUNTER_KINDS = {f: {"documento_id": "long", "clinician_id": "long", "seq": "long", "codigos_cie10": "codes",
+                        "signos_vitales": "any"}.get(f, "text") for f in NEW_ENCOUNTER.fieldNames()}
+_LIMITS = {"patient": USUARIO_LENGTHS, "encounter": ATENCION_LENGTHS, "patch": {}}
+
+
 def read_commands(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Read JSON-lines commands of ``kind`` ('patient', 'encounter', 'patch').
 
-    Returns ``(accepted, rejected)``; rejected rows are (line, motivo) with
-    motivo ``json`` (malformed or mistyped record) or ``requerido`` (a
-    required field absent). For patches the ``patch`` column holds the raw
-    JSON object of the record minus its key and sequence.
+    Returns ``(accepted, rejected)``; rejected rows are (linea, motivo) with
+    motivo ``json`` (not a JSON object), ``tipo_invalido`` (a value of the
+    wrong type), ``longitud`` (text over its limit) or ``requerido`` (a
+    required field, ``seq`` among them, absent or null). For patches only the
+    key and the sequence are read; ``patch`` is the line as it came, so an
+    absent key differs from an explicit null
+    (:func:`ehrflow.operators.writes.patch_patients` reads the rest).
     """
-    if kind == "patch":
-        return read_patches(spark, path)
     schema, required = KINDS[kind]
-    read_schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(read_schema)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .json(path))
+    kinds = {"patient": _PATIENT_KINDS, "encounter": _ENCOUNTER_KINDS, "patch": {"documento_id": "long", "seq": "long"}}[kind]
+    read = spark.read.text(path).select(F.col("value").alias("linea"))
+    read = read.select("linea", fields.typed(F.col("linea"), kinds, _LIMITS[kind]).alias("_f"))
+    by_key = F.map_from_entries(F.transform("_f", lambda x: F.struct(x["key"], x["value"])))
+    read = read.select("linea", F.when(F.col("_f").isNull(), F.lit("json")).otherwise(fields.refused(F.col("_f"))).alias("_why"), by_key.alias("_m"))
     missing = F.lit(False)
-    for c in required:
-        missing = missing | F.col(c).isNull()
-    tagged = raw.withColumn("_motivo", F.when(F.col(CORRUPT).isNotNull(), F.lit("json"))
-                            .when(missing, F.lit("requerido")))
-    rejected = tagged.filter(F.col("_motivo").isNotNull()).select(
-        F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[c for c in schema.fieldNames()]))).alias("linea"),
-        F.col("_motivo").alias("motivo"))
-    accepted = tagged.filter(F.col("_motivo").isNull()).drop("_motivo", CORRUPT)
-    return accepted, rejected
-
-
-def read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Patch commands: one JSON object per line with ``documento_id`` and
-    ``seq``; the remaining keys form the patch, kept as JSON text."""
-    lines = spark.read.text(path)
-    doc = F.get_json_object("value", "$.documento_id")
-    sq = F.get_json_object("value", "$.seq")
-    parsed = lines.select(
-        F.col("value").alias("linea"),
-        doc.try_cast("bigint").alias("documento_id"),
-        sq.try_cast("bigint").alias("seq"),
-        F.json_object_keys("value").alias("_keys"))
-    bad = parsed["_keys"].isNull() | parsed["documento_id"].isNull() | parsed["seq"].isNull()
-    rejected = parsed.filter(bad).select("linea", F.lit("json").alias("motivo"))
-    ok = parsed.filter(~bad)
-    # Rebuild the object without the two envelope keys, values untouched.
-    as_map = F.from_json("linea", T.MapType(T.StringType(), T.StringType()))
-    body = F.map_filter(as_map, lambda k, v: ~k.isin("documento_id", "seq"))
-    # Values come back as JSON text of the original value (numbers as digits,
-    # null kept); patch_patients casts them to the field types.
-    accepted = ok.select("documento_id", "seq", F.to_json(body).alias("patch"))
+    for c in [*required, "seq"]:
+        missing = missing | F.element_at("_m", F.lit(c)).isNull()
+    tagged = read.withColumn("motivo", F.coalesce("_why", F.when(missing, F.lit("requerido"))))
+    rejected = tagged.filter(F.col("motivo").isNotNull()).select("linea", "motivo")
+
+    def field(f: T.StructField):
+        if kind == "patch" and f.name == "patch":
+            return F.col("linea").alias("patch")
+        text = F.element_at("_m", F.lit(f.name))
+        if isinstance(f.dataType, T.ArrayType):
+            return F.from_json(text, f.dataType).alias(f.name)
+        return text.cast(f.dataType).alias(f.name)
+
+    accepted = tagged.filter(F.col("motivo").isNull()).select(*[field(f) for f in schema.fields])
     return accepted, rejected
 
 

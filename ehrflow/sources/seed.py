@@ -7,8 +7,8 @@ name its professional (``profesional_nombre``) instead of giving the key —
 resolved like the seed script's ``(SELECT id ... WHERE nombre = x LIMIT 1)``
 — and an encounter time may be given as ``dias_atras`` (``now() - interval
 'n days'``). Professionals have no natural key, so seeding twice duplicates
-them, as in the reference; patients and encounters are insert-or-ignore on
-their keys.
+them, as in the reference; the other tables are insert-or-ignore on their
+keys: of rows with one key the first stays.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ehrflow.functions import scalars as S
 from ehrflow.operators.history import resolve_fk
+from ehrflow.operators.writes import insert_or_ignore
 from ehrflow.sources.schemas import PRIMARY_KEYS, SCHEMAS
 
 _UUID_KEYS = {"profesional_salud": "id_personal_salud", "atencion": "atencion_id", "diagnostico": "diagnostico_id",
@@ -72,10 +73,12 @@ def seed_tables(spark: SparkSession, rows: dict[str, list[dict]], as_of_utc: _dt
             if name == "profesional_salud":
                 out[name] = out[name].unionByName(df)
             else:
-                keys = PRIMARY_KEYS[name]
-                out[name] = out[name].unionByName(df.join(out[name].select(*keys), keys, "left_anti"))
-        else:
+                out[name] = insert_or_ignore(out[name], df.withColumn("_orden", F.monotonically_increasing_id()), PRIMARY_KEYS[name], "_orden")[0]
+        elif name == "profesional_salud":
             out[name] = df
+        else:
+            ordered = df.withColumn("_orden", F.monotonically_increasing_id())
+            out[name] = insert_or_ignore(df.limit(0), ordered, PRIMARY_KEYS[name], "_orden")[0]
     return out
 
 

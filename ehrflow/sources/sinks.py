@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 
 def write_history_json(history: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5: one JSON object per patient (and history page) with its nested
+    """A5: one JSON object per patient and month with its nested
     ``atenciones`` list, as the API's response body."""
     history.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def history_as_json(history: DataFrame) -> DataFrame:
-    """A5 as a column: (documento_id, pagina, json)."""
+    """A5 as a column: (documento_id, mes, json)."""
     cols = [c for c in history.columns]
-    return history.select("documento_id", "pagina", F.to_json(F.struct(*cols)).alias("json"))
+    return history.select("documento_id", "mes", F.to_json(F.struct(*cols)).alias("json"))
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The rendered documents, one parquet row per (patient, part), with
+    """The rendered documents, one parquet row per part, with
     the export file name kept as a column. Output files are sized by the
     job's partitioning; nothing is gathered on the driver."""
     documents.write.mode(mode).parquet(path)

@@ -2,8 +2,8 @@
 
 New-encounter commands arriving as JSON files are validated and enriched by
 the same DataFrame operations as the batch insert
-(:func:`ehrflow.operators.writes.insert_encounters`), here as stream-static
-joins against the patient and clinician tables. Accepted and rejected
+(:func:`ehrflow.operators.writes.encounter_outcomes`), joined to the patient
+and user tables as they are when the micro-batch runs. Accepted and rejected
 commands go to one parquet sink with an ``estado`` column. Progress lives in
 the checkpoint folder, so a restarted query resumes where it stopped and a
 lost executor only retries its task; encounter keys are content hashes, so a
@@ -12,12 +12,14 @@ replayed file produces the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ehrflow.functions.scalars import now_utc
-from ehrflow.operators.writes import insert_encounters
+from ehrflow.operators.writes import encounter_outcomes
 from ehrflow.sources.commands import NEW_ENCOUNTER
 
 OUTPUT_COLUMNS = ["documento_id", "seq", "estado", "motivo", "atencion_id", "fecha_hora_atencion",
@@ -25,24 +27,26 @@ OUTPUT_COLUMNS = ["documento_id", "seq", "estado", "motivo", "atencion_id", "fec
                   "conducta_plan_manejo", "alergias_conocidas", "responsable_registro"]
 
 
-def encounter_results(commands: DataFrame, patients: DataFrame, clinicians: DataFrame, as_of_utc) -> DataFrame:
-    """Accepted and rejected commands in one frame (batch or streaming)."""
-    accepted, rejected = insert_encounters(patients, commands, clinicians, as_of_utc)
-    a = accepted.withColumn("estado", F.lit("aceptado")).withColumn("motivo", F.lit(None).cast("string"))
-    r = rejected.withColumn("estado", F.lit("rechazado"))
-    a = a.select(*[c for c in OUTPUT_COLUMNS if c in a.columns])
-    return a.unionByName(r, allowMissingColumns=True).select(*OUTPUT_COLUMNS)
+def encounter_results(commands: DataFrame, patients: DataFrame, users: DataFrame, as_of_utc) -> DataFrame:
+    """Every command with its outcome, in the sink's columns."""
+    out = encounter_outcomes(patients, commands, users, as_of_utc)
+    return out.select(*OUTPUT_COLUMNS)
 
 
-def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clinicians: DataFrame,
+def encounter_stream(spark: SparkSession, in_dir: str, tables: Callable[[], tuple[DataFrame, DataFrame]],
                      out_dir: str, checkpoint: str, as_of_utc=None, available_now: bool = True,
                      max_files_per_trigger: int = 1000, dedup_within: str | None = None) -> StreamingQuery:
-    """Start the stream from ``in_dir`` to parquet at ``out_dir``.
+    """Start the stream from ``in_dir`` to parquet at ``out_dir`` (one folder
+    ``lote=<number>`` for each micro-batch, overwritten if it is run again).
+
+    ``tables`` returns the patient and the user table; it is called for each
+    micro-batch, so patients and clinicians registered since the start count
+    (a DataFrame read once would keep the files it found then).
 
     ``as_of_utc=None`` stamps each micro-batch with its own time (the
-    reference stamps "now"); a fixed value
-    makes replays reproducible. ``available_now`` processes what is there and
-    stops; otherwise it polls every 10 seconds.
+    reference stamps "now"); a fixed value makes replays reproducible.
+    ``available_now`` processes what is there and stops; otherwise it polls
+    every 10 seconds.
 
     Every command makes a new encounter, as in the reference. With
     ``dedup_within`` (for example ``"1 hour"``) a command repeated with the
@@ -58,9 +62,12 @@ def encounter_stream(spark: SparkSession, in_dir: str, patients: DataFrame, clin
                .withWatermark("_arrival", dedup_within)
                .dropDuplicatesWithinWatermark(content)
                .drop("_arrival"))
-    stamp = as_of_utc if as_of_utc is not None else now_utc()
-    out = encounter_results(src, patients, clinicians, stamp)
-    w = (out.writeStream.format("parquet").outputMode("append")
-         .option("path", out_dir).option("checkpointLocation", checkpoint))
+
+    def write(commands: DataFrame, batch_id: int) -> None:
+        patients, users = tables()
+        stamp = as_of_utc if as_of_utc is not None else now_utc()
+        encounter_results(commands, patients, users, stamp).write.mode("overwrite").parquet(f"{out_dir}/lote={batch_id}")
+
+    w = src.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

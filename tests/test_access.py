@@ -109,21 +109,19 @@ def test_token_window_second_edges(spark):
     assert out[0][3] is not None and out[0][4] is None and out[0][5] is None
 
 
-def test_dyadic_cover_is_exact(spark):
-    from ehrflow.operators.access import _cover, _levels
+def test_token_window_equals_brute_force(spark):
+    """A user with very many events (also before 1970), equal times, NULL
+    users: the latest login at or before the request decides."""
+    from ehrflow.operators.access import authorised_requests
     rnd = random.Random(23)
-    ranges = [(rnd.randint(-5000, 5000), 0) for _ in range(60)]
-    ranges = [(lo, lo + rnd.randint(0, 1800)) for lo, _ in ranges] + [(7, 7), (0, 0), (-1, 0), (1023, 2048)]
-    df = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ranges)], "i long, lo long, hi long")
-    blocks = {}
-    for r in _cover(df, "lo", "hi", _levels(1800)).select("i", "_k", "_blk").collect():
-        blocks.setdefault(r.i, []).append((r._k, r._blk))
-    for i, (lo, hi) in enumerate(ranges):
-        covered = []
-        for k, b in blocks.get(i, []):
-            covered.extend(range(b << k, (b + 1) << k))
-        assert sorted(covered) == list(range(lo, hi + 1))          # disjoint and exact
-        per_level = {}
-        for k, _ in blocks.get(i, []):
-            per_level[k] = per_level.get(k, 0) + 1
-        assert max(per_level.values()) <= 2
+    base = dt.datetime(1969, 12, 31, 22, 0)
+    at = lambda: base + dt.timedelta(microseconds=rnd.choice([rnd.randrange(0, 4 * 3600 * 10 ** 6), rnd.randrange(0, 14400) * 10 ** 6]))
+    logins = [(rnd.choice([1, 1, 1, 2, None]), at()) for _ in range(60)]
+    requests = [(i, rnd.choice([1, 1, 2, 3, None]), rnd.choice([at(), logins[i % 60][1], logins[i % 60][1] + dt.timedelta(minutes=30)])) for i in range(300)]
+    out = authorised_requests(spark.createDataFrame(requests, "solicitud_id long, usuario long, ts timestamp_ntz"),
+                              spark.createDataFrame(logins, "usuario long, login_ts timestamp_ntz")).collect()
+    got = {r.solicitud_id: (r.login_ts, r.autorizado) for r in out}
+    for i, u, ts in requests:
+        last = max((l for v, l in logins if v == u and u is not None and l <= ts), default=None)
+        ok = last is not None and ts.replace(microsecond=0) <= (last + dt.timedelta(minutes=30)).replace(microsecond=0)
+        assert got[i] == (last if ok else None, ok)

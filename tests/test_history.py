@@ -47,16 +47,14 @@ def test_nested_history_order_and_empty(spark):
     rows = {r.documento_id: r for r in h.collect()}
     assert [a.atencion_id for a in rows[1].atenciones] == ["a3", "a2", "a1"]   # newest first, id breaks ties
     assert [a.atencion_id for a in rows[2].atenciones] == ["a6", "a5", "a4"]
-    assert rows[3].atenciones == [] and rows[3].pagina == 0 and rows[3].paginas == 1
+    assert rows[3].atenciones == [] and rows[3].mes is None
 
 
-def test_history_pages_bound_each_row(spark):
-    h = H.patient_history(patients(spark), encounters(spark).select("atencion_id", "documento_id", "fecha_hora_atencion"),
-                          page_size=2)
-    rows = h.filter("documento_id = 1").collect()
-    assert {r.paginas for r in rows} == {2}
-    assert sum(len(r.atenciones) for r in rows) == 3
-    assert sorted(a.atencion_id for r in rows for a in r.atenciones) == ["a1", "a2", "a3"]
+def test_one_row_for_each_month(spark):
+    e = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 31, 23)), (1, "b", dt.datetime(2024, 2, 1, 0)), (1, "c", dt.datetime(2024, 2, 1, 0)),
+                               (1, "d", None)], "documento_id long, atencion_id string, fecha_hora_atencion timestamp_ntz")
+    rows = {(r.documento_id, r.mes): [a.atencion_id for a in r.atenciones] for r in H.patient_history(patients(spark), e).collect()}
+    assert rows == {(1, dt.date(2024, 1, 1)): ["a"], (1, dt.date(2024, 2, 1)): ["c", "b"], (1, None): ["d"], (2, None): [], (3, None): []}
 
 
 def test_history_rows_and_counts(spark):
@@ -104,20 +102,6 @@ def test_first_per_without_window(spark):
     assert sorted(tuple(r) for r in first_by_min(df.filter("v != 'z'"), ["g"], "o").collect()) == [("a", 1, "y"), ("b", 2, "w")]
 
 
-def test_small_side_bounds(spark):
-    from ehrflow.operators.lookup import small_side
-    from ehrflow.plans.layout import plan_text
-    big = spark.range(0, 50).select(F.col("id"), F.lit("x" * 1000).alias("txt"))
-    fact = spark.range(0, 100)
-    assert "BroadcastExchange" in plan_text(fact.join(small_side(big, max_rows=100), "id"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastExchange" not in plan_text(fact.join(small_side(big, max_rows=10), "id"))
-        assert "BroadcastExchange" not in plan_text(fact.join(small_side(big, max_rows=100, max_bytes=10_000), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_exists_flag(spark):
     from ehrflow.operators.lookup import exists_flag, missing_in, null_safe_matches
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k long, m string")
@@ -127,15 +111,3 @@ def test_exists_flag(spark):
     assert {r.k: r.f for r in exists_flag(df, other, "m", "f").collect()} == {1: False, 2: False, 3: True}
     assert sorted(r.k for r in null_safe_matches(df, other, "m").collect()) == [2, 3]
     assert sorted(r.k for r in missing_in(df, other, "k").collect()) == [2, 3]
-
-
-def test_small_side_skips_huge_estimates(spark):
-    from ehrflow.operators.lookup import estimated_bytes, small_side
-    from ehrflow.plans.layout import plan_text
-    huge = spark.range(0, 10 ** 12)
-    assert estimated_bytes(huge) > 10 ** 12
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastExchange" not in plan_text(spark.range(10).join(small_side(huge), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

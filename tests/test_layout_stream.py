@@ -8,6 +8,8 @@ from ehrflow.operators import history as H
 from ehrflow.plans import layout as L
 from ehrflow.streaming.encounters import encounter_results, encounter_stream
 
+USERS = "documento_id long, primer_nombre string, primer_apellido string, tipo_usuario string"
+
 
 def test_bucketed_join_has_no_exchange(spark, tmp_dir):
     pats = spark.range(0, 200).select(F.col("id").alias("documento_id"), F.lit("x").alias("correo_electronico"))
@@ -30,7 +32,7 @@ def test_bucketed_join_has_no_exchange(spark, tmp_dir):
 
 def test_stream_equals_batch(spark, tmp_dir):
     from ehrflow.sources.commands import NEW_ENCOUNTER
-    pats = spark.createDataFrame([(1, "Ana", "Ruiz")], "documento_id long, primer_nombre string, primer_apellido string")
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
     rows = [{"documento_id": d, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
              "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1, "seq": s}
             for s, d in enumerate([1, 2, 1])]
@@ -38,7 +40,7 @@ def test_stream_equals_batch(spark, tmp_dir):
     in_dir = os.path.join(tmp_dir, "in")
     batch.write.json(in_dir)
     as_of = dt.datetime(2024, 1, 1, 12)
-    q = encounter_stream(spark, in_dir, pats, pats, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"), as_of)
+    q = encounter_stream(spark, in_dir, lambda: (pats, pats), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"), as_of)
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(tmp_dir, "out"))
                  .select("seq", "estado", "atencion_id").collect())
@@ -57,7 +59,7 @@ def test_salted_bucket_write_one_bucket_per_file(spark, tmp_dir):
     for f in files:
         task, bucket = re.match(r"part-(\d+)-.*_(\d{5})\.", f).groups()
         per_task[task].add(bucket)
-    assert all(len(b) <= 2 for b in per_task.values()) and len(files) <= 2 * 4 * 3
+    assert all(len(b) == 1 for b in per_task.values()) and len(files) <= 4 * 3
     hot_bucket = spark.table(names["atencion"]).filter("documento_id = 5").select(F.input_file_name()).distinct().count()
     assert hot_bucket > 1                                # the large patient is written by several tasks
     plain = L.load_layout(spark, names, bucketed=False)["atencion"]
@@ -66,13 +68,13 @@ def test_salted_bucket_write_one_bucket_per_file(spark, tmp_dir):
 
 def test_stream_dedup_opt_in(spark, tmp_dir):
     from ehrflow.sources.commands import NEW_ENCOUNTER
-    pats = spark.createDataFrame([(1, "Ana", "Ruiz")], "documento_id long, primer_nombre string, primer_apellido string")
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
     row = {"documento_id": 1, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
            "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1}
     batch = spark.createDataFrame([dict(row, seq=1), dict(row, seq=2), dict(row, seq=3, motivo_consulta="otro")],
                                   NEW_ENCOUNTER)
     batch.write.json(os.path.join(tmp_dir, "in"))
-    q = encounter_stream(spark, os.path.join(tmp_dir, "in"), pats, pats, os.path.join(tmp_dir, "out"),
+    q = encounter_stream(spark, os.path.join(tmp_dir, "in"), lambda: (pats, pats), os.path.join(tmp_dir, "out"),
                          os.path.join(tmp_dir, "ck"), dt.datetime(2024, 1, 1), dedup_within="1 hour")
     q.awaitTermination()
     assert spark.read.parquet(os.path.join(tmp_dir, "out")).count() == 2
@@ -80,16 +82,16 @@ def test_stream_dedup_opt_in(spark, tmp_dir):
 
 def test_stream_restart_resumes_from_checkpoint(spark, tmp_dir):
     from ehrflow.sources.commands import NEW_ENCOUNTER
-    pats = spark.createDataFrame([(1, "Ana", "Ruiz")], "documento_id long, primer_nombre string, primer_apellido string")
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
     row = {"documento_id": 1, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
            "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1}
     in_dir, out, ck = (os.path.join(tmp_dir, x) for x in ("in", "out", "ck"))
     spark.createDataFrame([dict(row, seq=1), dict(row, seq=2)], NEW_ENCOUNTER).coalesce(1).write.json(os.path.join(in_dir, "a"))
     as_of = dt.datetime(2024, 1, 1)
-    encounter_stream(spark, os.path.join(in_dir, "*"), pats, pats, out, ck, as_of).awaitTermination()
+    encounter_stream(spark, os.path.join(in_dir, "*"), lambda: (pats, pats), out, ck, as_of).awaitTermination()
     assert spark.read.parquet(out).count() == 2
     spark.createDataFrame([dict(row, seq=3)], NEW_ENCOUNTER).coalesce(1).write.json(os.path.join(in_dir, "b"))
-    encounter_stream(spark, os.path.join(in_dir, "*"), pats, pats, out, ck, as_of).awaitTermination()
+    encounter_stream(spark, os.path.join(in_dir, "*"), lambda: (pats, pats), out, ck, as_of).awaitTermination()
     seqs = sorted(r.seq for r in spark.read.parquet(out).select("seq").collect())
     assert seqs == [1, 2, 3]                       # the first file is not processed again
 
@@ -103,3 +105,26 @@ def test_key_filter_reaches_both_scans(spark, tmp_dir):
     e = spark.read.parquet(os.path.join(tmp_dir, "e"))
     plan = L.plan_text(p.filter(F.col("documento_id") == 7).join(e, "documento_id"))
     assert plan.count("EqualTo(documento_id,7)") == 2          # inferred for the encounters scan too
+
+
+def test_stream_sees_patients_registered_since_it_started(spark, tmp_dir):
+    """One micro-batch per file; a patient is added after the first."""
+    from ehrflow.sources.commands import NEW_ENCOUNTER
+    in_dir, out, store = (os.path.join(tmp_dir, x) for x in ("in", "out", "usuario"))
+    row = {"documento_id": 2, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e",
+           "impresion_diagnostica": "i", "conducta_plan_manejo": "c", "clinician_id": 1}
+    for seq in (1, 2):
+        spark.createDataFrame([dict(row, seq=seq)], NEW_ENCOUNTER).coalesce(1).write.mode("append").json(in_dir)
+    spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS).write.parquet(store)
+    calls = []
+
+    def tables():
+        if calls:                                          # registered while the stream runs
+            spark.createDataFrame([(2, "Luis", "Paz", "paciente")], USERS).write.mode("append").parquet(store)
+        calls.append(1)
+        users = spark.read.parquet(store)
+        return users, users
+
+    encounter_stream(spark, in_dir, tables, out, os.path.join(tmp_dir, "ck"), dt.datetime(2024, 1, 1), max_files_per_trigger=1).awaitTermination()
+    got = sorted((r.lote, r.estado, r.motivo) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "rechazado", "paciente_no_existe"), (1, "aceptado", None)]

@@ -102,3 +102,17 @@ def test_json_build_and_clean(spark):
     assert r.o == '{"ta":"a","fc":null}'
     assert r.m == {"ta": "120/80"}
     assert r.e is None
+
+
+def test_unicode_space_long_text_and_years(spark):
+    df = spark.createDataFrame([("\u00a0E11\u3000,\u2009 I10\ufeff", "x" * 5000 + "Y", dt.datetime(1995, 3, 4, 5, 6))], "c string, t string, ts timestamp_ntz")
+    r = df.select(S.split_codes("c").alias("c"), S.capitalize("t").alias("t")).first()
+    assert r.c == ["E11", "I10"] and r.t == "X" + "x" * 4999 + "y"
+    year = spark.sql("SELECT make_timestamp_ntz(12345, 1, 2, 3, 4, 5) AS ts, make_timestamp_ntz(7, 1, 2, 3, 4, 5) AS old")
+    assert list(year.select(S.fmt("ts", "compact"), S.fmt("old", "compact")).first()) == ["123450102", "00070102"]
+
+
+def test_repeated_vitals_keys_keep_the_last(spark):
+    df = spark.createDataFrame([('{"fc": 1, "ta": "a", "fc": 80}',), ('{"fc": 1, }',)], "v string")
+    rows = df.select(S.parse_vitals("v").alias("v"), S.vitals_struct("v", ["fc"]).alias("s")).select(S.vital("v", "fc", "bigint").alias("fc")).collect()
+    assert [r.fc for r in rows] == [80, None]

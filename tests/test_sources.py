@@ -8,26 +8,39 @@ from ehrflow.sources import sinks, tables
 
 def test_read_commands_rejects(spark, tmp_dir):
     path = os.path.join(tmp_dir, "p.jsonl")
+    ok = {"documento_id": 1, "hashed_password": "h", "seq": 1}
+    lines = [ok, ok | {"documento_id": "12"}, ok | {"documento_id": 13.0, "fecha_nacimiento": "1990-05-05T00:00:00", "unknown": [1]},
+             ok | {"documento_id": "abc"}, ok | {"celular": 5}, ok | {"celular": {"a": 1}}, ok | {"tipo_documento": True}, ok | {"documento_id": 1.5},
+             ok | {"fecha_nacimiento": "1990-13-05"}, ok | {"edad": 10 ** 12},
+             ok | {"factor_rh": "123456"}, ok | {"celular": "9" * 51}, {"documento_id": 3, "seq": 3}, ok | {"seq": None}]
     with open(path, "w") as f:
-        f.write(json.dumps({"documento_id": 1, "hashed_password": "h", "seq": 1}) + "\n")
-        f.write(json.dumps({"documento_id": "abc", "hashed_password": "h", "seq": 2}) + "\n")  # wrong type
-        f.write(json.dumps({"documento_id": 3, "seq": 3}) + "\n")                            # required missing
-        f.write("{not json\n")
+        f.write("".join(json.dumps(x) + "\n" for x in lines) + "{not json\n[1]\n" + '{"documento_id": 20, "documento_id": 21, "hashed_password": "h", "seq": 1}\n')
     acc, rej = C.read_commands(spark, path, "patient")
-    assert [r.documento_id for r in acc.collect()] == [1]
-    assert sorted(r.motivo for r in rej.collect()) == ["json", "json", "requerido"]
+    assert sorted((r.documento_id, str(r.fecha_nacimiento)) for r in acc.collect()) == [(1, "None"), (12, "None"), (13, "1990-05-05"), (21, "None")]
+    assert [r.motivo for r in rej.collect()] == ["tipo_invalido"] * 7 + ["longitud"] * 2 + ["requerido"] * 2 + ["json"] * 2
+
+
+def test_read_encounters(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "e.jsonl")
+    ok = {"documento_id": 1, "tipo_atencion": "C", "motivo_consulta": "m", "enfermedad_actual": "e", "impresion_diagnostica": "i",
+          "conducta_plan_manejo": "c", "clinician_id": 2, "seq": 1}
+    with open(path, "w") as f:
+        for x in (ok | {"codigos_cie10": ["E11", "I10"], "signos_vitales": {"fc": 70}}, ok | {"codigos_cie10": []}, ok | {"codigos_cie10": [1]},
+                  ok | {"tipo_atencion": "x" * 81}, ok | {"motivo_consulta": None}):
+            f.write(json.dumps(x) + "\n")
+    acc, rej = C.read_commands(spark, path, "encounter")
+    assert [(r.codigos_cie10, r.signos_vitales) for r in acc.collect()] == [(["E11", "I10"], '{"fc":70}'), ([], None)]
+    assert [r.motivo for r in rej.collect()] == ["tipo_invalido", "longitud", "requerido"]
 
 
 def test_read_patches_keeps_absent_vs_null(spark, tmp_dir):
     path = os.path.join(tmp_dir, "patch.jsonl")
+    lines = ['{"documento_id": 1, "seq": 1, "celular": null, "edad": 5}', '{"documento_id": "2", "seq": 1}', "oops", '{"documento_id": 3}']
     with open(path, "w") as f:
-        f.write('{"documento_id": 1, "seq": 1, "celular": null, "edad": 5}\n')
-        f.write('{"documento_id": 2, "seq": 1}\n')
-        f.write('oops\n')
+        f.write("\n".join(lines) + "\n")
     acc, rej = C.read_commands(spark, path, "patch")
-    got = {r.documento_id: json.loads(r.patch) for r in acc.collect()}
-    assert got == {1: {"celular": None, "edad": "5"}, 2: {}}
-    assert rej.count() == 1
+    assert {r.documento_id: r.patch for r in acc.collect()} == {1: lines[0], 2: lines[1]}
+    assert [r.motivo for r in rej.collect()] == ["json", "requerido"]
 
 
 def test_tables_roundtrip(spark, tmp_dir):
@@ -66,6 +79,8 @@ def test_seed_tables(spark):
     enc = {r.documento_id: r for r in t["atencion"].collect()}
     assert enc[10].profesional_responsable == profs["Dr. Dos"] and enc[11].profesional_responsable is None
     assert enc[10].fecha_hora_atencion == dt.datetime(2024, 1, 26, 12) and len(enc[10].atencion_id) == 36
+    twice = {"usuario": [{"documento_id": 10, "primer_nombre": n, "hashed_password": "h"} for n in ("first", "second")]}
+    assert [r.primer_nombre for r in seed_tables(spark, twice, as_of)["usuario"].collect()] == ["first"]
     again = seed_tables(spark, rows, as_of, current=t)
     assert again["usuario"].count() == 2 and again["profesional_salud"].count() == 4
 
@@ -93,8 +108,8 @@ def test_document_and_json_sinks(spark, tmp_dir):
     h = H.patient_history(p, e)
     rows = {r.documento_id: _json.loads(r.json) for r in sinks.history_as_json(h).collect()}
     assert rows[1]["atenciones"][0]["atencion_id"] == "a" and rows[2]["atenciones"] == []
-    docs = spark.createDataFrame([(1, 0, 1, "HC_1_20240131.pdf", "texto")],
-                                 "documento_id long, parte long, partes long, archivo string, cuerpo string")
+    docs = spark.createDataFrame([(1, None, "HC_1_20240131.pdf", "texto")],
+                                 "documento_id long, mes date, archivo string, cuerpo string")
     sinks.write_documents(docs, os.path.join(tmp_dir, "docs"))
     assert spark.read.parquet(os.path.join(tmp_dir, "docs")).first().archivo == "HC_1_20240131.pdf"
 

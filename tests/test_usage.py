@@ -31,6 +31,7 @@ def test_readme_usage(spark, tmp_dir):
 
     row = clinician.first()
     assert row.edad == 43 and row.atenciones[0].profesional_responsable_nombre == "Dra. Ana Ruiz"
-    body = docs.filter(F.col("documento_id") == 10).first().cuerpo
-    assert "VITALES: P. Arterial: 120/80; F. Cardiaca: 72" in body and "FIRMA: Dr/a. Dra. Ana Ruiz" in body
+    parts = docs.filter(F.col("documento_id") == 10).orderBy(F.desc_nulls_first("mes")).collect()
+    body = "\n".join(p.cuerpo for p in parts)              # header, then the months from the newest on
+    assert "VITALES: P. Arterial: 120/80; F. Cardíaca: 72" in body and "FIRMA: Dr/a. Dra. Ana Ruiz" in body
     assert report.count() == 0

@@ -32,25 +32,28 @@ def test_clinician_and_patient_views(spark):
     t = tables(spark)
     ids = spark.createDataFrame([(1,), (2,)], "documento_id long")
     rows = {r.documento_id: r for r in V.clinician_lookup(t, ids, dt.date(2023, 2, 28)).collect()}
+    assert len(rows) == 2
     assert rows[1].edad == 18 and rows[2].atenciones == []
     assert "hashed_password" not in rows[1].asDict()
     a = rows[1].atenciones
     assert [x.atencion_id for x in a] == ["a2", "a1"]
     assert a[1].fecha_hora_atencion == dt.datetime(2023, 12, 31, 19, 0)          # local time
     assert [x.profesional_responsable_nombre for x in a] == ["No especificado", "Dra. Uno"]
-    assert a[1].signos_vitales.toPython() == {"fc": 80} and a[0].signos_vitales is None
+    assert a[1].signos_vitales == '{"fc": 80}' and a[0].signos_vitales is None       # as stored
     page = V.patient_page(t, ids, dt.date(2023, 2, 28)).collect()
     assert [r.documento_id for r in page] == [1]                                 # the clinician has no page
     assert [x.profesional_responsable_nombre for x in page[0].atenciones] == ["Dr. Ana Ruiz", "Dra. Uno"]
+    assert page[0].atenciones[1].signos_vitales.toPython() == {"fc": 80}
 
 
 def test_admission_lookup(spark):
     t = tables(spark)
     ids = spark.createDataFrame([(1,)], "documento_id long")
-    r = V.admission_lookup(t, ids).first()
+    r = V.admission_lookup(t, ids, masked=True).first()
     assert r.edad == 3 and "atenciones" not in r.asDict()
-    r = V.admission_lookup(t, ids, parity=True, as_of_date=dt.date(2023, 2, 28)).first()
+    r = V.admission_lookup(t, ids).first()
     assert r.edad == 3 and len(r.atenciones) == 2
+    assert r.atenciones[1].fecha_hora_atencion == dt.datetime(2024, 1, 1, 0, 0) and r.atenciones[1].profesional_responsable_nombre is None
 
 
 def test_views_order_by_instant_across_dst_end(spark):

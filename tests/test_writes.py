@@ -112,21 +112,26 @@ def test_patch_recompute_after_age(spark):
 
 
 def test_insert_encounters(spark):
-    pats = spark.createDataFrame([(1, "Ana", "Ruiz"), (2, None, "Paz")],
-                                 "documento_id long, primer_nombre string, primer_apellido string")
+    users = spark.createDataFrame([(1, "Ana", "Ruiz", "paciente"), (2, None, "Paz", "medico"), (3, "Eva", "Sol", None)],
+                                  "documento_id long, primer_nombre string, primer_apellido string, tipo_usuario string")
     batch = spark.createDataFrame([
         (1, "Consulta", "m", "e", "i", "c", "", 2, 1),
-        (5, "Consulta", "m", "e", "i", "c", "x", 1, 2),
-        (1, None, "m", "e", "i", "c", "x", 1, 3),
-        (1, "X" * 81, "m", "e", "i", "c", "x", 1, 4),
+        (5, "Consulta", "m", "e", "i", "c", "x", 2, 2),
+        (1, None, "m", "e", "i", "c", "x", 2, 3),
+        (1, "X" * 81, "m", "e", "i", "c", "x", 2, 4),
+        (1, "Consulta", "m", "e", "i", "c", "x", 1, 5),       # a patient signs
+        (1, "Consulta", "m", "e", "i", "c", "x", 3, 6),       # a user without a role
+        (1, None, "m", "e", "i", "c", "x", 99, 7),            # nobody: before all else
+        (1, "Consulta", "m", "e", "i", "c", "x", None, 8),
     ], "documento_id long, tipo_atencion string, motivo_consulta string, enfermedad_actual string, "
        "impresion_diagnostica string, conducta_plan_manejo string, alergias_conocidas string, clinician_id long, seq long")
-    acc, rej = W.insert_encounters(pats, batch, pats, AS_OF)
+    acc, rej = W.insert_encounters(users, batch, users, AS_OF)
     a = acc.first()
     assert acc.count() == 1 and a.responsable_registro == "Dr. None Paz" and a.alergias_conocidas is None
     assert a.fecha_hora_atencion == AS_OF and a.profesional_responsable is None and len(a.atencion_id) == 64
     assert sorted((r.seq, r.motivo) for r in rej.collect()) == [
-        (2, "paciente_no_existe"), (3, "campo_requerido"), (4, "longitud")]
+        (2, "paciente_no_existe"), (3, "campo_requerido"), (4, "longitud"), (5, "rol_no_permitido"), (6, "rol_no_permitido"),
+        (7, "no_autenticado"), (8, "no_autenticado")]
 
 
 def test_cascade_delete(spark):
@@ -152,13 +157,56 @@ def test_insert_patients_empty_and_all_rejected(spark):
     assert got == {1: "documento", 2: "correo"} and acc.count() == 0
 
 
-def test_insert_rounds_use_reliable_checkpoints(spark):
-    import os
-    from urllib.parse import urlparse
-    run_insert(spark, [(1, "a")], [(2, "b", 1), (2, "c", 2), (3, "b", 3)])
-    ck = urlparse(spark.sparkContext.getCheckpointDir()).path
-    files = [f for _, _, names in os.walk(ck) for f in names if f.startswith("part-")]
-    assert files                                   # checkpoint data written to the shared folder
+def test_insert_long_chain(spark):
+    """Each row shares its document with the row before and its e-mail with
+    the row after: every second one is accepted, one round for each."""
+    batch = [(100 + s // 2, f"m{(s + 1) // 2}", s) for s in range(60)]
+    got, _ = run_insert(spark, [(1, "a")], batch)
+    assert got == sequential([(1, "a")], batch) and sum(v == "aceptado" for v in got.values()) == 30
+
+
+def test_insert_rows_with_equal_or_missing_seq(spark):
+    cur = spark.createDataFrame([(1, "a", "x", None, "h")], PAT)
+    same = (2, "b", "y", None, "h", 1)
+    rows = [same, same, (3, "c", "y", None, "h", None), (3, "c", "z", None, "h", 9), (4, None, "y", None, "h", None), (5, "e", "y", None, "h", 1),
+            (None, "q", "y", None, "h", 1), (6, "f", "y", None, None, 1), (7, "g", "n" * 121, None, "h", 1)]
+    acc, rej = W.insert_patients(cur, spark.createDataFrame(rows, BATCH), AS_OF)
+    assert sorted((r.documento_id, r.seq) for r in acc.collect()) == sorted([(2, 1), (3, 9), (4, None), (5, 1)], key=lambda x: x[0])
+    assert sorted(((r.documento_id or 0), r.seq, r.motivo) for r in rej.select("documento_id", "motivo", "seq").collect()
+                  if r.documento_id != 3) == [(0, 1, "campo_requerido"), (2, 1, "documento"), (6, 1, "campo_requerido"), (7, 1, "longitud")]
+    assert [(r.seq, r.motivo) for r in rej.filter("documento_id = 3").collect()] == [(None, "documento")]      # a missing seq comes last
+
+
+def test_writes_check_the_role(spark):
+    from pyspark.sql import functions as F
+    users = spark.createDataFrame([(1, "admisionista"), (2, "medico"), (3, None)], "documento_id long, tipo_usuario string")
+    cur = spark.createDataFrame([(10, "a", "x", None, "h")], PAT)
+    batch = spark.createDataFrame([(20 + i, f"m{i}", "y", None, "h", i) for i in range(4)], BATCH).withColumn("principal_id", F.col("seq"))
+    acc, rej = W.insert_patients(cur, batch, AS_OF, users=users)
+    assert [r.seq for r in acc.collect()] == [1]
+    assert sorted((r.seq, r.motivo) for r in rej.collect()) == [(0, "no_autenticado"), (2, "rol_no_permitido"), (3, "rol_no_permitido")]
+    for f in W.PATCH_FIELDS:
+        if f not in cur.columns:
+            cur = cur.withColumn(f, F.lit(None).cast("string"))
+    patches = spark.createDataFrame([(10, i, '{"celular":"1"}', i) for i in range(4)], "documento_id long, seq long, patch string, principal_id long")
+    _, rej = W.patch_patients(cur, patches, AS_OF, users=users)
+    assert sorted((r.seq, r.motivo) for r in rej.collect()) == [(0, "no_autenticado"), (2, "rol_no_permitido"), (3, "rol_no_permitido")]
+
+
+def test_no_patch_ends_the_job(spark):
+    from pyspark.sql import functions as F
+    cur = spark.createDataFrame([(1, "c", 5)], "documento_id long, celular string, edad int")
+    for f in W.PATCH_FIELDS:
+        if f not in cur.columns:
+            cur = cur.withColumn(f, F.lit(None).cast("date" if f == "fecha_nacimiento" else "string"))
+    texts = ['{"celular":"a","celular":"b","edad":1,"edad":"12"}', '{"celular":5}', '{"celular":{"a":1}}', '{"celular":"' + "9" * 51 + '"}',
+             '{"edad":1.5}', '{"fecha_nacimiento":"x"}', "[]", "", None, "{", '"text"', '{"documento_id":7,"nobody":{"a":[1]}}', '{"factor_rh":"123456"}']
+    patches = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "documento_id long, seq long, patch string")
+    out, rej = W.patch_patients(cur, patches, AS_OF)
+    r = out.first()
+    assert (r.documento_id, r.celular, r.edad) == (1, "b", 12)
+    bad = dict.fromkeys((1, 2, 4, 5, 6, 7, 8, 9, 10), "tipo_invalido") | {3: "longitud", 12: "longitud"}
+    assert {r.seq: r.motivo for r in rej.collect()} == bad
 
 
 def test_scale_conf_bounds():
