@@ -2,7 +2,8 @@
 forest. DataFrame and SQL functions (and Spark's own MLlib) only.
 
 A candidate is a whole run of at least ``MIN_LENGTH`` letters, digits and
-``_+/-`` with a digit in it. Its features: length, shares of the kinds of
+``_+/-`` with a digit in it, or a key id that happens to have none. Its
+features: length, shares of the kinds of
 characters, changes between kinds, distinct characters, the part of it that is
 words of the corpus (letter runs found in ``MIN_DOCS`` documents or more,
 counted over all documents), signs of a path, and the words next to it. The
@@ -36,7 +37,7 @@ BEFORE, AFTER = 40, 24              # code points of context that are kept
 NEIGHBOURS = 16                     # buckets of the word before, and of the word after
 MASK = "[SECRET]"
 
-_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{%d,}+"
+_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|A[KS]IA[A-Z]{16}(?![A-Za-z0-9_+/\-]))[A-Za-z0-9_+/\-]{%d,}+"
 _NAMED = r"(?i)(token|passw(or)?d|pwd|secret|credential|bearer|api[_\-]?key|access[_\-]?key)[\"']?\s*[=:]?>?\s*[\"']?$"
 _KEY_ID = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
 _PATH = r"(://\S*|[/\\.@]\S*)$"

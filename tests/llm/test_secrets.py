@@ -5,7 +5,7 @@ import string
 from ehrflow.llm import secrets
 from tests.llm.conftest import DOCS, documents
 
-RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}")
+RUN = re.compile(r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9]|A[KS]IA[A-Z]{16}(?![A-Za-z0-9_+/\-]))[A-Za-z0-9_+/\-]{16,}")
 
 
 def _planted(n=400):
@@ -19,7 +19,7 @@ def _planted(n=400):
             v = "".join(r.choice("0123456789abcdef") for _ in range(40))
             text[20], secret[i] = f'token = "{v}"', v
         elif kind == 1:
-            v = "AKIA" + "".join(r.choice(string.ascii_uppercase + "234567") for _ in range(15)) + "7"
+            v = "AKIA" + "".join(r.choice(string.ascii_uppercase + "234567" * (i % 16 > 1)) for _ in range(16))
             text[20], secret[i] = v, v
         elif kind == 2:
             v = "".join(r.choice("0123456789abcdef") for _ in range(17)) + "1"
@@ -52,9 +52,9 @@ def test_candidates_equal_brute_force(spark, edge_docs, edge_rows, no_docs):
     docs = documents(spark, "0.01")
     found = sorted((r.doc_id, r.start, r.value) for r in secrets.candidates(docs).collect())
     assert found == sorted((d.doc_id, m.start(), m.group()) for d in docs.collect() for m in RUN.finditer(d.text or ""))
-    odd = [(1, "é😀 aaaaaaaaaaaaaaa1 x bbbbbbbbbbbbbbbb2", None, None, None), (None, "c" * 30 + "9", None, None, None), (2, "d" * 700 + "1", None, None, None)] * 2
+    odd = [(1, "é😀 aaaaaaaaaaaaaaa1 x bbbbbbbbbbbbbbbb2", None, None, None), (None, "c" * 30 + "9", None, None, None), (2, "d" * 700 + "1 AKIA" + "Q" * 16 + " AKIA" + "Q" * 17, None, None, None)] * 2
     got = sorted((r.doc_id or 0, r.start, r.value) for r in secrets.candidates(spark.createDataFrame(odd, DOCS)).collect())
-    assert got == sorted([(1, 3, "a" * 15 + "1"), (1, 22, "b" * 16 + "2"), (0, 0, "c" * 30 + "9"), (2, 0, "d" * 700 + "1")] * 2)
+    assert got == sorted([(1, 3, "a" * 15 + "1"), (1, 22, "b" * 16 + "2"), (0, 0, "c" * 30 + "9"), (2, 0, "d" * 700 + "1"), (2, 702, "AKIA" + "Q" * 16)] * 2)
     assert secrets.scan(no_docs).count() == 0 and secrets.masked(no_docs).count() == 0
     kept = secrets.masked(edge_docs)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows)
