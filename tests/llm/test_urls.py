@@ -55,4 +55,5 @@ def test_bloom_is_sparse_enough(spark):
 
 
 def test_empty(spark):
-    assert urls.judged(_pages(spark, []).filter("false") if False else spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([(None,)], "c string")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judged(pages, spark.createDataFrame([(None,)], "c string")).count() == 0
