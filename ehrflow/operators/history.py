@@ -111,7 +111,7 @@ def month_of(ts) -> Column:
 
 
 def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence[str] | None = None,
-                    order: Sequence[str] = ("fecha_hora_atencion", "atencion_id")) -> DataFrame:
+                    order: Sequence[str] = ("fecha_hora_atencion", "atencion_id"), keys: DataFrame | None = None) -> DataFrame:
     """C1 nested (D3, F3): one row per patient and calendar month ``mes`` (of
     the first ``order`` column) with the list ``atenciones`` of that month's
     encounter structs, newest first by ``order`` (time, then ``atencion_id``
@@ -121,7 +121,9 @@ def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence
     Every patient has this shape, whatever the number of encounters: read by
     ``mes``, newest first, the lists are the whole timeline in order. The
     encounters of one patient are gathered by (patient, month), so by many
-    tasks, and no row holds more than a month.
+    tasks, and no row holds more than a month; the lists are joined to their
+    patients on a key of its own, which AQE can split (see
+    :func:`patient_history_rows`, also for ``keys``).
     """
     fields = list(fields or [c for c in encounters.columns if c != "documento_id"])
     order_first = list(order)
@@ -140,9 +142,12 @@ def patient_history(patients: DataFrame, encounters: DataFrame, fields: Sequence
     else:
         ordered = F.sort_array(collected, asc=False)
     lists = encounters.groupBy("documento_id", month_of(order_first[0]).alias("mes")).agg(ordered.alias("atenciones"))
-    empty_type = lists.schema["atenciones"].dataType
-    out = patients.join(lists, "documento_id", "left")
-    return out.withColumn("atenciones", F.coalesce(F.col("atenciones"), F.array().cast(empty_type)))
+    lists = lists.select(F.bitwise_not("documento_id").alias("_key"), "mes", "atenciones")
+    any_ = (keys if keys is not None else encounters).select("documento_id", F.lit(True).alias("_any")).distinct()
+    known = patients.join(any_, "documento_id", "left")
+    with_any = known.filter("_any").withColumn("_key", F.bitwise_not("documento_id")).join(lists, "_key").drop("_key")
+    none = known.filter("_any is null").withColumns({"mes": F.lit(None).cast("date"), "atenciones": F.array().cast(lists.schema["atenciones"].dataType)})
+    return with_any.unionByName(none).drop("_any")
 
 
 def resolve_fk(df: DataFrame, dim: DataFrame, on: str, dim_name: str, dim_key: str,

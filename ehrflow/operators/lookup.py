@@ -53,14 +53,6 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str], descending
     return df.groupBy(*by).agg(best).select(*by, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def first_by_min(df: DataFrame, by: Sequence[str], order_col: str) -> DataFrame:
-    """E1 keeping ties: every row whose ``order_col`` equals the group
-    minimum (partial ``min`` per group, then a semi join back). When the
-    order is unique, :func:`first_per` does the same in one aggregation."""
-    winners = df.groupBy(*by).agg(F.min(order_col).alias(order_col))
-    return df.join(winners, [*by, order_col], "left_semi")
-
-
 def patients_by_email(patients: DataFrame, emails: DataFrame, email_col: str = "correo_electronico",
                       key: str = "documento_id") -> DataFrame:
     """B2: per requested e-mail, the first matching patient (lowest key);
@@ -110,15 +102,6 @@ def exists_flag(df: DataFrame, other: DataFrame, on, out: str, null_safe: bool =
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def null_safe_matches(df: DataFrame, other: DataFrame, col: str) -> DataFrame:
-    """C4: rows of ``df`` whose ``col`` equals some ``other.col`` where NULL
-    equals NULL (``<=>``). NULL keys are matched through a flag column so
-    the join stays an equi-join on a hashable key."""
-    right = other.select(F.col(col).alias("_k")).distinct()
-    left_key = F.col(col)
-    return df.join(right, left_key.eqNullSafe(right["_k"]), "left_semi")
-
-
 def nth_row(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """``ORDER BY order LIMIT 1 OFFSET n`` (an order is mandatory here;
     the reference's is storage order). A top-(n+1) sort, not a full one."""

@@ -38,8 +38,7 @@ def _history(tables: dict[str, DataFrame], patients: DataFrame, policy: str | No
         shown["signos_vitales"] = S.parse_vitals("signos_vitales")
     enc = enc.withColumns(shown)
     fields = [c for c in PUBLIC_ENCOUNTER_FIELDS if c in enc.columns]
-    enc = enc.join(patients.select("documento_id"), "documento_id", "left_semi")
-    hist = H.patient_history(patients, enc.select("documento_id", "_orden", *fields), order=("_orden", "atencion_id"))
+    hist = H.patient_history(patients, enc.select("documento_id", "_orden", *fields), order=("_orden", "atencion_id"), keys=tables["atencion"])
     return hist.withColumn("atenciones", F.transform("atenciones", lambda a: a.dropFields("_orden")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
-from ehrflow.operators.lookup import exists_flag, first_per
+from ehrflow.operators.lookup import exists_flag, first_per, missing_in
 from ehrflow.session import checkpoint_dir, shared_table
 from ehrflow.sources.fields import refused, typed
 from ehrflow.sources.schemas import (ATENCION_LENGTHS, ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
@@ -162,7 +162,7 @@ def insert_or_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str] |
     else:
         keys = list(keys)
         firsts = first_per(batch, keys, [seq])
-        inserted = firsts.join(current.select(*keys).distinct(), keys, "left_anti").drop(seq)
+        inserted = missing_in(firsts, current, keys).drop(seq)
     return current.unionByName(inserted, allowMissingColumns=True), inserted
 
 
@@ -308,7 +308,7 @@ def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Da
 def delete_encounters(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
     """I5 on the composite key: deleting encounters removes their child rows
     (diagnostico, tecnologia_salud, egreso)."""
-    k = keys.select("documento_id", "atencion_id").distinct()
+    k = shared_table(keys.select("documento_id", "atencion_id").distinct())
     out = dict(tables)
     for name in ("atencion", "diagnostico", "tecnologia_salud", "egreso"):
         if name in tables:

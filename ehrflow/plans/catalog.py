@@ -746,6 +746,21 @@ def cascade_delete(spark, d):
     return H.row_counts(left)
 
 
+@register("delete_encounters", """
+SELECT 'usuario' AS tabla, count(*) AS n FROM customer
+UNION ALL SELECT 'atencion', count(*) FROM orders WHERE o_orderpriority <> '1-URGENT' OR o_orderpriority IS NULL
+UNION ALL SELECT 'tecnologia_salud', count(*) FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+  WHERE o.o_orderpriority <> '1-URGENT' OR o.o_orderpriority IS NULL""")
+def delete_encounters(spark, d):
+    from ehrflow.operators.writes import delete_encounters as de
+    tables = {"usuario": _pats(spark, d).select("documento_id"),
+              "atencion": _encs(spark, d).select("documento_id", "atencion_id"),
+              "tecnologia_salud": _techs(spark, d).select("documento_id", "atencion_id")}
+    gone = _t(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_custkey").alias("documento_id"), F.col("o_orderkey").cast("string").alias("atencion_id"))
+    return H.row_counts(de(tables, gone))
+
+
 # ---------------------------------------------------------- J1-J7 / D4 ---
 
 _TECH_SQL = """

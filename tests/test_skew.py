@@ -63,6 +63,7 @@ def test_flagship_and_documents_are_split(spark, tmp_dir, monkeypatch):
         assert split(rows)
         assert rows.filter("documento_id = 7").select("n_atenciones").distinct().first()[0] > 4000
         assert split(catalog.QUERIES["history_documents"](spark, tmp_dir))
+        assert split(catalog.QUERIES["patient_page"](spark, tmp_dir))
 
 
 def test_deletes_and_conflicts_are_split(spark, tmp_dir):
