@@ -12,7 +12,7 @@ from the smallest up to the fixed size: the words that are missing to the
 target (the document at the bound is taken if that comes nearer). So a
 source's taken words differ from its target by half of one document at most.
 p is one number for each source, so within it q rises with u, and the bound is
-sought on u's 48 bits: three counts of words by source and 16 bits each, none
+sought on u's 48 bits: four counts of words by source and 12 bits each, none
 of which needs the documents of a source in one task or in order.
 
 Defined results: a null text has no words and size 0; a null source is a
@@ -30,7 +30,7 @@ from ehrflow.llm._shared import positions, written
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
-_BITS, _LEVELS = 16, 3
+_BITS, _LEVELS = 12, 4
 
 
 def n_words(text: Column) -> Column:
@@ -73,7 +73,7 @@ def _bounds(ranked: DataFrame, goals: DataFrame) -> DataFrame:
         words = (ranked.withColumn("bin", F.shiftright("rank", shift)).groupBy("source", "bin").agg(F.sum("size").alias("words"))
                  .withColumnRenamed("source", "of"))
         inside = state.join(words, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("bin", _BITS) == F.col("prefix")))
-        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))       # 2 ** 16 rows at most
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))       # 2 ** 12 rows at most
         first = F.struct((F.col("upto") < F.col("missing")).alias("short"), F.when(F.col("upto") < F.col("missing"), -F.col("bin")).otherwise(F.col("bin")).alias("bin"))
         best = (inside.withColumn("upto", upto).groupBy("source", "target", "source_size", "whole", "missing")
                 .agg(F.min_by(F.struct("bin", "upto", "words"), first).alias("x")))
