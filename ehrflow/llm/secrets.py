@@ -3,11 +3,11 @@ forest. DataFrame and SQL functions (and Spark's own MLlib) only.
 
 A candidate is a whole run of at least ``MIN_LENGTH`` letters, digits and
 ``_+/-`` with a digit in it, or a key id that happens to have none. Its
-features: length, shares of the kinds of
-characters, changes between kinds, distinct characters, the part of it that is
-words of the corpus (letter runs found in ``MIN_DOCS`` documents or more,
-counted over all documents), signs of a path, and the words next to it. The
-forest is trained on labelled findings and decides on every candidate.
+features: length, shares of the kinds of characters, changes between kinds,
+distinct characters, the part of it that is words of the corpus (letter runs
+found in ``MIN_DOCS`` documents or more, counted over all documents), signs of
+a path, and the words next to it. The forest is trained on labelled findings
+and decides on every candidate.
 
 The training sample is bounded: at most ``sample`` labelled findings of each
 class, those with the smallest hash of their value. The corpus's words are
@@ -79,10 +79,10 @@ def _share(pattern: str) -> Column:
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
     """The columns of ``found`` and those of ``SHAPE``, beside the neighbours'
-    hashed words. Equal values are looked up in the corpus's words once."""
+    hashed words. Equal values are looked up in the corpus's words once; the
+    result is written, so that AQE can split a value that very many have."""
     parts = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}+"), F.lit(0))).alias("word"))
-    covered = (parts.join(words, "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("in_words"))
-               .withColumnRenamed("value", "__value"))
+    covered = written(parts.join(words, "word").groupBy(F.col("value").alias("__value")).agg(F.sum(F.char_length("word")).alias("in_words")), "covered")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), r"[_+/\-]", ".")
     beside = {"word_before": F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]*$", 1)), "word_after": F.lower(F.regexp_extract("after", r"^[^A-Za-z]*([A-Za-z]+)", 1))}
     return (found.join(covered, F.col("value") == F.col("__value"), "left")
