@@ -53,8 +53,10 @@ def fingerprint(sketch: str) -> Column:
 
 
 def merged(sketches: DataFrame, key: str, sketch: str) -> DataFrame:
-    """The sketch of all texts of each ``key`` together."""
-    return sketches.select(key, F.explode(sketch).alias("h")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch))
+    """The sketch of all texts of each ``key`` together. (The outer form of
+    explode: Spark would put a filter on the other's array below the
+    projections that make it, where it is computed anew for every shingle.)"""
+    return sketches.select(key, F.explode_outer(sketch).alias("h")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch))
 
 
 def likeness(a: str, b: str) -> Column:
