@@ -1,11 +1,13 @@
 """Document fingerprints: threshold-scaled sketches. DataFrame and SQL
 functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of all hashes, so
-sketches of texts of any length can be merged (by union) and compared: of two
-texts' hashes below the bound, those in common estimate how much of one is
-contained in the other. A text whose hashes all lie above the bound keeps its
-smallest one, so that short texts have a sketch too.
+A sketch keeps every shingle hash below a fixed fraction of all hashes, and of
+a text with fewer than ``LEAST`` such hashes the ``LEAST`` smallest, so that a
+short text's sketch is all its shingles. A sketch of fewer hashes than that is
+complete; others know all hashes up to their greatest, or to the fraction's
+bound. So sketches of texts of any length can be merged (by union) and
+compared, up to the smaller of their bounds: the hashes in common estimate how
+much of one text is contained in the other.
 
 Shingles are ``shingle`` words (or the whole text, if it has fewer); hashes are
 48 bits of XXH64. A fingerprint is the sketch's hashes, sorted, 12 hexadecimal
@@ -27,6 +29,7 @@ from ehrflow.llm._shared import positions, written
 
 SHINGLE = 5
 FRACTION = 8                        # one hash in so many is kept
+LEAST = 128                         # hashes that are kept in any case
 _BITS = 48
 
 
@@ -42,32 +45,49 @@ def with_sketch(rows: DataFrame, text: str, name: str, shingle: int = SHINGLE, f
     return (rows.withColumn(words, F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), ""))
             .withColumn(hashes, F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), shingle_hash)).otherwise(F.array().cast("array<bigint>")))
             .drop(words)
-            .withColumn(small, F.filter(hashes, lambda h: h < (1 << _BITS) // fraction))
-            .withColumn(name, F.when(F.size(small) > 0, F.array_sort(F.array_distinct(small)))
-                        .when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>")))
+            .withColumn(small, F.array_distinct(F.filter(hashes, lambda h: h < (1 << _BITS) // fraction)))
+            .withColumn(name, F.when(F.size(small) >= LEAST, F.array_sort(small)).otherwise(F.slice(F.array_sort(F.array_distinct(hashes)), 1, LEAST)))
             .drop(hashes, small))
 
 
+def _bound(sketch: Column, fraction: int) -> Column:
+    """The hash up to which a (sorted) sketch has all of its text's."""
+    return (F.when(F.size(sketch) < LEAST, F.lit((1 << _BITS) - 1))
+            .otherwise(F.greatest(F.get(sketch, F.size(sketch) - 1), F.lit((1 << _BITS) // fraction - 1))))
+
+
+def _upto(sketch: Column, bound: Column) -> Column:
+    return F.filter(sketch, lambda h: h <= bound)
+
+
 def fingerprint(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), _BITS // 4, "0")), "")
 
 
-def merged(sketches: DataFrame, key: str, sketch: str) -> DataFrame:
-    """The sketch of all texts of each ``key`` together. (The outer form of
-    explode: Spark would put a filter on the other's array below the
-    projections that make it, where it is computed anew for every shingle.)"""
-    return sketches.select(key, F.explode_outer(sketch).alias("h")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch))
+def merged(sketches: DataFrame, key: str, sketch: str, fraction: int = FRACTION) -> DataFrame:
+    """The sketch of all texts of each ``key`` together, up to the least bound
+    of theirs. (The outer form of explode: Spark would put a filter on the
+    other's array below the projections that make it, where it is computed anew
+    for every shingle.)"""
+    each = sketches.select(key, _bound(F.col(sketch), fraction).alias("__bound"), F.explode_outer(sketch).alias("h"))
+    all_of = each.groupBy(key, "h").agg(F.min("__bound").alias("__bound")).groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch), F.min("__bound").alias("__bound"))
+    return all_of.select(key, _upto(F.col(sketch), F.col("__bound")).alias(sketch))
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, fraction: int = FRACTION) -> Column:
     """Share of both texts' shingles that they have in common."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / (F.size(a) + F.size(b) - common)).cast("double")
+    bound = F.least(_bound(F.col(a), fraction), _bound(F.col(b), fraction))
+    n, m = F.size(_upto(F.col(a), bound)), F.size(_upto(F.col(b), bound))
+    common = F.size(_upto(F.array_intersect(a, b), bound))
+    return (F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(n + m == 0, 0.0)
+            .otherwise(common / (n + m - common)).cast("double"))
 
 
-def containment(a: str, b: str) -> Column:
+def containment(a: str, b: str, fraction: int = FRACTION) -> Column:
     """Share of the first text's shingles that the second has."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+    bound = F.least(_bound(F.col(a), fraction), _bound(F.col(b), fraction))
+    n = F.size(_upto(F.col(a), bound))
+    return F.when(F.size(a) == 0, 1.0).when(n == 0, 0.0).otherwise(F.size(_upto(F.array_intersect(a, b), bound)) / n).cast("double")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

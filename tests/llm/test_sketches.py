@@ -49,6 +49,21 @@ def test_sketch_keeps_a_fraction_and_merges(spark):
     assert pair.select(sketches.containment("b", "s").alias("c")).first().c == 1.0
 
 
+def test_likeness_of_short_and_middling_texts(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate([*range(10, 101)] * 2 + [*range(200, 1600, 50)])], "doc_id long, text string")
+    rows = sketches.edited_pairs(docs).select("text", "edited", sketches.likeness("sketch", "edited_sketch").alias("near"), sketches.containment("edited_sketch", "sketch").alias("part")).collect()
+    for r in rows:
+        a, b = shingles(r.text), shingles(r.edited)
+        gap = max(abs(r.near - len(a & b) / len(a | b)), abs(r.part - len(a & b) / len(b)))
+        assert gap < 1e-9 if max(len(a), len(b)) < sketches.LEAST else gap < 0.2
+    texts = [" ".join(f"a{j}" for j in range(n)) for n in (5000, 40)]          # a long text and its beginning
+    long, short = (sketches.with_sketch(spark.createDataFrame([(1, t)], "k long, text string"), "text", c).select("k", c) for t, c in zip(texts, "ab"))
+    both = long.unionAll(short)
+    assert sketches.merged(both, "k", "a").first().a == long.first().a
+    pair = long.join(short, "k").select(sketches.likeness("a", "b").alias("l"), sketches.containment("b", "a").alias("c")).first()
+    assert pair.l < 0.05 and pair.c in (0.0, 1.0)
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     found = _rows(edge_docs)
     assert len(found) == len(edge_rows) and sorted(r.n_chars for r in found) == sorted(len(r[1] or "") for r in edge_rows)
