@@ -1,8 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random
 forest. DataFrame and SQL functions (and Spark's own MLlib) only.
 
-A candidate is a whole run of at least ``MIN_LENGTH`` letters, digits and
-``_+/-`` with a digit in it, or a key id that happens to have none. Its
+A candidate is what stands after a name of a secret and a separator, up to its
+quote or white space, or as the password of an address, whatever its length
+and characters; elsewhere, a whole run of at least ``MIN_LENGTH`` letters,
+digits and ``_+/-`` with a digit in it, or a key id that happens to have none. Its
 features: length, shares of the kinds of characters, changes between kinds,
 distinct characters, the part of it that is words of the corpus (letter runs
 found in ``MIN_DOCS`` documents or more, counted over all documents), signs of
@@ -39,6 +41,10 @@ MASK = "[SECRET]"
 
 _RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|A[KS]IA[A-Z]{16}(?![A-Za-z0-9_+/\-]))[A-Za-z0-9_+/\-]{%d,}+"
 _NAMED = r"(?i)(token|passw(or)?d|pwd|secret|credential|bearer|api[_\-]?key|access[_\-]?key)[\"']?\s*[=:]?>?\s*[\"']?$"
+# the value after a name and a separator (less punctuation at its end, unless quoted), and the password of scheme://user:password@
+_AFTER_NAME = r"(?<=[=:\s\"'])(?<=(?i:token|passw(?:or)?d|pwd|secret|credential|bearer|api[_\-]?key|access[_\-]?key)[\"']?\s{0,8}[=:]>?\s{0,8}[\"']?)(?:(?<=[\"'])[^\s\"']++(?=[\"'])|[^\s\"'<>=:][^\s\"'<>]*(?<![,;.)\]}]))"
+_IN_ADDRESS = r"(?<=:)(?<=://[^\s/:@\"']{0,64}:)[^\s/@\"']++(?=@)"
+_USER = r"://[^\s/:@\"']*:$"
 _KEY_ID = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
 _PATH = r"(://\S*|[/\\.@]\S*)$"
 
@@ -46,7 +52,7 @@ SHAPE = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "
 
 
 def _pattern(min_length: int) -> str:
-    return _RUN % min_length
+    return "|".join((_IN_ADDRESS, _AFTER_NAME, _RUN % min_length))
 
 
 def candidates(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -83,10 +89,10 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     result is written, so that AQE can split a value that very many have."""
     parts = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}+"), F.lit(0))).alias("word"))
     covered = written(parts.join(words, "word").groupBy(F.col("value").alias("__value")).agg(F.sum(F.char_length("word")).alias("in_words")), "covered")
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), r"[_+/\-]", ".")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^A-Za-z0-9]", ".")
     beside = {"word_before": F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]*$", 1)), "word_after": F.lower(F.regexp_extract("after", r"^[^A-Za-z]*([A-Za-z]+)", 1))}
     return (found.join(covered, F.col("value") == F.col("__value"), "left")
-            .select(*found.columns, _share("[0-9]").alias("digits"), _share("[A-Z]").alias("upper"), _share("[a-z]").alias("lower"), _share(r"[_+/\-]").alias("signs"),
+            .select(*found.columns, _share("[0-9]").alias("digits"), _share("[A-Z]").alias("upper"), _share("[a-z]").alias("lower"), _share("[^A-Za-z0-9]").alias("signs"),
                     ((F.regexp_count(kinds, F.lit(r"(.)\1*+")) - 1) / F.col("length")).alias("changes"),
                     (F.size(F.array_distinct(F.split("value", ""))) / F.col("length")).alias("distinct"),
                     F.regexp_like("value", F.lit("^([0-9a-f]+|[0-9A-F]+)$")).cast("double").alias("hexadecimal"),
@@ -100,10 +106,11 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """``found`` with label: 1 for key ids and values that are named as secret,
-    0 for plain numbers, parts of paths and addresses, and values made of the
+    """``found`` with label: 1 for key ids, passwords of addresses, and values
+    that are named as secret (unless they are letters that the corpus's words
+    cover, as in prose), 0 for plain numbers, parts of paths and addresses, and values made of the
     corpus's words; null for the others, which train nothing."""
-    secret = F.regexp_like("value", F.lit(_KEY_ID)) | F.regexp_like("before", F.lit(_NAMED))
+    secret = F.regexp_like("value", F.lit(_KEY_ID)) | (F.regexp_like("before", F.lit(_USER)) & F.startswith("after", F.lit("@"))) | (F.regexp_like("before", F.lit(_NAMED)) & ((F.col("digits") > 0) | (F.col("covered") < 0.5)))
     harmless = F.regexp_like("value", F.lit(r"^[0-9]+([\-_/+][0-9]+)*$")) | (F.col("after_path") > 0) | (F.col("before_dot") > 0) | (F.col("covered") >= 0.5)
     return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
@@ -142,12 +149,18 @@ def masked(docs: DataFrame, mask: str = MASK, **options) -> DataFrame:
     """``docs`` with every found secret replaced by ``mask`` in its text, and
     n_chars (if there is such a column) counted anew; other rows and columns
     as they are. Rows with a candidate are joined to their findings by doc_id
-    and a hash of the text; the others stay where they are."""
+    and a hash of the text; the others stay where they are. A value of at least
+    ``min_length`` is replaced everywhere in its text, a shorter one only where
+    it was found."""
+    min_length = options.get("min_length", MIN_LENGTH)
     found = scan(docs, **options).filter("is_secret")
-    has = F.coalesce(F.regexp_like("text", F.lit(_pattern(options.get("min_length", MIN_LENGTH)))), F.lit(False))
-    values = written(found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("value").alias("__values")), "secrets")
-    longest = F.array_sort("__values", lambda a, b: F.char_length(b) - F.char_length(a))
-    text = F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    has = F.coalesce(F.regexp_like("text", F.lit(_pattern(min_length))), F.lit(False))
+    values = written(found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("value").alias("__values"),
+                                                                                                                    F.collect_set(F.struct("start", "length")).alias("__places")), "secrets")
+    last = F.sort_array("__places", asc=False)
+    placed = F.aggregate(last, F.col("text"), lambda t, p: F.concat(F.left(t, p["start"].cast("int")), F.lit(mask), F.substr(t, (p["start"] + p["length"] + 1).cast("int"))))
+    longest = F.array_sort(F.filter("__values", lambda v: F.char_length(v) >= min_length), lambda a, b: F.char_length(b) - F.char_length(a))
+    text = F.aggregate(longest, placed, lambda t, v: F.replace(t, v, F.lit(mask)))
     joined = docs.filter(has).join(values, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
     new = {"text": F.when(F.col("__values").isNull(), F.col("text")).otherwise(text)}
     changed = joined.withColumns(new)

@@ -48,6 +48,18 @@ def test_planted_findings(spark):
         assert masked[i].text == want and masked[i].n_chars == (len(want) if i in secret else None)
 
 
+def test_named_values_of_any_length_and_characters(spark):
+    rows, secret, _ = _planted()
+    cases = [('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("api_key=hunter2hunter2", "hunter2hunter2"), ("secret: correcthorsebatterystaple,", "correcthorsebatterystaple"),
+             ("PWD='a.b~c!d@e'", "a.b~c!d@e"), ("see postgres://svc:p4ss.w0rd!@db.example/x", "p4ss.w0rd!"), ("pwd=x7 and x7 again", "x7")]
+    more = [(1000 + i, f"before it {text} after it", "en", "s", None) for i, (text, _) in enumerate(cases)]
+    docs = spark.createDataFrame(rows + more, DOCS)
+    found = {(r.doc_id, r.value) for r in secrets.scan(docs).collect() if r.is_secret}
+    assert found == set(secret.items()) | {(1000 + i, v) for i, (_, v) in enumerate(cases)}
+    masked = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert all(masked[d] == t.replace(cases[d - 1000][1], "[SECRET]", 1) for d, t, *_ in more)
+
+
 def test_candidates_equal_brute_force(spark, edge_docs, edge_rows, no_docs):
     docs = documents(spark, "0.01")
     found = sorted((r.doc_id, r.start, r.value) for r in secrets.candidates(docs).collect())
