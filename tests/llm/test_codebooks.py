@@ -1,0 +1,104 @@
+import hashlib
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ehrflow.llm import codebooks
+from tests.llm.conftest import CLASH
+
+ROWS = "vec_id long, embedding array<float>, label int"
+
+
+def model(rows, parts=4, entries=256, rounds=4):
+    """Plain Python integers, every distance."""
+    good = [r for r in rows if r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
+    good.sort(key=lambda r: (r[0] is None, r[0] or 0, [math.floor(1024 * x) for x in r[1]]))
+    good = [r for r in good if len(r[1]) == len(good[0][1])]
+    vectors = [[math.floor(1024 * float(np.float32(x))) for x in r[1]] for r in good]
+    size = len(vectors[0]) // parts
+    cut = [[v[p * size:(p + 1) * size] for p in range(parts)] for v in vectors]
+    books = [[cut[i][p] for i in range(min(entries, len(cut)))] for p in range(parts)]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for c in cut:
+                members[near(c[p], books[p])[1]].append(c[p])
+            books[p] = [[sum(col) // len(members[e]) for col in zip(*members[e])] if e in members else old for e, old in enumerate(books[p])]
+    found = [[near(c[p], books[p]) for p in range(parts)] for c in cut]
+    error, label = [sum(d for d, _ in f) for f in found], defaultdict(int)
+    for r, e in zip(good, error):
+        label[r[2]] += e
+    sha = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    return sorted((repr(r[0]), "".join(f"{e:02x}" for _, e in f), d, label[r[2]]) for r, f, d in zip(good, found, error)), sha
+
+
+def got(df, **kw):
+    found, books = codebooks.coded(df, **kw)
+    rows = codebooks.with_label_errors(found).select("vec_id", F.lower(F.hex("code")).alias("c"), "error", "label_error").collect()
+    return sorted((repr(r.vec_id), r.c, r.error, r.label_error) for r in rows), books.sha256()
+
+
+def vectors(seed, n, dims=8, ids=None):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dims))
+    x = (centres[rng.integers(0, 12, n)] + rng.normal(scale=0.2, size=(n, dims))).astype(np.float32)
+    return [(int(i), row.tolist(), [None, 1, 2][int(k)]) for i, row, k in zip(ids if ids is not None else rng.permutation(n * 3)[:n], x, rng.integers(0, 3, n))]
+
+
+@pytest.mark.parametrize("entries,rounds", [(16, 4), (256, 2), (1, 1)])
+def test_brute_force(spark, entries, rounds):
+    rows = vectors(entries, 350)
+    df = spark.createDataFrame(rows, ROWS).repartition(5)
+    assert got(df, entries=entries, rounds=rounds) == model(rows, entries=entries, rounds=rounds)
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = vectors(7, 60) + [(1000, None, 1), (1001, [], 1), (1002, [1.0] * 7 + [None], 1), (1003, [nan] + [0.0] * 7, 1), (1004, [0.0] * 7 + [-inf], None),
+                             (1005, [1.0] * 4, 1), (None, [0.5] * 8, None), (None, None, None), (1006, [0.0] * 8, 1), (1006, [0.0] * 8, 1), (1006, [-0.0005] * 8, 2), (-5, [3.0] * 8, 9)]
+    df = spark.createDataFrame(rows, ROWS).withColumns({c: F.lit(f"own {c}") for c in [*CLASH, "code", "error", "v", "entry", "sums", "label_error", "of"] if c != "label"})
+    assert got(df, entries=20) == model(rows, entries=20)
+    assert got(df.repartition(9), entries=20) == got(df.coalesce(1), entries=20)
+    assert got(df) == model(rows)                                                     # fewer vectors than entries
+    assert got(df.limit(0))[0] == []
+
+
+def test_rows_of_another_length_before_the_first(spark):
+    rows = [(3, [1.0] * 8, 1), (2, [2.0] * 8, 1), (1, [1.0, 2.0, 3.0, 4.0], 1), (4, [0.0] * 4, 1)]
+    assert [r[0] for r in got(spark.createDataFrame(rows, ROWS))[0]] == ["1", "4"]
+    with pytest.raises(ValueError, match="equal parts"):
+        codebooks.coded(spark.createDataFrame([(1, [1.0] * 6, 1)], ROWS))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_balls_give_the_full_search(seed):
+    rng = np.random.default_rng(seed)
+    span, k = int(rng.choice([2, 4, 30, 3000])), int(rng.choice([1, 2, 9, 64]))
+    v, c = rng.integers(-span, span, (2000, 3)).astype(float), rng.integers(-span, span, (k, 3)).astype(float)      # many ties and equal entries
+    full = codebooks._full(v, c)
+    for own in (full[0], rng.integers(0, k, len(v)), np.zeros(len(v), np.int64)):
+        best, least, _ = codebooks._in_balls(v, c, own)
+        assert (best == full[0]).all() and (least == full[1]).all()
+
+
+def test_balls_spare_distances():
+    rng = np.random.default_rng(1)
+    c = rng.integers(-4000, 4000, (256, 4)).astype(float)
+    v = c[rng.integers(0, 256, 20_000)] + rng.integers(-300, 300, (20_000, 4))
+    best, _, taken = codebooks._in_balls(v, c, codebooks._full(v, c)[0])
+    assert taken < len(v) * 256 / 20
+
+
+def test_large_components(spark):
+    big = [[x * 2.0 ** 16 for x in r[1]] for r in vectors(3, 40)]
+    rows = [(i, b, 1) for i, b in enumerate(big)]
+    assert got(spark.createDataFrame(rows, ROWS), entries=5) == model(rows, entries=5)
+    with pytest.raises(Exception, match="too large"):
+        codebooks.coded(spark.createDataFrame([(1, [1e30] * 4, 1)], ROWS))[0].collect()

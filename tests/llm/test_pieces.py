@@ -1,0 +1,113 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from sentencepiece import sentencepiece_model_pb2
+
+from ehrflow.llm import _text, pieces
+from ehrflow.llm.queries import op11_sentencepiece
+from tests.llm.conftest import documents
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+MODEL, LIBRARY = pieces.load(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+ALPHABET = " \t\n▁ab<>/s0xéﬁ①😀\x00​　ד한Å½…A\r"
+
+
+def spans(library, text):
+    size = len(text.encode())
+    return [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces] + [(library.eos_id(), size, size)]
+
+
+def held(model, library, texts):
+    ids, starts, ends, to = pieces.encode_flat(*_text.flat(pa.array(texts, pa.string())), model)
+    data, at = pieces.decode_flat(ids.astype(np.int64), to, model)
+    for k, text in enumerate(texts):
+        own = slice(to[k], to[k + 1])
+        want = spans(library, text or "")
+        assert list(zip(ids[own].tolist(), starts[own].tolist(), ends[own].tolist())) == want, text
+        assert data[at[k]:at[k + 1]].tobytes().decode() == library.decode([w[0] for w in want]), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=4), st.lists(st.text(ALPHABET, max_size=20), max_size=4))
+def test_ids_and_spans_are_the_librarys(some, others):
+    held(MODEL, LIBRARY, some + others)
+
+
+def test_long_and_odd_texts():
+    held(MODEL, LIBRARY, ["x" * 5000, "ab" * 40 + " " * 30, "", None, "▁" * 50, "a" * 41, "abcdefghij" * 4, "é" * 100, "\n" * 70, "<s> </s> <0x41>", "한" * 30])
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("trim,dummy,suffix,single", [(1, 1, 0, 1), (0, 1, 0, 1), (1, 0, 0, 0), (1, 1, 1, 1), (0, 0, 0, 0)])
+def test_character_maps(rule, trim, dummy, suffix, single):
+    """The same pieces with a compiled character map and other rules."""
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(PATH, "rb").read())
+    rules = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    proto.normalizer_spec.precompiled_charsmap = sentencepiece_model_pb2.ModelProto.FromString(rules).normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.add_dummy_prefix = bool(trim), bool(dummy)
+    proto.trainer_spec.treat_whitespace_as_suffix = bool(suffix)
+    if not single:
+        proto.trainer_spec.byte_fallback = False
+        for p in proto.pieces:
+            if p.type == 6:
+                p.type = 1
+    content, rng = proto.SerializeToString(), random.Random(rule)
+    held(pieces.parsed(content), sentencepiece.SentencePieceProcessor(model_proto=content),
+         ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(800)] + ["Straße ÄÖ ﬃ ½ ", "   ", "​ "])
+
+
+def test_texts_that_are_no_utf8():
+    texts = [b"a\xff b", b"\xe2\x96", b"ok", b"\xed\xa0\x80x", b"\xc3", b"\xa9x", b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ids, starts, ends, to = pieces.encode_flat(data, offsets, MODEL)
+    for k, text in enumerate(texts):
+        assert ids[to[k]:to[k + 1]].tolist() == LIBRARY.encode(text, add_eos=True), text
+        assert ends[to[k]:to[k + 1]].max() == len(text)
+
+
+def test_decoding_any_ids():
+    rng = random.Random(2)
+    lists = [[rng.choice([0, 1, 2, 259, 29871, rng.randrange(3, 259), rng.randrange(32_000)]) for _ in range(rng.randint(0, 9))] for _ in range(1500)]
+    data, to = pieces.decode_flat(np.array([i for x in lists for i in x], np.int64), np.cumsum([0, *map(len, lists)]), MODEL)
+    assert [data[a:b].tobytes().decode() for a, b in zip(to, to[1:])] == [LIBRARY.decode(x) for x in lists]
+    with pytest.raises(ValueError, match="outside"):
+        pieces.decode_flat(np.array([32_000]), np.array([0, 1]), MODEL)
+
+
+def test_whole_table(spark):
+    want = {}
+    for d in documents(spark).collect():
+        ids = LIBRARY.encode(d.text or "", add_eos=True)
+        listed = [" ".join(str(s[k]) for s in spans(LIBRARY, d.text or "")) for k in (1, 2)]
+        want[d.doc_id] = (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), LIBRARY.decode(ids), ";".join(listed))))
+    rows = op11_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.spans_sha256) for r in rows} == want and len(rows) == len(want)
+
+
+def test_edges(spark, edge_docs, edge_rows, no_docs):
+    rows = pieces.decoded(pieces.encoded(edge_docs, MODEL), MODEL).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(r[0], LIBRARY.encode(r[1] or "", add_eos=True)) for r in edge_rows]
+    assert sorted(((r.doc_id, r.ids) for r in rows), key=key) == sorted(want, key=key)
+    text = {r[0]: r[1] for r in edge_rows}
+    for r in rows:
+        if r.doc_id is not None:
+            raw = (text[r.doc_id] or "").encode()
+            assert r.decoded == (text[r.doc_id] or "") and b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw      # the spans cover the text
+    assert pieces.decoded(pieces.encoded(no_docs, MODEL), MODEL).count() == 0
+    lists = spark.createDataFrame([(1, None, "a"), (2, [], "b"), (3, [2], "c")], "doc_id long, ids array<int>, decoded string")
+    assert [(r.doc_id, r.decoded) for r in pieces.decoded(lists, MODEL).orderBy("doc_id").collect()] == [(1, None), (2, ""), (3, "")]
+
+
+def test_other_models_are_refused():
+    proto = sentencepiece_model_pb2.ModelProto.FromString(open(PATH, "rb").read())
+    proto.trainer_spec.model_type = 1
+    with pytest.raises(ValueError, match="only BPE"):
+        pieces.parsed(proto.SerializeToString())
