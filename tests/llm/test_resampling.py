@@ -36,13 +36,13 @@ def model(docs, bench, n=1, buckets=10_000, percent=10, least=20):
         rows.append([doc_id, len(f), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), words])
     enough = sorted((r for r in rows if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
     drawn = enough[:percent * len(enough) // 100]
-    return sorted([*r[:4], k + 1] for k, r in enumerate(drawn)) + sorted(([*r[:4], None] for r in rows if not any(r is d for d in drawn)), key=repr)
+    return sorted(([*r[:4], k + 1] for k, r in enumerate(drawn)), key=repr) + sorted(([*r[:4], None] for r in rows if not any(r is d for d in drawn)), key=repr)
 
 
 def rows_of(df):
     assert df.columns == ["doc_id", "n_features", "weight", "score", "rank"] and all(t == "bigint" for _, t in df.dtypes)
     got = [list(r) for r in df.collect()]
-    return sorted(r for r in got if r[4] is not None) + sorted((r for r in got if r[4] is None), key=repr)
+    return sorted((r for r in got if r[4] is not None), key=repr) + sorted((r for r in got if r[4] is None), key=repr)
 
 
 def by_rank(rows):
