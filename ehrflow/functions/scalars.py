@@ -195,6 +195,14 @@ def parse_vitals(c) -> Column:
     return F.when(F.ltrim(s).startswith('"'), inner).otherwise(v)
 
 
+def object_at_rest(c) -> Column:
+    """JSON text -> the VARIANT to save: as :func:`parse_vitals`, with ``{}``
+    for what is no object (a list or a bare value has no key to show). Files
+    of objects only are shredded into typed columns."""
+    v = parse_vitals(c)
+    return F.when(v.isNull() | F.regexp_like(F.schema_of_variant(v), F.lit("^(OBJECT|VOID)")), v).otherwise(F.parse_json(F.lit("{}")))
+
+
 def vitals_struct(c, keys) -> Column:
     """Vitals text at rest -> a struct with one VARIANT per key (NULL when
     the key is absent or the text is not a JSON object). One JSON pass with

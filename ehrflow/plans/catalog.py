@@ -331,12 +331,15 @@ SELECT atencion_id, ta, CAST(fc AS BIGINT) AS fc, temp, CAST(sat AS BIGINT) AS s
     AS n_claves
 FROM x"""))
 def json_vitals(spark, d):
-    e = _encs(spark, d).withColumn("_v", S.parse_json_or_empty("signos_vitales"))
+    return _vitals(_encs(spark, d).withColumn("_v", S.parse_json_or_empty("signos_vitales")), F.col("_v"))
+
+
+def _vitals(e, v):
     out = e.select("atencion_id",
-                   S.vital("_v", "ta").alias("ta"),
-                   S.vital("_v", "fc", "bigint").alias("fc"),
-                   S.vital("_v", "temp", "double").alias("temp"),
-                   S.vital("_v", "sat", "bigint").alias("sat"))
+                   S.vital(v, "ta").alias("ta"),
+                   S.vital(v, "fc", "bigint").alias("fc"),
+                   S.vital(v, "temp", "double").alias("temp"),
+                   S.vital(v, "sat", "bigint").alias("sat"))
     m = F.create_map(*[x for k in ("ta", "fc", "temp", "sat")
                        for x in (F.lit(k), F.coalesce(F.col(k).cast("string"), F.lit("")))])
     return out.withColumn("n_claves", F.size(S.clean_vitals(m)).cast("long")) \
@@ -1032,16 +1035,54 @@ def encounter_stream(spark, d):
 FANOUT = 2
 
 
+def _saved(spark, d, tables, **options):
+    """The tables saved in the physical layout; they go when Python ends."""
+    from ehrflow.plans.layout import save_layout
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = save_layout(tables, buckets, location=_scratch(spark, "layout"), suffix="_" + uuid.uuid4().hex[:12], fanout=FANOUT, **options)
+    _at_end(spark, lambda: layout.drop(spark))
+    return layout
+
+
 @register("layout_join", ORACLE["encounter_counts"])
 def layout_join(spark, d):
-    from ehrflow.plans.layout import load_layout, save_layout
-    root = _scratch(spark, "layout")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = save_layout({"usuario": _pats(spark, d), "atencion": _encs(spark, d)}, buckets, location=root, suffix="_" + uuid.uuid4().hex[:12], fanout=FANOUT)
-    for name in names.values():
-        _at_end(spark, lambda name=name: spark.sql(f"DROP TABLE IF EXISTS {name}"))
-    t = load_layout(spark, names)
-    return H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))
+    layout = _saved(spark, d, {"usuario": _pats(spark, d), "atencion": _encs(spark, d)})
+    return layout.per_patient(spark, lambda t: H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id")))
+
+
+# Keys looked up in the saved layout: present, absent, and shared ones.
+LOOKUPS = {"correo_electronico": ["p11@hce.test", "p457@hce.test", "building.7@hce.test", "nadie@hce.test", "p999999999999@hce.test"],
+           "celular": ["3000000011", "3000000457", "3999999999", ""], "atencion_id": ["1", "77", "1003", "no-existe"]}
+
+
+def _lookups_sql():
+    listed = {c: ", ".join(f"'{x}'" for x in v) for c, v in LOOKUPS.items()}
+    parts = [f"SELECT '{c}' AS via, {c} AS valor, CAST(documento_id AS BIGINT) AS documento_id FROM {'encounters' if c == 'atencion_id' else 'patients'} WHERE {c} IN ({v})"
+             for c, v in listed.items()]
+    return " UNION ALL ".join(parts)
+
+
+@register("layout_lookups", M.with_ctes(M.PATIENTS_SQL, M.ENCOUNTERS_SQL, body=_lookups_sql()))
+def layout_lookups(spark, d):
+    from ehrflow.plans.layout import lookup
+    layout = _saved(spark, d, {"usuario": _pats(spark, d), "atencion": _encs(spark, d)})
+    found = [lookup(layout.whole(spark, "atencion" if c == "atencion_id" else "usuario"), c, v)
+             .select(F.lit(c).alias("via"), F.col(c).alias("valor"), "documento_id") for c, v in LOOKUPS.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@register("layout_email_first", ORACLE["lookup_email_first"])
+def layout_email_first(spark, d):
+    from ehrflow.operators.lookup import patients_by_email
+    saved = _saved(spark, d, {"usuario": _pats(spark, d)}).whole(spark, "usuario").select("documento_id", "correo_electronico")
+    return patients_by_email(saved, _pats(spark, d).select("correo_electronico")).select("correo_electronico", "documento_id")
+
+
+@register("vitals_at_rest", ORACLE["json_vitals"])
+def vitals_at_rest(spark, d):
+    """``json_vitals`` on shredded files: the vitals' own columns are read."""
+    layout = _saved(spark, d, {"atencion": _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion", "signos_vitales")})
+    return _vitals(layout.whole(spark, "atencion"), F.col("signos_vitales"))
 
 
 # -------------------------------------------------- J1 / J2 / J3 alone ---

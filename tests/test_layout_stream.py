@@ -15,8 +15,7 @@ def test_bucketed_join_has_no_exchange(spark, tmp_dir):
     pats = spark.range(0, 200).select(F.col("id").alias("documento_id"), F.lit("x").alias("correo_electronico"))
     enc = spark.range(0, 1000).select((F.col("id") % 200).alias("documento_id"),
                                       F.col("id").cast("string").alias("atencion_id"))
-    names = L.save_layout({"usuario": pats, "atencion": enc}, 4, location=tmp_dir, suffix="_" + uuid.uuid4().hex[:8])
-    t = L.load_layout(spark, names)
+    t = L.save_layout({"usuario": pats, "atencion": enc}, 4, location=tmp_dir, suffix="_" + uuid.uuid4().hex[:8]).tables(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         j = H.encounter_counts(t["usuario"].select("documento_id"), t["atencion"].select("documento_id"))
@@ -48,24 +47,6 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert got == want and [g[1] for g in got] == ["aceptado", "rechazado", "aceptado"]
 
 
-def test_salted_bucket_write_one_bucket_per_file(spark, tmp_dir):
-    import re
-    from collections import defaultdict
-    enc = spark.range(0, 3000).select(F.when(F.col("id") < 1000, F.lit(5)).otherwise(F.col("id") % 97).alias("documento_id"),
-                                      F.col("id").cast("string").alias("atencion_id"))
-    names = L.save_layout({"atencion": enc}, 4, location=tmp_dir, suffix="_" + uuid.uuid4().hex[:8], fanout=3)
-    files = [f for f in os.listdir(os.path.join(tmp_dir, "atencion")) if f.endswith(".parquet")]
-    per_task = defaultdict(set)
-    for f in files:
-        task, bucket = re.match(r"part-(\d+)-.*_(\d{5})\.", f).groups()
-        per_task[task].add(bucket)
-    assert all(len(b) == 1 for b in per_task.values()) and len(files) <= 4 * 3
-    hot_bucket = spark.table(names["atencion"]).filter("documento_id = 5").select(F.input_file_name()).distinct().count()
-    assert hot_bucket > 1                                # the large patient is written by several tasks
-    plain = L.load_layout(spark, names, bucketed=False)["atencion"]
-    assert plain.count() == 3000
-
-
 def test_stream_dedup_opt_in(spark, tmp_dir):
     from ehrflow.sources.commands import NEW_ENCOUNTER
     pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
