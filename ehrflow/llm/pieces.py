@@ -31,6 +31,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ehrflow.llm import _text
@@ -41,6 +42,9 @@ ROWS = (1, 4, 6, 8, 10, 12, 16, 24, 40)    # words of up to so many characters a
 ROWS_AT_ONCE = 1 << 14
 SYMBOLS = 1 << 31
 NEVER = np.iinfo(np.int32).max
+KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 64    # a task remembers so many words of up to so many bytes
+CHUNK_BYTES = 1 << 20               # of texts that are encoded together
+CHUNK_IDS = 1 << 18                 # that are decoded together
 # kinds of pieces in the model file (fixed values)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -63,6 +67,7 @@ class Model:
     rules: bytes
     _begins: np.ndarray | None = field(default=None, repr=False)
     _merges: Merges | None = field(default=None, repr=False)
+    _known: tuple | None = field(default=None, repr=False)
 
 
 def load(path: str) -> Model:
@@ -381,6 +386,31 @@ def _words(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndar
     return count, [symbols, begin, stop]
 
 
+def _segmented(words: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For distinct normalised words: where their ids begin in the tables of
+    ids and bounds, how many there are, and the tables. The first words a task
+    sees are remembered, so frequent ones are merged once."""
+    if model._known is None:
+        model._known = pa.array([], pa.large_binary()), np.zeros(0, np.int64), [np.zeros(0, np.int32)] * 3
+    known, many, tables = model._known
+    at = pc.index_in(words, value_set=known)
+    absent = at.is_null()
+    fresh = words.filter(absent)
+    count, own = _words(*_text.flat(fresh), model)
+    both = [np.concatenate((t, o.astype(np.int32))) for t, o in zip(tables, own)]
+    every = np.concatenate((many, count))
+    first = np.cumsum(every) - every
+    place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place[np.asarray(absent)] = len(many) + np.arange(len(fresh))
+    if len(known) + len(fresh) <= KNOWN_WORDS:
+        short = pc.less_equal(pc.binary_length(fresh), KNOWN_BYTES)
+        kept = np.flatnonzero(np.asarray(short))
+        held = _ragged((np.cumsum(count) - count)[kept], count[kept])
+        model._known = (pa.concat_arrays([known, fresh.filter(short)]), np.concatenate((many, count[kept])),
+                        [np.concatenate((t, o[held].astype(np.int32))) for t, o in zip(tables, own)])
+    return first[place], every[place], both
+
+
 def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
     total = np.cumsum(count)
@@ -400,9 +430,9 @@ def encode_flat(data: np.ndarray, offsets: np.ndarray, model: Model, end: bool =
     opens[bounds[:-1]] = True
     starts = np.flatnonzero(opens[:-1])
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(norm)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(norm))]).dictionary_encode()
-    count, table = _words(*_text.flat(words.dictionary), model)
+    first, count, table = _segmented(words.dictionary, model)
     which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    held = _ragged((np.cumsum(count) - count)[which], count[which])
+    held = _ragged(first[which], count[which])
     ids, at = table[0][held], np.repeat(starts, count[which])
     begin, stop = at + table[1][held], at + table[2][held]
     text = np.searchsorted(bounds, begin, "right") - 1
@@ -426,6 +456,7 @@ def decode_flat(ids: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.
         raise ValueError("ids outside of the vocabulary")
     size = np.array([len(s) for s in model.surface], np.int64)
     table, first = np.frombuffer(b"".join(model.surface), np.uint8), np.cumsum(size) - size
+    ids = ids.astype(np.int64)
     length, begin = size[ids], first[ids]
     if model.dummy_prefix or model.trims:
         kind, bounds = model.kind[ids], offsets.tolist()
@@ -476,17 +507,27 @@ def _runs(table: np.ndarray, begin: list[int], length: list[int], single: list[b
 
 # ---- DataFrames ----
 
-def encoded(docs: DataFrame, model: Model, end: bool = True) -> DataFrame:
+def _strings(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [mask, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
+def encoded(docs: DataFrame, model: Model, end: bool = True, decode: bool = False) -> DataFrame:
     """doc_id, ids, and starts and ends: the byte span of every piece in the
-    UTF-8 of the document's text."""
+    UTF-8 of the document's text. With ``decode`` also ``decoded``, the text
+    of the ids, made in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.chunks(batches):
+        for batch in _text.chunks(batches, limit=CHUNK_BYTES):
             *columns, to = encode_flat(*_text.flat(batch.column("text")), model, end)
-            lists = [pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "ids", "starts", "ends"])
+            out = [pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(c)) for c in columns]
+            if decode:
+                out.append(_strings(*decode_flat(columns[0], to, model)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, starts array<int>, ends array<int>")
+    names = ["doc_id", "ids", "starts", "ends", *(["decoded"] if decode else [])]
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, starts array<int>, ends array<int>" + (", decoded string" if decode else ""))
 
 
 def decoded(rows: DataFrame, model: Model) -> DataFrame:
@@ -495,13 +536,16 @@ def decoded(rows: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in rows.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            absent = np.asarray(lists.is_null())
-            length = np.where(absent, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            data, to = decode_flat(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(length))), model)
-            valid = pa.py_buffer(np.packbits(~absent, bitorder="little"))
-            text = pa.Array.from_buffers(pa.large_string(), len(lists), [valid, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text.cast(pa.string())], names=[*kept, "decoded"])
+        for whole in batches:
+            length = pc.fill_null(whole.column("ids").value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, at = np.concatenate(([0], np.cumsum(length))), 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK_IDS, "right")) - 1)
+                batch = whole.slice(at, to - at)
+                lists = batch.column("ids")
+                data, ends = decode_flat(lists.flatten().to_numpy(zero_copy_only=False), total[at:to + 1] - total[at], model)
+                text = _strings(data, ends, ~np.asarray(lists.is_null()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), text], names=[*kept, "decoded"])
+                at = to
 
     return rows.mapInArrow(run, schema)

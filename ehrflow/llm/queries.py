@@ -87,10 +87,9 @@ def piece_model() -> str:
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load(piece_model())
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
-    ids = pieces.encoded(_table(spark, sf_dir, "documents"), model).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.concat_ws(";", listed("starts"), listed("ends")), 256).alias("spans_sha256"))
-    return pieces.decoded(ids, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "spans_sha256")
+    found = pieces.encoded(_table(spark, sf_dir, "documents"), model, decode=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed("ids"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat_ws(";", listed("starts"), listed("ends")), 256).alias("spans_sha256"))
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,19 @@ def test_whole_table(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.spans_sha256) for r in rows} == want and len(rows) == len(want)
 
 
+def test_remembered_words_change_nothing(monkeypatch):
+    texts = [f"word{i % 7} {'long' * 30} é{i} again" for i in range(200)]
+    model = pieces.load(PATH)
+    first = [pieces.encode_flat(*_text.flat(pa.array(texts[i:i + 10])), model) for i in range(0, 200, 10)]
+    assert 0 < len(model._known[0]) and max(map(len, model._known[0].to_pylist())) <= pieces.KNOWN_BYTES
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 0)
+    for i, got in zip(range(0, 200, 10), first):
+        assert all((a == b).all() for a, b in zip(got, pieces.encode_flat(*_text.flat(pa.array(texts[i:i + 10])), pieces.load(PATH))))
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     rows = pieces.decoded(pieces.encoded(edge_docs, MODEL), MODEL).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, pieces.encoded(edge_docs, MODEL, decode=True).collect()))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = [(r[0], LIBRARY.encode(r[1] or "", add_eos=True)) for r in edge_rows]
     assert sorted(((r.doc_id, r.ids) for r in rows), key=key) == sorted(want, key=key)
