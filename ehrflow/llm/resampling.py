@@ -39,6 +39,7 @@ from ehrflow.llm import _text
 from ehrflow.llm._shared import positions, written
 
 N, BUCKETS, PERCENT, MIN_WORDS, SEED = 1, 10_000, 10, 20, 2024
+CHUNK_BYTES = 1 << 19               # of texts that are counted together
 ACCURACY = 2_000                    # the sketch's rank error is 1 / ACCURACY of the rows at most
 
 _IN_WORD = np.ones(256, bool)
@@ -91,7 +92,7 @@ def counts(rows: DataFrame, n: int = N, buckets: int = BUCKETS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in _text.chunks(batches):
+        for batch in _text.chunks(batches, limit=CHUNK_BYTES):
             total += np.bincount(features(*_text.flat(batch.column("text")), n, buckets)[0], minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
@@ -114,7 +115,7 @@ def weighed(docs: DataFrame, gain: np.ndarray, n: int = N) -> DataFrame:
     buckets = len(gain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.chunks(batches):
+        for batch in _text.chunks(batches, limit=CHUNK_BYTES):
             found, many, words = features(*_text.flat(batch.column("text")), n, buckets)
             to = np.cumsum(many)
             weight = _text.sums(gain[found], to - many, to)
