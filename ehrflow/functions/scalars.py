@@ -178,8 +178,8 @@ def parse_json_or_empty(c) -> Column:
     variant parser refuses such text, which is then read as a map and written
     anew."""
     s = _c(c)
-    each = F.map_entries(F.from_json(s, "map<string,variant>"))
-    last = F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["key"] == x["key"]))
+    last = F.aggregate(F.map_entries(F.from_json(s, "map<string,variant>")), F.expr("CAST(array() AS ARRAY<STRUCT<key: STRING, value: VARIANT>>)"),
+                       lambda kept, x: F.concat(F.filter(kept, lambda y: y["key"] != x["key"]), F.array(x)))
     again = F.try_parse_json(F.to_json(F.map_from_entries(last)))
     return (F.when(s.isNull() | (s == ""), F.lit(None).cast("variant"))
             .otherwise(F.coalesce(F.try_parse_json(s), again, F.parse_json(F.lit("{}")))))

@@ -40,16 +40,22 @@ def first_per(df: DataFrame, by: Sequence[str], order: Sequence[str], descending
     (lexicographic, ascending unless ``descending``). The reference takes
     an arbitrary first row; ours is deterministic.
 
-    Written as ``min_by``/``max_by`` of the whole row over a struct of the
-    order columns: a partial aggregate, so a group holding a large share of
-    the rows is reduced map-side instead of being buffered in one task the
-    way a ``row_number`` window would. The order columns should identify a
-    row within its group; with exact ties the pick is arbitrary and may
-    differ when a task is retried.
+    The smallest (largest) struct of the order columns, a hash of the row and
+    the row: a partial aggregate, so a group holding a large share of the rows
+    is reduced map-side instead of being buffered in one task the way a
+    ``row_number`` window would. Rows equal in all order columns are decided by
+    the hash and then by their values, so the result does not depend on the
+    partitioning or on retried tasks. Columns without an order (VARIANT, maps)
+    count through the hash of the others alone.
     """
     rest = [c for c in df.columns if c not in by]
-    pick = F.max_by if descending else F.min_by
-    best = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    bare = [c for c, t in df.dtypes if not ("variant" in t or "map<" in t)]
+    hashed = F.xxhash64(*bare).alias("_h")
+    if set(bare) == set(df.columns):
+        rows = F.struct(F.struct(*order).alias("_o"), hashed, F.struct(*rest).alias("_row"))
+        best = (F.max if descending else F.min)(rows)["_row"].alias("_row")
+    else:
+        best = (F.max_by if descending else F.min_by)(F.struct(*rest), F.struct(F.struct(*order), hashed, F.struct(*bare))).alias("_row")
     return df.groupBy(*by).agg(best).select(*by, *[F.col("_row")[c].alias(c) for c in rest])
 
 

@@ -7,16 +7,16 @@ writes them to a new path (plain parquet tables have no MERGE).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrflow.functions import scalars as S
+from ehrflow.operators.conflicts import MAX_COMPONENT, accepted_rows
 from ehrflow.operators.lookup import exists_flag, first_per, missing_in
-from ehrflow.session import checkpoint_dir, shared_table
-from ehrflow.sources.fields import refused, typed
+from ehrflow.session import scratch_path, shared_table
+from ehrflow.sources import fields as J
 from ehrflow.sources.schemas import (ATENCION_LENGTHS, ENCOUNTER_OPTIONAL, ENCOUNTER_REQUIRED, PATCH_FIELDS,
                                      USUARIO, USUARIO_LENGTHS)
 
@@ -72,7 +72,8 @@ def _too_long(df: DataFrame, limits: dict[str, int]) -> Column:
 
 
 def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str = "seq",
-                    users: DataFrame | None = None, by: str = "principal_id") -> tuple[DataFrame, DataFrame]:
+                    users: DataFrame | None = None, by: str = "principal_id", max_component: int = MAX_COMPONENT,
+                    folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert new patients as the reference does one request at a time,
     in arrival order ``seq``: a row is rejected when its document already
     exists (checked first), else when its e-mail already exists (NULL-safe);
@@ -87,22 +88,19 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
     missing ``seq`` values do no harm: equal ones are taken in the order of
     their contents, missing ones last.
 
-    Conflicts inside the batch are resolved in rounds, on the keys alone:
-    among undecided rows, a row is accepted when it is the first of both its
-    document group and its e-mail group (at once if it is alone in both);
-    undecided rows sharing a key with an accepted one are rejected. Each round
-    appends its decisions to one table in the shared folder; there are as many
-    rounds as the longest chain of conflicts has accepted rows. Group minima
-    are partial aggregates, and those of the first round, when groups are
-    largest, are written before they are joined, so that AQE can split a
-    document or e-mail that very many rows have; rows without an e-mail are
-    one group, whose minimum is one row for all.
+    Conflicts inside the batch are resolved on the keys alone
+    (:mod:`ehrflow.operators.conflicts`): a few rounds for the rows that are
+    first in their groups, then each component of rows tied by documents and
+    e-mails is replayed in order by one task; only a component of more than
+    ``max_component`` rows needs further rounds. The work is kept in a folder
+    below ``spark.checkpoint.dir``, or in ``folder``, which the caller may
+    delete (:func:`ehrflow.session.drop_path`) when the results are written.
     """
     as_of = S.ntz_lit(as_of_utc)
     checked, problem = _role_problem(batch, users, by, "admisionista") if users is not None else (batch, F.lit(None).cast("string"))
     why = F.coalesce(problem, F.when(F.col("documento_id").isNull() | F.col("hashed_password").isNull(), F.lit(REASON_MISSING)),
                      F.when(_too_long(batch, USUARIO_LENGTHS), F.lit(REASON_TOO_LONG)))
-    spark, folder = batch.sparkSession, f"{checkpoint_dir(batch.sparkSession).rstrip('/')}/ehrflow-insert-{uuid.uuid4().hex}"
+    folder = folder or scratch_path(batch.sparkSession, "insert")
     order = F.struct(F.col(seq).isNull().alias("n"), F.col(seq).alias("s"), F.xxhash64(*[c for c in batch.columns]).alias("h"), F.col("_rid").alias("r"))
     rows = shared_table(checked.select(*batch.columns, why.alias("_why"), _email_key().alias("_ek"), F.monotonically_increasing_id().alias("_rid")), f"{folder}/rows")
     keys = rows.filter(F.col("_why").isNull()).select("_rid", "documento_id", "_ek", order.alias("_ord"))
@@ -115,26 +113,7 @@ def insert_patients(current: DataFrame, batch: DataFrame, as_of_utc, seq: str =
     flagged = shared_table(known.filter(~no_mail).join(cur_mail, "_ek", "left").unionByName(
         known.filter(no_mail).withColumn("_mail_taken", F.lit(True) if null_taken else F.lit(None).cast("boolean"))), f"{folder}/flagged")
     undecided = flagged.filter(F.col("_doc_taken").isNull() & F.col("_mail_taken").isNull()).select("_rid", "documento_id", "_ek", "_ord")
-    done = 0
-    while True:
-        dmin = undecided.groupBy("documento_id").agg(F.min("_ord").alias("_dmin"))
-        emin = undecided.filter(~no_mail).groupBy("_ek").agg(F.min("_ord").alias("_emin"))
-        if not done:
-            dmin, emin = shared_table(dmin, f"{folder}/documents"), shared_table(emin, f"{folder}/emails")
-        first_without = undecided.filter(no_mail).agg(F.min("_ord").alias("_emin"))                   # one row
-        ranked = undecided.filter(~no_mail).join(emin, "_ek").unionByName(undecided.filter(no_mail).crossJoin(F.broadcast(first_without)))
-        ranked = ranked.join(dmin, "documento_id").select(
-            "_rid", "documento_id", "_ek", "_ord", ((F.col("_ord") == F.col("_dmin")) & (F.col("_ord") == F.col("_emin"))).alias("_won"))
-        state = shared_table(ranked, f"{folder}/state/{done}")
-        won = state.filter("_won").select("_rid", "documento_id", "_ek", "_ord")
-        won.write.mode("overwrite").parquet(f"{folder}/accepted/round={done}")
-        undecided = state.filter(~F.col("_won")).drop("_won").join(won.select("documento_id"), "documento_id", "left_anti") \
-            .join(won.select("_ek"), "_ek", "left_anti").select("_rid", "documento_id", "_ek", "_ord")
-        done += 1
-        if undecided.isEmpty():
-            break
-
-    accepted = spark.read.schema(keys.schema).parquet(f"{folder}/accepted")
+    accepted = accepted_rows(undecided, no_mail, folder, max_component=max_component)
     # Reasons, in the reference's order: the document is checked first
     # against the stored rows and every earlier accepted batch row, then
     # the e-mail. Accepted rows are unique per document.
@@ -197,19 +176,19 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
     as_of = S.ntz_lit(as_of_utc)
     fields = list(PATCH_FIELDS)
     p, problem = _role_problem(patches, users, by, "admisionista") if users is not None else (patches, F.lit(None).cast("string"))
-    p = p.select("documento_id", F.struct(F.col(seq).alias("s"), F.xxhash64(patch).alias("h")).alias("_ord"), problem.alias("_who"),
-                 typed(F.col(patch), _PATCH_KINDS, USUARIO_LENGTHS).alias("_fields"))
-    p = p.withColumn("_why", F.coalesce("_who", F.when(F.col("_fields").isNull(), F.lit(REASON_BAD_TYPE)), refused(F.col("_fields"))))
+    p = p.select("documento_id", F.struct(F.col(seq).alias("s"), F.xxhash64(patch).alias("h")).alias("_ord"), problem.alias("_who"), F.col(patch).alias("_text"))
+    p = J.read(p, "_text", _PATCH_KINDS, USUARIO_LENGTHS)
     p = exists_flag(p, current.select("documento_id"), "documento_id", "_known", unique=True)
-    why = F.coalesce("_why", F.when(~F.col("_known"), F.lit(REASON_UNKNOWN_ID)))
+    bad = F.when(F.col("_why") == J.NO_OBJECT, F.lit(REASON_BAD_TYPE)).otherwise(F.col("_why"))
+    why = F.coalesce("_who", bad, F.when(~F.col("_known"), F.lit(REASON_UNKNOWN_ID)))
     rejected = p.filter(why.isNotNull()).select("documento_id", F.col("_ord.s").alias(seq), why.alias("motivo"))
 
     # Long form: one row per present field; a non-null birth date also
     # yields a marker entry that carries the value used for the age.
-    marker = F.transform(F.filter("_fields", lambda x: (x["key"] == "fecha_nacimiento") & x["value"].isNotNull()),
-                         lambda x: F.struct(F.lit(_DOB_SET).alias("key"), x["value"].alias("value"), x["why"].alias("why")))
-    long = (p.filter(why.isNull()).select("documento_id", "_ord", F.explode(F.concat("_fields", marker)).alias("_x"))
-            .select("documento_id", F.col("_ord").alias(seq), F.col("_x.key").alias("_f"), F.col("_x.value").alias("_val")))
+    present = [F.when(F.col(f"_has_{f}"), F.struct(F.lit(f).alias("f"), F.col(f"_v_{f}").alias("v"))) for f in fields]
+    present.append(F.when(F.col("_v_fecha_nacimiento").isNotNull(), F.struct(F.lit(_DOB_SET).alias("f"), F.col("_v_fecha_nacimiento").alias("v"))))
+    long = (p.filter(why.isNull()).select("documento_id", "_ord", F.explode(F.array_compact(F.array(*present))).alias("_x"))
+            .select("documento_id", F.col("_ord").alias(seq), F.col("_x.f").alias("_f"), F.col("_x.v").alias("_val")))
     last = long.groupBy("documento_id", "_f").agg(
         F.max_by(F.struct(F.col("_val").alias("v")), F.col(seq)).alias("_v"),
         F.max(seq).alias("_s"))
@@ -291,24 +270,24 @@ def insert_encounters(patients: DataFrame, batch: DataFrame, users: DataFrame, a
             out.filter("estado = 'rechazado'").select("documento_id", options.get("seq", "seq"), "motivo"))
 
 
-def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
     """Delete patients and, following the cascading foreign keys, their
     encounters and the encounters' diagnoses, technologies and discharges.
     Every patient-rooted table carries ``documento_id``, so each table is one
     anti join against the distinct ids, which are written first: the joins
     then read them through exchanges of their own, and AQE can split a patient
-    with very many rows."""
-    keys = shared_table(ids.select("documento_id").distinct())
+    with very many rows. ``folder`` names where, if the caller is to delete it."""
+    keys = shared_table(ids.select("documento_id").distinct(), folder)
     out = {}
     for name, df in tables.items():
         out[name] = df.join(keys, "documento_id", "left_anti") if "documento_id" in df.columns else df
     return out
 
 
-def delete_encounters(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
+def delete_encounters(tables: dict[str, DataFrame], keys: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
     """I5 on the composite key: deleting encounters removes their child rows
     (diagnostico, tecnologia_salud, egreso)."""
-    k = shared_table(keys.select("documento_id", "atencion_id").distinct())
+    k = shared_table(keys.select("documento_id", "atencion_id").distinct(), folder)
     out = dict(tables)
     for name in ("atencion", "diagnostico", "tecnologia_salud", "egreso"):
         if name in tables:

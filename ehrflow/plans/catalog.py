@@ -1016,16 +1016,54 @@ def history_json(spark, d):
 
 
 
-@register("encounter_stream", ORACLE["insert_encounters"])
+def _encounter_lines(spark, d):
+    """The encounter commands as JSON text: some with the document as text
+    (which is taken), with a number or an object where a text belongs, cut
+    off, with a key given twice, or without ``seq``."""
+    b = _encounter_batch(spark, d)
+    k, document = F.col("seq"), F.col("documento_id")
+
+    def line(documento=document, tipo=F.col("tipo_atencion"), motivo=F.col("motivo_consulta"), seq=k):
+        new = {"documento_id": documento, "tipo_atencion": tipo, "motivo_consulta": motivo, "seq": seq}
+        return F.to_json(F.struct(*[new.get(c, F.col(c)).alias(c) for c in b.columns]))
+
+    twice = F.concat(F.lit('{"alergias_conocidas":5,'), F.substring(line(), 2, 1 << 20))
+    return b.select(F.when(k % 17 == 1, line(documento=document.cast("string"))).when(k % 19 == 2, line(tipo=F.lit(5)))
+                    .when(k % 23 == 3, line(motivo=F.struct(F.lit(1).alias("a")))).when(k % 29 == 4, F.left(line(), F.lit(30)))
+                    .when(k % 31 == 5, twice).when(k % 37 == 6, line(seq=F.lit(None).cast("long"))).otherwise(line()).alias("value"))
+
+
+@register("encounter_stream", M.with_ctes(M.PATIENTS_SQL, """
+lines AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 7000000 ELSE o_custkey END AS documento_id,
+                 o_orderkey % 13 = 0 AS sin_cuadro, o_orderkey % 1500 AS clinician_id,
+                 CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Niega' END AS alergias,
+                 CASE WHEN o_orderkey % 17 = 1 THEN 'texto' WHEN o_orderkey % 19 = 2 OR o_orderkey % 23 = 3 THEN 'tipo_invalido'
+                      WHEN o_orderkey % 29 = 4 THEN 'json' WHEN o_orderkey % 31 = 5 THEN 'doble' WHEN o_orderkey % 37 = 6 THEN 'sin_seq' END AS caso FROM orders),
+checked AS (
+  SELECT b.*, m.primer_nombre, m.primer_apellido,
+    CASE WHEN caso IN ('tipo_invalido', 'json') THEN caso
+         WHEN m.documento_id IS NULL THEN 'no_autenticado' WHEN m.tipo_usuario IS DISTINCT FROM 'medico' THEN 'rol_no_permitido'
+         WHEN sin_cuadro THEN 'campo_requerido'
+         WHEN b.documento_id NOT IN (SELECT documento_id FROM patients) THEN 'paciente_no_existe'
+         WHEN caso = 'sin_seq' THEN 'campo_requerido' END AS motivo
+  FROM lines b LEFT JOIN patients m ON m.documento_id = b.clinician_id)""", body="""
+SELECT CASE WHEN motivo IS DISTINCT FROM 'json' THEN documento_id END AS documento_id,
+  CASE WHEN motivo IS DISTINCT FROM 'json' AND caso IS DISTINCT FROM 'sin_seq' THEN k END AS seq,
+  CASE WHEN motivo IS NULL THEN 'aceptado' ELSE 'rechazado' END AS estado, motivo, motivo IS NOT NULL AS linea_guardada,
+  CASE WHEN motivo IS NULL THEN 'Dr. ' || COALESCE(primer_nombre, 'None') || ' ' || COALESCE(primer_apellido, 'None') END AS responsable_registro,
+  CASE WHEN motivo IS NULL
+       THEN sha256(concat_ws(chr(1), CAST(documento_id AS VARCHAR), CAST(k AS VARCHAR), CAST(clinician_id AS VARCHAR))) END AS atencion_id,
+  CASE WHEN motivo IS NULL OR motivo NOT IN ('json', 'tipo_invalido') THEN alergias END AS alergias_conocidas
+FROM checked"""))
 def encounter_stream(spark, d):
     from ehrflow.streaming.encounters import encounter_stream as es
     root = _scratch(spark, "stream")
-    _encounter_batch(spark, d).repartition(4).write.mode("overwrite").json(f"{root}/in")
+    _encounter_lines(spark, d).repartition(4).write.mode("overwrite").text(f"{root}/in")
     q = es(spark, f"{root}/in", lambda: (_pats(spark, d), _pats(spark, d)), f"{root}/out", f"{root}/checkpoint", M.AS_OF_UTC)
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
-    return out.select("documento_id", "seq", "estado", "motivo", "responsable_registro", "atencion_id",
-                      "alergias_conocidas")
+    return out.select("documento_id", "seq", "estado", "motivo", F.col("linea").isNotNull().alias("linea_guardada"), "responsable_registro",
+                      "atencion_id", "alergias_conocidas")
 
 
 # -------------------------------------------------------- L1 / L2 / L4 ---

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -75,11 +76,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCRATCH: dict[int, tuple[SparkSession, list[str]]] = {}
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder, which :func:`release` removes."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ehrflow-{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(id(spark), (spark, []))[1].append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the operators left below the shared folder. DataFrames that
+    read it cannot be used afterwards. Runs by itself when Python ends."""
+    _, paths = _SCRATCH.pop(id(spark), (spark, []))
+    for path in paths:
+        drop_path(spark, path)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark, _ in list(_SCRATCH.values()):
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            release(spark)
+
+
 def shared_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet below the shared folder (or to ``path``) and
     read again: lineage ends there, the rows outlive any executor, and a join
     with it gets an exchange of its own, which AQE can split."""
-    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ehrflow-{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession, "table")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,6 +32,9 @@ KINDS = {"patient": (NEW_PATIENT, PATIENT_REQUIRED), "encounter": (NEW_ENCOUNTER
          "patch": (PATCH, ["documento_id"])}
 
 
+# Fixed value: the reason of a line without a required field.
+MISSING = "requerido"
+
 # How each field is read (:mod:`ehrflow.sources.fields`).
 _PATIENT_KINDS = {f: {"documento_id": "long", "fecha_nacimiento": "date", "edad": "int", "seq": "long"}.get(f, "text")
                   for f in NEW_PATIENT.fieldNames()}
@@ -40,39 +43,43 @@ _ENCOUNTER_KINDS = {f: {"documento_id": "long", "clinician_id": "long", "seq": "
 _LIMITS = {"patient": USUARIO_LENGTHS, "encounter": ATENCION_LENGTHS, "patch": {}}
 
 
-def read_commands(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Read JSON-lines commands of ``kind`` ('patient', 'encounter', 'patch').
-
-    Returns ``(accepted, rejected)``; rejected rows are (linea, motivo) with
-    motivo ``json`` (not a JSON object), ``tipo_invalido`` (a value of the
-    wrong type), ``longitud`` (text over its limit) or ``requerido`` (a
-    required field, ``seq`` among them, absent or null). For patches only the
-    key and the sequence are read; ``patch`` is the line as it came, so an
-    absent key differs from an explicit null
-    (:func:`ehrflow.operators.writes.patch_patients` reads the rest).
-    """
+def tagged(lines: DataFrame, kind: str) -> DataFrame:
+    """Lines of JSON (column ``linea``; a table or a stream) with the fields
+    of the command and ``motivo``, the reason a line is refused (else NULL):
+    ``json`` (not a JSON object), ``tipo_invalido`` (a value of the wrong
+    type), ``longitud`` (text over its limit) or ``requerido`` (a required
+    field, ``seq`` among them, absent or null). Fields that can be read are
+    there on refused lines, too. For patches only the key and the sequence
+    are read; ``patch`` is the line as it came."""
     schema, required = KINDS[kind]
     kinds = {"patient": _PATIENT_KINDS, "encounter": _ENCOUNTER_KINDS, "patch": {"documento_id": "long", "seq": "long"}}[kind]
-    read = spark.read.text(path).select(F.col("value").alias("linea"))
-    read = read.select("linea", fields.typed(F.col("linea"), kinds, _LIMITS[kind]).alias("_f"))
-    by_key = F.map_from_entries(F.transform("_f", lambda x: F.struct(x["key"], x["value"])))
-    read = read.select("linea", F.when(F.col("_f").isNull(), F.lit("json")).otherwise(fields.refused(F.col("_f"))).alias("_why"), by_key.alias("_m"))
+    read = fields.read(lines.select("linea"), "linea", kinds, _LIMITS[kind])
     missing = F.lit(False)
     for c in [*required, "seq"]:
-        missing = missing | F.element_at("_m", F.lit(c)).isNull()
-    tagged = read.withColumn("motivo", F.coalesce("_why", F.when(missing, F.lit("requerido"))))
-    rejected = tagged.filter(F.col("motivo").isNotNull()).select("linea", "motivo")
+        missing = missing | F.col(f"_v_{c}").isNull()
 
-    def field(f: T.StructField):
+    def column(f: T.StructField):
         if kind == "patch" and f.name == "patch":
             return F.col("linea").alias("patch")
-        text = F.element_at("_m", F.lit(f.name))
         if isinstance(f.dataType, T.ArrayType):
-            return F.from_json(text, f.dataType).alias(f.name)
-        return text.cast(f.dataType).alias(f.name)
+            return F.from_json(f"_v_{f.name}", f.dataType).alias(f.name)
+        return F.col(f"_v_{f.name}").cast(f.dataType).alias(f.name)
+
+    return read.select("linea", F.coalesce("_why", F.when(missing, F.lit(MISSING))).alias("motivo"), *[column(f) for f in schema.fields])
 
-    accepted = tagged.filter(F.col("motivo").isNull()).select(*[field(f) for f in schema.fields])
-    return accepted, rejected
+
+def read_commands(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Read JSON-lines commands of ``kind`` ('patient', 'encounter', 'patch').
+
+    Returns ``(accepted, rejected)``; rejected rows are (linea, motivo), with
+    the reasons of :func:`tagged`. An absent key of a patch differs from an
+    explicit null (:func:`ehrflow.operators.writes.patch_patients` reads the
+    line).
+    """
+    schema, _ = KINDS[kind]
+    lines = tagged(spark.read.text(path).select(F.col("value").alias("linea")), kind)
+    return (lines.filter(F.col("motivo").isNull()).select(*schema.fieldNames()),
+            lines.filter(F.col("motivo").isNotNull()).select("linea", "motivo"))
 
 
 def write_commands(df: DataFrame, path: str) -> None:

@@ -9,89 +9,82 @@ repeated key the last value counts, as in Python's parser.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reasons.
+NO_OBJECT = "json"
 BAD_TYPE = "tipo_invalido"
 TOO_LONG = "longitud"
 
+_BROKEN = "_roto"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?)?$"
 _WHOLE = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 
-def entries(text: Column) -> Column:
-    """The object's entries (key, value as VARIANT), the last of each key;
-    NULL if the text is not a JSON object."""
-    each = F.map_entries(F.from_json(text, "map<string,variant>"))
-    return F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, F.size(each)), lambda y: y["key"] == x["key"]))
-
-
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
-
-
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _whole(v: Column) -> Column:
+def _whole(v: Column, kind: Column) -> Column:
     number = F.try_variant_get(v, "$", "double")
-    return (F.when(_kind(v).isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.try_variant_get(v, "$", "bigint"))
-            .when(_kind(v) == "BOOLEAN", (_text(v) == "true").cast("bigint"))
-            .when(_kind(v).isin("DECIMAL", "DOUBLE", "FLOAT") & (number == F.floor(number)), number.try_cast("bigint"))
-            .when((_kind(v) == "STRING") & F.regexp_like(_text(v), F.lit(_WHOLE)), F.regexp_extract(_text(v), r"([+-]?\d+)", 1).try_cast("bigint")))
+    return (F.when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.try_variant_get(v, "$", "bigint"))
+            .when(kind == "BOOLEAN", (_text(v) == "true").cast("bigint"))
+            .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT") & (number == F.floor(number)), number.try_cast("bigint"))
+            .when((kind == "STRING") & F.regexp_like(_text(v), F.lit(_WHOLE)), F.regexp_extract(_text(v), r"([+-]?\d+)", 1).try_cast("bigint")))
 
 
-def _date(v: Column) -> Column:
+def _date(v: Column, kind: Column) -> Column:
     seconds = F.try_variant_get(v, "$", "bigint")
     seconds = F.when(F.abs(seconds) > 20_000_000_000, F.floor(seconds / 1000)).otherwise(seconds)
-    return (F.when((_kind(v) == "STRING") & F.regexp_like(_text(v), F.lit(_ISO_DATE)), F.left(_text(v), F.lit(10)).try_cast("date"))
-            .when(_kind(v).isin("TINYINT", "SMALLINT", "INT", "BIGINT") & (F.pmod(seconds, F.lit(86400)) == 0),
+    return (F.when((kind == "STRING") & F.regexp_like(_text(v), F.lit(_ISO_DATE)), F.left(_text(v), F.lit(10)).try_cast("date"))
+            .when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT") & (F.pmod(seconds, F.lit(86400)) == 0),
                   F.date_from_unix_date((seconds / 86400).cast("int"))))
 
 
-def _value(v: Column, kind: str) -> Column:
-    """The value as text, NULL if it does not fit ``kind``."""
-    if kind == "int":
-        whole = _whole(v)
+def _value(v: Column, kind: Column, wanted: str) -> Column:
+    """The value as text, NULL if it does not fit ``wanted``; ``kind`` is the
+    variant's type without its parameters."""
+    if wanted == "int":
+        whole = _whole(v, kind)
         return F.when(whole.between(-(1 << 31), (1 << 31) - 1), whole).cast("string")
-    if kind == "long":
-        return _whole(v).cast("string")
-    if kind == "date":
-        return _date(v).cast("string")
-    if kind == "codes":
+    if wanted == "long":
+        return _whole(v, kind).cast("string")
+    if wanted == "date":
+        return _date(v, kind).cast("string")
+    if wanted == "codes":
         return F.when(F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>"), _text(v))
-    if kind == "any":
+    if wanted == "any":
         return _text(v)
-    return F.when(_kind(v) == "STRING", _text(v))
-
-
-def typed(text: Column, kinds: dict[str, str], limits: dict[str, int] | None = None) -> Column:
-    """The known entries of the object as an array of (key, value, why): the
-    value as text, NULL for JSON ``null``; ``why`` is the reason it is
-    refused, else NULL. ``kinds`` maps each known key to ``text``, ``int``,
-    ``long``, ``date``, ``codes`` or ``any``."""
-    limits = {k: n for k, n in (limits or {}).items() if k in kinds}
-
-    def one(x: Column) -> Column:
-        key, v = x["key"], x["value"]
-        value = _value(v, "text")
-        for kind in set(kinds.values()) - {"text"}:
-            value = F.when(key.isin([k for k in kinds if kinds[k] == kind]), _value(v, kind)).otherwise(value)
-        empty = v.isNull() | (_kind(v) == "VOID")
-        long = F.lit(False)
-        for n in sorted(set(limits.values())):
-            long = long | (key.isin([k for k in limits if limits[k] == n]) & (F.char_length(value) > n))
-        why = F.when(~empty & value.isNull(), F.lit(BAD_TYPE)).when(~empty & long, F.lit(TOO_LONG))
-        return F.struct(key.alias("key"), F.when(~empty, value).alias("value"), why.alias("why"))
-
-    known = F.filter(entries(text), lambda x: x["key"].isin(list(kinds)))
-    return F.transform(known, one)
-
-
-def refused(fields: Column) -> Column:
-    """The reason an array of ``typed`` is refused: a wrong type before a
-    length; NULL if none."""
-    return (F.when(F.exists(fields, lambda x: F.coalesce(x["why"] == BAD_TYPE, F.lit(False))), F.lit(BAD_TYPE))
-            .when(F.exists(fields, lambda x: F.coalesce(x["why"] == TOO_LONG, F.lit(False))), F.lit(TOO_LONG)))
+    return F.when(kind == "STRING", _text(v))
+
+
+def read(df: DataFrame, text: str, kinds: dict[str, str], limits: dict[str, int] | None = None) -> DataFrame:
+    """``df`` with, for each known key, ``_v_<key>`` (the value as text, NULL
+    for JSON ``null`` and for an absent key) and ``_has_<key>``, and with
+    ``_why``: ``json`` if column ``text`` is no JSON object, else the reason a
+    value is refused (a wrong type before a length), else NULL. ``kinds`` maps
+    each known key to ``text``, ``int``, ``long``, ``date``, ``codes`` or
+    ``any``.
+
+    The text is parsed once, into a struct with a VARIANT for each known key.
+    The struct goes through a generator, which no projection above is merged
+    into, so the columns made from it do not parse it again; so do the results,
+    so that a filter on them is not unfolded into all that they are made of."""
+    keys, limits = list(kinds), limits or {}
+    schema = ", ".join(f"`{k}` variant" for k in keys) + f", {_BROKEN} string"
+    parsed = F.from_json(F.col(text), schema, {"columnNameOfCorruptRecord": _BROKEN})
+    out = df.select("*", F.inline(F.array(parsed)).alias(*(f"_j_{k}" for k in keys), _BROKEN))
+    out = out.withColumns({f"_k_{k}": F.regexp_extract(F.schema_of_variant(f"_j_{k}"), "^([A-Z]+)", 1) for k in keys})
+    given = lambda k: F.col(f"_j_{k}").isNotNull() & (F.col(f"_k_{k}") != "VOID")
+    out = out.withColumns({f"_v_{k}": F.when(given(k), _value(F.col(f"_j_{k}"), F.col(f"_k_{k}"), kinds[k])) for k in keys})
+    wrong, long = F.lit(False), F.lit(False)
+    for k in keys:
+        wrong = wrong | (given(k) & F.col(f"_v_{k}").isNull())
+        if k in limits:
+            long = long | F.coalesce(F.char_length(f"_v_{k}") > limits[k], F.lit(False))
+    whole = F.coalesce(F.regexp_like(text, F.lit(r"^\s*\{")), F.lit(False)) & F.col(_BROKEN).isNull()
+    why = F.when(~whole, F.lit(NO_OBJECT)).when(wrong, F.lit(BAD_TYPE)).when(long, F.lit(TOO_LONG))
+    names = ["_why", *(f"_v_{k}" for k in keys), *(f"_has_{k}" for k in keys)]
+    made = [why, *(F.col(f"_v_{k}") for k in keys), *(F.col(f"_j_{k}").isNotNull() for k in keys)]
+    return out.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(n) for c, n in zip(made, names))))).alias(*names))

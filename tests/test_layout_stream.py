@@ -5,7 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ehrflow.operators import history as H
+from ehrflow.operators.writes import insert_encounters
 from ehrflow.plans import layout as L
+from ehrflow.sources.commands import read_commands, tagged
 from ehrflow.streaming.encounters import encounter_results, encounter_stream
 
 USERS = "documento_id long, primer_nombre string, primer_apellido string, tipo_usuario string"
@@ -43,10 +45,40 @@ def test_stream_equals_batch(spark, tmp_dir):
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(tmp_dir, "out"))
                  .select("seq", "estado", "atencion_id").collect())
-    want = sorted(tuple(r) for r in encounter_results(batch, pats, pats, as_of).select("seq", "estado", "atencion_id").collect())
+    lines = tagged(spark.read.text(in_dir).withColumnRenamed("value", "linea"), "encounter")
+    want = sorted(tuple(r) for r in encounter_results(lines, pats, pats, as_of).select("seq", "estado", "atencion_id").collect())
     assert got == want and [g[1] for g in got] == ["aceptado", "rechazado", "aceptado"]
 
 
+ODD_LINES = ['{"documento_id":1,"tipo_atencion":5,"motivo_consulta":{"a":1},"enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":1,"seq":1}',
+             '{"documento_id":"1","tipo_atencion":"C","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":"1","seq":2}',
+             "no es json", "", "[1]", "null", '{"documento_id":1,"tipo_atencion":"C"', '{"documento_id":1,"clinician_id":1,"seq":3}',
+             '{"documento_id":1,"tipo_atencion":"%s","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":1,"seq":4}' % ("x" * 81),
+             '{"documento_id":1,"tipo_atencion":7,"tipo_atencion":"C","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","codigos_cie10":["a",null],"clinician_id":1,"seq":5}',
+             '{"documento_id":1,"tipo_atencion":"C","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":1}',
+             '{"documento_id":2,"tipo_atencion":"C","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":1,"seq":6}',
+             '{"documento_id":1,"tipo_atencion":"C","motivo_consulta":"m","enfermedad_actual":"e","impresion_diagnostica":"i","conducta_plan_manejo":"c","clinician_id":9,"seq":7}']
+
+
+def test_stream_and_commands_follow_the_same_rules(spark, tmp_dir):
+    """The same file read as a table and as a stream."""
+    in_dir, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    spark.createDataFrame([(x,) for x in ODD_LINES], "value string").coalesce(1).write.text(in_dir)
+    pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
+    as_of = dt.datetime(2024, 1, 1)
+    encounter_stream(spark, in_dir, lambda: (pats, pats), out, os.path.join(tmp_dir, "ck"), as_of).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    accepted, refused = read_commands(spark, in_dir, "encounter")
+    stored, rejected = insert_encounters(pats, accepted, pats, as_of)
+    assert sorted(r.seq for r in got if r.estado == "aceptado") == sorted(r.seq for r in stored.collect()) == [2, 5]
+    lines = {r.linea for r in refused.collect()}
+    assert lines <= {r.linea for r in got} and all((r.linea is None) == (r.estado == "aceptado") for r in got) and len(got) == len(ODD_LINES)
+    why = {r.linea: r.motivo for r in got if r.linea is not None}
+    assert [why.get(x) for x in ODD_LINES] == ["tipo_invalido", None, "json", "json", "json", "json", "json", "campo_requerido", "longitud", None, "campo_requerido",
+                                               "paciente_no_existe", "no_autenticado"]
+    assert {(r.seq, r.motivo) for r in rejected.collect()} == {(r.seq, r.motivo) for r in got if r.seq in (6, 7)}
+
+
 def test_stream_dedup_opt_in(spark, tmp_dir):
     from ehrflow.sources.commands import NEW_ENCOUNTER
     pats = spark.createDataFrame([(1, "Ana", "Ruiz", "medico")], USERS)
