@@ -14,9 +14,10 @@ its place among its length in the partition that made it plus the counts of
 the partitions before, so a length that very many pieces have is ranked by
 many tasks.
 
-Token ids are those of the tokenizer's file. They are made with tiktoken on
-the vocabulary in that file, which gives the same ids several times faster,
-and with the file itself where tiktoken gives up on a text.
+Token ids are those of the tokenizer's file, its special tokens included where
+a text spells one out. They are made with tiktoken on the vocabulary in that
+file, which gives the same ids several times faster, and with the file itself
+for texts that hold a special token or that tiktoken gives up on.
 
 Defined results: a null or empty text is one piece that holds only the end
 id; rows with equal or null doc_ids are packed each; an empty table gives no
@@ -46,7 +47,8 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, part int, pos l
 
 
 def _encoder(path: str) -> tuple:
-    """The tokenizer of a byte-level BPE file, and tiktoken on its vocabulary."""
+    """tiktoken on the vocabulary of a byte-level BPE file, the file's own
+    tokenizer, and the texts of its added tokens."""
     if path not in _ENCODERS:
         import tiktoken
         import public_tokenizers
@@ -60,8 +62,7 @@ def _encoder(path: str) -> tuple:
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token) and not token.startswith("<|")}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        _ENCODERS[path] = fast, whole
+        _ENCODERS[path] = fast, whole, tuple(t.content for t in whole.get_added_tokens_decoder().values())
     return _ENCODERS[path]
 
 
@@ -69,13 +70,14 @@ def token_ids(text: str | None, path: str) -> np.ndarray:
     """The ids of a text, without an end id."""
     if not text:
         return np.zeros(0, np.uint32)
-    fast, whole = _encoder(path)
+    fast, whole, added = _encoder(path)
     try:
-        return fast.encode_to_numpy(text)
+        if not any(t in text for t in added):
+            return fast.encode_to_numpy(text)
     except BaseException as e:  # the Rust code's panics are no Exceptions
         if isinstance(e, (KeyboardInterrupt, SystemExit)):
             raise
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+    return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

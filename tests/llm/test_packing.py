@@ -12,7 +12,6 @@ from tests.llm.conftest import documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids(text):
@@ -26,7 +25,8 @@ def test_ids_are_the_tokenizers(text):
 
 
 def test_ids_of_odd_texts():
-    for text in ("<|endoftext|> x", "a" * 5000, " " * 3000 + "x", "\u00a0\u2003é\r\n\t 12345678", "ﬁ𝔘 ا ב"):
+    assert packing.token_ids("a <|endoftext|> b", PATH).tolist() == [64, 220, 50256, 275]
+    for text in ("<|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext", "<|endoftext|>" + "a" * 5000, "a" * 5000, " " * 3000 + "x", "\u00a0\u2003é\r\n\t 12345678", "ﬁ𝔘 ا ב"):
         assert packing.token_ids(text, PATH).tolist() == ids(text)[:-1]
 
 
