@@ -185,10 +185,10 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
 
     # Long form: one row per present field; a non-null birth date also
     # yields a marker entry that carries the value used for the age.
-    present = [F.when(F.col(f"_has_{f}"), F.struct(F.lit(f).alias("f"), F.col(f"_v_{f}").alias("v"))) for f in fields]
-    present.append(F.when(F.col("_v_fecha_nacimiento").isNotNull(), F.struct(F.lit(_DOB_SET).alias("f"), F.col("_v_fecha_nacimiento").alias("v"))))
-    long = (p.filter(why.isNull()).select("documento_id", "_ord", F.explode(F.array_compact(F.array(*present))).alias("_x"))
-            .select("documento_id", F.col("_ord").alias(seq), F.col("_x.f").alias("_f"), F.col("_x.v").alias("_val")))
+    present = [f"CASE WHEN _has_{f} THEN struct('{f}' AS f, _v_{f} AS v) END" for f in fields]
+    present.append(f"CASE WHEN _v_fecha_nacimiento IS NOT NULL THEN struct('{_DOB_SET}' AS f, _v_fecha_nacimiento AS v) END")
+    long = (p.filter(why.isNull()).selectExpr("documento_id", "_ord", f"explode(array_compact(array({', '.join(present)}))) AS _x")
+            .selectExpr("documento_id", f"_ord AS `{seq}`", "_x.f AS _f", "_x.v AS _val"))
     last = long.groupBy("documento_id", "_f").agg(
         F.max_by(F.struct(F.col("_val").alias("v")), F.col(seq)).alias("_v"),
         F.max(seq).alias("_s"))
@@ -197,29 +197,15 @@ def patch_patients(current: DataFrame, patches: DataFrame, as_of_utc, patch: str
 
     out = current.join(changes, "documento_id", "left")
 
-    def has(f):
-        return F.coalesce(F.map_contains_key("_chg", f), F.lit(False))
-
-    def val(f):
-        return F.element_at("_chg", F.lit(f))["_v"]["v"]
-
-    def at(f):
-        return F.element_at("_chg", F.lit(f))["_s"]
-
-    news = {}
-    for f in fields:
-        dtype = current.schema[f].dataType
-        new = F.when(has(f), val(f).try_cast(dtype)).otherwise(F.col(f))
-        if f == "edad":
-            recompute = has(_DOB_SET) & (~has("edad") | (at(_DOB_SET) >= at("edad")))
-            new = F.when(recompute, S.age_years(val(_DOB_SET).cast("date"), S.local_today(as_of))).otherwise(new)
-        news[f] = new
-    out = out.select(*[c for c in current.columns if c not in news], "_chg",
-                     *[v.alias(k) for k, v in news.items()],
-                     *[F.col(k).alias(f"_o_{k}") for k in news])
-    changed = F.lit(False)
-    for f in fields:
-        changed = changed | ~F.col(f).eqNullSafe(F.col(f"_o_{f}"))
+    has = lambda f: f"coalesce(map_contains_key(_chg, '{f}'), false)"
+    val = lambda f: f"element_at(_chg, '{f}')._v.v"
+    at = lambda f: f"element_at(_chg, '{f}')._s"
+    news = {f: f"CASE WHEN {has(f)} THEN try_cast({val(f)} AS {current.schema[f].dataType.simpleString()}) ELSE `{f}` END" for f in fields}
+    out = out.selectExpr(*[f"`{c}`" for c in current.columns if c not in news], "_chg", *[f"{v} AS `{k}`" for k, v in news.items()],
+                         *[f"`{k}` AS `_o_{k}`" for k in news], f"{has(_DOB_SET)} AND (NOT {has('edad')} OR {at(_DOB_SET)} >= {at('edad')}) AS _recompute",
+                         f"CAST({val(_DOB_SET)} AS DATE) AS _born")
+    out = out.withColumn("edad", F.when(F.col("_recompute"), S.age_years("_born", S.local_today(as_of)).cast(current.schema["edad"].dataType)).otherwise(F.col("edad")))
+    changed = F.expr(" OR ".join(f"NOT (`{f}` <=> `_o_{f}`)" for f in fields))
     if "updated_at" in current.columns:
         out = out.withColumn("updated_at", F.when(F.col("_chg").isNotNull() & changed, as_of)
                              .otherwise(F.col("updated_at")))

@@ -54,18 +54,16 @@ def tagged(lines: DataFrame, kind: str) -> DataFrame:
     schema, required = KINDS[kind]
     kinds = {"patient": _PATIENT_KINDS, "encounter": _ENCOUNTER_KINDS, "patch": {"documento_id": "long", "seq": "long"}}[kind]
     read = fields.read(lines.select("linea"), "linea", kinds, _LIMITS[kind])
-    missing = F.lit(False)
-    for c in [*required, "seq"]:
-        missing = missing | F.col(f"_v_{c}").isNull()
+    missing = " OR ".join(f"_v_{c} IS NULL" for c in [*required, "seq"])
 
-    def column(f: T.StructField):
+    def column(f: T.StructField) -> str:
         if kind == "patch" and f.name == "patch":
-            return F.col("linea").alias("patch")
+            return "linea AS patch"
         if isinstance(f.dataType, T.ArrayType):
-            return F.from_json(f"_v_{f.name}", f.dataType).alias(f.name)
-        return F.col(f"_v_{f.name}").cast(f.dataType).alias(f.name)
+            return f"from_json(_v_{f.name}, '{f.dataType.simpleString()}') AS {f.name}"
+        return f"CAST(_v_{f.name} AS {f.dataType.simpleString()}) AS {f.name}"
 
-    return read.select("linea", F.coalesce("_why", F.when(missing, F.lit(MISSING))).alias("motivo"), *[column(f) for f in schema.fields])
+    return read.selectExpr("linea", f"coalesce(_why, CASE WHEN {missing} THEN '{MISSING}' END) AS motivo", *[column(f) for f in schema.fields])
 
 
 def read_commands(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:

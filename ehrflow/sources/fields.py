@@ -9,8 +9,7 @@ repeated key the last value counts, as in Python's parser.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Reasons.
 NO_OBJECT = "json"
@@ -22,41 +21,43 @@ _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?)?$"
 _WHOLE = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+# The rules are SQL text, one expression for each known key: as many calls of
+# the Column API would take seconds to build on the driver.
+_WHOLES = "('TINYINT', 'SMALLINT', 'INT', 'BIGINT')"
 
 
-def _whole(v: Column, kind: Column) -> Column:
-    number = F.try_variant_get(v, "$", "double")
-    return (F.when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), F.try_variant_get(v, "$", "bigint"))
-            .when(kind == "BOOLEAN", (_text(v) == "true").cast("bigint"))
-            .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT") & (number == F.floor(number)), number.try_cast("bigint"))
-            .when((kind == "STRING") & F.regexp_like(_text(v), F.lit(_WHOLE)), F.regexp_extract(_text(v), r"([+-]?\d+)", 1).try_cast("bigint")))
+def _get(v: str, kind: str = "string") -> str:
+    return f"try_variant_get({v}, '$', '{kind}')"
 
 
-def _date(v: Column, kind: Column) -> Column:
-    seconds = F.try_variant_get(v, "$", "bigint")
-    seconds = F.when(F.abs(seconds) > 20_000_000_000, F.floor(seconds / 1000)).otherwise(seconds)
-    return (F.when((kind == "STRING") & F.regexp_like(_text(v), F.lit(_ISO_DATE)), F.left(_text(v), F.lit(10)).try_cast("date"))
-            .when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT") & (F.pmod(seconds, F.lit(86400)) == 0),
-                  F.date_from_unix_date((seconds / 86400).cast("int"))))
+def _whole(v: str, kind: str) -> str:
+    return f"""CASE WHEN {kind} IN {_WHOLES} THEN {_get(v, "bigint")}
+        WHEN {kind} = 'BOOLEAN' THEN CAST({_get(v)} = 'true' AS BIGINT)
+        WHEN {kind} IN ('DECIMAL', 'DOUBLE', 'FLOAT') AND {_get(v, "double")} = floor({_get(v, "double")}) THEN try_cast({_get(v, "double")} AS BIGINT)
+        WHEN {kind} = 'STRING' AND regexp_like({_get(v)}, r'{_WHOLE}') THEN try_cast(regexp_extract({_get(v)}, r'([+-]?[0-9]+)', 1) AS BIGINT) END"""
 
 
-def _value(v: Column, kind: Column, wanted: str) -> Column:
+def _date(v: str, kind: str) -> str:
+    seconds = f"CASE WHEN abs({_get(v, 'bigint')}) > 20000000000 THEN floor({_get(v, 'bigint')} / 1000) ELSE {_get(v, 'bigint')} END"
+    return f"""CASE WHEN {kind} = 'STRING' AND regexp_like({_get(v)}, r'{_ISO_DATE}') THEN try_cast(left({_get(v)}, 10) AS DATE)
+        WHEN {kind} IN {_WHOLES} AND pmod({seconds}, 86400) = 0 THEN date_from_unix_date(CAST(({seconds}) / 86400 AS INT)) END"""
+
+
+def _value(v: str, kind: str, wanted: str) -> str:
     """The value as text, NULL if it does not fit ``wanted``; ``kind`` is the
     variant's type without its parameters."""
     if wanted == "int":
         whole = _whole(v, kind)
-        return F.when(whole.between(-(1 << 31), (1 << 31) - 1), whole).cast("string")
+        return f"CAST(CASE WHEN {whole} BETWEEN -2147483648 AND 2147483647 THEN {whole} END AS STRING)"
     if wanted == "long":
-        return _whole(v, kind).cast("string")
+        return f"CAST({_whole(v, kind)} AS STRING)"
     if wanted == "date":
-        return _date(v, kind).cast("string")
+        return f"CAST({_date(v, kind)} AS STRING)"
     if wanted == "codes":
-        return F.when(F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>"), _text(v))
+        return f"CASE WHEN schema_of_variant({v}) IN ('ARRAY<STRING>', 'ARRAY<VOID>') THEN {_get(v)} END"
     if wanted == "any":
-        return _text(v)
-    return F.when(kind == "STRING", _text(v))
+        return _get(v)
+    return f"CASE WHEN {kind} = 'STRING' THEN {_get(v)} END"
 
 
 def read(df: DataFrame, text: str, kinds: dict[str, str], limits: dict[str, int] | None = None) -> DataFrame:
@@ -72,19 +73,16 @@ def read(df: DataFrame, text: str, kinds: dict[str, str], limits: dict[str, int]
     into, so the columns made from it do not parse it again; so do the results,
     so that a filter on them is not unfolded into all that they are made of."""
     keys, limits = list(kinds), limits or {}
+    names = lambda prefix: ", ".join(f"{prefix}{k}" for k in keys)
     schema = ", ".join(f"`{k}` variant" for k in keys) + f", {_BROKEN} string"
-    parsed = F.from_json(F.col(text), schema, {"columnNameOfCorruptRecord": _BROKEN})
-    out = df.select("*", F.inline(F.array(parsed)).alias(*(f"_j_{k}" for k in keys), _BROKEN))
-    out = out.withColumns({f"_k_{k}": F.regexp_extract(F.schema_of_variant(f"_j_{k}"), "^([A-Z]+)", 1) for k in keys})
-    given = lambda k: F.col(f"_j_{k}").isNotNull() & (F.col(f"_k_{k}") != "VOID")
-    out = out.withColumns({f"_v_{k}": F.when(given(k), _value(F.col(f"_j_{k}"), F.col(f"_k_{k}"), kinds[k])) for k in keys})
-    wrong, long = F.lit(False), F.lit(False)
-    for k in keys:
-        wrong = wrong | (given(k) & F.col(f"_v_{k}").isNull())
-        if k in limits:
-            long = long | F.coalesce(F.char_length(f"_v_{k}") > limits[k], F.lit(False))
-    whole = F.coalesce(F.regexp_like(text, F.lit(r"^\s*\{")), F.lit(False)) & F.col(_BROKEN).isNull()
-    why = F.when(~whole, F.lit(NO_OBJECT)).when(wrong, F.lit(BAD_TYPE)).when(long, F.lit(TOO_LONG))
-    names = ["_why", *(f"_v_{k}" for k in keys), *(f"_has_{k}" for k in keys)]
-    made = [why, *(F.col(f"_v_{k}") for k in keys), *(F.col(f"_j_{k}").isNotNull() for k in keys)]
-    return out.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(n) for c, n in zip(made, names))))).alias(*names))
+    out = df.selectExpr("*", f"inline(array(from_json(`{text}`, '{schema}', map('columnNameOfCorruptRecord', '{_BROKEN}')))) AS ({names('_j_')}, {_BROKEN})")
+    out = out.selectExpr("*", *(f"regexp_extract(schema_of_variant(_j_{k}), '^([A-Z]+)', 1) AS _k_{k}" for k in keys))
+    some = {k: f"(_j_{k} IS NOT NULL AND _k_{k} <> 'VOID')" for k in keys}
+    out = out.selectExpr("*", *(f"CASE WHEN {some[k]} THEN {_value(f'_j_{k}', f'_k_{k}', kinds[k])} END AS _v_{k}" for k in keys))
+    wrong = " OR ".join(f"({some[k]} AND _v_{k} IS NULL)" for k in keys)
+    long = " OR ".join(["false", *(f"coalesce(char_length(_v_{k}) > {n}, false)" for k, n in limits.items() if k in kinds)])
+    why = f"""CASE WHEN NOT coalesce(regexp_like(`{text}`, r'^\\s*\\{{'), false) OR {_BROKEN} IS NOT NULL THEN '{NO_OBJECT}'
+        WHEN {wrong} THEN '{BAD_TYPE}' WHEN {long} THEN '{TOO_LONG}' END"""
+    made = ", ".join([why, *(f"_v_{k}" for k in keys), *(f"_j_{k} IS NOT NULL" for k in keys)])
+    own = [f"`{c}`" for c in df.columns]
+    return out.selectExpr(*own, f"inline(array(struct({made}))) AS (_why, {names('_v_')}, {names('_has_')})")
