@@ -671,10 +671,13 @@ SELECT documento_id, celular, correo_electronico, fecha_nacimiento, CAST(edad AS
 FROM merged"""))
 def patch_patients(spark, d):
     from ehrflow.operators.writes import patch_patients as pp
-    patched, _ = pp(_pats(spark, d), _patches(spark, d), M.AS_OF_UTC)
-    return patched.select("documento_id", "celular", "correo_electronico", "fecha_nacimiento",
-                          F.col("edad").cast("long").alias("edad"),
-                          F.col("updated_at").isNotNull().alias("actualizado"))
+    return _patched(pp(_pats(spark, d), _patches(spark, d), M.AS_OF_UTC)[0])
+
+
+def _patched(rows):
+    return rows.select("documento_id", "celular", "correo_electronico", "fecha_nacimiento",
+                       F.col("edad").cast("long").alias("edad"),
+                       F.col("updated_at").isNotNull().alias("actualizado"))
 
 
 @register("patch_rejects", """
@@ -743,10 +746,11 @@ def cascade_delete(spark, d):
               "atencion": _encs(spark, d).select("documento_id", "atencion_id"),
               "tecnologia_salud": _techs(spark, d)
               .select("documento_id", "atencion_id")}
-    gone = _t(spark, d, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
-        F.col("c_custkey").alias("documento_id"))
-    left = cd(tables, gone)
-    return H.row_counts(left)
+    return H.row_counts(cd(tables, _deleted_ids(spark, d)))
+
+
+def _deleted_ids(spark, d):
+    return _t(spark, d, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE").select(F.col("c_custkey").alias("documento_id"))
 
 
 @register("delete_encounters", """
@@ -1123,6 +1127,71 @@ def vitals_at_rest(spark, d):
     return _vitals(layout.whole(spark, "atencion"), F.col("signos_vitales"))
 
 
+# ------------------------------------------------- I2 / I5 by whole files ---
+
+def _versioned(spark, df, files):
+    """``df`` as a versioned table; hash parts, so that a change of a few rows
+    touches few of the files."""
+    from ehrflow.plans import versions as V
+    root = _scratch(spark, "versions")
+    V.create(df.repartition(files, "documento_id"), root)
+    return root
+
+
+@register("patch_files", ORACLE["patch_patients"])
+def patch_files(spark, d):
+    """The patches of ``patch_patients`` committed as a new version: files
+    without a patched patient stay as they are."""
+    from ehrflow.operators.writes import patch_patients as pp
+    from ehrflow.plans import versions as V
+    patches = _patches(spark, d)
+    root = _versioned(spark, _pats(spark, d), 16)
+    V.change(spark, root, patches, "documento_id", lambda rows: pp(rows, patches, M.AS_OF_UTC)[0])
+    return _patched(V.read(spark, root))
+
+
+@register("cascade_delete_files", ORACLE["cascade_delete"])
+def cascade_delete_files(spark, d):
+    from ehrflow.operators.writes import cascade_delete as cd
+    from ehrflow.plans import versions as V
+    ids = _deleted_ids(spark, d)
+    left = {}
+    for name, df in {"usuario": _pats(spark, d), "atencion": _encs(spark, d), "tecnologia_salud": _techs(spark, d)}.items():
+        root = _versioned(spark, df, 16)
+        V.change(spark, root, ids, "documento_id", lambda rows, name=name: cd({name: rows}, ids)[name])
+        left[name] = V.read(spark, root)
+    return H.row_counts(left)
+
+
+# -------------------------------------------- C1 / D2 / D3 kept up to date ---
+
+@register("history_refresh", M.with_ctes(M.ENCOUNTERS_SQL, """
+kept AS (SELECT * FROM encounters WHERE CAST(atencion_id AS BIGINT) % 11 <> 3),
+counted AS (SELECT documento_id, count(*) AS total FROM kept GROUP BY documento_id)""", body=f"""
+SELECT documento_id, CAST(date_trunc('month', fecha_hora_atencion) AS DATE) AS mes, count(*) AS n_mes, any_value(total) AS n_atenciones,
+  string_agg(atencion_id || '|' || tipo_atencion || '|' || strftime(fecha_hora_atencion, {TS_SQL}), ',' ORDER BY fecha_hora_atencion DESC, atencion_id DESC) AS lista
+FROM kept JOIN counted USING (documento_id) GROUP BY documento_id, mes"""))
+def history_refresh(spark, d):
+    """Stored month lists of an older state of the encounters (some missing,
+    some at another time or of another kind, some deleted since), and the
+    change set that leads to the present one."""
+    from ehrflow.operators import incremental as N
+    k = F.col("atencion_id").cast("long")
+    now = _encs(spark, d).select("documento_id", "atencion_id", "fecha_hora_atencion", "tipo_atencion")
+    before = now.filter(k % 7 != 0).withColumns({"fecha_hora_atencion": F.when(k % 5 == 0, F.col("fecha_hora_atencion") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("fecha_hora_atencion")),
+                                                 "tipo_atencion": F.when(k % 6 == 0, F.lit("otra")).otherwise(F.col("tipo_atencion"))})
+    stored_at, counts_at = _scratch(spark, "lists"), _scratch(spark, "counts")
+    N.month_lists(before).write.parquet(stored_at)
+    stored = spark.read.parquet(stored_at)
+    N.counts(stored).write.parquet(counts_at)
+    changed = now.filter((k % 7 == 0) | (k % 5 == 0) | (k % 6 == 0) | (k % 11 == 3)).withColumns({"borrado": k % 11 == 3, "seq": F.lit(2)})
+    early = changed.withColumns({"tipo_atencion": F.lit("primera"), "seq": F.lit(1), "borrado": F.lit(False)})       # overtaken by the later change
+    changes = N.last_changes(changed.unionByName(early))
+    lists, totals = N.merge(stored, changes), N.merge_counts(spark.read.parquet(counts_at), stored, changes)
+    text = F.transform("atenciones", lambda x: F.concat_ws("|", x["atencion_id"], x["tipo_atencion"], _ts_text(x["fecha_hora_atencion"])))
+    return lists.join(totals, "documento_id").select("documento_id", "mes", F.size("atenciones").cast("long").alias("n_mes"), "n_atenciones", F.array_join(text, ",").alias("lista"))
+
+
 # -------------------------------------------------- J1 / J2 / J3 alone ---
 
 @register("violations_pk", M.with_ctes(_TECH_SQL, body="""
