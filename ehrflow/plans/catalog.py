@@ -1070,6 +1070,31 @@ def encounter_stream(spark, d):
                       "atencion_id", "alergias_conocidas")
 
 
+# ------------------------------------------------------- C7 as a stream ---
+
+@register("authorised_stream", ORACLE["authorised_asof"])
+def authorised_stream(spark, d):
+    """The events as two streams of files, in no order of time within a file;
+    two last pairs of files move the watermark of the join, and then that of
+    the result, beyond all events."""
+    from ehrflow.streaming import sessions
+    root, ev = _scratch(spark, "sessions"), _t(spark, d, "events")
+    sides = {"requests": M.requests(ev), "logins": M.logins(ev)}
+    for days in (None, 2, 4):
+        for name, rows in sides.items():
+            if days:
+                last = F.struct(F.lit(-1).alias("solicitud_id"), F.lit(-1).alias("usuario"), "ts", F.col("ts").alias("login_ts"))
+                rows = (ev.agg((F.max("ts") + F.make_dt_interval(F.lit(days))).alias("ts")).select(last.alias("x"))
+                        .select(*[F.col("x")[f.name].cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+            rows.write.mode("append").parquet(f"{root}/{name}")
+        if days:
+            streams = {name: spark.readStream.schema(rows.schema).parquet(f"{root}/{name}") for name, rows in sides.items()}
+            out = sessions.authorised_stream(streams["requests"], streams["logins"], M.TOKEN_TTL_MINUTES, delay="1 hour")
+            sessions.write_authorised(out, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{root}/out").filter("solicitud_id >= 0")
+    return found.select("solicitud_id", "usuario", _ts_text(F.col("ts")).alias("ts"), _ts_text(F.col("login_ts")).alias("login_ts"), "autorizado")
+
+
 # -------------------------------------------------------- L1 / L2 / L4 ---
 
 # Write tasks per bucket in the layout query: each bucket (including one
