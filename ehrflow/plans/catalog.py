@@ -867,6 +867,27 @@ def visible_rows(spark, d):
     return vr(req, _pats(spark, d)).select("solicitud_id", "principal_id", "documento_id", "rol")
 
 
+# ------------------------------------------- K2 / K3 / H in plain SQL ---
+
+def _sql_session(spark, d):
+    """A session of its own (views, functions and the variable are its own)
+    with the policies installed."""
+    from ehrflow.plans import policies
+    own = spark.newSession()
+    policies.install(own, {"usuario": _pats(own, d), "atencion": _encs(own, d), "solicitudes": M.access_requests(_t(own, d, "events"))})
+    return own
+
+
+@register("sql_visible_rows", ORACLE["visible_rows"])
+def sql_visible_rows(spark, d):
+    return _sql_session(spark, d).sql("SELECT * FROM exportaciones_visibles")
+
+
+@register("sql_public_projection", ORACLE["public_projection"])
+def sql_public_projection(spark, d):
+    return _sql_session(spark, d).sql("SELECT * EXCEPT (edad), CAST(edad AS BIGINT) AS edad FROM pacientes_admision")
+
+
 # ----------------------------------------------------- A6 / H21 / H22 ---
 
 def _blank(c: str) -> str:
