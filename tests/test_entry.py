@@ -11,7 +11,7 @@ from tests.oracle_check import canon, duck
 SF = "/root/testdata/sf0.001"
 # operators of the llm subpackage whose results SQL cannot express; their own
 # tests hold them against plain Python
-ROWS_ONLY = {"op1_quality_rules", "op3_mixing", "op4_language_id", "op5_secret_scans", "op6_substring_dedup",
+ROWS_ONLY = {"op1_quality_rules", "op11_sentencepiece", "op3_mixing", "op4_language_id", "op5_secret_scans", "op6_substring_dedup",
              "op7_best_fit_packing", "op8_document_fingerprints", "op9_simhash_near_dedup", "pipeline"}
 
 
