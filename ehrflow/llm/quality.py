@@ -151,7 +151,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit and calibrate on at most ``sample`` labelled documents a class."""
+    """Fit and calibrate on at most ``sample`` labelled documents a class; of
+    rows with one doc_id, on that with the smallest hash of its text."""
     known = (labels.filter("quality in (0, 1) and doc_id is not null")
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
     order = F.xxhash64("doc_id")
@@ -160,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     for q in (0, 1):
         part = known.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")      # at most 2 * sample rows
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality")      # at most 2 * sample groups
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
             .mapInArrow(_features, "doc_id long, quality int, at binary, value binary").collect())
     if len({r.quality for r in rows}) < 2:
         return None

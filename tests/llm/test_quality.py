@@ -65,3 +65,15 @@ def test_held_out_accuracy(spark):
 def test_platt_is_monotone_and_finite():
     slope, shift = quality.platt(np.array([-2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0]), 0.5)
     assert slope > 0 and np.isfinite([slope, shift]).all()
+
+
+def test_repeated_labelled_rows_stay_bounded(spark, monkeypatch):
+    """Two labelled doc_ids, 1,500 rows each: one row of each is fitted."""
+    texts = {1: "good words in a row of some length here", 2: "bad bad bad stuff of another kind there"}
+    docs = spark.createDataFrame([(k, f"{texts[k]} {i}") for i in range(1500) for k in (1, 2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda where, value, y, share: seen.append(len(y)))
+    quality.train(docs, labels, sample=1)
+    quality.train(docs.repartition(7), labels, sample=1)
+    assert seen == [2, 2]
