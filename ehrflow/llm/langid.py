@@ -6,9 +6,12 @@ temperature calibration.
 Held-out documents (crc32 of the doc_id as text, modulo 3, is 1) and those
 without a language train nothing. Document frequencies are counted over all
 training documents. The gradient steps see a bounded sample: about ``sample``
-documents of each language (all of a smaller one), chosen by a hash of doc_id;
-only their features go to the driver. Every fifth of them sets the temperature
-alone.
+documents of each language (all of a smaller one), chosen by a hash of doc_id,
+one row of each; only their features go to the driver. Every fifth of a
+language's sets the temperature alone, so a language with fewer than five keeps
+them all. Of more than ``MAX_LANGUAGES`` values of lang the most frequent are
+learned (ties by code point); the model tells how many were not, and how many
+documents had them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no document has taught a language. A null doc_id is not
@@ -32,6 +35,7 @@ from ehrflow.llm._shared import written
 BUCKETS = 1 << 14                   # for 2-grams, and as many for 3-grams
 DIMS = 2 * BUCKETS
 SAMPLE = 500
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -42,6 +46,7 @@ class Model:
     weights: np.ndarray             # languages x DIMS
     intercepts: np.ndarray
     temperature: float
+    left_out: tuple[int, int] = (0, 0)      # languages that were not learned, and their documents
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,28 +107,32 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*empty, pa.array(at, pa.int32()), pa.array(n)], names=names)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model | None:
     known = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    share = {r.lang: min(1.0, sample / r["count"]) for r in known.groupBy("lang").count().collect()}       # one row a language
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = {r.lang: (r.n, min(1.0, sample / r.n)) for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not share:
         return None
+    all_languages, all_documents = sizes.agg(F.count("*"), F.sum("n")).first()
+    left_out = all_languages - len(share), all_documents - sum(n for n, _ in share.values())
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) / float(1 << 53)
-    limit = F.element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col("lang"))
-    rows = written(known.withColumn("chosen", draw < limit).mapInArrow(_statistics, "lang string, doc_id long, at binary, counts binary, bucket int, n long"), "languages")
+    limit = F.element_at(F.create_map(*(F.lit(x) for lang, (_, part) in share.items() for x in (lang, part))), F.col("lang"))
+    rows = written(known.withColumn("chosen", F.coalesce(draw < limit, F.lit(False))).mapInArrow(_statistics, "lang string, doc_id long, at binary, counts binary, bucket int, n long"), "languages")
     total = rows.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()       # DIMS + 1 rows at most
     seen = dict(zip(total.column("bucket").to_pylist(), total.column("n").to_pylist()))
     n = seen.pop(-1)
     frequency = np.zeros(DIMS)
     frequency[list(seen)] = list(seen.values())
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    chosen = sorted(rows.filter("lang is not null").select("lang", "doc_id", "at", "counts").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.lang, bytes(r["at"])))
+    one = rows.filter("lang is not null").groupBy("lang", "doc_id").agg(F.min(F.struct("at", "counts")).alias("x")).select("lang", "doc_id", "x.*")
+    chosen = sorted(one.collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.lang, bytes(r["at"])))
     languages = sorted({r.lang for r in chosen})
     if not languages:
         return None
     at = [np.frombuffer(r["at"], np.int32) for r in chosen]
     x = [_unit(np.frombuffer(r["counts"], np.int32) * idf[a]) for r, a in zip(chosen, at)]
     y = np.array([languages.index(r.lang) for r in chosen])
-    return Model(languages, idf, *fit(at, x, y, len(languages)))
+    return Model(languages, idf, *fit(at, x, y, len(languages)), left_out)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -138,10 +147,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, classes: int, passes: int = 4, alpha: float = 0.5, beta: float = 1.0,
         l1: float = 0.05, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
     """Follow-the-regularised-leader, one row at a time; the last column of
-    the state is the intercepts', which are not penalised. Then the
+    the state is the intercepts', which the first penalty spares. Then the
     temperature with the least log loss on the rows kept from it."""
     z, n = np.zeros((classes, DIMS + 1)), np.zeros((classes, DIMS + 1))
-    held = np.arange(len(y)) % 5 == 4
+    order = np.argsort(y, kind="stable")
+    held = np.zeros(len(y), bool)
+    held[order] = (np.arange(len(y)) - np.searchsorted(y[order], y[order])) % 5 == 4      # every fifth of a language
 
     def leader(columns: np.ndarray | slice) -> np.ndarray:
         zi, penalty = z[:, columns], np.full(DIMS + 1, l1)
