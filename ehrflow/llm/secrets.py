@@ -7,8 +7,9 @@ and characters; elsewhere, a whole run of at least ``MIN_LENGTH`` letters,
 digits and ``_+/-`` with a digit in it, or a key id that happens to have none. Its
 features: length, shares of the kinds of characters, changes between kinds,
 distinct characters, the part of it that is words of the corpus (letter runs
-found in ``MIN_DOCS`` documents or more, counted over all documents), signs of
-a path, and the words next to it. The forest is trained on labelled findings
+found outside of candidates in at least ``MIN_SHARE`` of the distinct texts, so
+neither copies nor the size of the corpus change a verdict), signs of a path,
+and the words next to it. The forest is trained on labelled findings
 and decides on every candidate.
 
 The training sample is bounded: at most ``sample`` labelled findings of each
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from ehrflow.llm._shared import written
 
 MIN_LENGTH = 16
-MIN_DOCS = 5
+MIN_SHARE = 1e-4                    # of the distinct texts: a word of the corpus
 SAMPLE = 5000
 THRESHOLD = 0.5
 BEFORE, AFTER = 40, 24              # code points of context that are kept
 NEIGHBOURS = 16                     # buckets of the word before, and of the word after
 MASK = "[SECRET]"
+_CUT = "\x00\x01"                   # put around candidates to find and cut them in one pass
 
 _RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|A[KS]IA[A-Z]{16}(?![A-Za-z0-9_+/\-]))[A-Za-z0-9_+/\-]{%d,}+"
 _NAMED = r"(?i)(token|passw(or)?d|pwd|secret|credential|bearer|api[_\-]?key|access[_\-]?key)[\"']?\s*[=:]?>?\s*[\"']?$"
@@ -51,32 +53,58 @@ _PATH = r"(://\S*|[/\\.@]\S*)$"
 SHAPE = ["length", "digits", "upper", "lower", "signs", "changes", "distinct", "hexadecimal", "covered", "slashes", "after_path", "before_dot", "assigned", "quoted"]
 
 
-def _pattern(min_length: int) -> str:
-    return "|".join((_IN_ADDRESS, _AFTER_NAME, _RUN % min_length))
+_NAMES = ("token", "passw", "pwd", "secret", "credential", "bearer", "api", "access")
+
+
+def _pattern(min_length: int, named: bool = True) -> str:
+    return "|".join((_IN_ADDRESS, *((_AFTER_NAME,) if named else ()), _RUN % min_length))
+
+
+def _parts(text: Column, min_length: int) -> Column:
+    """The text cut at its candidates: what is before, the first, what is
+    between, the second, and so on. One pass of the pattern marks and cuts;
+    a text without any of the names need not be searched for named values. A
+    text that holds the mark itself is searched twice instead."""
+    marked = lambda named: F.split(F.regexp_replace(text, F.lit(f"(?:{_pattern(min_length, named)})"), F.lit(f"{_CUT}$0{_CUT}")), _CUT, -1)
+    low, any_name = F.lower(text), F.lit(False)
+    for name in _NAMES:
+        any_name = any_name | F.contains(low, F.lit(name))
+    values, between = F.regexp_extract_all(text, F.lit(_pattern(min_length)), F.lit(0)), F.split(text, _pattern(min_length), -1)
+    twice = F.flatten(F.transform(between, lambda x, i: F.when(i < F.size(values), F.array(x, F.get(values, i))).otherwise(F.array(x))))
+    return F.when(F.contains(text, F.lit(_CUT)), twice).when(any_name, marked(True)).otherwise(marked(False))
+
+
+def _odd(parts: Column, odd: int) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == odd)
 
 
 def candidates(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """row (a number of the document's row), doc_id, text_hash (64 bits of its
-    text), start and length (code points), value, before and after of every
-    candidate."""
-    run = F.lit(_pattern(min_length))
-    found = (docs.select("doc_id", "text").filter(F.regexp_like("text", run))
-             .select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", run, F.lit(0)).alias("values"),
-                     F.split("text", _pattern(min_length), -1).alias("between")))
-    each = found.select("row", "doc_id", "text_hash", "between", F.posexplode("values").alias("k", "value"))
-    around = written(each.select("row", "doc_id", "text_hash", "k", "value", F.char_length(F.get("between", F.col("k"))).cast("long").alias("gap"),
-                                 F.right(F.get("between", F.col("k")), F.lit(BEFORE)).alias("before"),
-                                 F.left(F.get("between", F.col("k") + 1), F.lit(AFTER)).alias("after")), "candidates")
+    text), k (the candidate's number in it), start and length (code points),
+    value, before and after of every candidate."""
+    part = lambda i: F.get("parts", i)
+    one = lambda k: F.struct(k.alias("k"), part(2 * k + 1).alias("value"), F.char_length(part(2 * k)).cast("long").alias("gap"),
+                             F.right(part(2 * k), F.lit(BEFORE)).alias("before"), F.left(part(2 * k + 2), F.lit(AFTER)).alias("after"))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.size("parts") / 2).cast("int") - 1), one)
+    found = (docs.select("doc_id", "text", _parts(F.col("text"), min_length).alias("parts")).filter(F.size("parts") > 1)
+             .select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "parts"))
+    around = written(found.select("row", "doc_id", "text_hash", F.explode(each).alias("x")).select("row", "doc_id", "text_hash", "x.*"), "candidates")
     length = F.char_length("value").cast("long")
     upto = F.sum(F.col("gap") + length).over(Window.partitionBy("row").orderBy("k"))
-    return around.select("row", "doc_id", "text_hash", (upto - length).alias("start"), length.alias("length"), "value", "before", "after")
+    return around.select("row", "doc_id", "text_hash", "k", (upto - length).alias("start"), length.alias("length"), "value", "before", "after")
 
 
-def corpus_words(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Letter runs of four or more in at least ``min_docs`` documents."""
-    runs = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}+"), F.lit(0)))
-    return (docs.select(F.explode(runs).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= min_docs).select("word"))
+def corpus_words(docs: DataFrame, min_share: float = MIN_SHARE, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Letter runs of four or more that stand outside of candidates in at
+    least ``min_share`` of the distinct texts. Equal texts become one before
+    their words are counted, in part before the shuffle."""
+    prose = F.array_join(_odd(_parts(F.col("text"), min_length), 0), " ")
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(prose), F.lit("[a-z]{4,}+"), F.lit(0)))
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("text_hash"), runs.alias("words"))
+    once = texts.groupBy("text_hash").agg(F.any_value("words").alias("words"))
+    counted = written(once.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    least = max(1.0, min_share * (counted.filter("word = ''").agg(F.sum("n")).first()[0] or 0))      # the empty word stands for the text
+    return counted.filter((F.col("n") >= least) & (F.col("word") != "")).select("word")
 
 
 def _share(pattern: str) -> Column:
@@ -133,7 +161,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE):
 def scan(docs: DataFrame, labelled=rule_labels, min_length: int = MIN_LENGTH, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Every candidate with probability and is_secret. ``labelled`` takes the
     candidates with their features and adds label (1, 0 or null)."""
-    found = written(features(candidates(docs, min_length), corpus_words(docs)), "features")
+    found = written(features(candidates(docs, min_length), corpus_words(docs, min_length=min_length)), "features")
     model = train(labelled(found).filter("label is not null"), sample)
     if model is None:
         probability = F.coalesce(F.col("label"), F.lit(0.0))
@@ -141,7 +169,7 @@ def scan(docs: DataFrame, labelled=rule_labels, min_length: int = MIN_LENGTH, sa
     else:
         probability = F.element_at(vector_to_array("probability"), 2)
         scored = model.transform(_inputs(found))
-    return (scored.select("row", "doc_id", "text_hash", "start", "length", "value", probability.alias("score"))
+    return (scored.select("row", "doc_id", "text_hash", "k", "start", "length", "value", probability.alias("score"))
             .withColumn("is_secret", F.col("score") >= threshold))
 
 
@@ -153,17 +181,20 @@ def masked(docs: DataFrame, mask: str = MASK, **options) -> DataFrame:
     ``min_length`` is replaced everywhere in its text, a shorter one only where
     it was found."""
     min_length = options.get("min_length", MIN_LENGTH)
-    found = scan(docs, **options).filter("is_secret")
-    has = F.coalesce(F.regexp_like("text", F.lit(_pattern(min_length))), F.lit(False))
-    values = written(found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("value").alias("__values"),
-                                                                                                                    F.collect_set(F.struct("start", "length")).alias("__places")), "secrets")
-    last = F.sort_array("__places", asc=False)
-    placed = F.aggregate(last, F.col("text"), lambda t, p: F.concat(F.left(t, p["start"].cast("int")), F.lit(mask), F.substr(t, (p["start"] + p["length"] + 1).cast("int"))))
-    longest = F.array_sort(F.filter("__values", lambda v: F.char_length(v) >= min_length), lambda a, b: F.char_length(b) - F.char_length(a))
-    text = F.aggregate(longest, placed, lambda t, v: F.replace(t, v, F.lit(mask)))
-    joined = docs.filter(has).join(values, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+    found = scan(docs, **options)
+    has = F.coalesce(F.size("__parts") > 1, F.lit(False))
+    cut = docs.withColumn("__parts", _parts(F.col("text"), min_length))
+    decided = F.array_sort(F.collect_set(F.struct("k", "is_secret")))["is_secret"]           # by k, copies of a row once
+    again = F.collect_set(F.when(F.col("is_secret") & (F.col("length") >= min_length), F.col("value")))
+    values = written(found.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(decided.alias("__secret"), again.alias("__values"))
+                     .filter(F.array_contains("__secret", True)), "secrets")
+    placed = F.array_join(F.transform("__parts", lambda p, i: F.when((i % 2 == 1) & F.get("__secret", F.floor(i / 2).cast("int")), F.lit(mask)).otherwise(p)), "")
+    longest = F.array_sort("__values", lambda a, b: F.char_length(b) - F.char_length(a))
+    text = F.aggregate(longest, F.col("__placed"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    joined = (cut.filter(has).join(values, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+              .withColumn("__placed", placed))
     new = {"text": F.when(F.col("__values").isNull(), F.col("text")).otherwise(text)}
     changed = joined.withColumns(new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~has).unionAll(changed.select(*docs.columns))
+    return cut.filter(~has).select(*docs.columns).unionAll(changed.select(*docs.columns))
