@@ -33,6 +33,7 @@ from ehrflow.llm import _text
 BUCKETS = 1 << 15
 BLOCKS = 4                          # word 1-grams, word 2-grams, 3 bytes, 4 bytes
 SAMPLE = 1000
+ENTRIES = 1 << 16                   # of the feature vectors that the fit unpacks at once
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_AT = 0.5                       # calibrated probability of good quality
@@ -163,43 +164,65 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         chosen = part if chosen is None else chosen.unionAll(part)
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality")      # at most 2 * sample groups
             .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-            .mapInArrow(_features, "doc_id long, quality int, at binary, value binary").collect())
-    if len({r.quality for r in rows}) < 2:
+            .mapInArrow(_features, "doc_id long, quality int, at binary, value binary").toArrow())
+    y = rows.column("quality").to_numpy().astype(float)
+    if len(set(y.tolist())) < 2:
         return None
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.at), bytes(r.value)))
-    return fit([np.frombuffer(r["at"], np.int32) for r in rows], [np.frombuffer(r.value, np.float32) for r in rows],
-               np.array([r.quality for r in rows], float), share.get(1, 0) / max(sum(share.values()), 1))
+    order = np.argsort(rows.column("doc_id").to_numpy())        # a doc_id has one row
+    return fit(_views(rows.column("at"), np.int32, order), _views(rows.column("value"), np.float32, order), y[order], share.get(1, 0) / max(sum(share.values()), 1))
+
+
+def _views(column: pa.ChunkedArray, kind: type, order: np.ndarray) -> list[np.ndarray]:
+    """The packed arrays of a column in ``order``, not copied."""
+    every = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return [every[i] for i in order]
 
 
 def fit(where: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, good_share: float = 0.5,
         penalty: float = 1e-4, rounds: int = 100) -> Model:
     """Accelerated gradient descent on the log loss (classes weigh the same),
     then Platt's calibration on the rows kept from it, weighted by each
-    class's share of all labelled documents."""
+    class's share of all labelled documents. Every round goes through the rows
+    in parts of at most ``ENTRIES`` entries (or one row), in their order, so
+    that only the packed vectors are held whole."""
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    row = np.repeat(np.arange(len(y)), [len(x) for x in where])
-    at, x = np.concatenate(where), np.concatenate(value).astype(float) * SCALE
-    use = ~held[row]
-    r_fit, at_fit, x_fit = row[use], at[use], x[use]
+    size = np.array([len(x) for x in where])
     weight = np.where(y == 1, 0.5 / max((y[~held] == 1).sum(), 1), 0.5 / max((y[~held] == 0).sum(), 1)) * ~held
     dims = BLOCKS * BUCKETS
 
-    def score(w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, x * w[at], len(y)) + b
-
-    lipschitz = 0.25 * float((weight * np.bincount(row, x * x, len(y))).sum() + 1) + penalty
+    def parts(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, and the row, bucket and frequency of each of their entries."""
+        total, lo = np.concatenate(([0], np.cumsum(size[rows]))), 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + ENTRIES, "right")) - 1)
+            part = rows[lo:hi]
+            yield (part, np.repeat(part, size[part]), np.concatenate([where[i] for i in part]).astype(np.intp),
+                   np.concatenate([value[i] for i in part]).astype(float) * SCALE)
+            lo = hi
+
+    every, fitted = np.arange(len(y)), np.flatnonzero(~held)
+    squares = np.zeros(len(y))
+    for _, row, _, x in parts(every):
+        squares += np.bincount(row, x * x, len(y))
+    lipschitz = 0.25 * float((weight * squares).sum() + 1) + penalty
     w, b, v, c, t = np.zeros(dims), 0.0, np.zeros(dims), 0.0, 1.0
     for _ in range(rounds):
-        z = np.bincount(r_fit, x_fit * v[at_fit], len(y)) + c
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        w2 = v - (np.bincount(at_fit, x_fit * gap[r_fit], dims) + penalty * v) / lipschitz
+        slopes, gap = np.zeros(dims), np.zeros(len(y))
+        for part, row, at, x in parts(fitted):
+            z = np.bincount(row, x * v[at], len(y))[part] + c
+            gap[part] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part]
+            np.add.at(slopes, at, x * gap[row])
+        w2 = v - (slopes + penalty * v) / lipschitz
         b2 = c - gap.sum() / lipschitz
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    s = score(w, b)
+    s = np.zeros(len(y))
+    for _, row, at, x in parts(every):
+        s += np.bincount(row, x * w[at], len(y))
+    s += b
     slope, shift = platt(s[held], y[held], good_share) if held.any() else (1.0, 0.0)
     return Model((w * SCALE).reshape(BLOCKS, BUCKETS), b, slope, shift)
 

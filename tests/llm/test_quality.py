@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -77,3 +78,20 @@ def test_repeated_labelled_rows_stay_bounded(spark, monkeypatch):
     quality.train(docs, labels, sample=1)
     quality.train(docs.repartition(7), labels, sample=1)
     assert seen == [2, 2]
+
+
+def test_fit_holds_little_beside_the_vectors(monkeypatch):
+    """The fit unpacks some rows at a time, and gives the same however many."""
+    rng = np.random.default_rng(1)
+    where = [np.unique(rng.integers(0, quality.BLOCKS * quality.BUCKETS, n)).astype(np.int32) for n in [0, 1, 40_000, *[20_000] * 97]]
+    value = [rng.random(len(x)).astype(np.float32) / 1000 for x in where]
+    y = rng.integers(0, 2, len(where)).astype(float)
+    tracemalloc.start()
+    model = quality.fit(where, value, y, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes + v.nbytes for x, v in zip(where, value))
+    for entries in (1, 1 << 30):
+        monkeypatch.setattr(quality, "ENTRIES", entries)
+        other = quality.fit(where, value, y, rounds=2)
+        assert (other.weights == model.weights).all() and (other.intercept, other.slope, other.shift) == (model.intercept, model.slope, model.shift)
